@@ -22,6 +22,7 @@ ARROW = {
     "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
+    "array<double>": pa.list_(pa.float64()),
 }
 
 #: Rows of one Arrow slice are handed on in pieces of about this many bytes of text.
