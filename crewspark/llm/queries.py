@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewspark.llm import chat_repair, decontamination, fingerprint, minhash_dedup, packing, quality_lm, secret_scan, toxicity, url_filter
+from crewspark.llm import chat_repair, decontamination, fingerprint, minhash_dedup, packing, quality_lm, secret_scan, substring_dedup, toxicity, url_filter
 from crewspark.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
