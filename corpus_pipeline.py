@@ -1,12 +1,96 @@
-"""A corpus pipeline: stages over documents, each written and read again."""
+"""A corpus pipeline over the documents table.
+
+Each stage is a function of (spark, docs, sf_dir) that works on all that the stage before kept; its
+result is written as Parquet and read again as the next one's docs.  Decisions are by doc_id (rows
+with one id are kept if any of them is); null texts are empty; further columns are carried along; an
+empty table stays empty.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crewspark.llm import decontamination, minhash_dedup, packing, quality_lm, secret_scan
+from crewspark.llm.common import shared_dir, slices, stage, table
+from crewspark.shipping import map_in_arrow
+
+#: Ids up to which a stage's decisions are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    ids = stage(ids.select(F.col("doc_id").alias("__id")))
+    own = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(own, docs["doc_id"].cast("long").eqNullSafe(own["__id"]), how)
+
+
+def _without(docs: DataFrame, judged: DataFrame, good: str) -> DataFrame:
+    """docs without the ids of which no judged row is good."""
+    bad = judged.groupBy("doc_id").agg(F.max(good).alias("good")).where("NOT good")
+    return _with_ids(docs, bad, "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return _without(docs, quality_lm.classify(docs, trusted), "keep")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = stage(minhash_dedup.near_duplicates(docs))
+    kept = _without(docs, found, "kept")
+    again = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
+    if not again.limit(1).count():
+        return kept
+    return _with_ids(kept, again, "left_anti").unionByName(_with_ids(kept, again, "left_semi").dropDuplicates(["doc_id"]))
 
-STAGES: list = []
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select("doc_id", (~F.col("contaminated")).alias("clean")), "clean")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def run(batches):
+        enc = secret_scan.encoder()
+        for whole in batches:
+            for batch in slices(whole, at):
+                texts = [secret_scan.redact(t, secret_scan.spans_of(t, enc)) for t in batch.column(at).to_pylist()]
+                columns = list(batch.columns)
+                columns[at] = pa.array(texts, type=columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    clean = map_in_arrow(docs, run, docs.schema)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", redact_secrets),
+    ("packing", pack),
+]
+
+#: No SQL expresses the models and automata; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    def step(docs: DataFrame, function) -> DataFrame:
+        path = shared_dir(spark)
+        function(spark, docs, sf_dir).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return reduce(step, [f for _, f in STAGES], table(spark, sf_dir, "documents"))
