@@ -1,4 +1,6 @@
 """Queries over the driver's tables, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from crewspark.plans import planning, production, takeoff
+from crewspark.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "planning", "production", "takeoff"]
