@@ -41,7 +41,7 @@ def merge_all(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> DataFr
     """Sketch of each group of parts.  Hashes are made distinct per group before they are ranked,
     in as many tasks as there are hash ranges, so that a group with very many parts is no task's load.
     """
-    each = df.select(*keys, F.explode(sketch).alias("__h")).groupBy(*keys, "__h").agg()
+    each = df.select(*keys, F.explode(sketch).alias("__h")).distinct()
     salted = each.withColumn("__salt", F.pmod(F.xxhash64("__h"), F.lit(64)))
     rank = F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy("__h"))
     least = salted.withColumn("__r", rank).where(F.col("__r") <= k)
