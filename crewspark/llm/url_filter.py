@@ -10,13 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crewspark.llm.common import ascii_lower, pick, stage
+from crewspark.llm.common import ascii_lower, map_batches, pick, stage
+from crewspark.shipping import ship
 
+#: Characters (bytes) of the longest context; with the next one they pack into 64 bits.
 ORDER = 5
-#: Base of the interpolation: a uniform distribution over this many characters.
+#: URLs of one block, on average.
+BLOCK_URLS = 65_536
+#: Base of the interpolation: a uniform distribution over the bytes.
 ALPHABET = 256
 #: The rules of the query (host, path, verdict).
 RULES = (
@@ -48,43 +54,87 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], p
     return out if out is not None else F.lit(None).cast("string")
 
 
-def _characters(urls: DataFrame, order: int) -> DataFrame:
-    """Each character of each URL (and its end) with the longest context before it."""
-    padded = F.concat(F.lit("\x02" * order), F.col("url"), F.lit("\x03"))
-    return urls.select("*", F.posexplode(F.split(F.concat("url", F.lit("\x03")), "")).alias("at", "ch"), padded.alias("padded")).where(
-        F.col("ch") != ""
-    ).select("*", F.substring("padded", F.col("at") + 1, F.lit(order)).alias("context")).drop("padded", "at")
-
-
-def markov_scores(events: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
-    """log ratio of each (context, ch) of events, from training URLs (url, label)."""
-    lengths = F.sequence(F.lit(0), F.lit(order))
-    suffix = lambda k: F.when(k == 0, F.lit("")).otherwise(F.right(F.col("context"), k))
-    grams = _characters(training, order).groupBy("label", "context", "ch").agg(F.count("*").alias("n"))
-    grams = grams.select("label", "ch", "n", F.explode(F.transform(lengths, lambda k: suffix(k))).alias("context"))
-    counts = grams.groupBy("label", "context", "ch").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("context").pivot("label", [0, 1]).agg(F.sum("n").alias("n"), F.count("n").alias("kinds"))
-    pair = counts.groupBy("context", "ch").pivot("label", [0, 1]).agg(F.sum("n"))
-    table = pair.join(totals, "context").select("context", "ch", F.col("0").alias("c0"), F.col("1").alias("c1"))
-    wanted = events.select("context", "ch", F.explode(F.transform(lengths, lambda k: F.struct(k.alias("k"), suffix(k).alias("short")))).alias("x"))
-    wanted = wanted.select("context", "ch", "x.k", "x.short")
-    own = totals.select(F.col("context").alias("short"), *[F.coalesce(f"{i}_{c}", F.lit(0)).alias(f"{c}{i}") for i in (0, 1) for c in ("n", "kinds")])
-    joined = wanted.join(own, "short", "left").join(table.withColumnRenamed("context", "short"), ["short", "ch"], "left")
-    rows = joined.groupBy("context", "ch").agg(
-        F.sort_array(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n0", "kinds0", "c0", "n1", "kinds1", "c1")]))).alias("levels")
-    )
+def grams_of(urls: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of each URL, and its end, packed with the ``order`` bytes before it; and the number
+    of them in each URL."""
+    raw = [b"\x02" * order + u.encode() + b"\x03" for u in urls]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+    sizes = np.array([len(r) - order for r in raw], dtype=np.int64)
+    if not len(data):
+        return data, sizes
+    g = data[order:].copy()
+    for back in range(1, order + 1):
+        g |= data[order - back : len(data) - back] << (8 * back)
+    own = np.ones(len(data), dtype=bool)
+    starts = np.cumsum(sizes + order) - sizes - order
+    for k in range(order):
+        own[starts + k] = False
+    return g[own[order:]], sizes
+
 
-    def probability(i: int) -> Column:
-        def up(p, x):
-            n, kinds, c = x[f"n{i}"], x[f"kinds{i}"], x[f"c{i}"]
-            return F.when(n > 0, (c + kinds * p) / (n + kinds)).otherwise(p)
+def gram_counts(training: DataFrame) -> DataFrame:
+    """gram, c0, c1: counts of the longest grams in accepted and rejected URLs (url, label)."""
 
-        return F.aggregate("levels", F.lit(1.0 / ALPHABET), up)
+    def count(batch):
+        labels = np.asarray(batch.column(1).to_numpy(zero_copy_only=False))
+        grams, sizes = grams_of(batch.column(0).to_pylist())
+        keys, at = np.unique(grams, return_inverse=True)
+        rejected = np.repeat(labels == 1, sizes)
+        return [keys, *[np.bincount(at, weights=x, minlength=len(keys)).astype(np.int64) for x in (~rejected, rejected)]]
 
-    return rows.select("context", "ch", (F.log(probability(1)) - F.log(probability(0))).alias("ratio"))
+    each = map_batches(training.select("url", "label"), "gram long, c0 long, c1 long", count, text=0)
+    return each.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seed_terms: Sequence[str] = SEED_TERMS, order: int = ORDER, false_rejects: float = 0.01) -> DataFrame:
+def markov_ratios(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, ratio (log P(rejected) - log P(accepted)) of the wanted grams.
+
+    From the shortest context up: p = (count + kinds x shorter p) / (total + kinds) where the context
+    was seen, and the shorter p elsewhere.
+    """
+    probability = None
+    for k in range(order + 1):
+        part = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        level = stage(counts.groupBy(part.alias("gram")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+        context = F.shiftright("gram", 8)
+        seen = [x for i in (0, 1) for x in (F.sum(f"c{i}").alias(f"n{i}"), F.count(F.when(F.col(f"c{i}") > 0, 1)).alias(f"kinds{i}"))]
+        contexts = level.groupBy(context.alias("context")).agg(*seen)
+        own = wanted.select(part.alias("gram")).distinct() if k < order else wanted.select("gram")
+        joined = own.withColumn("context", context).join(contexts, "context", "left").join(level, "gram", "left")
+        if k:
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+            joined = joined.withColumn("short", shorter).join(probability.withColumnsRenamed({"gram": "short", "p0": "q0", "p1": "q1"}), "short")
+        else:
+            joined = joined.withColumns({"q0": F.lit(1.0 / ALPHABET), "q1": F.lit(1.0 / ALPHABET)})
+        p = [F.when(F.col(f"n{i}") > 0, (F.coalesce(f"c{i}", F.lit(0)) + F.col(f"kinds{i}") * F.col(f"q{i}")) / (F.col(f"n{i}") + F.col(f"kinds{i}"))).otherwise(F.col(f"q{i}")).alias(f"p{i}") for i in (0, 1)]
+        probability = joined.select("gram", *p)
+    return probability.select("gram", (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def url_scores(urls: DataFrame, counts: DataFrame, blocks: int) -> DataFrame:
+    """u0, u1, score of the URLs (url, u0, u1): dealt into blocks, whose distinct grams meet the
+    counts in joins."""
+    ship(urls.sparkSession)
+
+    def distinct(table: pa.Table) -> pa.Table:
+        keys = np.unique(grams_of(table.column("url").to_pylist())[0])
+        return pa.table({"part": pa.array(np.full(len(keys), table.column("block")[0].as_py(), dtype=np.int64)), "gram": pa.array(keys)})
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams, sizes = grams_of(left.column("url").to_pylist())
+        keys, ratios = right.column("gram").to_numpy(), right.column("ratio").to_numpy()
+        order = np.argsort(keys)
+        at = np.searchsorted(keys[order], grams)
+        sums = np.add.reduceat(ratios[order][at], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+        return pa.table({"u0": left.column("u0"), "u1": left.column("u1"), "score": pa.array(sums / sizes)})
+
+    dealt = urls.select(F.pmod("u0", F.lit(blocks)).alias("block"), "url", "u0", "u1").repartition(blocks, "block")
+    grams = dealt.groupBy("block").applyInArrow(distinct, "part long, gram long")
+    ratios = markov_ratios(counts, grams.select("gram").distinct())
+    return dealt.groupBy("block").cogroup(grams.join(ratios, "gram").groupBy("part")).applyInArrow(score, "u0 long, u1 int, score double")
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seed_terms: Sequence[str] = SEED_TERMS, false_rejects: float = 0.01) -> DataFrame:
     """page_id, host, path, rule, verdict, score and threshold of every page.
 
     Seeds: a URL is rejected if its host holds a seed term, else accepted if it has a host and no
@@ -104,10 +154,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     label = F.when(spam, 1).when((F.col("host") != "") & ~verdict.eqNullSafe("block"), 0)
     urls = stage(rows.select("url", "host", "path").distinct().select(ascii_lower(F.col("url")).alias("url"), F.xxhash64("url").alias("u0"), F.hash("url").alias("u1"), label.alias("label"), (F.crc32("url") % 5 == 0).alias("held_out")))
     training = urls.where(F.col("label").isNotNull() & ~F.col("held_out")).select("url", "label")
-    characters = stage(_characters(urls, order).groupBy("u0", "u1", "context", "ch").agg(F.count("*").alias("times")))
-    ratios = markov_scores(characters.select("context", "ch").distinct(), training, order)
-    scored = characters.join(ratios, ["context", "ch"]).groupBy("u0", "u1").agg((F.sum(F.col("times") * F.col("ratio")) / F.sum("times")).alias("score"))
-    scored = stage(scored)
+    blocks = max(1, -(-urls.count() // BLOCK_URLS))
+    scored = stage(url_scores(urls, stage(gram_counts(training)), blocks))
     held = scored.join(urls.where((F.col("label") == 0) & F.col("held_out")).select("u0", "u1"), ["u0", "u1"])
     threshold = held.agg(F.percentile_approx("score", 1 - false_rejects, 10_000)).first()[0]
     threshold = 0.0 if threshold is None else float(threshold)
