@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def polygon_area(points: Column) -> Column:
     """Shoelace area."""
     ahead = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
@@ -38,3 +37,9 @@ def hex_rgb(color: Column) -> Column:
 
 def color_distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum((F.pow(a[c] - b[c], 2) for c in "rgb"), F.lit(0.0)))
+
+
+def estimated_perimeter_mm(area: Column) -> Column:
+    """Perimeter of a rectangle of proportions 5 to 2, in thousandths, rounded up."""
+    length = 2 * (F.sqrt(2.5 * area) + F.sqrt(area / 2.5))
+    return F.ceil(length * 1000 - 1e-9).cast("bigint")

@@ -40,9 +40,25 @@ def loose_name(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]", ""), r"(.)\1+", "$1")
 
 
+def natural_key(text: Column) -> Column:
+    """A text in lower case whose numbers are padded to five digits."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"(\d+)", "0000$1"), r"0+(\d{5})", "$1")
+
+
+def first_keyword(text: Column, rules: list[tuple[str, list[str]]], otherwise: str) -> Column:
+    """The name of the first rule one of whose words the text holds, in any case."""
+    t, out = F.lower(text), None
+    for name, words in rules:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(t, F.lit(w))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(otherwise)
+
+
 def room_sort_key(number: Column) -> Column:
     """Digits padded to five; other texts after all numbers, empty ones last."""
-    padded = F.regexp_replace(F.regexp_replace(F.lower(number), r"(\d+)", "0000$1"), r"0+(\d{5})", "$1")
+    padded = natural_key(number)
     return F.when(F.coalesce(F.trim(number), F.lit("")) == "", "zzz").when(number.rlike(r"^\d"), padded).otherwise(F.concat(F.lit("yyy."), padded))
 
 

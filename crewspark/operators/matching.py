@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crewspark.functions import geometry
+
+#: The least score of a match, its lead, and the shorter lead of an exact match.
+LEAST, LEAD, EXACT, EXACT_LEAD = 70, 25, 100, 10
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in a stated order."""
@@ -35,6 +40,17 @@ def best_with_margin(df: DataFrame, keys: Sequence[str], score: str, tie: Sequen
     return ranked.where((F.col("__rank") == 1) & (F.col(score) >= least) & clear).drop("__rank")
 
 
+def uniquely_best(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str]) -> DataFrame:
+    """The best candidate of each key where no other comes near it: an exact match needs a shorter
+    lead, or none over a candidate that wouldn't be accepted."""
+    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *tie)
+    ranked = df.withColumns({"__rank": F.row_number().over(w), "runner_up": F.lead(score).over(w)})
+    lead = F.col(score) - F.col("runner_up")
+    exact = (F.col(score) >= EXACT) & ((lead >= EXACT_LEAD) | (F.col("runner_up") < LEAST))
+    clear = F.col("runner_up").isNull() | (lead >= LEAD) | exact
+    return ranked.where((F.col("__rank") == 1) & (F.col(score) >= LEAST) & clear).drop("__rank")
+
+
 def only_candidate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key has no other row."""
     return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n = 1").drop("__n")
@@ -53,3 +69,18 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], radiu
     d = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
     near = a.join(b, [*keys, "cx", "cy"]).withColumn("d2", d).where(F.col("d2") < radius * radius)
     return near.groupBy(*keys, "id").agg(F.min(F.struct("d2", "other")).alias("m")).select(*keys, "id", F.col("m.other").alias("other"), F.col("m.d2").alias("d2"))
+
+
+def smallest_enclosing(points: DataFrame, polygons: DataFrame, keys: Sequence[str], id: str, cell: float) -> DataFrame:
+    """For each point (keys, id, x, y) the polygon (keys, polygon, points) of least area around it.
+
+    A polygon is dealt to the squares that its bounds touch, a point to its own, so that the join is
+    on equality.
+    """
+    at = lambda c: F.floor(c / cell)
+    b = polygons.withColumn("__b", geometry.bounds(F.col("points"))).withColumn("__area", geometry.polygon_area(F.col("points")))
+    columns = b.withColumn("cx", F.explode(F.sequence(at(F.col("__b.x0")), at(F.col("__b.x1")))))
+    dealt = columns.withColumn("cy", F.explode(F.sequence(at(F.col("__b.y0")), at(F.col("__b.y1"))))).drop("__b")
+    own = points.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
+    hit = own.join(dealt, [*keys, "cx", "cy"]).where(geometry.inside(F.col("points"), F.col("x"), F.col("y")))
+    return hit.groupBy(*keys, id).agg(F.min(F.struct("__area", "polygon")).alias("m")).select(*keys, id, F.col("m.polygon").alias("polygon"), F.col("m.__area").alias("area"))
