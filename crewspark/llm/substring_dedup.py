@@ -30,6 +30,10 @@ SHARD_CHARS = 8_000_000
 HOT = 2_000
 #: Bytes of a word's symbol in the index.
 SYMBOL = 5
+#: A place is begin x PLACE + number of windows (which share an anchor: fewer than PLACE).
+PLACE = 64
+#: Bytes of words handed on at once.
+SENT_BYTES = 4_000_000
 
 
 class FMIndex:
@@ -161,44 +165,61 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Words are runs without blanks, unchanged; null and empty texts have none.  A repeated row makes
     its windows repeated, like any copy; rows with one id and different texts are judged each; texts
     of fewer words than a window keep all; an empty table gives an empty one.
+
+    Only segments whose anchor occurs twice go on after the first count; texts travel compressed.
     """
+    import zstandard
+
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), "txt": F.xxhash64("text")})
+    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), "txt": F.hash("text")})
 
     def cut(batch):
         doc, begin, count, anchor, content = segments_of(batch.column(2), window)
         ids, txt = (batch.column(i).to_numpy()[doc] for i in (0, 1))
-        return [anchor.view(np.int64), content.view(np.int64), ids, txt, begin, count]
+        return [anchor.view(np.int64), (content >> U(32)).astype(np.uint32).view(np.int32), ids, txt, begin * PLACE + count]
 
-    kinds = "anchor long, seg long, id long, txt long, begin long, n long"
-    placed = stage(map_batches(rows.select("id", "txt", "text"), kinds, cut, text=2))
-    different = placed.groupBy("anchor", "seg", "n").agg(F.count("*").alias("places"), F.min(F.struct("id", "txt", "begin")).alias("x"))
-    anchors = different.groupBy("anchor").agg(F.sum("places").alias("all"), F.count("*").alias("segments")).where("all > 1")
-    wanted = different.join(anchors, "anchor").select("x.id", "x.txt", F.struct("anchor", "seg", "places", "x.begin", "n", (F.col("segments") > HOT).alias("hot")).alias("s"))
+    placed = stage(map_batches(rows.select("id", "txt", "text"), "anchor long, seg int, id long, txt int, place long", cut, text=2))
+    twice = placed.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor")
+    repeated = stage(placed.join(twice, "anchor"))
+    different = repeated.groupBy("anchor", "seg").agg(F.count("*").alias("places"), F.min(F.struct("id", "txt", "place")).alias("x"))
+    hot = different.groupBy("anchor").agg(F.count("*").alias("segments")).where(F.col("segments") > HOT).select("anchor", F.lit(True).alias("hot"))
+    wanted = different.join(hot, "anchor", "left").select("x.id", "x.txt", F.struct("anchor", "seg", "places", "x.place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // SHARD_CHARS))
-    dealt = rows.repartition("id", "txt")
-    ordered = dealt.select("id", "txt", "text").dropDuplicates(["id", "txt"]).join(wanted.groupBy("id", "txt").agg(F.collect_list("s").alias("segs")), ["id", "txt"])
-    sent = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("seg", pa.int64()), ("skip", pa.int64()), ("places", pa.int64()), ("words", pa.binary())])
+    zipped = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("txt", pa.int32()), ("z", pa.binary())])
 
-    def payload(batches):
+    def shrink(batches):
+        z = zstandard.ZstdCompressor(level=3)
         for whole in batches:
-            for batch in slices(whole, 0):
-                s = scan(batch.column(0), NOT_BLANK, lower=False)
-                h = s.hashes()
+            for batch in slices(whole, 3):
+                packed = pa.array([z.compress(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], schema=zipped)
+
+    dealt = map_in_arrow(rows.select("doc_id", "id", "txt", "text"), shrink, "doc_id long, id long, txt int, z binary").repartition("id", "txt")
+    ordered = dealt.select("id", "txt", "z").dropDuplicates(["id", "txt"]).join(wanted.groupBy("id", "txt").agg(F.collect_list("s").alias("segs")), ["id", "txt"])
+    sent = "shard long, anchor long, seg int, skip long, places long, words binary"
+
+    def payload(batches):
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out, held = [], 0
+            for packed, segs in zip(batch.column(0), batch.column(1), strict=True):
+                h = scan(pa.array([z.decompress(packed.as_py()).decode()]), NOT_BLANK, lower=False).hashes()
                 raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :SYMBOL]).tobytes()
-                out = []
-                for doc, segs in enumerate(batch.column(1).to_pylist()):
-                    for x in segs:
-                        a = int(s.first[doc]) + x["begin"]
-                        parts = [(k, 1) for k in range(x["n"])] if x["hot"] else [(0, x["n"])]
-                        for skip, n in parts:
-                            words = raw[SYMBOL * (a + skip) : SYMBOL * (a + skip + n + window - 1)]
-                            by = int.from_bytes(hashlib.blake2b(words, digest_size=6).digest()) if x["hot"] else x["anchor"]
-                            out.append((by % shards, x["anchor"], x["seg"], skip, x["places"], words))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), sent, strict=True)], schema=sent)
+                for x in segs.as_py():
+                    a, count = divmod(x["place"], PLACE)
+                    parts = [(k, 1) for k in range(count)] if x["hot"] else [(0, count)]
+                    for skip, n in parts:
+                        words = raw[SYMBOL * (a + skip) : SYMBOL * (a + skip + n + window - 1)]
+                        by = int.from_bytes(hashlib.blake2b(words, digest_size=6).digest()) if x["hot"] else x["anchor"]
+                        out.append((by % shards, x["anchor"], x["seg"], skip, x["places"], words))
+                        held += len(words)
+                if held > SENT_BYTES:
+                    yield _batch(out, sent)
+                    out, held = [], 0
+            if out:
+                yield _batch(out, sent)
 
     def search(table: pa.Table) -> pa.Table:
         anchor, seg, skip, places = (table.column(c).to_numpy() for c in ("anchor", "seg", "skip", "places"))
@@ -217,24 +238,36 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         shift = skip[which] - base[which]
         return pa.table({"anchor": anchor[which], "seg": seg[which], "lo": lo + shift, "hi": hi + shift})
 
-    words = map_in_arrow(ordered.select("text", "segs"), payload, ", ".join(f"{f.name} {next(k for k, v in ARROW.items() if v == f.type)}" for f in sent))
-    ranges = words.groupBy("shard").applyInArrow(search, "anchor long, seg long, lo long, hi long")
-    covered = placed.join(ranges, ["anchor", "seg"]).select("id", "txt", (F.col("begin") + F.col("lo")).alias("a"), (F.col("begin") + F.col("hi") + window - 1).alias("b"))
+    words = map_in_arrow(ordered.select("z", "segs"), payload, sent)
+    ranges = words.groupBy("shard").applyInArrow(search, "anchor long, seg int, lo long, hi long")
+    begin = F.floor(F.col("place") / PLACE)
+    covered = repeated.join(ranges, ["anchor", "seg"]).select("id", "txt", (begin + F.col("lo")).alias("a"), (begin + F.col("hi") + window - 1).alias("b"))
     lists = covered.groupBy("id", "txt").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
-    final = dealt.join(lists, ["id", "txt"], "left").select("doc_id", "text", "cover")
-
-    def keep(batch):
-        n_words, n_removed, kept = [], [], []
-        for text, cover in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            own = text.encode().split()  # at the blanks that part words here, and at no others
-            out, at = [], 0
-            for x in sorted((x["a"], x["b"]) for x in cover or ()):
-                out += own[at : x[0]]
-                at = max(at, x[1])
-            out += own[at:]
-            n_words.append(len(own))
-            n_removed.append(len(own) - len(out))
-            kept.append(b" ".join(out).decode())
-        return [batch.column(0), n_words, n_removed, kept]
-
-    return map_batches(final, "doc_id long, n_words long, n_removed long, kept string", keep)
+    final = dealt.join(lists, ["id", "txt"], "left").select("doc_id", "z", "cover")
+    kinds = "doc_id long, n_words long, n_removed long, kept string"
+
+    def keep(batches):
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out, held = [], 0
+            for doc, packed, cover in zip(*batch.columns, strict=True):
+                own = z.decompress(packed.as_py()).split()  # at the blanks that part words here, and at no others
+                left, at = [], 0
+                for x in sorted((x["a"], x["b"]) for x in cover.as_py() or ()):
+                    left += own[at : x[0]]
+                    at = max(at, x[1])
+                left += own[at:]
+                out.append((doc.as_py(), len(own), len(own) - len(left), b" ".join(left).decode()))
+                held += len(out[-1][3])
+                if held > SENT_BYTES:
+                    yield _batch(out, kinds)
+                    out, held = [], 0
+            if out:
+                yield _batch(out, kinds)
+
+    return map_in_arrow(final, keep, kinds)
+
+
+def _batch(rows: list[tuple], kinds: str) -> pa.RecordBatch:
+    fields = [x.split(" ") for x in kinds.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=ARROW[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
