@@ -3,8 +3,10 @@
 Two small collections of bands are made from the minhashes; a table's key is a pair of one band of
 either collection, so that b bands a side give b x b tables for 2 x b bands' worth of hashing.
 Documents with one shingle set are one class.  In a bucket, members are held against leaders, not
-against each other; what links the leaders leave open is settled by further leaders and at last by
-all remaining pairs of different components, so that no link is lost and no copies are paired.
+against each other.  What the leaders leave open is settled by the remaining pairs of different
+components, less those that can't link: shingles that no other open class has are in no
+intersection, so that a class with too many of them has no partner.  No link is lost that way, no
+copies are paired, and a pair is made in the first of its common tables only.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ BANDS = 12
 BROADCAST_IDS = 1_000_000
 #: Members of a leader that are confirmed in one group.
 GROUP = 256
-#: Rounds of leaders; remaining pairs a class that are then few enough to be paired at once.
-ROUNDS, OPEN_PAIRS = 4, 4
+#: Rounds of leaders before the remaining pairs.
+ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,44 +155,68 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def own_counts(texts: DataFrame, w: int) -> DataFrame:
+    """cls, own: how many shingles of each class (cls, text) no other one has; none: no row."""
+
+    def sets(batch):
+        values, sizes = shingle_sets(batch.column(1), w)
+        return [batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values.view(np.int64)))]
+
+    each = map_batches(texts.select("cls", "text"), "cls binary, h array<long>", sets).select("cls", F.explode("h").alias("h"))
+    own = each.groupBy("h").agg(F.min("cls").alias("cls"), F.count("*").alias("n")).where("n = 1").groupBy("cls").agg(F.count("*").alias("own"))
+    return own
+
+
+def _reachable(n_a: Column, n_b: Column, most: Column, percent: int) -> Column:
+    """Whether sets of these sizes with at most so many common shingles can link."""
+    return 100 * most >= percent * (n_a + n_b - most)
+
+
+def remaining(placed: DataFrame, info: DataFrame, texts: DataFrame, w: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket (key, main, cls, comp) that can link."""
+    open_ = placed.select("cls").distinct()
+    own = own_counts(texts.join(open_, "cls", "left_semi"), w)
+    known = info.join(open_, "cls", "left_semi").join(own, "cls", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+    known = stage(known.where(100 * F.col("most") >= percent * F.col("n_shingles")).select("cls", "n_shingles", "most", F.slice("bands", 1, BANDS).alias("left"), F.slice("bands", BANDS + 1, BANDS).alias("right")))
+    rows = placed.join(known, "cls")
+    names = ["cls", "comp", "n_shingles", "most", "left", "right"]
+    minor = rows.where("comp <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in names])
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in names], (F.col("comp") == F.col("main")).alias("in_main"))
+    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("in_main") | (F.col("cls_a") < F.col("cls_b")))
+    fits = _reachable(F.col("n_shingles_a"), F.col("n_shingles_b"), F.least("most_a", "most_b"), percent)
+    first = F.xxhash64(F.array_min(F.array_intersect("left_a", "left_b")), F.array_min(F.array_intersect("right_a", "right_b")))
+    met = minor.join(other, "key").where(apart & fits & (F.col("key") == first))
+    return met.select(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).distinct()
+
+
 def link(classes: DataFrame, texts_of, w: int, percent: int) -> DataFrame:
     """cls, comp for all classes that have a link.  classes: cls, doc_id, n_shingles, bands, small."""
     members = buckets(classes)
-    named = members.select("cls").distinct()
-    info = stage(classes.join(named, "cls").select("cls", "doc_id", "n_shingles", "small"))
+    named = members.groupBy("cls").agg(F.count("*").alias("tables"))
+    info = stage(classes.join(named, "cls").select("cls", "doc_id", "n_shingles", "bands", "small", "tables"))
     texts = stage(texts_of(info.select("cls", "doc_id")))
-    most = OPEN_PAIRS * max(1, info.count())
     edges = labels = None
     for turn in range(ROUNDS + 1):
         if labels is None:
-            placed = members.withColumn("comp", F.col("cls")).withColumn("degree", F.lit(0))
+            placed = members.withColumn("comp", F.col("cls"))
+        else:
+            placed = members.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+        placed = stage(placed.join(mixed, "key"))
+        if not placed.limit(1).count():
+            break
+        if turn < ROUNDS:  # the class that shares most tables with others is nearest to all of them
+            central = F.struct("tables", F.xxhash64("cls", F.lit(turn)), "cls") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)), "cls")
+            ranked = placed.join(info.select("cls", "tables"), "cls") if turn == 0 else placed
+            leaders = ranked.groupBy("key").agg(F.max_by("cls", central).alias("b"), F.max_by("comp", central).alias("comp_b"))
+            pairs = placed.join(leaders, "key").where("comp <> comp_b AND cls <> b").select(F.col("cls").alias("a"), "b").distinct()
         else:
-            degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
-            known = labels.join(degree, "cls", "left")
-            placed = members.join(known, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
-            sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-            mixed = stage(mixed.select("key", "main", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("open")))
-            left = mixed.agg(F.sum("open")).first()[0] or 0
-            if not left:
-                break
-            placed = stage(placed.join(mixed.select("key", "main"), "key"))
-            if left <= most or turn == ROUNDS:  # all that is open, each pair with one outside the key's main component
-                minor = placed.where("comp <> main").select("key", F.col("cls").alias("a"), F.col("comp").alias("comp_a"))
-                other = placed.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("in_main"))
-                met = minor.join(other, "key").where((F.col("comp_a") != F.col("comp_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))))
-                pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-                found = stage(confirmed(likely(pairs, info, percent), texts, w, percent))
-                edges = stage(edges.union(found))
-                labels = components(edges)
-                break
-        order = F.struct("degree", F.xxhash64("cls", F.lit(turn)), "cls")
-        leaders = placed.groupBy("key").agg(F.max_by("cls", order).alias("b"), F.max_by("comp", order).alias("comp_b"))
-        pairs = placed.join(leaders, "key").where("comp <> comp_b AND cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+            pairs = remaining(placed, info, texts, w, percent)
         found = stage(confirmed(likely(pairs, info, percent), texts, w, percent))
         edges = found if edges is None else stage(edges.union(found))
         labels = components(edges)
-    return labels
+    return classes.select("cls", F.col("cls").alias("comp")).limit(0) if labels is None else labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
