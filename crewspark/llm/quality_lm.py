@@ -29,6 +29,8 @@ HELD_OUT = 5
 PRIOR_CHARS = 60
 #: Rows of trusted ids up to which they are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Languages up to which what is known of each is broadcast (some 50 bytes each).
+BROADCAST_LANGUAGES = 100_000
 
 
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,6 +95,13 @@ def suffix(k: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)) if k < 4 else F.col("gram")
 
 
+def by_language(df: DataFrame) -> DataFrame:
+    """A table with a row for each language, broadcast if it is as small as it should be: a join by
+    shuffle would send all rows of one language to one task."""
+    df = stage(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_LANGUAGES else df
+
+
 def kneser_ney(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     """lang, gram, logp for the wanted grams (lang, gram), from counts of the highest order.
 
@@ -109,7 +118,7 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame) -> DataFrame:
         discounts = level.groupBy("lang").agg(*[x.alias(f"n{i}") for i, x in enumerate(n, 1)], F.count("*").alias("kinds"))
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
         d = [F.greatest(F.lit(0.05), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.75 * i)))) for i in (1, 2, 3)]
-        discounts = discounts.select("lang", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)], "kinds")
+        discounts = by_language(discounts.select("lang", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)], "kinds"))
         context = F.shiftrightunsigned("gram", 16)
         contexts = level.groupBy("lang", context.alias("context")).agg(
             F.sum("c").alias("total"), *[F.count(F.when(F.least(F.col("c"), F.lit(3)) == i, 1)).alias(f"t{i}") for i in (1, 2, 3)]
@@ -214,9 +223,9 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995) -> Da
     blocks = max(1, math.ceil(rows.count() / BLOCK_DOCS))
     scores = stage(document_scores(rows, counts, blocks))
     held = scores.where("units > 0").join(good.where("held_out").select("doc_id"), "doc_id", "left_semi")
-    means = held.groupBy("lang").agg((F.sum("nll") / F.sum("units")).alias("mean"))
+    means = by_language(held.groupBy("lang").agg((F.sum("nll") / F.sum("units")).alias("mean")))
     drawn = F.exp((F.col("nll") + PRIOR_CHARS * F.col("mean")) / (F.col("units") + PRIOR_CHARS))
-    quantiles = held.join(means, "lang").groupBy("lang").agg(F.percentile_approx(drawn, quantile, 10_000).alias("threshold"), F.first("mean").alias("mean"))
+    quantiles = by_language(held.join(means, "lang").groupBy("lang").agg(F.percentile_approx(drawn, quantile, 10_000).alias("threshold"), F.first("mean").alias("mean")))
     judged = scores.join(quantiles, "lang", "left").withColumn("perplexity", F.coalesce(drawn, F.exp(F.col("nll") / F.greatest("units", F.lit(1)))))
     return judged.select(
         "doc_id",
