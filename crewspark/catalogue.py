@@ -1,6 +1,6 @@
 """Queries over the driver's tables, and the SQL that checks them."""
 
-from crewspark.plans import billing, capacity, extraction, planning, production, streams, takeoff
+from crewspark.plans import assembly, billing, capacity, extraction, planning, production, streams, takeoff
 from crewspark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "billing", "capacity", "extraction", "planning", "production", "streams", "takeoff"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "billing", "capacity", "extraction", "planning", "production", "streams", "takeoff"]

@@ -60,13 +60,13 @@ def absence_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("person", F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("days"), F.sum(hours).cast("bigint").alias("hours"))
 
 
-@query(f"""WITH {ENTRIES}, w AS (SELECT DISTINCT person, day + k AS day FROM entries, (SELECT unnest([0, 1, 2]) AS k) WHERE status = 'refund')
+@query(f"""WITH {ENTRIES}, w AS (SELECT DISTINCT person, day + k AS day FROM entries, (SELECT unnest([0, 1, 2]) AS k) WHERE status = 'error')
   SELECT e.person, CAST(e.day AS VARCHAR) AS day, count(*) AS entries, CAST(sum(e.e - e.s) AS BIGINT) AS seconds
   FROM entries e JOIN w ON e.person = w.person AND e.day = w.day WHERE e.status = 'purchase' GROUP BY e.person, e.day""")
 def leave_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approved entries inside a leave of three days from each rejected one."""
     e = entries(spark, sf_dir)
-    leave = e.where("status = 'refund'").select("person", F.explode(F.sequence("day", F.date_add("day", 2))).alias("day")).distinct()
+    leave = e.where("status = 'error'").select("person", F.explode(F.sequence("day", F.date_add("day", 2))).alias("day")).distinct()
     hit = e.where("status = 'purchase'").join(leave, ["person", "day"])
     return hit.groupBy("person", "day").agg(F.count("*").alias("entries"), F.sum(F.col("e") - F.col("s")).alias("seconds")).select("person", text("day"), "entries", "seconds")
 
@@ -83,13 +83,13 @@ def approved_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ENTRIES}, e AS (SELECT *, isoyear(day) * 100 + weekofyear(day) AS week FROM entries), w AS (SELECT week, count(DISTINCT person) AS people FROM e GROUP BY 1),
-  d AS (SELECT week, day, count(DISTINCT person) FILTER (WHERE s < 39600 AND e > 32400) AS busy, count(DISTINCT person) FILTER (WHERE status = 'refund') AS away,
-    count(DISTINCT person) FILTER (WHERE status = 'refund' OR (s < 39600 AND e > 32400)) AS taken FROM e GROUP BY 1, 2)
+  d AS (SELECT week, day, count(DISTINCT person) FILTER (WHERE s < 39600 AND e > 32400) AS busy, count(DISTINCT person) FILTER (WHERE status = 'error') AS away,
+    count(DISTINCT person) FILTER (WHERE status = 'error' OR (s < 39600 AND e > 32400)) AS taken FROM e GROUP BY 1, 2)
   SELECT CAST(d.day AS VARCHAR) AS day, busy, away, people - taken AS free FROM d JOIN w USING (week)""")
 def fit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People of the week that are neither busy from 9:00 to 11:00 nor away on a day."""
     e = entries(spark, sf_dir).withColumn("week", week_of("day"))
-    busy, away = intervals.overlap(F.col("s"), F.col("e"), F.lit(32400), F.lit(39600)), F.col("status") == "refund"
+    busy, away = intervals.overlap(F.col("s"), F.col("e"), F.lit(32400), F.lit(39600)), F.col("status") == "error"
     each = e.groupBy("week", "day", "person").agg(F.max(busy).alias("busy"), F.max(away).alias("away"))
     days = each.groupBy("week", "day").agg(F.count_if("busy").alias("busy"), F.count_if("away").alias("away"), F.count_if(F.col("busy") | F.col("away")).alias("taken"))
     people = each.groupBy("week").agg(F.countDistinct("person").alias("people"))

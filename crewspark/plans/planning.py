@@ -174,18 +174,18 @@ def pool_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ENTRIES} SELECT person, isoyear(day) * 100 + weekofyear(day) AS week,
-  CAST(coalesce(sum(cents) FILTER (WHERE status = 'purchase'), 0) AS BIGINT) AS approved, CAST(coalesce(sum(cents) FILTER (WHERE status = 'refund'), 0) AS BIGINT) AS rejected,
-  CAST(coalesce(sum(cents) FILTER (WHERE status NOT IN ('purchase', 'refund')), 0) AS BIGINT) AS pending, count(DISTINCT day) AS days,
-  CASE WHEN bool_and(status = 'purchase') THEN 'approved' WHEN bool_or(status NOT IN ('purchase', 'refund')) THEN 'submitted' WHEN bool_and(status = 'refund') THEN 'rejected' ELSE 'submitted' END AS state
+  CAST(coalesce(sum(cents) FILTER (WHERE status = 'purchase'), 0) AS BIGINT) AS approved, CAST(coalesce(sum(cents) FILTER (WHERE status = 'error'), 0) AS BIGINT) AS rejected,
+  CAST(coalesce(sum(cents) FILTER (WHERE status NOT IN ('purchase', 'error')), 0) AS BIGINT) AS pending, count(DISTINCT day) AS days,
+  CASE WHEN bool_and(status = 'purchase') THEN 'approved' WHEN bool_or(status NOT IN ('purchase', 'error')) THEN 'submitted' WHEN bool_and(status = 'error') THEN 'rejected' ELSE 'submitted' END AS state
   FROM entries GROUP BY 1, 2""")
 def week_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     st, c = F.col("status"), F.col("cents")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0)).cast("bigint")
-    open_ = ~st.isin("purchase", "refund")
-    state = F.when(F.bool_and(st == "purchase"), "approved").when(F.bool_or(open_), "submitted").when(F.bool_and(st == "refund"), "rejected").otherwise("submitted")
+    open_ = ~st.isin("purchase", "error")
+    state = F.when(F.bool_and(st == "purchase"), "approved").when(F.bool_or(open_), "submitted").when(F.bool_and(st == "error"), "rejected").otherwise("submitted")
     week = (cal.iso_year(F.col("day")) * 100 + cal.iso_week(F.col("day"))).cast("bigint").alias("week")
     return entries(spark, sf_dir).groupBy("person", week).agg(
-        total(st == "purchase").alias("approved"), total(st == "refund").alias("rejected"), total(open_).alias("pending"), F.countDistinct("day").alias("days"), state.alias("state")
+        total(st == "purchase").alias("approved"), total(st == "error").alias("rejected"), total(open_).alias("pending"), F.countDistinct("day").alias("days"), state.alias("state")
     )
 
 
@@ -218,11 +218,11 @@ def prorated_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ENTRIES} SELECT person, CAST(day AS VARCHAR) AS day,
-  CASE WHEN bool_and(status = 'purchase') THEN 'approved' WHEN bool_or(status IN ('view', 'click', 'signup')) THEN 'submitted' WHEN bool_and(status = 'refund') THEN 'rejected' ELSE 'submitted' END AS state,
+  CASE WHEN bool_and(status = 'purchase') THEN 'approved' WHEN bool_or(status IN ('view', 'click', 'signup')) THEN 'submitted' WHEN bool_and(status = 'error') THEN 'rejected' ELSE 'submitted' END AS state,
   max_by(status, s * 100000000 + id) AS last_status FROM entries GROUP BY person, entries.day""")
 def status_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = F.col("status")
-    state = F.when(F.bool_and(st == "purchase"), "approved").when(F.bool_or(st.isin("view", "click", "signup")), "submitted").when(F.bool_and(st == "refund"), "rejected").otherwise("submitted")
+    state = F.when(F.bool_and(st == "purchase"), "approved").when(F.bool_or(st.isin("view", "click", "signup")), "submitted").when(F.bool_and(st == "error"), "rejected").otherwise("submitted")
     out = entries(spark, sf_dir).groupBy("person", "day").agg(state.alias("state"), F.max_by(st, F.struct("s", "id")).alias("last_status"))
     return out.withColumn("day", F.col("day").cast("string"))
 
