@@ -26,7 +26,7 @@ ARROW = {
 }
 
 #: Rows of one Arrow slice are handed on in pieces of about this many bytes of text.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -180,7 +180,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return [anchor.view(np.int64), (content >> U(32)).astype(np.uint32).view(np.int32), ids, txt, begin * PLACE + count]
 
     placed = stage(map_batches(rows.select("id", "txt", "text"), "anchor long, seg int, id long, txt int, place long", cut, text=2))
-    twice = placed.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor")
+    # staged, so that the join's sides are plain exchanges and a hot anchor's partition can be split
+    twice = stage(placed.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor"))
     repeated = stage(placed.join(twice, "anchor"))
     different = repeated.groupBy("anchor", "seg").agg(F.count("*").alias("places"), F.min(F.struct("id", "txt", "place")).alias("x"))
     hot = different.groupBy("anchor").agg(F.count("*").alias("segments")).where(F.col("segments") > HOT).select("anchor", F.lit(True).alias("hot"))
