@@ -86,3 +86,45 @@ def phone(text: Column, country: str = "31") -> Column:
 
 def identity_key(*parts: Column) -> Column:
     return F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("0")) for p in parts])
+
+
+def split_glued_number(label: Column) -> Column:
+    """"00.12kantoor" as struct<number, name>; a label without a leading number has none."""
+    number = F.regexp_extract(label, r"^\s*([A-Za-z]?-?\d[\d.\-]*\d|\d)", 1)
+    return F.struct(F.nullif(number, F.lit("")).alias("number"), F.trim(F.substr(F.ltrim(label), F.length(number) + 1)).alias("name"))
+
+
+def repaired_number(text: Column) -> Column:
+    """A room number as read by OCR: letters that stand for digits inside it, blanks and commas put right."""
+    flat = F.regexp_replace(F.regexp_replace(F.upper(F.trim(text)), r"\s+", ""), ",", ".")
+    return F.when(flat.rlike(r"[0-9]"), F.concat(F.regexp_extract(flat, r"^([A-Z]-)?", 0), F.translate(F.regexp_replace(flat, r"^([A-Z]-)?", ""), "OILSB", "01158"))).otherwise(flat)
+
+
+def activity_key(item: Column, unit: Column, description: Column) -> Column:
+    """item:id:unit, else custom:name:unit, else line:unit; names in lower case."""
+    u, name = F.coalesce(folded(unit), F.lit("")), F.coalesce(folded(description), F.lit(""))
+    return F.when(item.isNotNull(), F.concat_ws(":", F.lit("item"), item, u)).when(name != "", F.concat_ws(":", F.lit("custom"), name, u)).otherwise(F.concat_ws(":", F.lit("line"), u))
+
+
+def without_prefix(text: Column, prefix: Column) -> Column:
+    """A line's name without the room that it begins with."""
+    own = F.trim(text)
+    cut = F.trim(F.regexp_replace(F.substr(own, F.length(F.trim(prefix)) + 1), r"^[\s:,–-]+", ""))
+    return F.when((F.trim(prefix) != "") & F.startswith(F.lower(own), F.lower(F.trim(prefix))) & (cut != ""), cut).otherwise(own)
+
+
+def finish_family(code: Column) -> Column:
+    return F.split_part(folded(code), F.lit("."), F.lit(1))
+
+
+def address_parts(address: Column) -> Column:
+    """"Street 12a, 1234 AB Town" as struct<street, number, postcode, town>; what isn't there is null."""
+    part = lambda i: F.nullif(F.trim(F.regexp_extract(address, r"^\s*(.*?)\s+(\d+\s*[A-Za-z]?(?:-\d+)?)\s*(?:,\s*(\d{4}\s?[A-Za-z]{2})?\s*(.*?))?\s*$", i)), F.lit(""))
+    return F.struct(part(1).alias("street"), part(2).alias("number"), F.upper(F.regexp_replace(part(3), r"\s", "")).alias("postcode"), part(4).alias("town"))
+
+
+def date_range_label(start: Column, end: Column) -> Column:
+    """"3 t/m 7-2-2026", the first date shortened where month or year are the same."""
+    whole = lambda d: F.date_format(d, "d-M-yyyy")
+    head = F.when(F.year(start) != F.year(end), whole(start)).when(F.month(start) != F.month(end), F.date_format(start, "d-M")).otherwise(F.date_format(start, "d"))
+    return F.when(end.isNull() | (start == end), whole(start)).otherwise(F.concat(head, F.lit(" t/m "), whole(end)))
