@@ -15,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewspark.llm.common import map_batches, pick, stage
@@ -25,7 +25,7 @@ from crewspark.shipping import ship
 BANDS = 12
 #: Rows of candidate ids up to which they are broadcast to pick texts (24 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Members of a leader that are confirmed in one group.
+#: Pairs of one leader, and of one block, that are confirmed together.
 GROUP = 256
 #: Rounds of leaders before the remaining pairs.
 ROUNDS = 2
@@ -117,42 +117,70 @@ def likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, w: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; b is the leader of many a."""
+    """The pairs (a, b) whose full sets reach the threshold; b is the leader of many a.
+
+    Members of a leader are dealt into parts, parts into blocks of about GROUP pairs; a block has the
+    texts of its members and, once each, of its leaders.
+    """
     ship(pairs.sparkSession)
+    pairs = stage(pairs)
+    blocks = max(1, -(-pairs.count() // GROUP))
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
-    members = dealt.join(texts.select(F.col("cls").alias("a"), "text"), "a").select("b", "part", "a", "text")
-    named = texts.select(F.col("cls").alias("leader"), F.col("text").alias("lead"))
-    copies = parts.select(F.col("b").alias("leader"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("copy"))
-    leaders = copies.join(named, "leader")
+    dealt = pairs.join(parts, "b").withColumn("block", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))), F.lit(blocks))).drop("parts")
+    members = dealt.join(texts.select(F.col("cls").alias("a"), "text"), "a").select("block", "a", "b", "text")
+    leaders = dealt.select("block", "b").distinct().join(texts.select(F.col("cls").alias("b"), "text"), "b").select(F.col("block").alias("at"), F.col("b").alias("leader"), F.col("text").alias("lead"))
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows_a, b = [], left.column("b")[0].as_py() if left.num_rows else None
-        if left.num_rows and right.num_rows:
-            lead, _ = shingle_sets(right.slice(0, 1).column("lead").combine_chunks(), w)
-            for batch in left.to_batches(max_chunksize=GROUP):
-                values, sizes = shingle_sets(batch.column(batch.schema.get_field_index("text")), w)
-                at = np.minimum(np.searchsorted(lead, values), len(lead) - 1)
-                both = _per_text((lead[at] == values).astype(np.int64), sizes, np.add)
-                ok = 100 * both >= percent * (sizes + len(lead) - both)
-                rows_a += batch.column(batch.schema.get_field_index("a")).filter(pa.array(ok)).to_pylist()
-        return pa.table({"a": pa.array(rows_a, pa.binary()), "b": pa.array([b] * len(rows_a), pa.binary())})
-
-    return members.groupBy("b", "part").cogroup(leaders.groupBy("leader", "copy")).applyInArrow(check, "a binary, b binary")
+        sets, rows_a, rows_b = {}, [], []
+        for batch in right.to_batches(max_chunksize=GROUP):
+            values, sizes = shingle_sets(batch.column(batch.schema.get_field_index("lead")), w)
+            sets |= zip(batch.column(batch.schema.get_field_index("leader")).to_pylist(), np.split(values, np.cumsum(sizes)[:-1]), strict=True)
+        for batch in left.sort_by("b").to_batches(max_chunksize=GROUP):
+            a, b, text = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "text"))
+            values, sizes = shingle_sets(text, w)
+            ends, named = np.cumsum(sizes), b.to_pylist()
+            cuts = [0, *[i for i in range(1, len(named)) if named[i] != named[i - 1]], len(named)]
+            for i, j in zip(cuts, cuts[1:]):
+                lead, own = sets[named[i]], values[ends[i] - sizes[i] : ends[j - 1]]
+                at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
+                both = _per_text((lead[at] == own).astype(np.int64), sizes[i:j], np.add)
+                ok = 100 * both >= percent * (sizes[i:j] + len(lead) - both)
+                found = a.slice(i, j - i).filter(pa.array(ok)).to_pylist()
+                rows_a += found
+                rows_b += [named[i]] * len(found)
+        return pa.table({"a": pa.array(rows_a, pa.binary()), "b": pa.array(rows_b, pa.binary())})
+
+    return members.groupBy("block").cogroup(leaders.groupBy("at")).applyInArrow(check, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """cls, comp: the least class reachable, for all classes with an edge."""
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = stage(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("low")).select("cls", F.least("cls", "low").alias("comp")))
+    """cls, comp: the least label reachable, one for each component, for all classes with an edge.
+
+    First every a joins its least b.  Its other edges then say which b belong together, and that much
+    smaller graph is labelled: each turn takes the least label of the neighbours (and one's own, by an
+    edge to oneself); after a few turns labels also jump to their label's label.
+    """
+    each = edges.select("a", "b").where("a <> b").distinct()
+    led = stage(each.withColumn("m", F.min("b").over(Window.partitionBy("a"))))
+    heads = stage(led.select(F.col("b").alias("x")).distinct())
+    members = stage(led.select("a", "m").distinct())
+    own = members.join(heads, members["a"] == heads["x"], "left_semi")
+    links = led.where("m <> b").select(F.col("m").alias("x"), F.col("b").alias("y")).union(own.select("a", "m"))
+    ways = links.union(links.select("y", "x")).union(heads.select("x", F.col("x").alias("y")))
+    both = stage(ways.distinct())
+    labels, turn = stage(both.groupBy(F.col("x").alias("cls")).agg(F.min("y").alias("comp"))), 0
     while True:
-        seen = both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("low"))
-        low = labels.join(seen, "cls").select("cls", F.least("comp", "low").alias("comp"), F.col("comp").alias("old"))
-        ahead = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
-        moved = stage(low.join(ahead, "comp", "left").select("cls", F.coalesce("next", "comp").alias("comp"), "old"))
+        met = both.join(labels.select(F.col("cls").alias("y"), "comp"), "y")
+        moved = met.groupBy(F.col("x").alias("cls")).agg(F.min("comp").alias("comp"), F.max(F.when(F.col("x") == F.col("y"), F.col("comp"))).alias("old"))
+        if turn > 1:
+            ahead = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
+            moved = moved.join(ahead, "comp", "left").select("cls", F.least("comp", "next").alias("comp"), "old")
+        moved, turn = stage(moved), turn + 1
         labels = moved.select("cls", "comp")
         if not moved.where("comp <> old").limit(1).count():
-            return labels
+            break
+    rest = members.join(heads, members["a"] == heads["x"], "left_anti")
+    return stage(rest.join(labels.withColumnRenamed("cls", "m"), "m").select(F.col("a").alias("cls"), "comp").union(labels))
 
 
 def own_counts(texts: DataFrame, w: int) -> DataFrame:
@@ -195,7 +223,7 @@ def link(classes: DataFrame, texts_of, w: int, percent: int) -> DataFrame:
     named = members.groupBy("cls").agg(F.count("*").alias("tables"))
     info = stage(classes.join(named, "cls").select("cls", "doc_id", "n_shingles", "bands", "small", "tables"))
     texts = stage(texts_of(info.select("cls", "doc_id")))
-    edges = labels = None
+    labels = None
     for turn in range(ROUNDS + 1):
         if labels is None:
             placed = members.withColumn("comp", F.col("cls"))
@@ -214,8 +242,8 @@ def link(classes: DataFrame, texts_of, w: int, percent: int) -> DataFrame:
         else:
             pairs = remaining(placed, info, texts, w, percent)
         found = stage(confirmed(likely(pairs, info, percent), texts, w, percent))
-        edges = found if edges is None else stage(edges.union(found))
-        labels = components(edges)
+        known = found if labels is None else found.union(labels.select(F.col("cls").alias("a"), F.col("comp").alias("b")))
+        labels = components(known)
     return classes.select("cls", F.col("cls").alias("comp")).limit(0) if labels is None else labels
 
 
