@@ -10,7 +10,6 @@ What remains at a phase's end is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -27,19 +26,14 @@ from crewspark.llm.common import ARROW, pick, slices, stage
 from crewspark.shipping import map_in_arrow
 
 WINDOW = 1024
-#: A chunk is a run without blanks and at most one blank before it, or other blanks; the
-#: vocabulary's pattern never matches over a chunk's end.
-CHUNK = re.compile(r"\s?\S+|\s+(?!\S)")
-#: Texts with these go to the tokenizer whole: blanks for Python only, and a special token.
-WHOLE = re.compile(r"[\x1c-\x1f]|<\|endoftext\|>")
-#: Chunks that a worker keeps with their ids.
-KEPT_CHUNKS = 1_000_000
+#: Texts with one of these go to the tokenizer itself: blanks for one library only, a special token.
+OWN = ("<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Rows of (partition, source) up to which their offsets are broadcast (32 bytes each).
 BROADCAST_ROWS = 200_000
 
 
-class Encoder(dict):
-    """ids of a chunk as bytes (two a token); remembers a bounded number of chunks."""
+class Encoder:
+    """ids of a text as bytes, two a token: by the rank file of the same vocabulary, which is faster."""
 
     def __init__(self, path: str, ranks_path: str):
         from tokenizers import Tokenizer
@@ -47,22 +41,16 @@ class Encoder(dict):
         from crewspark.llm.secret_scan import encoder
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.fast = encoder(ranks_path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids over 65535 don't fit two bytes")
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = array("H", self.fast.encode_ordinary(chunk)).tobytes()
-        if len(self) < KEPT_CHUNKS:
-            self[chunk] = ids
-        return ids
+        self.fast = encoder(ranks_path).encode_ordinary
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if WHOLE.search(text):
+        if any(map(text.__contains__, OWN)):
             return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+        return array("H", self.fast(text)).tobytes()
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -66,6 +66,23 @@ def test_packing(make_docs, odd_rows):
     assert packing.pack(make_docs([])).count() == 0
 
 
+def test_tokens_are_the_tokenizers():
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    enc = packing.Encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(12)
+    parts = ["word", "Über", "it's", "12", "3,5", "#!", "é", "\U0001f600", "日本", "x", "'ll", "<|endoftext|>", "a'b"]
+    gaps = [" "] * 12 + ["\n"] * 4 + ["  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u2028", "\u200b", "", "   "]
+    for i in range(3000):
+        own = gaps[:16] if i % 2 else gaps
+        text = "".join(rng.choice(parts) + rng.choice(own) for _ in range(rng.randint(1, 12)))
+        text = text if i % 3 else rng.choice(gaps) + text
+        text = text.strip() if i % 5 == 0 else text
+        assert enc.ids(text) == array("H", tokenizer.encode(text, add_special_tokens=False).ids).tobytes(), repr(text)
+
+
 def test_packing_to_targets(make_docs):
     rng = random.Random(8)
     rows = [(i, words(rng, 300), "en", "ab"[i % 2]) for i in range(40)]
