@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crewspark.llm.common import ARROW, pick, slices, stage
+from crewspark.llm.common import pick, slices, stage
 from crewspark.shipping import map_in_arrow, ship
 
 ORDER = 4
