@@ -27,8 +27,9 @@ BANDS = 12
 BROADCAST_IDS = 1_000_000
 #: Pairs of one leader, and of one block, that are confirmed together.
 GROUP = 256
-#: Rounds of leaders before the remaining pairs.
-ROUNDS = 2
+#: Rounds of leaders before the remaining pairs, and leaders that a class is held against in each:
+#: those with which it shares the most tables.  The remaining pairs make up for all others.
+ROUNDS, NEAREST = 2, 4
 
 
 def shingle_sets(column: pa.Array, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,10 +236,12 @@ def link(classes: DataFrame, texts_of, w: int, percent: int) -> DataFrame:
         if not placed.limit(1).count():
             break
         if turn < ROUNDS:  # the class that shares most tables with others is nearest to all of them
-            central = F.struct("tables", F.xxhash64("cls", F.lit(turn)), "cls") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)), "cls")
-            ranked = placed.join(info.select("cls", "tables"), "cls") if turn == 0 else placed
-            leaders = ranked.groupBy("key").agg(F.max_by("cls", central).alias("b"), F.max_by("comp", central).alias("comp_b"))
-            pairs = placed.join(leaders, "key").where("comp <> comp_b AND cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+            own = info.select("cls", "tables" if turn == 0 else F.lit(0).alias("tables"))
+            central = F.struct("tables", F.xxhash64("cls", F.lit(turn)), F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
+            leaders = placed.join(own, "cls").groupBy("key").agg(F.max(central).alias("x")).select("key", "x.b", "x.comp_b")
+            met = placed.join(leaders, "key").where("comp <> comp_b AND cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("n"))
+            nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+            pairs = met.withColumn("rank", nearest).where(F.col("rank") <= NEAREST).select("a", "b")
         else:
             pairs = remaining(placed, info, texts, w, percent)
         found = stage(confirmed(likely(pairs, info, percent), texts, w, percent))
