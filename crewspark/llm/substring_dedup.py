@@ -172,23 +172,25 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), "txt": F.hash("text")})
+    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), "txt": F.xxhash64("text")})
 
     def cut(batch):
         doc, begin, count, anchor, content = segments_of(batch.column(2), window)
         ids, txt = (batch.column(i).to_numpy()[doc] for i in (0, 1))
-        return [anchor.view(np.int64), (content >> U(32)).astype(np.uint32).view(np.int32), ids, txt, begin * PLACE + count]
+        return [anchor.view(np.int64), content.view(np.int64), ids, txt, begin * PLACE + count]
 
-    placed = stage(map_batches(rows.select("id", "txt", "text"), "anchor long, seg int, id long, txt int, place long", cut, text=2))
+    # cut twice, so that only anchors go to the disk for those that occur once
+    anchors = map_batches(rows.select("text"), "anchor long", lambda batch: [segments_of(batch.column(0), window)[3].view(np.int64)], text=0)
     # staged, so that the join's sides are plain exchanges and a hot anchor's partition can be split
-    twice = stage(placed.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor"))
-    repeated = stage(placed.join(twice, "anchor"))
-    different = repeated.groupBy("anchor", "seg").agg(F.count("*").alias("places"), F.min(F.struct("id", "txt", "place")).alias("x"))
+    twice = stage(anchors.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor"))
+    placed = map_batches(rows.select("id", "txt", "text"), "anchor long, seg long, id long, txt long, place long", cut, text=2)
+    repeated = stage(placed.join(twice, "anchor").withColumn("n", (F.col("place") % PLACE).cast("int")))
+    different = repeated.groupBy("anchor", "seg", "n").agg(F.count("*").alias("places"), F.min(F.struct("id", "txt", "place")).alias("x"))
     hot = different.groupBy("anchor").agg(F.count("*").alias("segments")).where(F.col("segments") > HOT).select("anchor", F.lit(True).alias("hot"))
-    wanted = different.join(hot, "anchor", "left").select("x.id", "x.txt", F.struct("anchor", "seg", "places", "x.place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
+    wanted = different.join(hot, "anchor", "left").select("x.id", "x.txt", F.struct("anchor", "seg", "n", "places", "x.place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // SHARD_CHARS))
-    zipped = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("txt", pa.int32()), ("z", pa.binary())])
+    zipped = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("txt", pa.int64()), ("z", pa.binary())])
 
     def shrink(batches):
         z = zstandard.ZstdCompressor(level=3)
@@ -197,9 +199,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 packed = pa.array([z.compress(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], schema=zipped)
 
-    dealt = map_in_arrow(rows.select("doc_id", "id", "txt", "text"), shrink, "doc_id long, id long, txt int, z binary").repartition("id", "txt")
+    dealt = map_in_arrow(rows.select("doc_id", "id", "txt", "text"), shrink, "doc_id long, id long, txt long, z binary").repartition("id", "txt")
     ordered = dealt.select("id", "txt", "z").dropDuplicates(["id", "txt"]).join(wanted.groupBy("id", "txt").agg(F.collect_list("s").alias("segs")), ["id", "txt"])
-    sent = "shard long, anchor long, seg int, skip long, places long, words binary"
+    sent = "shard long, anchor long, seg long, n int, skip long, places long, words binary"
 
     def payload(batches):
         z = zstandard.ZstdDecompressor()
@@ -211,10 +213,10 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for x in segs.as_py():
                     a, count = divmod(x["place"], PLACE)
                     parts = [(k, 1) for k in range(count)] if x["hot"] else [(0, count)]
-                    for skip, n in parts:
-                        words = raw[SYMBOL * (a + skip) : SYMBOL * (a + skip + n + window - 1)]
+                    for skip, some in parts:
+                        words = raw[SYMBOL * (a + skip) : SYMBOL * (a + skip + some + window - 1)]
                         by = int.from_bytes(hashlib.blake2b(words, digest_size=6).digest()) if x["hot"] else x["anchor"]
-                        out.append((by % shards, x["anchor"], x["seg"], skip, x["places"], words))
+                        out.append((by % shards, x["anchor"], x["seg"], count, skip, x["places"], words))
                         held += len(words)
                 if held > SENT_BYTES:
                     yield _batch(out, sent)
@@ -223,7 +225,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield _batch(out, sent)
 
     def search(table: pa.Table) -> pa.Table:
-        anchor, seg, skip, places = (table.column(c).to_numpy() for c in ("anchor", "seg", "skip", "places"))
+        anchor, seg, n, skip, places = (table.column(c).to_numpy() for c in ("anchor", "seg", "n", "skip", "places"))
         segments = []
         for raw in table.column("words").to_pylist():
             wide = np.zeros((len(raw) // SYMBOL, 8), dtype=np.uint8)
@@ -237,12 +239,12 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         base = np.cumsum(sizes + 1) - sizes - 1
         which = np.searchsorted(base, lo, side="right") - 1
         shift = skip[which] - base[which]
-        return pa.table({"anchor": anchor[which], "seg": seg[which], "lo": lo + shift, "hi": hi + shift})
+        return pa.table({"anchor": anchor[which], "seg": seg[which], "n": n[which], "lo": lo + shift, "hi": hi + shift})
 
     words = map_in_arrow(ordered.select("z", "segs"), payload, sent)
-    ranges = words.groupBy("shard").applyInArrow(search, "anchor long, seg int, lo long, hi long")
+    ranges = words.groupBy("shard").applyInArrow(search, "anchor long, seg long, n int, lo long, hi long")
     begin = F.floor(F.col("place") / PLACE)
-    covered = repeated.join(ranges, ["anchor", "seg"]).select("id", "txt", (begin + F.col("lo")).alias("a"), (begin + F.col("hi") + window - 1).alias("b"))
+    covered = repeated.join(ranges, ["anchor", "seg", "n"]).select("id", "txt", (begin + F.col("lo")).alias("a"), (begin + F.col("hi") + window - 1).alias("b"))
     lists = covered.groupBy("id", "txt").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
     final = dealt.join(lists, ["id", "txt"], "left").select("doc_id", "z", "cover")
     kinds = "doc_id long, n_words long, n_removed long, kept string"

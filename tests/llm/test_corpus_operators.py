@@ -8,6 +8,7 @@ from array import array
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crewspark.llm import minhash_dedup, packing, quality_lm, substring_dedup, toxicity
@@ -247,6 +248,15 @@ def test_substring_dedup(make_docs, odd_rows, monkeypatch, hot):
     assert substring_dedup.deduplicate(make_docs([])).count() == 0
 
 
+def test_substrings_of_colliding_segments(make_docs):
+    """The windows of these two rows have one anchor, and content hashes whose upper 32 bits agree."""
+    rows = [(i, f"p521 p939 p647 p252 p889 p487 p841 p567 d{i} " + " ".join(f"f{k}" for k in range(26))) for i in (106302, 320991, 5)]
+    anchor, content = (x.tolist() for x in substring_dedup.segments_of(pa.array([r[1] for r in rows[:2]]))[3:])
+    assert anchor[0] == anchor[1] and content[0] >> 32 == content[1] >> 32 and content[0] != content[1]
+    got = substring_dedup.deduplicate(make_docs(rows)).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == plain_substrings(rows)
+
+
 def test_fm_index_intervals():
     rng = np.random.default_rng(5)
     text = rng.integers(1, 5, 400).astype(np.uint64)
