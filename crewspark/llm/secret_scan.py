@@ -2,7 +2,8 @@
 
 A random string costs many tokens for its length, because a vocabulary made from language has no
 long pieces for it.  Runs of credential characters whose characters-per-token ratio is low are
-reported, unless they are known digests or identifiers.  Three fixed patterns are reported always.
+reported, unless they are known digests or numbers.  Three fixed patterns are reported always; what
+they leave of a run is judged by itself.
 """
 
 from __future__ import annotations
@@ -22,13 +23,11 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Known digests (by length, either case) and identifiers: UUIDs, dates, versions, addresses,
-#: words joined by marks.
+#: Known digests (by length, either case), UUIDs, dates, versions and other numbers.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
-    r"|[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9.+/_=-]+"
-    r"|(?:[A-Za-z]+|[0-9]+)(?:[+/_.=-]+(?:[A-Za-z]+|[0-9]+))*[+/_.=-]*)"
+    r"|[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9.+/_=-]+)"
 )
 
 
@@ -57,15 +56,21 @@ def spans_of(text: str | None, enc, max_ratio: float = 2.2, min_chars: int = 20)
             found += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(s) if m.end() - m.start() >= 16]
         if len(s) >= 32:
             found += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(s) if m.end() - m.start() >= 32]
-        own = s.strip("+/_.=-")
-        if len(own) >= min_chars:
-            runs.append((at + s.index(own), own))
-    for start, s in runs:
-        end = start + len(s)
-        if KNOWN.fullmatch(s) or any(a < end and start < b for a, _, b in found):
-            continue
-        if len(s) < max_ratio * len(enc.encode_ordinary(s)):
-            found.append((start, 3, end))
+        if len(s) >= min_chars:
+            runs.append((at, run.end()))
+    base, k = sorted(found), 0
+    for at, end in runs:
+        while k < len(base) and base[k][2] <= at:  # sorted by start; runs are disjoint and in order
+            k += 1
+        j = k
+        while at < end:  # up to the next base span, and on behind it
+            stop = min(base[j][0], end) if j < len(base) else end
+            own = text[at:stop].strip("+/_.=-") if stop > at else ""
+            if len(own) >= min_chars and not KNOWN.fullmatch(own) and len(own) < max_ratio * len(enc.encode_ordinary(own)):
+                start = text.index(own, at)
+                found.append((start, 3, start + len(own)))
+            at = max(at, base[j][2]) if stop < end else end
+            j += 1
     return sorted(found)
 
 

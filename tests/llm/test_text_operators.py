@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import pytest
 
@@ -44,6 +45,28 @@ def test_random_strings_by_token_efficiency():
     assert secret_scan.redact(None, []) is None
 
 
+def test_letter_only_secrets():
+    enc, rng = secret_scan.encoder(), random.Random(13)
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase):
+        keys = ["".join(rng.choices(letters, k=32)) for _ in range(200)]
+        assert sum(secret_scan.spans_of(f"key {k} end", enc) == [(4, 3, 36)] for k in keys) >= 198
+    slack = "xoxb-123456789012-" + "".join(rng.choices(string.ascii_letters, k=24))
+    assert secret_scan.redact(slack, secret_scan.spans_of(slack, enc)) == "[SECRET]"
+    plain = "some_long_function_name internationalization-and-localization src/main/resources/application.properties 2024-01-02T10:11:12 123e4567-e89b-12d3-a456-426614174000"
+    assert secret_scan.spans_of(plain, enc) == []
+
+
+def test_rest_of_a_run_around_base_spans():
+    enc, rng = secret_scan.encoder(), random.Random(14)
+    a, b = ("".join(rng.choices(string.ascii_uppercase, k=24)) for _ in range(2))
+    digest = "0123456789abcdef" * 2
+    text = f"x {a}+{digest}/{b} y"
+    spans = secret_scan.spans_of(text, enc)
+    assert [(k, text[i:j]) for i, k, j in spans] == [(3, a), (2, digest), (3, b)]
+    text = f"{a}-AKIA{'A1B2' * 4} words"
+    assert [(k, text[i:j]) for i, k, j in secret_scan.spans_of(text, enc)] == [(3, a), (1, text[25:45])]
+
+
 def plain_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
