@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewspark.shipping import ship
+from crewspark.storage import shared_dir
 
 
 def budget_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], hours: str, budget: Column) -> DataFrame:
@@ -94,3 +96,96 @@ def greedy_pairs(df: DataFrame, keys: Sequence[str], left: str, right: str, scor
         return group.loc[rows]
 
     return df.groupBy(*keys).applyInPandas(pick, df.schema)
+
+
+def _stage(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rounds of nearest_pairs() by windows; what is left then is matched group by group.
+ROUNDS = 6
+
+
+def nearest_pairs(df: DataFrame, keys: Sequence[str], left: str, id_: str, value: str, rounds: int = ROUNDS) -> DataFrame:
+    """keys, left_id, right_id, distance: one-to-one pairs of rows with ``left`` true and false, nearest
+    in value first (ties: least left id, then right), within each key, until one side is used up.
+
+    Value and id are whole numbers; an id occurs once in a key.  Rows of one value are a level; once
+    equal values are paired, it is of one side.  In each round, levels that are each other's nearest
+    are paired; nothing could come before those pairs, so that the result is the greedy one.
+    """
+    own = [f"key{n}" for n in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(left).alias("l"), F.col(id_).alias("i"), F.col(value).alias("v"))
+    return _nearest_pairs(rows, own, rounds).toDF(*keys, "left_id", "right_id", "distance")
+
+
+def _nearest_pairs(rows: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    by_id = Window.partitionBy(*keys, "v", "l").orderBy("i")
+    same = rows.withColumn("r", F.row_number().over(by_id)).withColumn("both", F.least(*[F.count(F.when(F.col("l") == x, 1)).over(Window.partitionBy(*keys, "v")) for x in (True, False)]))
+    same = _stage(same.withColumns({"edge": F.when(F.col("r") <= F.col("both"), F.col("v")), "d": F.lit(0).cast("long")}))
+    edge = lambda: [F.max(F.when(F.col("l"), F.col("i"))).alias("left_id"), F.max(F.when(~F.col("l"), F.col("i"))).alias("right_id"), F.max("d").alias("distance")]
+    out = same.where("edge IS NOT NULL").groupBy(*keys, "edge", "r").agg(*edge()).drop("edge", "r")
+    rows = same.where("edge IS NULL").select(*keys, "l", "i", "v")
+    own = Window.partitionBy(*keys)
+    for turn in range(rounds + 1):
+        sided = rows.withColumns({"a": F.max("l").over(own), "b": F.min("l").over(own)})
+        rows = _stage(sided.where("a AND NOT b").select(*keys, "l", "i", "v"))
+        if not rows.limit(1).count():
+            return out
+        if turn == rounds:
+            break
+        levels = rows.groupBy(*keys, "v", "l").agg(F.min("i").alias("i"), F.count("*").alias("n"))
+        best = []
+        for order in (F.col("v"), F.desc("v")):
+            before = own.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            of = [F.last(F.when(F.col("l") == x, F.struct("v", "i")), ignorenulls=True).over(before) for x in (True, False)]
+            other = F.when(F.col("l"), of[1]).otherwise(of[0])
+            pair = F.struct(F.abs(F.col("v") - other["v"]).alias("d"), F.when(F.col("l"), F.col("i")).otherwise(other["i"]).alias("x"), F.when(F.col("l"), other["i"]).otherwise(F.col("i")).alias("y"))
+            best.append(F.when(other.isNotNull(), pair))
+        near = levels.withColumns({"p": best[0], "q": best[1]}).withColumns({"e": F.least("p", "q"), "tie": F.coalesce(F.col("p.d") == F.col("q.d"), F.lit(False))})
+        of_edge = Window.partitionBy(*keys, "e")
+        mutual = near.withColumns({"ends": F.count("*").over(of_edge), "k": F.when(F.max("tie").over(of_edge), 1).otherwise(F.min("n").over(of_edge))}).where("ends = 2")
+        ranked = rows.withColumn("r", F.row_number().over(by_id)).join(mutual.select(*keys, "v", "e", "k"), [*keys, "v"], "left")
+        ranked = _stage(ranked.withColumn("taken", F.coalesce(F.col("r") <= F.col("k"), F.lit(False))).withColumn("d", F.col("e.d")))
+        out = out.union(ranked.where("taken").groupBy(*keys, "e", "r").agg(*edge()).drop("e", "r"))
+        rows = ranked.where("NOT taken").select(*keys, "l", "i", "v")
+    ship(rows.sparkSession)
+
+    def rest(group: pd.DataFrame) -> pd.DataFrame:
+        ids, side = {}, {}
+        for v, i, own_side in sorted(zip(group["v"].tolist(), group["i"].tolist(), group["l"].tolist(), strict=True), reverse=True):
+            ids.setdefault(v, []).append(i)  # the least id last
+            side[v] = own_side
+        order = sorted(ids)
+        up, down = dict(zip(order, order[1:], strict=False)), dict(zip(order[1:], order, strict=False))
+
+        def joint(a, b):
+            if ids.get(a) and ids.get(b) and side[a] != side[b]:
+                x, y = (a, b) if side[a] else (b, a)
+                heapq.heappush(heap, (b - a, ids[x][-1], ids[y][-1], x, y))
+
+        heap, found = [], []
+        for a in order:
+            joint(a, up.get(a))
+        while heap:
+            d, i, j, x, y = heapq.heappop(heap)
+            if not ids[x] or not ids[y] or ids[x][-1] != i or ids[y][-1] != j:
+                continue  # a newer entry has the levels' present ids
+            found.append((i, j, d))
+            ids[x].pop()
+            ids[y].pop()
+            for v in (x, y):
+                a, b = down.get(v), up.get(v)
+                if ids[v]:
+                    joint(a, v)
+                    joint(v, b)
+                else:  # its neighbours are next to each other now
+                    up[a], down[b] = b, a
+                    joint(a, b)
+        head = group[list(keys)].iloc[[0] * len(found)].reset_index(drop=True)
+        return head.assign(**{n: [f[k] for f in found] for k, n in enumerate(("left_id", "right_id", "distance"))})
+
+    return out.union(rows.groupBy(*keys).applyInPandas(rest, out.schema))

@@ -132,13 +132,11 @@ def html_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairs of parts of a brand: even keys with odd ones of the same type, nearest price
-    first.  Candidates are the neighbours in price order, so that their number grows with the parts."""
-    p = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").alias("id"), money("p_retailprice").alias("price"), (F.col("p_partkey") % 2 == 0).alias("even"))
-    near = Window.partitionBy("p_brand", "p_type").orderBy("price", "id").rowsBetween(-3, 3)
-    around = p.withColumn("n", F.collect_list(F.struct("id", "price", "even")).over(near))
-    pairs = around.where("even").select("p_brand", "id", "price", F.explode("n").alias("m")).where("NOT m.even")
-    scored = pairs.select("p_brand", F.col("id").alias("left_id"), F.col("m.id").alias("right_id"), (-F.abs(F.col("price") - F.col("m.price"))).cast("double").alias("score"))
-    return sequences.greedy_pairs(scored, ["p_brand"], "left_id", "right_id", "score")
+    first, until no even or no odd part is left."""
+    cents = (money("p_retailprice") * 100).cast("bigint")
+    p = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").cast("bigint").alias("id"), cents.alias("cents"), (F.col("p_partkey") % 2 == 0).alias("even"))
+    pairs = sequences.nearest_pairs(p, ["p_brand", "p_type"], "even", "id", "cents")
+    return pairs.select("p_brand", "left_id", "right_id", (-F.col("distance") / 100.0).alias("score"))
 
 
 @query(f"""WITH {LINES}, t AS (SELECT project, sum(q) FILTER (WHERE kind = 'N') AS a, sum(q) FILTER (WHERE kind = 'A') AS b, sum(q) FILTER (WHERE kind = 'R') AS c FROM lines GROUP BY 1)

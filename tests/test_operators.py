@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from crewspark import catalogue
 from crewspark.functions import calendar as cal
 from crewspark.functions import geometry, labor, numbers, text
 from crewspark.operators import intervals, loading, matching, reconcile, sequences
@@ -190,6 +191,36 @@ def test_greedy_pairs(spark):
     assert {(r.a, r.b) for r in sequences.greedy_pairs(df, ["k"], "a", "b", "s").collect()} == {(1, 2), (2, 1)}
 
 
+def plain_nearest(rows):
+    """Greedy over all candidates."""
+    all_pairs = sorted((abs(v - w), i, j, k) for k, left, i, v in rows if left for m, other, j, w in rows if k == m and not other)
+    out, taken = set(), set()
+    for d, i, j, k in all_pairs:
+        if (k, i) not in taken and (k, j) not in taken:
+            taken |= {(k, i), (k, j)}
+            out.add((k, i, j, d))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_nearest_pairs(spark, rounds):
+    rng = random.Random(rounds)
+    rows = []
+    for k, spread in (("ties", 6), ("some", 40), ("wide", 5000), ("odd", 300)):
+        rows += [(k, rng.random() < (0.1 if k == "odd" else 0.5), i, rng.randrange(spread)) for i in rng.sample(range(1000), 70)]
+    rows += [("run", i < 10, i, i) for i in range(20)] + [("chain", i % 2 == 0, i, -(2 ** (20 - i))) for i in range(20)] + [("none", True, i, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, even boolean, id long, v long")
+    got = sequences.nearest_pairs(df, ["k"], "even", "id", "v", rounds).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == plain_nearest(rows)
+
+
+def test_greedy_match_uses_up_a_side(spark):
+    parts = {r.p_partkey: (r.p_brand, r.p_type, round(100 * float(r.p_retailprice))) for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").collect()}
+    want = plain_nearest([((b, t), i % 2 == 0, i, v) for i, (b, t, v) in parts.items()])
+    got = catalogue.QUERIES["greedy_match"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want) and {(r.p_brand, r.left_id, r.right_id, r.score) for r in got} == {(k[0], i, j, -d / 100.0) for k, i, j, d in want}
+
+
 def test_gate(spark):
     df = spark.createDataFrame([(1, 5, 0), (2, 0, 0), (3, 5, 9), (4, None, None)], "id long, w long, e long")
     got = {r.id: (r.decision, r.issues) for r in reconcile.gate(df, ["id"], {"w": ("warning", F.col("w") > 1), "e": ("error", F.col("e") > 1)}).collect()}
