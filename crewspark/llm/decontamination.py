@@ -11,15 +11,16 @@ import hashlib
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewspark.llm.common import map_batches, pick
+from crewspark.llm.common import map_batches, pick, stage
 from crewspark.llm.textscan import ALNUM, scan
 
 WINDOW = 10
 #: The automaton goes to every task, so that its patterns are bounded; a larger benchmark is
-#: scanned in as many passes over its parts.
+#: scanned in passes over parts of about half of that (a single item is never split).
 MAX_ITEM_BYTES = 16_000_000
 
 
@@ -61,12 +62,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
     Null and empty texts have no words; items without words match nothing; an item id may occur
     more than once and counts once.  The benchmark's size is checked before it is sent to the
-    tasks; beyond MAX_ITEM_BYTES it is an error to use one automaton.
+    tasks; beyond MAX_ITEM_BYTES its items are dealt into parts, and the documents are scanned once
+    for each.
     """
     items = pick(benchmark, "item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; one automaton holds {MAX_ITEM_BYTES}")
+    ids = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    if size <= MAX_ITEM_BYTES:
+        return _scanned(ids, items, window, False)
+    n = -(-2 * size // MAX_ITEM_BYTES)  # half full, as a hash deals unevenly
+    rows = ids.select("doc_id", "text", F.xxhash64("text").alias("txt"))
+    dealt = F.pmod(F.xxhash64("text"), F.lit(n))
+    # staged one after another, so that a worker holds one automaton; later passes keep hits only
+    passes = [stage(p if k == 0 else p.where("size(words) > 0")) for k in range(n) for p in [_scanned(rows, items.where(dealt == k), window, True)]]
+    more = passes[0].select("doc_id", "txt", "words", "items").where("size(words) > 0")
+    for p in passes[1:]:
+        more = more.union(p.select("doc_id", "txt", "words", "items"))
+    both = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("words", "items")]
+    found = more.groupBy(F.col("doc_id").alias("id"), F.col("txt").alias("t")).agg(*both)
+    own = passes[0].select("doc_id", "txt", "n_words")
+    out = own.join(found, own["doc_id"].eqNullSafe(found["id"]) & (own["txt"] == found["t"]), "left")
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    words, names = (F.coalesce(c, F.array().cast(t)) for c, t in ((F.col("words"), "array<long>"), (F.col("items"), "array<string>")))
+    return out.select("doc_id", "n_words", count(words).alias("n_hit"), count(names).alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.size(words) > 0).alias("contaminated"))
+
+
+def _scanned(docs: DataFrame, items: DataFrame, window: int, whole: bool) -> DataFrame:
+    """One scan for one automaton; whole: with the words hit and the items' ids."""
     rows = [(str(r[0]), r[1]) for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").collect()]
     sent = docs.sparkSession.sparkContext.broadcast(rows)
     key = uuid.uuid4().hex
@@ -95,11 +117,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
                 hit[w] += 1
                 hit[w + count] -= 1
                 found[doc[w]].update(ids[k] for k in ks)
-        covered = np.r_[0, np.cumsum(np.cumsum(hit[:-1]) > 0)]
+        over = np.cumsum(hit[:-1]) > 0
+        covered = np.r_[0, np.cumsum(over)]
         n_hit = covered[s.first[1:]] - covered[s.first[:-1]]
         lists = [sorted(x) for x in found]
+        if whole:
+            at = [np.flatnonzero(over[a:b]) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
+            return [batch.column(0), batch.column(2), n_words, pa.array(at, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string()))]
         digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
         return [batch.column(0), n_words, n_hit, np.array([len(x) for x in lists], dtype=np.int64), digest, n_hit > 0]
 
-    ids = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return map_batches(ids, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", leaks)
+    if whole:
+        return map_batches(docs, "doc_id long, txt long, n_words long, words array<long>, items array<string>", leaks)
+    return map_batches(docs, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", leaks)

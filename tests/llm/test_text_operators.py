@@ -99,6 +99,19 @@ def test_decontamination(spark, make_docs, odd_rows):
     assert not any(r.contaminated for r in decontamination.find_leaks(make_docs(rows), bench.limit(0)).collect())
 
 
+def test_decontamination_in_parts(spark, make_docs, odd_rows, monkeypatch):
+    rng = random.Random(15)
+    item = words(rng, 25)
+    items = [(1, item), (2, "One two!"), (3, None), (4, ""), (10, words(rng, 12)), (10, item), (11, "é 5x"), (12, " ".join(item.split()[8:]) + " more")]
+    rows = odd_rows + [(50, f"a {item} b one two"), (50, f"a {item} b one two"), (50, items[4][1]), (None, items[4][1]), (51, items[7][1])]
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    monkeypatch.setattr(decontamination, "MAX_ITEM_BYTES", 400)
+    got = decontamination.find_leaks(make_docs(rows), bench).collect()
+    assert sum(len((t or "").encode()) for _, t in items) > 400
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted((str(r[0]), *plain_leaks(r[1], items)) for r in rows)
+    assert decontamination.find_leaks(make_docs([]), bench).count() == 0
+
+
 def test_fingerprints(make_docs, odd_rows):
     rows = [r for r in odd_rows if r[0] is not None and r[0] not in (4, 12)] + [(i, words(random.Random(i), 40 + i)) for i in range(40, 70)]
     got = {r.doc_id: r for r in fingerprint.fingerprints(make_docs(rows)).collect()}
