@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewspark.llm.common import ARROW, map_batches, pick, slices, stage
-from crewspark.llm.textscan import MASK, NOT_BLANK, STEP, U, mix, scan, windows
+from crewspark.llm.textscan import NOT_BLANK, U, mix, scan, windows
 from crewspark.shipping import map_in_arrow, ship
 
 WINDOW, ANCHOR = 35, 8
+STEP, MASK = 0xC2B2AE3D27D4EB4F | 1, (1 << 64) - 1
 #: Characters of all texts for each shard.
 SHARD_CHARS = 8_000_000
 #: An anchor with more different segments is routed window by window.

@@ -1,7 +1,7 @@
 """Words of many texts at once, on the UTF-8 bytes of an Arrow column, with NumPy.
 
 Separators are ASCII in all our word definitions, so that words found in the bytes are the words
-found in the text.  A word is known by a 64-bit polynomial hash of its bytes.
+found in the text.  A word is known by a 64-bit tabulation hash of its bytes.
 """
 
 from __future__ import annotations
@@ -19,26 +19,8 @@ NOT_BLANK = np.array([b not in (0x20, 9, 10, 11, 12, 13) for b in range(256)])
 ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
-BASE = 0x9E3779B97F4A7C15 | 1
-STEP = 0xC2B2AE3D27D4EB4F | 1
-MASK = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & MASK, dtype=U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_cache: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _cache or len(_cache["up"]) < n:
-        size = max(n, 1 << 20)
-        _cache["up"] = _powers(BASE, size)
-        _cache["down"] = _powers(pow(BASE, -1, 1 << 64), size)
-    return _cache["up"], _cache["down"]
+#: Bytes of a word whose values come from a table; those further on are computed.
+TABLED = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,6 +33,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _byte_values(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each (place in the word x 256 + byte), as random as two rounds of mix make it."""
+    return mix(mix(keys + U(0x9E3779B97F4A7C15)) ^ U(0x6A09E667F3BCC909))
+
+
+_TABLE = _byte_values(np.arange(TABLED * 256, dtype=U))
+
+
 @dataclass
 class Scan:
     data: np.ndarray  #: bytes of all texts, folded if so asked
@@ -67,11 +57,21 @@ class Scan:
         return np.repeat(np.arange(len(self.first) - 1), self.n_words)
 
     def hashes(self) -> np.ndarray:
-        up, down = _power_tables(len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, dtype=U)
-        sums[0] = 0
-        np.cumsum((self.data.astype(U) + U(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        """Tabulation hashes: sums over a word's bytes of a value for each place and byte, so that no
+        pattern of letters repeats in them as it does in polynomials modulo a power of two."""
+        size = self.ends - self.starts
+        before = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(before, size)
+        key = (place << 8) | self.data[np.repeat(self.starts, size) + place]
+        if len(size) and size.max() > TABLED:
+            far = place >= TABLED
+            value = _TABLE[np.where(far, 0, key)]
+            value[far] = _byte_values(key[far].astype(U))
+        else:
+            value = _TABLE[key]
+        sums = np.zeros(len(value) + 1, dtype=U)
+        np.cumsum(value, out=sums[1:])
+        return mix(sums[before + size] - sums[before] + size.astype(U))
 
 
 def scan(column: pa.Array, member: np.ndarray, lower: bool) -> Scan:
@@ -94,19 +94,25 @@ def scan(column: pa.Array, member: np.ndarray, lower: bool) -> Scan:
     return Scan(data, offsets, starts, ends, np.searchsorted(starts, offsets, side="left"))
 
 
+def _after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two runs, one after the other."""
+    return mix(a * U(0xC2B2AE3D27D4EB4F) + (b ^ (b >> U(29))) * U(0x165667B19E3779F9))
+
+
 def windows(h: np.ndarray, w: int) -> np.ndarray:
     """Hashes of all runs of w words, by doubling; the last w - 1 places are left out."""
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=U)
-    out, done, run, size = np.zeros(n, dtype=U), 0, h, 1
+    out, done, run, size = None, 0, h, 1
     while True:
         if w & size:
-            out = out + run[done : done + n] * U(pow(STEP, done, 1 << 64))
+            part = run[done : done + n]
+            out = mix(part) if out is None else _after(out, part)
             done += size
         if size * 2 > w:
-            return mix(out)
-        run = run[: len(run) - size] + run[size:] * U(pow(STEP, size, 1 << 64))
+            return out
+        run = _after(run[: len(run) - size], run[size:])
         size *= 2
 
 
