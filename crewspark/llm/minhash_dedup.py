@@ -2,11 +2,15 @@
 
 Two small collections of bands are made from the minhashes; a table's key is a pair of one band of
 either collection, so that b bands a side give b x b tables for 2 x b bands' worth of hashing.
-Documents with one shingle set are one class.  In a bucket, members are held against leaders, not
-against each other.  What the leaders leave open is settled by the remaining pairs of different
-components, less those that can't link: shingles that no other open class has are in no
-intersection, so that a class with too many of them has no partner.  No link is lost that way, no
-copies are paired, and a pair is made in the first of its common tables only.
+Documents with one shingle set are one class.  In a bucket, members are held against the bucket's
+leader, its most central class, not against each other: near copies of one text link to it.
+
+What leaders leave open is settled by differences.  Each member of a leader's buckets becomes the set
+of shingles in which it differs from the leader; two members' common shingles follow from their sizes
+and from the number of differences they share.  Members that don't link with the leader need at
+least one shared difference to link with anyone, and mostly many, so that their rarest differences
+(a prefix, as in prefix-filtered set joins) lead to all possible partners.  Work follows rare shared
+differences, not the size of a bucket; no link between candidates is lost, no copies are paired.
 """
 
 from __future__ import annotations
@@ -18,18 +22,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewspark.llm.common import map_batches, pick, stage
+from crewspark.llm.common import ARROW, map_batches, pick, stage
 from crewspark.llm.textscan import NOT_BLANK, U, mix, scan, window_owner, windows
 from crewspark.shipping import ship
 
 BANDS = 12
+#: Bound of the probability that a pair at the threshold shares no table.
+MISSED = 0.001
 #: Rows of candidate ids up to which they are broadcast to pick texts (24 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Pairs of one leader, and of one block, that are confirmed together.
+#: Shingles of the texts of one block of pairs that are compared together.
+BLOCK_SHINGLES = 200_000
+#: Texts that are scanned at once.
 GROUP = 256
-#: Rounds of leaders before the remaining pairs, and leaders that a class is held against in each:
-#: those with which it shares the most tables.  The remaining pairs make up for all others.
-ROUNDS, NEAREST = 2, 4
+#: Rounds of leaders before the differences, and leaders that a class is held against in each: those
+#: with which it shares the most tables.  The differences make up for all others.
+ROUNDS, NEAREST = 1, 4
 
 
 def shingle_sets(column: pa.Array, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +78,19 @@ def minhashes(values: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     return np.stack([_per_text(((values * a + b) >> U(32)).astype(np.uint32), sizes, np.minimum) for a, b in seeds], axis=1)
 
 
+def band_rows(percent: int) -> int:
+    """The most minhashes a band with which a pair at the threshold meets in no table with a
+    probability of MISSED at most."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must lie between 1 and 100")
+    fits = [r for r in range(1, 9) if 2 * (1 - (percent / 100) ** r) ** BANDS <= MISSED]
+    if not fits:
+        raise ValueError(f"{BANDS} bands a side are too few for {percent} percent")
+    return max(fits)
+
+
 def sketches(docs: DataFrame, w: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, cls (the set's id), bands (2 x BANDS hashes), small (a byte a minhash)."""
+    """doc_id, n_shingles, cls (the set's id), bands (2 x BANDS hashes)."""
 
     def sketch(batch):
         values, sizes = shingle_sets(batch.column(1), w)
@@ -80,21 +99,20 @@ def sketches(docs: DataFrame, w: int, rows: int) -> DataFrame:
         for i in range(rows):
             bands = mix(bands + mh[:, i::rows].astype(U) + U(i))
         bands += np.arange(2 * BANDS, dtype=U)  # bands of different places differ
-        small = [x.tobytes() for x in (mh & np.uint32(255)).astype(np.uint8)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, 2 * BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-        return [batch.column(0), sizes, set_ids(values, sizes), lists, small]
+        return [batch.column(0), sizes, set_ids(values, sizes), lists]
 
-    return map_batches(docs, "doc_id long, n_shingles long, cls binary, bands array<long>, small binary", sketch)
+    return map_batches(docs, "doc_id long, n_shingles long, cls binary, bands array<long>", sketch)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """key, cls: classes that share a table's key with another one."""
+    """key, cls, n: classes that share a table's key with another one, and how many do."""
     each = classes.select("cls", F.explode(F.transform("bands", lambda b, i: F.struct(b.alias("band"), (i < BANDS).alias("first")))).alias("x")).select("cls", "x.*")
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     kept = each.join(shared, "band").groupBy("cls").agg(F.collect_list(F.when(F.col("first"), F.col("band"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("band"))).alias("b"))
     pairs = kept.select("cls", F.explode("a").alias("a"), "b").select("cls", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "cls")
     pairs = stage(pairs)
-    common = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    common = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return stage(pairs.join(common, "key"))
 
 
@@ -102,37 +120,31 @@ def _sized(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes allow a link and whose sketches don't speak clearly against it (over
-    five standard deviations below the threshold)."""
-    one = lambda x: info.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("small").alias(f"s_{x}"))
-    joined = pairs.join(one("a"), "a").join(one("b"), "b").where(_sized(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "s_a", "s_b")
-
-    def agree(batch):
-        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-        n, p = left.shape[1], percent / 100
-        ok = pa.array((left == right).sum(axis=1) >= n * p - 5.5 * (n * p * (1 - p)) ** 0.5)
-        return [batch.column(0).filter(ok), batch.column(1).filter(ok)]
+def with_sizes(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes n_a and n_b of their sets."""
+    one = lambda x: info.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    return pairs.join(one("a"), "a").join(one("b"), "b")
 
-    return map_batches(joined, "a binary, b binary", agree, text=0)
 
+def compared(pairs: DataFrame, texts: DataFrame, w: int, schema: str, judge) -> DataFrame:
+    """judge(ids of a, their values, their sizes, id of b, its values) for all pairs (a, b, n_a, n_b);
+    b is the leader of many a.
 
-def confirmed(pairs: DataFrame, texts: DataFrame, w: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; b is the leader of many a.
-
-    Members of a leader are dealt into parts, parts into blocks of about GROUP pairs; a block has the
-    texts of its members and, once each, of its leaders.
+    Members of a leader are dealt into parts, parts into blocks of about BLOCK_SHINGLES; a block has
+    the texts of its members and, once each, of its leaders.
     """
     ship(pairs.sparkSession)
-    pairs = stage(pairs)
-    blocks = max(1, -(-pairs.count() // GROUP))
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    dealt = pairs.join(parts, "b").withColumn("block", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))), F.lit(blocks))).drop("parts")
+    pairs = stage(pairs.select("a", "b", "n_a", (F.col("n_a") + F.col("n_b")).alias("weight")))
+    blocks = max(1, -(-(pairs.agg(F.sum("weight")).first()[0] or 0) // BLOCK_SHINGLES))
+    parts = pairs.groupBy("b").agg(F.ceil(F.sum("n_a") / BLOCK_SHINGLES).alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))), F.lit(blocks)).alias("block"))
     members = dealt.join(texts.select(F.col("cls").alias("a"), "text"), "a").select("block", "a", "b", "text")
     leaders = dealt.select("block", "b").distinct().join(texts.select(F.col("cls").alias("b"), "text"), "b").select(F.col("block").alias("at"), F.col("b").alias("leader"), F.col("text").alias("lead"))
+    fields = [f.split(" ") for f in schema.split(", ")]
+    out = pa.schema([(n, ARROW[t]) for n, t in fields])
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets, rows_a, rows_b = {}, [], []
+        sets, found = {}, []
         for batch in right.to_batches(max_chunksize=GROUP):
             values, sizes = shingle_sets(batch.column(batch.schema.get_field_index("lead")), w)
             sets |= zip(batch.column(batch.schema.get_field_index("leader")).to_pylist(), np.split(values, np.cumsum(sizes)[:-1]), strict=True)
@@ -142,16 +154,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, w: int, percent: int) -> DataF
             ends, named = np.cumsum(sizes), b.to_pylist()
             cuts = [0, *[i for i in range(1, len(named)) if named[i] != named[i - 1]], len(named)]
             for i, j in zip(cuts, cuts[1:]):
-                lead, own = sets[named[i]], values[ends[i] - sizes[i] : ends[j - 1]]
-                at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
-                both = _per_text((lead[at] == own).astype(np.int64), sizes[i:j], np.add)
-                ok = 100 * both >= percent * (sizes[i:j] + len(lead) - both)
-                found = a.slice(i, j - i).filter(pa.array(ok)).to_pylist()
-                rows_a += found
-                rows_b += [named[i]] * len(found)
-        return pa.table({"a": pa.array(rows_a, pa.binary()), "b": pa.array(rows_b, pa.binary())})
+                found += judge(a.slice(i, j - i).to_pylist(), values[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j], named[i], sets[named[i]])
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out) if found else out.empty_table()
+
+    return members.groupBy("block").cogroup(leaders.groupBy("at")).applyInArrow(check, schema)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, w: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
 
-    return members.groupBy("block").cogroup(leaders.groupBy("at")).applyInArrow(check, "a binary, b binary")
+    def judge(ids, values, sizes, b, lead):
+        at = np.minimum(np.searchsorted(lead, values), len(lead) - 1)
+        both = _per_text((lead[at] == values).astype(np.int64), sizes, np.add)
+        ok = 100 * both >= percent * (sizes + len(lead) - both)
+        return [(ids[k], b) for k in np.flatnonzero(ok)]
+
+    fits = pairs.where(_sized(F.col("n_a"), F.col("n_b"), percent))
+    return compared(fits, texts, w, "a binary, b binary", judge)
+
+
+def differences(pairs: DataFrame, texts: DataFrame, w: int) -> DataFrame:
+    """a, b, n_a, n_b and diff, the shingles that one of both sets has and the other hasn't."""
+
+    def judge(ids, values, sizes, b, lead):
+        own = np.split(values, np.cumsum(sizes)[:-1])
+        return [(i, b, len(v), len(lead), np.setxor1d(v, lead, assume_unique=True).view(np.int64)) for i, v in zip(ids, own, strict=True)]
+
+    return compared(pairs, texts, w, "a binary, b binary, n_a long, n_b long, diff array<long>", judge)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,67 +213,89 @@ def components(edges: DataFrame) -> DataFrame:
     return stage(rest.join(labels.withColumnRenamed("cls", "m"), "m").select(F.col("a").alias("cls"), "comp").union(labels))
 
 
-def own_counts(texts: DataFrame, w: int) -> DataFrame:
-    """cls, own: how many shingles of each class (cls, text) no other one has; none: no row."""
+def can_link(open_: DataFrame, info: DataFrame, texts: DataFrame, w: int, percent: int) -> DataFrame:
+    """cls of the open classes less those that can't link: shingles that no other open class has are
+    in no intersection, so that a class with too many of them has no partner."""
 
     def sets(batch):
         values, sizes = shingle_sets(batch.column(1), w)
         return [batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values.view(np.int64)))]
 
-    each = map_batches(texts.select("cls", "text"), "cls binary, h array<long>", sets).select("cls", F.explode("h").alias("h"))
+    each = map_batches(texts.join(open_, "cls", "left_semi").select("cls", "text"), "cls binary, h array<long>", sets).select("cls", F.explode("h").alias("h"))
     own = each.groupBy("h").agg(F.min("cls").alias("cls"), F.count("*").alias("n")).where("n = 1").groupBy("cls").agg(F.count("*").alias("own"))
-    return own
+    most = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+    return info.join(open_, "cls", "left_semi").join(own, "cls", "left").where(100 * most >= percent * F.col("n_shingles")).select("cls")
 
 
-def _reachable(n_a: Column, n_b: Column, most: Column, percent: int) -> Column:
-    """Whether sets of these sizes with at most so many common shingles can link."""
-    return 100 * most >= percent * (n_a + n_b - most)
+def by_differences(pairs: DataFrame, texts: DataFrame, w: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For members a of leaders b (with sizes and a's component): the links of both, and the pairs of
+    members of one leader that can link, less those of one component and those that both link to
+    the leader.
 
-
-def remaining(placed: DataFrame, info: DataFrame, texts: DataFrame, w: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket (key, main, cls, comp) that can link."""
-    open_ = placed.select("cls").distinct()
-    own = own_counts(texts.join(open_, "cls", "left_semi"), w)
-    known = info.join(open_, "cls", "left_semi").join(own, "cls", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-    known = stage(known.where(100 * F.col("most") >= percent * F.col("n_shingles")).select("cls", "n_shingles", "most", F.slice("bands", 1, BANDS).alias("left"), F.slice("bands", BANDS + 1, BANDS).alias("right")))
-    rows = placed.join(known, "cls")
-    names = ["cls", "comp", "n_shingles", "most", "left", "right"]
-    minor = rows.where("comp <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in names])
-    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in names], (F.col("comp") == F.col("main")).alias("in_main"))
-    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("in_main") | (F.col("cls_a") < F.col("cls_b")))
-    fits = _reachable(F.col("n_shingles_a"), F.col("n_shingles_b"), F.least("most_a", "most_b"), percent)
-    first = F.xxhash64(F.array_min(F.array_intersect("left_a", "left_b")), F.array_min(F.array_intersect("right_a", "right_b")))
-    met = minor.join(other, "key").where(apart & fits & (F.col("key") == first))
-    return met.select(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).distinct()
+    With d differences from the leader and a set of n, let h = (100 + p) d - (100 - p) n.  Sets with c
+    differences in common link if and only if 2 (100 + p) c >= h + h'; the leader itself has
+    h = -(100 - p) n, and c = 0 with everyone.  So c has a lower bound for each member, against
+    members that link to the leader (near) and against those that don't (far); a pair's first common
+    difference, the rarest first, lies in both members' prefixes that the bounds leave.
+    """
+    plus, less = 100 + percent, 100 - percent
+    found = stage(differences(pairs, texts, w))
+    comps = pairs.select("a", "b", "comp").withColumnsRenamed({"a": "x", "b": "y"})
+    h = plus * F.size("diff") - less * F.col("n_a")
+    sized = found.withColumns({"h": h.cast("long"), "near": h <= less * F.col("n_b")})
+    links = sized.where("near").select("a", "b")
+    open_ = sized.where("NOT near").select("b").distinct()
+    each = sized.join(open_, "b").select("a", "b", F.explode("diff").alias("t"))
+    # differences of one member alone are in no common ones
+    rare = each.groupBy("b", "t").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(rare, ["b", "t"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"))
+    known = shared.join(sized.select("a", "b", "n_a", "n_b", "h", "near"), ["a", "b"]).join(comps, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")))
+    far_c = F.ceil((F.col("h") + less * F.col("n_b") + 1) / (2 * plus))
+    near_c = F.ceil((F.col("h") - less * F.floor(100 * F.col("n_a") / percent)) / plus)
+    size = F.size("s").cast("long")
+    # a prefix for far partners; one for near partners, which only far members have
+    known = known.withColumns({"to_far": size - F.greatest(F.lit(1), far_c) + 1, "to_near": F.when(F.col("near"), F.lit(0)).otherwise(size - F.greatest(F.lit(1), near_c) + 1), "size": size})
+    posted = known.select("a", "b", "comp", "h", "near", "size", "to_far", "to_near", F.posexplode(F.expr("slice(s, 1, greatest(to_far, to_near, 0L))")).alias("pos", "x"))
+    posted = stage(posted.select("a", "b", "comp", "h", "near", F.col("x.t").alias("t"), (F.col("size") - F.col("pos")).alias("left"), (F.col("pos") < F.col("to_far")).alias("for_far"), (F.col("pos") < F.col("to_near")).alias("for_near")))
+    far = posted.where("NOT near").select(*[F.col(c).alias(f"{c}_1") for c in posted.columns])
+    other = posted.where("for_far").select(*[F.col(c).alias(f"{c}_2") for c in posted.columns])
+    same = (F.col("b_1") == F.col("b_2")) & (F.col("t_1") == F.col("t_2")) & (F.col("comp_1") != F.col("comp_2"))
+    prefixes = (F.col("near_2") & F.col("for_near_1")) | (~F.col("near_2") & F.col("for_far_1") & (F.col("a_1") < F.col("a_2")))
+    enough = 2 * plus * F.least("left_1", "left_2") >= F.col("h_1") + F.col("h_2")
+    met = far.join(other, same & prefixes & enough).select(F.greatest("a_1", "a_2").alias("a"), F.least("a_1", "a_2").alias("b")).distinct()
+    return links, met
 
 
 def link(classes: DataFrame, texts_of, w: int, percent: int) -> DataFrame:
-    """cls, comp for all classes that have a link.  classes: cls, doc_id, n_shingles, bands, small."""
+    """cls, comp for all classes that have a link.  classes: cls, doc_id, n_shingles, bands."""
     members = buckets(classes)
-    named = members.groupBy("cls").agg(F.count("*").alias("tables"))
-    info = stage(classes.join(named, "cls").select("cls", "doc_id", "n_shingles", "bands", "small", "tables"))
+    named = members.groupBy("cls").agg(F.sum("n").alias("reach"))
+    info = stage(classes.join(named, "cls").select("cls", "doc_id", "n_shingles", "reach"))
     texts = stage(texts_of(info.select("cls", "doc_id")))
     labels = None
     for turn in range(ROUNDS + 1):
         if labels is None:
-            placed = members.withColumn("comp", F.col("cls"))
+            placed = members.select("key", "cls", F.col("cls").alias("comp"))
         else:
             placed = members.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
         placed = stage(placed.join(mixed, "key"))
         if not placed.limit(1).count():
             break
-        if turn < ROUNDS:  # the class that shares most tables with others is nearest to all of them
-            own = info.select("cls", "tables" if turn == 0 else F.lit(0).alias("tables"))
-            central = F.struct("tables", F.xxhash64("cls", F.lit(turn)), F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-            leaders = placed.join(own, "cls").groupBy("key").agg(F.max(central).alias("x")).select("key", "x.b", "x.comp_b")
-            met = placed.join(leaders, "key").where("comp <> comp_b AND cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("n"))
-            nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-            pairs = met.withColumn("rank", nearest).where(F.col("rank") <= NEAREST).select("a", "b")
+        last = turn == ROUNDS
+        if last:
+            placed = stage(placed.join(can_link(placed.select("cls").distinct(), info, texts, w, percent), "cls"))
+        # the class that meets most others is nearest to all of them
+        central = F.struct("reach", F.xxhash64("cls"), F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
+        leaders = placed.join(info.select("cls", "reach"), "cls").groupBy("key").agg(F.max(central).alias("x")).select("key", "x.b", "x.comp_b")
+        met = placed.join(leaders, "key").where("cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("n"), F.first("comp").alias("comp"), F.first("comp_b").alias("comp_b"))
+        if last:
+            links, pairs = by_differences(stage(with_sizes(met.select("a", "b", "comp"), info)), texts, w, percent)
+            found = stage(links.union(confirmed(with_sizes(pairs, info), texts, w, percent)))
         else:
-            pairs = remaining(placed, info, texts, w, percent)
-        found = stage(confirmed(likely(pairs, info, percent), texts, w, percent))
+            nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+            pairs = met.where("comp <> comp_b").withColumn("rank", nearest).where(F.col("rank") <= NEAREST).select("a", "b")
+            found = stage(confirmed(with_sizes(pairs, info), texts, w, percent))
         known = found if labels is None else found.union(labels.select(F.col("cls").alias("a"), F.col("comp").alias("b")))
         labels = components(known)
     return classes.select("cls", F.col("cls").alias("comp")).limit(0) if labels is None else labels
@@ -259,11 +310,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     kept in each row if it is its component's least); null ids take part, and sort after all others;
     an empty table gives an empty one.
     """
-    rows = 4 if percent >= 85 else 3
+    rows = band_rows(percent)
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     drawn = stage(sketches(texts, shingle, rows))
     some = drawn.where("n_shingles > 0")
-    classes = stage(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "bands", "small"), F.coalesce("doc_id", F.lit(2**63 - 1).cast("long"))).alias("x")).select("cls", "doc_id", "x.*"))
+    classes = stage(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1).cast("long"))).alias("x")).select("cls", "doc_id", "x.*"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """cls, text of the wanted classes (cls, doc_id); an id may have several texts."""

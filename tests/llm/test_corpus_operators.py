@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from crewspark.llm import minhash_dedup, packing, quality_lm, substring_dedup, toxicity
 from tests.llm.conftest import words
@@ -317,15 +318,40 @@ def test_near_duplicates(make_docs, odd_rows, w, percent):
     assert minhash_dedup.near_duplicates(make_docs([]), w, percent).count() == 0
 
 
-def test_near_duplicates_by_all_remaining_pairs(make_docs, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "ROUNDS", 0)
-    rng = random.Random(3)
-    hub = words(rng, 120, [f"w{i}" for i in range(300)]).split()
-    rows = []
-    for i in range(30):
-        copy = list(hub)
-        for _ in range(4):
-            copy[rng.randrange(len(copy))] = f"edit{i}"
-        rows.append((i, " ".join(copy)))
-    got = minhash_dedup.near_duplicates(make_docs(rows), 3, 85).collect()
-    assert sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in got) == plain_components(rows, 3, 85)
+@pytest.mark.parametrize(("rounds", "seeds"), [(0, [0]), (1, [1])])
+def test_near_duplicates_by_differences(make_docs, monkeypatch, rounds, seeds):
+    """Groups around a text at all distances, some of whose members only link to each other; with one
+    bucket for everything, so that all pairs are candidates."""
+    monkeypatch.setattr(minhash_dedup, "ROUNDS", rounds)
+    one = minhash_dedup.sketches
+    monkeypatch.setattr(minhash_dedup, "sketches", lambda *x: one(*x).withColumn("bands", F.transform("bands", lambda b, i: F.lit(1) + (i < minhash_dedup.BANDS).cast("long"))))
+    for seed in seeds:
+        rng = random.Random(seed)
+        rows = []
+        for family in range(3):
+            hub = words(rng, 100, [f"w{i}" for i in range(300)]).split()
+            for i in range(30):
+                copy = list(hub)
+                for _ in range(rng.randint(0, 9)):
+                    copy[rng.randrange(len(copy))] = f"edit{rng.randrange(4) if seed else i}"
+                rows.append((1000 * family + i, " ".join(copy[rng.randrange(3) : 100 - rng.randrange(3)])))
+                if i % 7 == 3:
+                    hub = copy
+        rows += [(9000 + i, words(rng, rng.randint(1, 8), ["a", "b", "c"])) for i in range(20)]
+        got = minhash_dedup.near_duplicates(make_docs(rows), 3, 85).collect()
+        assert sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in got) == plain_components(rows, 3, 85)
+
+
+def test_words_of_doubling_patterns_differ(make_docs):
+    """Two words that agree in every polynomial hash modulo a power of two."""
+    for n in (10, 11, 12):
+        first = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+        rows = [(1, first), (2, first.translate(str.maketrans("ab", "ba")))]
+        got = minhash_dedup.near_duplicates(make_docs(rows), 3, 85).collect()
+        assert sorted((r[0], r[2]) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_band_rows():
+    assert (minhash_dedup.band_rows(85), minhash_dedup.band_rows(80), minhash_dedup.band_rows(50)) == (4, 3, 1)
+    with pytest.raises(ValueError, match="too few"):
+        minhash_dedup.band_rows(20)
