@@ -19,9 +19,26 @@ from crewspark.llm.common import map_batches, pick, stage
 from crewspark.llm.textscan import ALNUM, scan
 
 WINDOW = 10
-#: The automaton goes to every task, so that its patterns are bounded; a larger benchmark is
-#: scanned in passes over parts of about half of that (a single item is never split).
-MAX_ITEM_BYTES = 16_000_000
+#: Bytes of items of one automaton, which goes to every task.  A byte is in WINDOW patterns at most,
+#: so that this bounds its nodes (some 50 bytes each: 250 MB).  A larger benchmark is scanned in
+#: passes over parts of about half of that.
+MAX_ITEM_BYTES = 500_000
+#: Words of a piece; longer items are cut, so that a part's size doesn't depend on an item's.
+PIECE_WORDS = 2_000
+
+
+def pieces(items: DataFrame, window: int, size: int) -> DataFrame:
+    """item_id, text (folded words, one blank between): each window of an item lies in one piece."""
+
+    def cut(batch):
+        out = []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = bytes(_fold(text)).split()
+            last = max(1, len(words) - window + 1)
+            out += [(i, b" ".join(words[k : k + size + window - 1]).decode()) for k in range(0, last, size)] if words else []
+        return [pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 2
+
+    return map_batches(items.select("item_id", "text"), "item_id string, text string", cut)
 
 
 def item_windows(text: str | None, window: int = WINDOW) -> list[bytes]:
@@ -61,20 +78,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     """doc_id, n_words, n_hit, items (sorted ids of the items found) and contaminated, per document.
 
     Null and empty texts have no words; items without words match nothing; an item id may occur
-    more than once and counts once.  The benchmark's size is checked before it is sent to the
-    tasks; beyond MAX_ITEM_BYTES its items are dealt into parts, and the documents are scanned once
-    for each.
+    more than once and counts once; null ids of documents take part, that of an item is "".  Texts and
+    items of any length are scanned whole; other columns are not read; an empty table gives an empty
+    one.  The benchmark's size is checked before it is sent to the tasks; beyond MAX_ITEM_BYTES it is
+    dealt into parts, and the documents are scanned once for each.
     """
-    items = pick(benchmark, "item_id", "text")
+    named = pick(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = stage(pieces(named, window, PIECE_WORDS))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ids = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     if size <= MAX_ITEM_BYTES:
         return _scanned(ids, items, window, False)
     n = -(-2 * size // MAX_ITEM_BYTES)  # half full, as a hash deals unevenly
     rows = ids.select("doc_id", "text", F.xxhash64("text").alias("txt"))
-    dealt = F.pmod(F.xxhash64("text"), F.lit(n))
+    part = F.pmod(F.xxhash64("text"), F.lit(n))
     # staged one after another, so that a worker holds one automaton; later passes keep hits only
-    passes = [stage(p if k == 0 else p.where("size(words) > 0")) for k in range(n) for p in [_scanned(rows, items.where(dealt == k), window, True)]]
+    passes = [stage(p if k == 0 else p.where("size(words) > 0")) for k in range(n) for p in [_scanned(rows, items.where(part == k), window, True)]]
     more = passes[0].select("doc_id", "txt", "words", "items").where("size(words) > 0")
     for p in passes[1:]:
         more = more.union(p.select("doc_id", "txt", "words", "items"))
@@ -89,7 +108,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
 def _scanned(docs: DataFrame, items: DataFrame, window: int, whole: bool) -> DataFrame:
     """One scan for one automaton; whole: with the words hit and the items' ids."""
-    rows = [(str(r[0]), r[1]) for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").collect()]
+    rows = [(r[0], r[1]) for r in items.select("item_id", "text").collect()]
     sent = docs.sparkSession.sparkContext.broadcast(rows)
     key = uuid.uuid4().hex
 

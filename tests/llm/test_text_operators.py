@@ -106,6 +106,7 @@ def test_decontamination_in_parts(spark, make_docs, odd_rows, monkeypatch):
     rows = odd_rows + [(50, f"a {item} b one two"), (50, f"a {item} b one two"), (50, items[4][1]), (None, items[4][1]), (51, items[7][1])]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
     monkeypatch.setattr(decontamination, "MAX_ITEM_BYTES", 400)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 4)
     got = decontamination.find_leaks(make_docs(rows), bench).collect()
     assert sum(len((t or "").encode()) for _, t in items) > 400
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted((str(r[0]), *plain_leaks(r[1], items)) for r in rows)
