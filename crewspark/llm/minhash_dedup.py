@@ -90,7 +90,7 @@ def band_rows(percent: int) -> int:
 
 
 def sketches(docs: DataFrame, w: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, cls (the set's id), bands (2 x BANDS hashes)."""
+    """doc_id, txt, n_shingles, cls (the set's id), bands (2 x BANDS hashes)."""
 
     def sketch(batch):
         values, sizes = shingle_sets(batch.column(1), w)
@@ -100,9 +100,10 @@ def sketches(docs: DataFrame, w: int, rows: int) -> DataFrame:
             bands = mix(bands + mh[:, i::rows].astype(U) + U(i))
         bands += np.arange(2 * BANDS, dtype=U)  # bands of different places differ
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, 2 * BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-        return [batch.column(0), sizes, set_ids(values, sizes), lists]
+        return [batch.column(0), batch.column(2), sizes, set_ids(values, sizes), lists]
 
-    return map_batches(docs, "doc_id long, n_shingles long, cls binary, bands array<long>", sketch)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("txt"))
+    return map_batches(keyed, "doc_id long, txt long, n_shingles long, cls binary, bands array<long>", sketch)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -302,7 +303,8 @@ def link(classes: DataFrame, texts_of, w: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, per document.
+    """doc_id, txt (xxhash64 of the text), n_shingles, component_id (least doc_id reachable over links),
+    component (the component's label; rows with one id may lie in several) and kept, per document.
 
     A link: two sets of word shingles (texts in lower case, A-Z only; words are runs without blanks;
     a text of fewer words is one shingle) with 100 x common >= percent x all.  Texts without words
@@ -331,7 +333,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labels = link(classes, texts_of, shingle, percent)
     placed = classes.select("cls", "doc_id").join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(least, "comp").select("cls", "component_id")
-    out = drawn.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = placed.join(least, "comp").select("cls", "comp", "component_id")
+    out = drawn.select("doc_id", "txt", "n_shingles", "cls").join(named, "cls", "left")
+    out = out.select("doc_id", "txt", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("comp")).alias("component"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -61,4 +61,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in sorted(globals().items(), key=lambda x: x[0]) if n.startswith("op") and callable(f)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of the documents and what the three exact contracts say of them, as they are stated: windows and
+#: shingles as texts, grouped and joined.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        place AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35),
+        x AS (SELECT r, k, array_to_string(w[k:k + 34], ' ') AS g FROM place),
+        again AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS k FROM x SEMI JOIN again USING (g)),
+        each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (r, k) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
+    "op8_minhash_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')))) END AS s FROM d),
+        c AS (SELECT s, len(s) AS n, min(doc_id) AS least, row_number() OVER () AS c FROM s WHERE len(s) > 0 GROUP BY s),
+        x AS (SELECT c, n, unnest(s) AS g FROM c),
+        p AS (SELECT a.c AS a, b.c AS b FROM x AS a JOIN x AS b ON a.g = b.g AND a.c <> b.c
+            GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach(a, b) AS (SELECT c, c FROM c UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+        comp AS (SELECT reach.a AS c, min(c.least) AS least FROM reach JOIN c ON reach.b = c.c GROUP BY reach.a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, CASE WHEN len(s.s) > 0 THEN comp.least ELSE s.doc_id END AS component_id,
+            CASE WHEN len(s.s) > 0 THEN comp.least = s.doc_id ELSE true END AS kept
+        FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN comp ON c.c = comp.c""",
+    "op9_decontamination": rf"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0),
+        items AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM iw),
+        place AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM items) AS sizes WHERE len(w) >= n),
+        x AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM place),
+        found AS (SELECT x.r, x.n, x.k, items.item_id FROM x JOIN items USING (n, g)),
+        hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS k FROM found) GROUP BY r),
+        named AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+}
