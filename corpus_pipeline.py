@@ -1,9 +1,9 @@
 """A corpus pipeline over the documents table.
 
 Each stage is a function of (spark, docs, sf_dir) that works on all that the stage before kept; its
-result is written as Parquet and read again as the next one's docs.  Decisions are by doc_id (rows
-with one id are kept if any of them is); null texts are empty; further columns are carried along; an
-empty table stays empty.
+result is written as Parquet and read again as the next one's docs.  Quality and decontamination
+decide by doc_id (rows with one id are kept if any of them is), near-dedup by doc_id and text; null
+texts are empty; further columns are carried along; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from crewspark.llm import decontamination, minhash_dedup, packing, quality_lm, s
 from crewspark.llm.common import shared_dir, slices, stage, table
 from crewspark.shipping import map_in_arrow
 
-#: Ids up to which a stage's decisions are broadcast (8 bytes each); more are joined by shuffle.
+#: Rows up to which a stage's decisions are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -28,6 +28,17 @@ def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(own, docs["doc_id"].cast("long").eqNullSafe(own["__id"]), how)
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _with_texts(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined to keys (doc_id, txt)."""
+    keys = stage(keys.select(F.col("doc_id").alias("__id"), F.col("txt").alias("__txt")))
+    own = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return docs.join(own, docs["doc_id"].cast("long").eqNullSafe(own["__id"]) & (_text_hash() == own["__txt"]), how)
+
+
 def _without(docs: DataFrame, judged: DataFrame, good: str) -> DataFrame:
     """docs without the ids of which no judged row is good."""
     bad = judged.groupBy("doc_id").agg(F.max(good).alias("good")).where("NOT good")
@@ -40,12 +51,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stage(minhash_dedup.near_duplicates(docs))
-    kept = _without(docs, found, "kept")
-    again = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
+    """One document of each group stays, that with the least doc_id; among its rows with several texts
+    that with the least hash, and one of equal rows.  Texts are told apart under one id."""
+    found = minhash_dedup.near_duplicates(docs)
+    own = stage(found.groupBy("doc_id", "txt").agg(F.count("*").alias("n"), F.first("component").alias("component"), F.max("kept").alias("kept")))
+    several = own.where("kept AND component IS NOT NULL").groupBy("component").agg(F.min("txt").alias("least"), F.count("*").alias("texts")).where("texts > 1")
+    second = own.where("kept").join(several, "component").where("txt <> least")
+    bad = own.where("NOT kept").select("doc_id", "txt").union(second.select("doc_id", "txt"))
+    kept = _with_texts(docs, bad, "left_anti")
+    again = stage(own.where("n > 1").select("doc_id", "txt"))
     if not again.limit(1).count():
         return kept
-    return _with_ids(kept, again, "left_anti").unionByName(_with_ids(kept, again, "left_semi").dropDuplicates(["doc_id"]))
+    equal = _with_texts(kept, again, "left_semi").withColumn("__txt", _text_hash()).dropDuplicates(["doc_id", "__txt"]).drop("__txt")
+    return _with_texts(kept, again, "left_anti").unionByName(equal)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
