@@ -249,27 +249,51 @@ def test_substring_dedup(make_docs, odd_rows, monkeypatch, hot):
     assert substring_dedup.deduplicate(make_docs([])).count() == 0
 
 
-def test_substrings_of_colliding_segments(make_docs):
-    """The windows of these two rows have one anchor, and content hashes whose upper 32 bits agree."""
-    rows = [(i, f"p521 p939 p647 p252 p889 p487 p841 p567 d{i} " + " ".join(f"f{k}" for k in range(26))) for i in (106302, 320991, 5)]
-    anchor, content = (x.tolist() for x in substring_dedup.segments_of(pa.array([r[1] for r in rows[:2]]))[3:])
-    assert anchor[0] == anchor[1] and content[0] >> 32 == content[1] >> 32 and content[0] != content[1]
-    got = substring_dedup.deduplicate(make_docs(rows)).collect()
-    assert sorted((str(r[0]), *r[1:]) for r in got) == plain_substrings(rows)
+def test_segments_with_one_anchor_have_many_bits():
+    """What tells segments of one anchor apart: both content hashes, which no pair shares."""
+    own = ["p521 p939 p647 p252 p889 p487 p841 p567 " + " ".join(f"d{i} f{k}" for k in range(26)) for i in range(3000)]
+    _, _, _, _, a, b = substring_dedup.segments_of(pa.array(own))
+    assert len(set(a.tolist())) == len(set(b.tolist())) == len(a)
+
+
+def test_substrings_with_anchors_that_collide(make_docs, monkeypatch):
+    """Runs of eight words have four bits: all segments share anchors and shards."""
+    wide = substring_dedup.windows
+    monkeypatch.setattr(substring_dedup, "windows", lambda h, w: wide(h, w) & np.uint64(15 << 60))
+    rng = random.Random(17)
+    rows = [(i, words(rng, rng.randint(30, 90), ["a", "b", "c"])) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(8)]
+    docs = make_docs(rows).select("doc_id", "text").toPandas()["text"]
+    assert len(set(substring_dedup.segments_of(pa.array(docs))[3].tolist())) <= 16
+    flags = substring_dedup.repeated_windows([np.array([hash(w) & 0xFFFF for w in t.split()] or [1]) for t in docs], np.ones(len(docs), dtype=int), 35)
+    for t, own in zip(docs, flags, strict=True):
+        x = t.split()
+        for k in range(len(x) - 34):
+            assert own[k] == (sum(" ".join(x[k : k + 35]) == " ".join(y[j : j + 35]) for u in docs for y in [u.split()] for j in range(len(y) - 34)) > 1)
 
 
 def test_fm_index_intervals():
     rng = np.random.default_rng(5)
-    text = rng.integers(1, 5, 400).astype(np.uint64)
-    index = substring_dedup.FMIndex(np.r_[text, np.uint64(0)], 6)
-    raw = index.text.tolist()
+    text = np.r_[rng.integers(1, 5, 400), 0]
+    index = substring_dedup.FMIndex(text, np.zeros(401, dtype=bool), 6)
+    raw = text.tolist()
     for k in range(0, 390, 11):
         low, high = np.array([0]), np.array([index.n])
         for j in range(5, -1, -1):
             low, high = index.extend(np.array([raw[k + j]]), low, high)
         want = sum(raw[i : i + 6] == raw[k : k + 6] for i in range(len(raw)))
-        assert high[0] - low[0] == want
-        assert (index.low[low[0]], index.high[low[0]]) == (low[0], high[0])
+        assert high[0] - low[0] == want and index.repeated(low, high)[0] == (want > 1)
+        longer = index.extend(np.array([raw[k - 1]]), low, high) if k else (low, high)
+        a, b = index.shorten(longer[0])
+        assert b[0] - a[0] == sum(raw[i : i + 6] == raw[max(k - 1, 0) : max(k - 1, 0) + 6] for i in range(len(raw)))
+
+
+def test_bits_rank_and_select():
+    rng = np.random.default_rng(2)
+    bits = rng.random(1000) < 0.3
+    own = substring_dedup.Bits(bits)
+    assert (own.rank(np.arange(1001)) == np.r_[0, np.cumsum(bits)]).all()
+    assert (own.select(np.arange(bits.sum())) == np.flatnonzero(bits)).all()
 
 
 def plain_components(rows, w, percent):
