@@ -2,7 +2,7 @@
 
 The unit is the character (UTF-16 unit), the order 4: a gram packs into 64 bits, is counted exactly,
 and its suffix and context are shifts.  Each language has a model.  Counts are joined by gram in
-shards (shuffle partitions): documents are dealt into blocks, each block's distinct grams meet the
+shards (shuffle partitions): documents are dealt into blocks of bounded size, each block's distinct grams meet the
 counts of every order in joins, and the resulting probabilities go back to the block, where they are
 summed over its texts.  Neither counts nor probabilities pass the driver or are broadcast.
 """
@@ -21,8 +21,8 @@ from crewspark.shipping import map_in_arrow, ship
 
 ORDER = 4
 PAD = "\x02" * (ORDER - 1)
-#: Texts of one block, on average.
-BLOCK_DOCS = 16_384
+#: Characters of the texts of one block, on average (a longer text is a block's part by itself).
+BLOCK_CHARS = 40_000_000
 #: Trusted documents with 0 as this remainder set the thresholds; the others train.
 HELD_OUT = 5
 #: Characters of average text that every document is taken to have besides its own.
@@ -196,7 +196,7 @@ def document_scores(docs: DataFrame, counts: DataFrame, blocks: int) -> DataFram
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "units": pa.array(sizes, pa.int64()), "nll": pa.array(nll, pa.float64())})
 
     ship(docs.sparkSession)
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     packed = map_in_arrow(docs.select(block.alias("block"), "doc_id", "lang", "text"), pack, "block long, doc_id long, lang string, z binary").repartition(blocks, "block")
     grams = packed.groupBy("block").applyInArrow(distinct, "block long, lang string, gram long")
     logs = kneser_ney(counts, grams.select("lang", "gram").distinct())
@@ -220,7 +220,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995) -> Da
     small = good.count() <= BROADCAST_IDS
     training = good.where(~F.col("held_out")).select("doc_id")
     counts = stage(gram_counts(rows.join(F.broadcast(training) if small else training, "doc_id", "left_semi")))
-    blocks = max(1, math.ceil(rows.count() / BLOCK_DOCS))
+    blocks = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS))
     scores = stage(document_scores(rows, counts, blocks))
     held = scores.where("units > 0").join(good.where("held_out").select("doc_id"), "doc_id", "left_semi")
     means = by_language(held.groupBy("lang").agg((F.sum("nll") / F.sum("units")).alias("mean")))
