@@ -12,10 +12,11 @@ from __future__ import annotations
 from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewspark.llm.common import ARROW, pick
+from crewspark.llm.common import ARROW, pick, stage
 from crewspark.shipping import map_in_arrow
 
 #: States: before the first turn, and the role of the last turn.
@@ -102,6 +103,7 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(x.split(" ")[0], ARROW[x.split(" ")[1]]) for x in text.split(", ")])
 
 
+NUMBERED = "conv_id long, block long, place long, turn long, role string, text string"
 MATRIX = "conv_id long, block long, matrix array<long>"
 BORDER = "conv_id long, block long, first int, last int, ends boolean, cost long"
 REPAIRED = "conv_id long, turn long, role string, action string, inserted_before int, rendered string, cost long"
@@ -114,14 +116,30 @@ def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Null conversation ids form one conversation, null turns come first, null or unknown roles get
     the cheapest legal role, null texts are empty; turns with one number are ordered by role and
-    text; repeated rows stay; an empty table gives an empty one.  A block is ``block`` turn numbers.
+    text; texts of any length are rendered whole; repeated rows stay; other columns are not read; an
+    empty table gives an empty one.  Turns are sorted over all tasks, and a task's turns of one
+    conversation are cut into blocks of at most ``block``, so that no turn number makes a large one.
     """
-    turns = pick(conversations, "conv_id", "turn", "role", "text").select(
-        F.col("conv_id").cast("long"), F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block).cast("long").alias("block"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text")
-    )
-    dealt = turns.repartition("conv_id", "block")
-    order = ["conv_id", "block", "turn", "role", "text"]
-    matrix, border, repaired = _schema(MATRIX), _schema(BORDER), _schema(REPAIRED)
+    turns = pick(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    order = ["conv_id", "turn", "role", "text"]
+    matrix, border, repaired, numbered = _schema(MATRIX), _schema(BORDER), _schema(REPAIRED), _schema(NUMBERED)
+
+    def number(batches):
+        part = TaskContext.get().partitionId() << 40
+        before, row, own = None, 0, 0
+        for batch in batches:
+            blocks, places = [], []
+            for conv in batch.column(0).to_pylist():
+                if row == 0 or conv != before or own == block:
+                    before, own, start = conv, 0, row
+                blocks.append(part + start)
+                places.append(part + row)
+                row, own = row + 1, own + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.int64()), pa.array(places, pa.int64()), *batch.columns[1:]], schema=numbered)
+
+    # equal rows too may lie in several tasks; written once, as a range sort may deal otherwise again
+    dealt = turns.withColumn("salt", F.rand(7)).repartitionByRange(*order, "salt").sortWithinPartitions(*order).drop("salt")
+    turns = stage(map_in_arrow(dealt, number, NUMBERED))
 
     def matrices(batches):
         def rows():
@@ -155,23 +173,24 @@ def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         def rows():
             for _, group in _grouped(batches, 2):
                 group = list(group)
-                first, last, ends, cost = group[0][5:9]
-                roles = [role_code(r[3]) for r in group]
+                first, last, ends, cost = group[0][6:10]
+                roles = [role_code(r[4]) for r in group]
                 path = best_path(roles, first, last)
                 before = first
                 for k, (r, own, now) in enumerate(zip(group, roles, path, strict=True)):
                     merged = before == now
                     added = () if merged else INSERTED[before, now]
-                    text = "\n" + r[4] if merged else (CLOSE if before else "") + "".join(f"{OPEN}{STATES[x]}\n{CLOSE}" for x in added) + f"{OPEN}{STATES[now]}\n{r[4]}"
+                    text = "\n" + r[5] if merged else (CLOSE if before else "") + "".join(f"{OPEN}{STATES[x]}\n{CLOSE}" for x in added) + f"{OPEN}{STATES[now]}\n{r[5]}"
                     if ends and k == len(group) - 1:
                         text += CLOSE + "".join(f"{OPEN}{STATES[x]}\n{CLOSE}" for x in MISSING[now])
-                    yield r[0], r[2], STATES[now], "merge" if merged else "keep" if own == now else "relabel", len(added), text, cost
+                    yield r[0], r[3], STATES[now], "merge" if merged else "keep" if own == now else "relabel", len(added), text, cost
                     before = now
 
         yield from _emit(rows(), repaired)
 
-    each = map_in_arrow(dealt.sortWithinPartitions(*order), matrices, MATRIX)
+    roles = turns.select("conv_id", "block", "place", "role").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
+    each = map_in_arrow(roles, matrices, MATRIX)
     ways = map_in_arrow(each.repartition("conv_id").sortWithinPartitions("conv_id", "block"), borders, BORDER)
     same = turns["conv_id"].eqNullSafe(ways["conv_id"]) & (turns["block"] == ways["block"])
-    joined = turns.join(ways, same, "left").select(*[turns[c] for c in order], "first", "last", "ends", "cost")
-    return map_in_arrow(joined.repartition("conv_id", "block").sortWithinPartitions(*order), renders, REPAIRED)
+    joined = turns.join(ways, same, "left").select(*[turns[c] for c in turns.columns], "first", "last", "ends", "cost")
+    return map_in_arrow(joined.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place"), renders, REPAIRED)
