@@ -2,8 +2,8 @@
 
 Each model is a smoothed variable-order Markov model over URL characters: counts of all contexts of
 0 to 5 characters, interpolated by Witten-Bell from the shortest context up.  One model is counted on
-accepted, one on rejected URLs.  A URL's score is log P(rejected) - log P(accepted) a character; the
-threshold is set on held-out accepted URLs.
+URLs that the rules accept, one on those that they reject.  A URL's score is log P(rejected) -
+log P(accepted) a character; the threshold is set on held-out URLs of both classes.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Words in a host that mark a rejected seed, whatever the rules say of the host.
-SEED_TERMS = ("casino", "pills", "bets", "spam", "ads-", "viagra", "porn", "adult-", "lottery", "payday")
+#: Contexts of up to so many characters have tables of at most 256^2 rows, which are broadcast.
+SMALL_ORDER = 1
 
 
 def host_of(url: Column) -> Column:
@@ -99,11 +99,14 @@ def markov_ratios(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> D
         context = F.shiftright("gram", 8)
         seen = [x for i in (0, 1) for x in (F.sum(f"c{i}").alias(f"n{i}"), F.count(F.when(F.col(f"c{i}") > 0, 1)).alias(f"kinds{i}"))]
         contexts = level.groupBy(context.alias("context")).agg(*seen)
+        if k <= SMALL_ORDER:
+            level, contexts = F.broadcast(level), F.broadcast(contexts)
         own = wanted.select(part.alias("gram")).distinct() if k < order else wanted.select("gram")
         joined = own.withColumn("context", context).join(contexts, "context", "left").join(level, "gram", "left")
         if k:
             shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-            joined = joined.withColumn("short", shorter).join(probability.withColumnsRenamed({"gram": "short", "p0": "q0", "p1": "q1"}), "short")
+            lower = probability.withColumnsRenamed({"gram": "short", "p0": "q0", "p1": "q1"})
+            joined = joined.withColumn("short", shorter).join(F.broadcast(lower) if k - 1 <= SMALL_ORDER else lower, "short")
         else:
             joined = joined.withColumns({"q0": F.lit(1.0 / ALPHABET), "q1": F.lit(1.0 / ALPHABET)})
         p = [F.when(F.col(f"n{i}") > 0, (F.coalesce(f"c{i}", F.lit(0)) + F.col(f"kinds{i}") * F.col(f"q{i}")) / (F.col(f"n{i}") + F.col(f"kinds{i}"))).otherwise(F.col(f"q{i}")).alias(f"p{i}") for i in (0, 1)]
@@ -134,31 +137,39 @@ def url_scores(urls: DataFrame, counts: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block").cogroup(grams.join(ratios, "gram").groupBy("part")).applyInArrow(score, "u0 long, u1 int, score double")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seed_terms: Sequence[str] = SEED_TERMS, false_rejects: float = 0.01) -> DataFrame:
+def threshold_of(held: DataFrame) -> float:
+    """The score above which URLs are blocked: that of the least sum of both classes' error rates on
+    held-out URLs (score, label), in steps of half a percent of either; infinite without both."""
+    steps = [i / 200 for i in range(201)]
+    got = {r[0]: r[1] for r in held.groupBy("label").agg(F.percentile_approx("score", steps, 10_000)).collect()}
+    if not got.get(0) or not got.get(1):
+        return float("inf")
+    accepted, rejected = np.array(got[0]), np.array(got[1])
+    each = np.unique(np.r_[accepted, rejected])
+    errors = (accepted[None] > each[:, None]).mean(axis=1) + (rejected[None] <= each[:, None]).mean(axis=1)
+    return float(each[np.flatnonzero(errors == errors.min())[-1]])  # of equals that which blocks least
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score and threshold of every page.
 
-    Seeds: a URL is rejected if its host holds a seed term, else accepted if it has a host and no
-    rule blocks it (rules alone would teach the top-level domain, not the quality); each different
-    URL counts once.  Four fifths train, one fifth (by the CRC of the URL) sets the threshold, which
-    at most ``false_rejects`` of the accepted ones exceed.
+    The models learn from the URLs that a rule allows or blocks, each different URL once; the others
+    get the verdict that follows from what those look like.  Four fifths train, one fifth (by the CRC
+    of the URL) sets the threshold.  Without URLs of both kinds all others are allowed.
 
     A null URL has an empty host and path, no rule, and is scored as an empty text; repeated rows
-    give repeated rows; an empty table gives an empty one; without seeds the score is 0 (allow).
+    give repeated rows; URLs of any length are scored whole; other columns are not read; an empty
+    table gives an empty one.
     """
     rows = pick(pages, "page_id", "url").withColumn("url", F.coalesce("url", F.lit("")))
     rows = rows.select(F.col("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     verdict = rule_of(F.col("host"), F.col("path"), rules, 1)
-    spam = F.lit(False)
-    for term in seed_terms:
-        spam = spam | F.contains(F.col("host"), F.lit(term))
-    label = F.when(spam, 1).when((F.col("host") != "") & ~verdict.eqNullSafe("block"), 0)
+    label = F.when(verdict == "block", 1).when(verdict == "allow", 0)
     urls = stage(rows.select("url", "host", "path").distinct().select(ascii_lower(F.col("url")).alias("url"), F.xxhash64("url").alias("u0"), F.hash("url").alias("u1"), label.alias("label"), (F.crc32("url") % 5 == 0).alias("held_out")))
     training = urls.where(F.col("label").isNotNull() & ~F.col("held_out")).select("url", "label")
     blocks = max(1, -(-urls.count() // BLOCK_URLS))
     scored = stage(url_scores(urls, stage(gram_counts(training)), blocks))
-    held = scored.join(urls.where((F.col("label") == 0) & F.col("held_out")).select("u0", "u1"), ["u0", "u1"])
-    threshold = held.agg(F.percentile_approx("score", 1 - false_rejects, 10_000)).first()[0]
-    threshold = 0.0 if threshold is None else float(threshold)
+    threshold = threshold_of(scored.join(urls.where(F.col("label").isNotNull() & F.col("held_out")).select("u0", "u1", "label"), ["u0", "u1"]))
     keyed = rows.withColumns({"u0": F.xxhash64("url"), "u1": F.hash("url")}).join(scored, ["u0", "u1"], "left")
     return keyed.select(
         "page_id",
