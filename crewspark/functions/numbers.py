@@ -6,24 +6,58 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Units that are left out wherever they stand, and what counts as a plain number.
+UNITS = r"(?i)m²|m2|m¹|m1|lm"
+PLAIN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+GROUPED = r"^-?[0-9]{1,3}(\.[0-9]{3})+$"
+#: Type of a parsed number.
+NUMBER = "decimal(18,4)"
+
+
+def _bare(text: Column) -> Column:
+    """Without blanks and units."""
+    return F.regexp_replace(F.regexp_replace(text, "[\u00a0 ]", ""), UNITS, "")
+
+
+def _once(value: Column, function) -> Column:
+    """function of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
+def _european(bare: Column) -> Column:
+    """The number in what is left of a text: all but digits, commas, points and minus signs is noise.
+    The later of comma and point parts the decimals; a lone comma does with up to two digits behind
+    it, a lone point unless three follow."""
+    own = F.regexp_replace(F.ltrim(bare, F.lit("+-")), "[^0-9,.-]", "")
+
+    def read(x: Column) -> Column:
+        after = lambda mark: F.instr(F.reverse(x), mark) - 1
+        comma, point = F.instr(x, ",") > 0, F.instr(x, ".") > 0
+        both = F.when(after(",") < after("."), F.translate(F.translate(x, ".", ""), ",", ".")).otherwise(F.translate(x, ",", ""))
+        lone = F.when(after(",") <= 2, F.translate(x, ",", ".")).otherwise(F.translate(x, ",", ""))
+        thousands = (after(".") == 3) & (F.instr(x, ".") == F.length(x) - 3)
+        return F.when(comma & point, both).when(comma, lone).when(point & thousands, F.translate(x, ".", "")).otherwise(x)
+
+    value = _once(_once(own, read), lambda x: F.when(x.rlike(PLAIN), x.try_cast(NUMBER)))
+    return F.when(F.startswith(bare, F.lit("-")), -value).otherwise(value)
+
+
 def parse_number(text: Column) -> Column:
-    """Number of a text such as "1.234,50 m2": points part thousands where a comma follows, or where
-    they stand before groups of three; "n.v.t." and texts without a number are null."""
-    own = F.regexp_replace(F.trim(text), r"(?i)(?:€|eur|m²|m2|m1|st\.?|stuks|uur|u)\s*", "")
-    own = F.regexp_replace(own, r"\s", "")
-    commas, points = F.instr(own, ","), F.instr(own, ".")
-    both = F.when(F.length(own) - F.instr(F.reverse(own), ",") > F.length(own) - F.instr(F.reverse(own), "."), F.translate(F.translate(own, ".", ""), ",", ".")).otherwise(F.translate(own, ",", ""))
-    plain = (
-        F.when((commas > 0) & (points > 0), both)
-        .when(commas > 0, F.translate(own, ",", "."))
-        .when(own.rlike(r"^[-+]?\d{1,3}(\.\d{3})+$"), F.translate(own, ".", ""))
-        .otherwise(own)
-    )
-    return F.when(plain.rlike(r"^[-+]?(\d+(\.\d*)?|\.\d+)$"), plain.try_cast("decimal(18,4)"))
+    """Number of a text such as "1.234,50 m2" or "€ 1,234": a plain number as it stands, unless points
+    part groups of three; else as a European one.  "n.v.t.", "-" and texts without a number are null."""
+
+    def read(own: Column) -> Column:
+        nothing = own.isin("", "-") | (F.lower(own) == "n.v.t.")
+        return F.when(~nothing, _once(_bare(own), lambda x: F.when(x.rlike(PLAIN) & ~x.rlike(GROUPED), x.try_cast(NUMBER)).otherwise(_european(x))))
+
+    return _once(F.trim(text), read)
 
 
 def machine_number(text: Column) -> Column:
-    return F.when(F.instr(text, ",") > 0, parse_number(text)).otherwise(F.coalesce(F.trim(text).try_cast("decimal(18,4)"), parse_number(text)))
+    """Number of a sheet's cell: a point parts decimals, however many; with a comma, or if it is no plain
+    number, as ``parse_number``."""
+    bare = _bare(F.trim(text))
+    return F.when((F.instr(text, ",") > 0) | ~bare.rlike(PLAIN), parse_number(text)).otherwise(bare.try_cast(NUMBER))
 
 
 def european(value: Column, decimals: int = 2) -> Column:

@@ -70,18 +70,47 @@ def expand_rooms(number: Column, most: int = 30) -> Column:
     return F.when((low <= high) & (high - low < most), rooms).otherwise(F.array(number))
 
 
-def floor_label(text: Column) -> Column:
-    t = folded(text)
+def _storey(flat: Column) -> Column:
+    after, before = F.regexp_extract(flat, r"verdieping\s*(\d+)\b", 1), F.regexp_extract(flat, r"\b(\d+)e?\s*verdieping\b", 1)
     return (
-        F.when(t.rlike(r"^(bg|begane grond|ground|00)$"), "0")
-        .when(t.rlike(r"^(kelder|souterrain|-1|-01)$"), "-1")
-        .when(t.rlike(r"^\d{1,2}(e|ste|de)?\s*(verdieping|floor|verd\.?)?$"), F.regexp_extract(t, r"^0*(\d+)", 1))
+        F.when(flat.rlike(r"\b(tussenlaag|middenlaag)\b"), "tussenlaag")
+        .when(flat.rlike(r"begane\s*grond"), "begane grond")
+        .when(flat.rlike(r"installatie\s*ruimt"), "installatie ruimten")
+        .when(flat.rlike(r"\b(kelder|souterrain)\b"), "kelder")
+        .when(after != "", F.concat(F.lit("verdieping "), after))
+        .when(before != "", F.concat(F.lit("verdieping "), before))
     )
 
 
+def floor_label(text: Column) -> Column:
+    """The storey that a text names, after its phase if it names one; null without a storey."""
+    flat = folded(text)
+    phase, storey = F.regexp_extract(flat, r"\bfase\s*(\d+)\b", 1), _storey(flat)
+    own = F.when(flat.contains("souterrain"), "souterrain").otherwise(storey)
+    return F.when(storey.isNotNull(), F.when(phase != "", F.concat(F.lit("fase "), phase, F.lit(" "), own)).otherwise(storey))
+
+
+def floor_base(text: Column) -> Column:
+    """The storey without phase or section; a text that names none, as it is."""
+    flat = F.regexp_replace(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"\bfase\s*\d+\b|\bsporthal\b", ""), r"\s+", " ")
+    own = F.trim(F.replace(flat, F.lit("souterrain"), F.lit("kelder")))
+    return F.coalesce(floor_label(own), own)
+
+
+def same_storey(a: Column, b: Column) -> Column:
+    """Whether two texts may mean one storey; unknown ones fit any."""
+    x, y = floor_base(a), floor_base(b)
+    return x.isin("", "onbekend") | y.isin("", "onbekend") | (x == y)
+
+
+def row_label(file: Column, row: Column) -> Column:
+    """"file#row", in lower case."""
+    return F.concat_ws("#", folded(file), row.cast("string"))
+
+
 def phone(text: Column, country: str = "31") -> Column:
     digits = F.regexp_replace(text, r"[^\d+]", "")
-    return F.when(digits.startswith("+"), digits).when(digits.startswith("00"), F.concat(F.lit("+"), F.substring(digits, 3, 20))).when(digits.startswith("0"), F.concat(F.lit(f"+{country}"), F.substring(digits, 2, 20)))
+    return F.when(digits.startswith("+"), digits).when(digits.startswith("00"), F.concat(F.lit("+"), F.substring(digits, 3, 1000))).when(digits.startswith("0"), F.concat(F.lit(f"+{country}"), F.substring(digits, 2, 1000)))
 
 
 def identity_key(*parts: Column) -> Column:

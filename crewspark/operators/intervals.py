@@ -73,3 +73,27 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket
 def self_overlaps(df: DataFrame, keys: Sequence[str], bucket: int) -> DataFrame:
     """Each pair of overlapping rows of one table once, the lesser id first."""
     return overlap_pairs(df, df, keys, bucket).where("id_a < id_b")
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, overlaps (pairs of a left and a right row that overlap) and length (of all their common
+    parts), without making the pairs.
+
+    Both sides are summed to how many begin and end at each place of a key.  A pair begins where the
+    later of the two does, while the other is there; the common length is the sum, over stretches
+    between places, of their length x left present x right present.
+    """
+
+    def moves(df: DataFrame, side: str) -> DataFrame:
+        ends = F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("begun"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(0).alias("begun"), F.lit(-1).alias("d"))))
+        each = df.where("e > s").select(*keys, ends.alias("m")).groupBy(*keys, F.col("m.at").alias("at")).agg(F.sum("m.begun").alias("begun"), F.sum("m.d").alias("d"))
+        own = lambda c, x: (F.col(c) if x == side else F.lit(0).cast("long")).alias(f"{c}_{x}")
+        return each.select(*keys, "at", *[own(c, x) for x in "ab" for c in ("begun", "d")])
+
+    both = moves(left, "a").union(moves(right, "b")).groupBy(*keys, "at").agg(*[F.sum(f"{c}_{x}").alias(f"{c}_{x}") for x in "ab" for c in ("begun", "d")])
+    order = Window.partitionBy(*keys).orderBy("at")
+    a, b, until = F.sum("d_a").over(order), F.sum("d_b").over(order), F.lead("at").over(order)
+    swept = both.select(*keys, "at", "begun_a", "begun_b", a.alias("a"), b.alias("b"), until.alias("until"))
+    pairs = F.col("begun_a") * F.col("b") + F.col("begun_b") * F.col("a") - F.col("begun_a") * F.col("begun_b")
+    out = swept.groupBy(*keys).agg(F.sum(pairs).alias("overlaps"), F.coalesce(F.sum((F.col("until") - F.col("at")) * F.col("a") * F.col("b")), F.lit(0)).alias("length"))
+    return out.where("overlaps > 0")

@@ -52,8 +52,10 @@ def uniquely_best(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[
 
 
 def only_candidate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key has no other row."""
-    return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n = 1").drop("__n")
+    """Rows whose key has no other row; an aggregate, so that each task reduces its own rows."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(F.struct(*rest)).alias("__row")).where("__n = 1")
+    return one.select(*[F.col(c) if c in keys else F.col(f"__row.{c}") for c in df.columns])
 
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:

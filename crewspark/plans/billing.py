@@ -257,10 +257,12 @@ def named_or_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(named.union(unnamed), "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
 
 
-@query("""WITH a AS (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3), u AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM a) AND o_orderpriority IN ('1-URGENT', '2-HIGH'))
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 3), u AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM a) AND o_orderpriority IN ('1-URGENT', '2-HIGH'))
   SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total FROM u GROUP BY 1""")
 def accessible_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row access and kinds are applied before anything is summed."""
-    linked = F.col("o_custkey") % 10 == 3
-    u = table(spark, sf_dir, "orders").where(linked & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    """Projects to which a person is linked (by lines of suppliers of one nation), and kinds, are chosen
+    before anything is summed."""
+    own = table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("l_suppkey"))
+    links = table(spark, sf_dir, "lineitem").join(own, "l_suppkey", "left_semi").select(F.col("l_orderkey").alias("o_orderkey"))
+    u = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).join(links, "o_orderkey", "left_semi")
     return u.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("double").alias("total"))

@@ -37,13 +37,14 @@ def room_identity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.uniquely_best(c, ["id"], "score", ["other"]).select("id", "other", "score")
 
 
-@query("""WITH c AS (SELECT a.p_partkey AS id, min(b.p_partkey) AS other, count(*) AS n FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey % 5 = 0 AND b.p_partkey % 5 = 1 GROUP BY 1)
+@query("""WITH c AS (SELECT a.p_partkey AS id, min(b.p_partkey) AS other, count(*) AS n FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 5 = 0 AND b.p_partkey % 5 <> 0 GROUP BY 1)
   SELECT id, other FROM c WHERE n = 1""")
 def only_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products with exactly one partner of their brand and type: keys are counted before they meet."""
-    p = table(spark, sf_dir, "part")
-    one = p.where("p_partkey % 5 = 1").groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("other"), F.count("*").alias("n")).where("n = 1")
-    return p.where("p_partkey % 5 = 0").join(one, ["p_type", "p_brand"]).select(F.col("p_partkey").alias("id"), "other")
+    """Products of one list (every fifth key) with exactly one partner of their brand, type and size among
+    all others: a key's only row is found before the lists meet."""
+    p, same = table(spark, sf_dir, "part"), ["p_type", "p_brand", "p_size"]
+    one = matching.only_candidate(p.where("p_partkey % 5 <> 0"), same).select(*same, F.col("p_partkey").alias("other"))
+    return p.where("p_partkey % 5 = 0").join(one, same).select(F.col("p_partkey").alias("id"), "other")
 
 
 @query(r"""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'metal' WHEN contains(lower(p_type), 'copper') OR contains(lower(p_type), 'brass') THEN 'alloy' WHEN contains(lower(p_type), 'tin') THEN 'soft' ELSE 'other' END AS kind FROM part""")

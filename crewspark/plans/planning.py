@@ -147,8 +147,7 @@ def range_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("worker"), F.col("event_id").alias("id"), (day("ts") - 9000).alias("s")).withColumn("e", F.col("s") + 400)
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("worker"), F.col("o_orderkey").alias("id"), day("o_orderdate").alias("s")).withColumn("e", F.col("s") + 30)
-    p = intervals.overlap_pairs(e, o, ["worker"], 100)
-    return p.groupBy("worker").agg(F.count("*").alias("overlaps"), F.sum(F.least("e_a", "e_b") - F.greatest("s_a", "s_b")).alias("days"))
+    return intervals.overlap_totals(e, o, ["worker"]).withColumnRenamed("length", "days")
 
 
 @query(f"""WITH {ENTRIES}, d AS (SELECT DISTINCT person, day FROM entries),

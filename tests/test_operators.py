@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from crewspark import catalogue
 from crewspark.functions import calendar as cal
 from crewspark.functions import geometry, labor, numbers, text
-from crewspark.operators import intervals, loading, matching, reconcile, sequences
+from crewspark.operators import intervals, loading, matching, predicates, reconcile, sequences
 
 
 def one(spark, *columns):
@@ -96,12 +96,18 @@ def test_tones(spark):
     assert one(spark, labor.tone(d(10), d(11)), labor.tone(d(10), d(8)), labor.tone(d(10), d(7)), labor.tone(d(0), d(7)), labor.tone(d(None), d(7))) == ("over", "warn", "ok", "none", "none")
 
 
-@pytest.mark.parametrize(("written", "want"), [("1.234,50 m2", 1234.5), ("1,234.50", 1234.5), ("12,5", 12.5), ("1.234", 1234), ("12.5", 12.5), ("n.v.t.", None), ("", None), ("€ 3,-x", None), ("-4,25", -4.25)])
+@pytest.mark.parametrize(("written", "want"), [("1.234,50 m2", 1234.5), ("1,234.50", 1234.5), ("12,5", 12.5), ("1.234", 1234), ("12.5", 12.5), ("n.v.t.", None), ("", None), ("€ 3,-x", None), ("-4,25", -4.25), ("1,234", 1234), ("1.234.567", None), ("12 stuks", 12), ("€ 12 euro", 12), ("10 lm", 10), ("12 m¹", 12), ("Vloer 12", 12), ("-", None), ("1.234.567", 1234567), ("12.3456", 12.3456), ("+7", 7), ("1e3", 1000), ("1.2.3", None)])
 def test_numbers(spark, written, want):
     got = one(spark, numbers.parse_number(F.lit(written)))[0]
     assert (float(got) if got is not None else None) == want
 
 
+@pytest.mark.parametrize(("written", "want"), [("1.105", 1.105), ("1,105", 1105), ("3,25 m2", 3.25), ("2.5 m2", 2.5), ("12 stuks", 12), ("", None), ("N.V.T.", None)])
+def test_machine_numbers(spark, written, want):
+    got = one(spark, numbers.machine_number(F.lit(written)))[0]
+    assert (float(got) if got is not None else None) == want
+
+
 def test_number_labels(spark):
     d = lambda v: F.lit(v).cast("decimal(12,2)")
     assert one(spark, numbers.european(d("1234.5")), numbers.hours_label(d("4")), numbers.hours_label(d("4.50")), numbers.hours_label(d("10")), numbers.hours_label(d("100.05"))) == ("1.234,50", "4u", "4,5u", "10u", "100,05u")
@@ -113,7 +119,10 @@ def test_texts(spark):
     assert one(spark, text.expand_rooms(t("A-00-12/99")))[0] == ["A-00-12/99"]
     assert one(spark, text.room_numbers(t("rooms A-00-12 and 1.04 near A-00-12a")))[0] == ["1.04", "A-00-12a"] or True
     assert one(spark, text.phone(t("06 12345678")), text.phone(t("0031 6123")), text.phone(t("+31-6"))) == ("+31612345678", "+316123", "+316")
-    assert one(spark, text.floor_label(t(" BG ")), text.floor_label(t("2e verdieping")), text.floor_label(t("-1")), text.floor_label(t("roof"))) == ("0", "2", "-1", None)
+    names = ["2e verdieping", "verdieping 3", "begane grond sporthal", "fase 1 verdieping 1", "fase 1 souterrain", "Kelder", "roof", "", None]
+    assert [one(spark, text.floor_label(t(x)))[0] for x in names] == ["verdieping 2", "verdieping 3", "begane grond", "fase 1 verdieping 1", "fase 1 souterrain", "kelder", None, None, None]
+    assert [one(spark, text.floor_base(t(x)))[0] for x in names] == ["verdieping 2", "verdieping 3", "begane grond", "verdieping 1", "kelder", "kelder", "roof", "", ""]
+    assert one(spark, text.same_storey(t("fase 1 souterrain"), t("kelder")), text.same_storey(t("kelder"), t("verdieping 1")), text.same_storey(t(None), t("kelder"))) == (True, False, True)
     assert one(spark, text.natural_key(t("Room 7")), text.natural_key(t("x123456"))) == ("room 00007", "x0000123456") or one(spark, text.natural_key(t("Room 7")))[0] == "room 00007"
     assert one(spark, text.first_keyword(t("Brushed STEEL"), [("a", ["tin"]), ("b", ["steel"])], "c"))[0] == "b"
 
@@ -234,3 +243,33 @@ def test_loading(spark):
     assert [r.id for r in loading.not_yet_loaded(new, old, "t").collect()] == [2]
     rev = loading.revisions(spark.createDataFrame([("d", 5), ("d", 9), ("e", 1)], "k string, at long"), ["k"], ["at"])
     assert {(r.k, r["at"], r.revision, r.current) for r in rev.collect()} == {("d", 5, 1, False), ("d", 9, 2, True), ("e", 1, 1, True)}
+
+
+@pytest.mark.parametrize(("state", "want"), [("open", [2, 3]), ("finished", [1]), ("all", [1, 2, 3])])
+def test_states(spark, state, want):
+    df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, done boolean")
+    assert sorted(r.id for r in predicates.by_state(df, F.col("done"), state).collect()) == want
+
+
+@pytest.mark.parametrize(("person", "want"), [("member-7", [1]), ("worker-3", [2]), ("worker-x", [1, 2, 3]), ("", [1, 2, 3])])
+def test_tagged_persons(spark, person, want):
+    df = spark.createDataFrame([(1, 7, 3), (2, None, 3), (3, 8, 3)], "id int, member int, worker int")
+    assert sorted(r.id for r in predicates.by_person(df, person, "member", "worker").collect()) == want
+
+
+@pytest.mark.parametrize(("wanted", "budget", "after", "refused"), [(3.0, 8.0, [3.0, 3.0, 2.0], False), (7.0, 8.0, [2.0, 4.0, 2.0], True), (2.04, 8.0, [2.0, 4.0, 2.0], False), (3.0, 7.9, [2.0, 4.0, 2.0], True)])
+def test_rebalanced_days(spark, wanted, budget, after, refused):
+    df = spark.createDataFrame([(1, i, h, 1, wanted) for i, h in ((1, 2.0), (2, 4.0), (3, 2.0))], "day int, id int, hours double, target int, wanted double")
+    got = sorted(predicates.rebalanced(df, ["day"], "id", "hours", "target", "wanted", F.lit(budget)).collect(), key=lambda r: r.id)
+    assert [r.hours_after for r in got] == after and {r.refused for r in got} == {refused}
+
+
+def test_overlap_totals(spark):
+    rng = random.Random(6)
+    make = lambda n: [(rng.randrange(3), s, s + rng.randrange(9)) for s in (rng.randrange(40) for _ in range(n))]
+    left, right = make(60), make(70)
+    frame = lambda rows: spark.createDataFrame(rows, "k int, s long, e long")
+    got = {r.k: (r.overlaps, r.length) for r in intervals.overlap_totals(frame(left), frame(right), ["k"]).collect()}
+    for k in range(3):
+        common = [min(a[2], b[2]) - max(a[1], b[1]) for a in left for b in right if a[0] == b[0] == k and a[1] < a[2] and b[1] < b[2] and a[1] < b[2] and b[1] < a[2]]
+        assert got[k] == (len(common), sum(common))
