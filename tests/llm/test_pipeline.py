@@ -77,3 +77,16 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path, make_docs, odd_
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_dedup_tells_texts_under_one_id_apart(spark, make_docs):
+    rng = random.Random(21)
+    a, b, c = words(rng, 80), words(rng, 80), words(rng, 80)
+    rows = [(1, a), (1, b), (1, b), (2, b + " x"), (3, c), (4, c), (None, words(rng, 50)), (None, None), (5, ""), (5, None), (6, a + " y"), (6, words(rng, 60)), (7, a), (7, a + " z")]
+    for parts in (1, 5):
+        got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, make_docs(rows).repartition(parts), "").collect()), key=str)
+        want = [(1, a), (1, b), (3, c), rows[6], (None, None), (6, rows[11][1])]
+        assert [x for x in got if x[0] != 5] == sorted(want, key=str)
+        assert len([x for x in got if x[0] == 5]) == 1  # null and empty are one text
+    near = [(9, a), (9, a + " z")]  # one document of a group, whichever rows its id has
+    assert len(corpus_pipeline.near_dedup(spark, make_docs(near), "").collect()) == 1
