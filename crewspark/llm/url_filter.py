@@ -139,7 +139,8 @@ def url_scores(urls: DataFrame, counts: DataFrame, blocks: int) -> DataFrame:
 
 def threshold_of(held: DataFrame) -> float:
     """The score above which URLs are blocked: that of the least sum of both classes' error rates on
-    held-out URLs (score, label), in steps of half a percent of either; infinite without both."""
+    held-out URLs (score, label), in steps of half a percent of either, in the middle between the
+    scores that it lies between; infinite without both classes."""
     steps = [i / 200 for i in range(201)]
     got = {r[0]: r[1] for r in held.groupBy("label").agg(F.percentile_approx("score", steps, 10_000)).collect()}
     if not got.get(0) or not got.get(1):
@@ -147,7 +148,8 @@ def threshold_of(held: DataFrame) -> float:
     accepted, rejected = np.array(got[0]), np.array(got[1])
     each = np.unique(np.r_[accepted, rejected])
     errors = (accepted[None] > each[:, None]).mean(axis=1) + (rejected[None] <= each[:, None]).mean(axis=1)
-    return float(each[np.flatnonzero(errors == errors.min())[-1]])  # of equals that which blocks least
+    best = np.flatnonzero(errors == errors.min())[-1]  # of equals that which blocks least
+    return float(each[best : best + 2].mean())
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

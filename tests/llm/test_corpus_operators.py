@@ -296,6 +296,9 @@ def test_bits_rank_and_select():
     assert (own.select(np.arange(bits.sum())) == np.flatnonzero(bits)).all()
 
 
+NEAR = ("doc_id", "n_shingles", "component_id", "kept")
+
+
 def plain_components(rows, w, percent):
     sets = []
     for r in rows:
@@ -337,7 +340,7 @@ def test_near_duplicates(make_docs, odd_rows, w, percent):
             rows.append((1000 * (family + 1) + i, " ".join(copy)))
             hub = copy if family == 3 else hub
     rows += [(9000 + i, words(rng, 100, base)) for i in range(40)]
-    got = minhash_dedup.near_duplicates(make_docs(rows), w, percent).collect()
+    got = minhash_dedup.near_duplicates(make_docs(rows), w, percent).select(*NEAR).collect()
     assert sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in got) == plain_components(rows, w, percent)
     assert minhash_dedup.near_duplicates(make_docs([]), w, percent).count() == 0
 
@@ -362,7 +365,7 @@ def test_near_duplicates_by_differences(make_docs, monkeypatch, rounds, seeds):
                 if i % 7 == 3:
                     hub = copy
         rows += [(9000 + i, words(rng, rng.randint(1, 8), ["a", "b", "c"])) for i in range(20)]
-        got = minhash_dedup.near_duplicates(make_docs(rows), 3, 85).collect()
+        got = minhash_dedup.near_duplicates(make_docs(rows), 3, 85).select(*NEAR).collect()
         assert sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in got) == plain_components(rows, 3, 85)
 
 
@@ -371,8 +374,8 @@ def test_words_of_doubling_patterns_differ(make_docs):
     for n in (10, 11, 12):
         first = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
         rows = [(1, first), (2, first.translate(str.maketrans("ab", "ba")))]
-        got = minhash_dedup.near_duplicates(make_docs(rows), 3, 85).collect()
-        assert sorted((r[0], r[2]) for r in got) == [(1, 1), (2, 2)]
+        got = minhash_dedup.near_duplicates(make_docs(rows), 3, 85).select(*NEAR).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
 
 
 def test_band_rows():

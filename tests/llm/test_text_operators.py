@@ -259,7 +259,8 @@ def plain_url_scores(urls):
     held = [sorted(scores[u] for u in verdict if verdict[u] == kind and zlib.crc32(u.encode()) % 5 == 0) for kind in ("allow", "block")]
     steps = [[own[max(0, math.ceil(i / 200 * len(own)) - 1)] for i in range(201)] for own in held]
     each = sorted({*steps[0], *steps[1]}, reverse=True)
-    return scores, min(each, key=lambda t: sum(x > t for x in steps[0]) + sum(x <= t for x in steps[1]))
+    best = min(each, key=lambda t: sum(x > t for x in steps[0]) + sum(x <= t for x in steps[1]))
+    return scores, (best + min([x for x in each if x > best], default=best)) / 2
 
 
 def plain_rule(url):
