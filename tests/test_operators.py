@@ -96,7 +96,7 @@ def test_tones(spark):
     assert one(spark, labor.tone(d(10), d(11)), labor.tone(d(10), d(8)), labor.tone(d(10), d(7)), labor.tone(d(0), d(7)), labor.tone(d(None), d(7))) == ("over", "warn", "ok", "none", "none")
 
 
-@pytest.mark.parametrize(("written", "want"), [("1.234,50 m2", 1234.5), ("1,234.50", 1234.5), ("12,5", 12.5), ("1.234", 1234), ("12.5", 12.5), ("n.v.t.", None), ("", None), ("€ 3,-x", None), ("-4,25", -4.25), ("1,234", 1234), ("1.234.567", None), ("12 stuks", 12), ("€ 12 euro", 12), ("10 lm", 10), ("12 m¹", 12), ("Vloer 12", 12), ("-", None), ("1.234.567", 1234567), ("12.3456", 12.3456), ("+7", 7), ("1e3", 1000), ("1.2.3", None)])
+@pytest.mark.parametrize(("written", "want"), [("1.234,50 m2", 1234.5), ("1,234.50", 1234.5), ("12,5", 12.5), ("1.234", 1234), ("12.5", 12.5), ("n.v.t.", None), ("", None), ("€ 3,-x", None), ("-4,25", -4.25), ("1,234", 1234), ("1.234.567", None), ("12 stuks", 12), ("€ 12 euro", 12), ("10 lm", 10), ("12 m¹", 12), ("Vloer 12", 12), ("-", None), ("1,234,567", 1234567), ("12.3456", 12.3456), ("+7", 7), ("1e3", 1000), ("1.2.3", None)])
 def test_numbers(spark, written, want):
     got = one(spark, numbers.parse_number(F.lit(written)))[0]
     assert (float(got) if got is not None else None) == want
