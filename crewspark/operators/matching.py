@@ -13,10 +13,15 @@ from crewspark.functions import geometry
 LEAST, LEAD, EXACT, EXACT_LEAD = 70, 25, 100, 10
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], most: int = 1) -> DataFrame:
+    """The first rows of each key in a stated order, at most so many; each task sends no more than those."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in a stated order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return first_rows(df, keys, order)
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -32,23 +37,27 @@ def waterfall(*levels: tuple[str, Column]) -> tuple[Column, Column]:
     return value, source
 
 
+def _best(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str]) -> DataFrame:
+    """The best row of each key with the score of the next, runner_up; two rows of each key are sorted."""
+    order = [F.col(score).desc(), *tie]
+    two = first_rows(df, keys, order, 2)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return two.withColumns({"__rank": F.row_number().over(w), "runner_up": F.lead(score).over(w)}).where("__rank = 1").drop("__rank")
+
+
 def best_with_margin(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str], least: float, margin: float) -> DataFrame:
     """The best row of each key if it reaches the least score and leads the next by the margin."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *tie)
-    ranked = df.withColumns({"__rank": F.row_number().over(w), "runner_up": F.lead(score).over(w)})
     clear = F.col("runner_up").isNull() | (F.col(score) - F.col("runner_up") >= margin)
-    return ranked.where((F.col("__rank") == 1) & (F.col(score) >= least) & clear).drop("__rank")
+    return _best(df, keys, score, tie).where((F.col(score) >= least) & clear)
 
 
 def uniquely_best(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str]) -> DataFrame:
     """The best candidate of each key where no other comes near it: an exact match needs a shorter
     lead, or none over a candidate that wouldn't be accepted."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *tie)
-    ranked = df.withColumns({"__rank": F.row_number().over(w), "runner_up": F.lead(score).over(w)})
     lead = F.col(score) - F.col("runner_up")
     exact = (F.col(score) >= EXACT) & ((lead >= EXACT_LEAD) | (F.col("runner_up") < LEAST))
     clear = F.col("runner_up").isNull() | (lead >= LEAD) | exact
-    return ranked.where((F.col("__rank") == 1) & (F.col(score) >= LEAST) & clear).drop("__rank")
+    return _best(df, keys, score, tie).where((F.col(score) >= LEAST) & clear)
 
 
 def only_candidate(df: DataFrame, keys: Sequence[str]) -> DataFrame:

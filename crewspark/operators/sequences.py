@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crewspark.operators.matching import first_rows
 from crewspark.shipping import ship
 from crewspark.storage import shared_dir
 
@@ -38,28 +39,39 @@ def without_day(df: DataFrame, keys: Sequence[str], start: str, end: str, remove
 def lanes(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: str) -> DataFrame:
     """First-fit lanes of bars (closed ranges of integers): the lowest lane whose last bar has ended.
 
-    Greedy and hence sequential within a key, and only there.
+    Greedy and hence sequential within a key, but only until a moment without any bar, at which all
+    lanes are free: what lies between two such moments is a group of its own.
     """
     ship(df.sparkSession)
+    order = Window.partitionBy(*keys).orderBy(start, end, tie)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (reach < F.col(start)), F.col(start))
+    stretches = df.withColumn("__begin", begins).withColumn("__begin", F.max("__begin").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([start, end, tie], kind="stable")
-        ends: list[int] = []
+        group = group.drop(columns="__begin").sort_values([start, end, tie], kind="stable")
+        busy: list[tuple[int, int]] = []  # last bar's end and lane
+        free: list[int] = []
         chosen = []
-        for a, b in zip(group[start], group[end], strict=True):
-            lane = next((i for i, e in enumerate(ends) if e < a), len(ends))
-            ends[lane : lane + 1] = [b]
+        for a, b in zip(group[start].tolist(), group[end].tolist(), strict=True):
+            while busy and busy[0][0] < a:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            lane = heapq.heappop(free) if free else len(busy)
+            heapq.heappush(busy, (b, lane))
             chosen.append(lane)
         return group.assign(lane=pd.Series(chosen, index=group.index, dtype="int64"))
 
     schema = ", ".join([*(f"{n} {t}" for n, t in df.dtypes), "lane bigint"])
-    return df.groupBy(*keys).applyInPandas(place, schema)
+    return stretches.groupBy(*keys, "__begin").applyInPandas(place, schema)
 
 
-def pool_shares(df: DataFrame, keys: Sequence[str], order: Sequence[str], pool: Column, share: int = 8) -> DataFrame:
-    """A pool dealt out in order, at most one share a row."""
+def pool_shares(df: DataFrame, keys: Sequence[str], order: Sequence[str], pool: int, share: int = 8) -> DataFrame:
+    """A pool dealt out in order, at most one share a row; keys and order name a row.  Only rows that
+    get a share are ranked, so that each task sends few; all others get nothing."""
+    top = first_rows(df.select(*keys, *order), keys, order, -(-pool // share))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("dealt", F.least(F.lit(share), F.greatest(F.lit(0), pool - share * (rank - 1))))
+    dealt = top.withColumn("dealt", F.least(F.lit(share), pool - share * (rank - 1)))
+    return df.join(dealt, [*keys, *order], "left").withColumn("dealt", F.coalesce("dealt", F.lit(0)))
 
 
 def carry_down(df: DataFrame, keys: Sequence[str], order: str, header: Column, out: str) -> DataFrame:

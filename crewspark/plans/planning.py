@@ -158,7 +158,11 @@ def contiguous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("person", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), "days")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ENTRIES}, b AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY s, e, id) AS rn FROM entries),
+  r AS (SELECT day, id, s, e, rn, CAST(0 AS BIGINT) AS lane, [e] AS ends FROM b WHERE rn = 1
+    UNION ALL SELECT day, id, s, e, rn, lane, list_concat(list_concat(ends[1:lane], [e]), ends[lane + 2:]) FROM (
+      SELECT b.day, b.id, b.s, b.e, b.rn, r.ends, CAST(coalesce(nullif(list_position(list_transform(r.ends, lambda x: x < b.s), true), 0) - 1, len(r.ends)) AS BIGINT) AS lane FROM r JOIN b ON b.day = r.day AND b.rn = r.rn + 1))
+  SELECT CAST(day AS VARCHAR) AS day, id, s, e, lane FROM r""")
 def lane_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = entries(spark, sf_dir).select("day", "id", "s", "e")
     return sequences.lanes(bars.withColumn("day", F.col("day").cast("string")), ["day"], "s", "e", "id")
@@ -168,7 +172,7 @@ def lane_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(day AS VARCHAR) AS day, person, CAST(least(8, greatest(0, 20 - 8 * (rn - 1))) AS BIGINT) AS dealt FROM r""")
 def pool_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = entries(spark, sf_dir).select("day", "person").distinct()
-    d = sequences.pool_shares(present, ["day"], ["person"], F.lit(20))
+    d = sequences.pool_shares(present, ["day"], ["person"], 20)
     return d.select(F.col("day").cast("string").alias("day"), "person", F.col("dealt").cast("bigint").alias("dealt"))
 
 

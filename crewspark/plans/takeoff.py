@@ -63,7 +63,9 @@ def nearest_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest_within(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["label"], 0.18).select("label", "id", "other")
 
 
-@query()
+@query("""WITH p AS (SELECT vec_id, list_transform(range(len(embedding) // 2), lambda i: CAST(embedding[2 * i + 1] AS DOUBLE)) AS x, list_transform(range(len(embedding) // 2), lambda i: CAST(embedding[2 * i + 2] AS DOUBLE)) AS y, len(embedding) // 2 AS n FROM embeddings WHERE len(embedding) >= 6),
+  e AS (SELECT vec_id, unnest(range(n)) AS i, x[i + 1] AS x0, y[i + 1] AS y0, x[(i + 1) % n + 1] AS x1, y[(i + 1) % n + 1] AS y1 FROM p)
+  SELECT vec_id, abs(list_reduce(list(x0 * y1 - x1 * y0 ORDER BY i), lambda a, b: a + b)) / 2 AS area, count(*) FILTER (WHERE (y0 > 0) <> (y1 > 0) AND 0 < (x1 - x0) * (0 - y0) / (y1 - y0) + x0) % 2 = 1 AS holds_origin FROM e GROUP BY 1""")
 def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of the polygon whose corners are a vector's consecutive pairs, and whether it holds (0, 0)."""
     v = F.col("embedding")
@@ -129,7 +131,12 @@ def html_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), F.length("html").cast("bigint").alias("chars"), F.regexp_count(h, F.lit("<a ")).cast("bigint").alias("links"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT p_brand, p_type, p_partkey AS id, CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 100 AS BIGINT) AS cents FROM part),
+  c AS (SELECT a.p_brand, a.p_type, a.id AS l, b.id AS r, abs(a.cents - b.cents) AS d, row_number() OVER (PARTITION BY a.p_brand, a.p_type ORDER BY abs(a.cents - b.cents), a.id, b.id) AS rn FROM p a JOIN p b USING (p_brand, p_type) WHERE a.id % 2 = 0 AND b.id % 2 = 1),
+  g AS (SELECT p_brand, p_type, rn, l, r, d, true AS taken, [l, r] AS used FROM c WHERE rn = 1
+    UNION ALL SELECT c.p_brand, c.p_type, c.rn, c.l, c.r, c.d, NOT list_has_any(g.used, [c.l, c.r]), CASE WHEN list_has_any(g.used, [c.l, c.r]) THEN g.used ELSE list_concat(g.used, [c.l, c.r]) END
+    FROM g JOIN c ON g.p_brand = c.p_brand AND g.p_type = c.p_type AND c.rn = g.rn + 1)
+  SELECT p_brand, CAST(l AS BIGINT) AS left_id, CAST(r AS BIGINT) AS right_id, -d / 100.0 AS score FROM g WHERE taken""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairs of parts of a brand: even keys with odd ones of the same type, nearest price
     first, until no even or no odd part is left."""

@@ -189,7 +189,7 @@ def test_lanes_pools_and_runs(spark):
     bars = spark.createDataFrame([("w", 1, 0, 2), ("w", 2, 1, 3), ("w", 3, 3, 4), ("w", 4, 4, 5)], "k string, id long, a long, b long")
     assert {r.id: r.lane for r in sequences.lanes(bars, ["k"], "a", "b", "id").collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
     people = spark.createDataFrame([("d", i) for i in range(4)], "k string, id long")
-    assert [r.dealt for r in sequences.pool_shares(people, ["k"], ["id"], F.lit(20)).orderBy("id").collect()] == [8, 8, 4, 0]
+    assert [r.dealt for r in sequences.pool_shares(people, ["k"], ["id"], 20).orderBy("id").collect()] == [8, 8, 4, 0]
     r = spark.createDataFrame([(1, dt.date(2026, 3, 2), dt.date(2026, 3, 6))], "id long, a date, b date")
     runs = sequences.without_day(r, ["id"], "a", "b", day("2026-03-04")).orderBy("first_day").collect()
     assert [(x.first_day.day, x.last_day.day, x.days) for x in runs] == [(2, 3, 2), (5, 6, 2)]
