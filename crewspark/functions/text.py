@@ -146,6 +146,27 @@ def finish_family(code: Column) -> Column:
     return F.split_part(folded(code), F.lit("."), F.lit(1))
 
 
+def finish_compatible(a: Column, b: Column) -> Column:
+    """Whether two codes can be one finish: equal, or of one family and not both of a kind of it."""
+    x, y = folded(a), folded(b)
+    kin = (finish_family(x) == finish_family(y)) & ~(x.contains(".") & y.contains("."))
+    return (x == y) | ((x != "") & (y != "") & kin)
+
+
+def preferred_finish(current: Column, incoming: Column) -> Column:
+    """The code to keep of one that is there and one that comes: of two that fit the more specific, else
+    the one that comes; null if both are blank."""
+    x, y = F.nullif(folded(current), F.lit("")), F.nullif(folded(incoming), F.lit(""))
+    return F.when(y.isNull() | (finish_compatible(x, y) & ~y.contains(".")), x).otherwise(y)
+
+
+def one_line_address(street: Column, postcode: Column, town: Column) -> Column:
+    """"Street 12a, 1234 AB Town" from what is given; null if nothing is."""
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    place = F.nullif(F.concat_ws(" ", given(postcode), given(town)), F.lit(""))
+    return F.nullif(F.concat_ws(", ", given(street), place), F.lit(""))
+
+
 def address_parts(address: Column) -> Column:
     """"Street 12a, 1234 AB Town" as struct<street, number, postcode, town>; what isn't there is null."""
     part = lambda i: F.nullif(F.trim(F.regexp_extract(address, r"^\s*(.*?)\s+(\d+\s*[A-Za-z]?(?:-\d+)?)\s*(?:,\s*(\d{4}\s?[A-Za-z]{2})?\s*(.*?))?\s*$", i)), F.lit(""))

@@ -26,6 +26,41 @@ def proposal_conflicts(planned: DataFrame, proposals: DataFrame, keys: Sequence[
     return segments.groupBy(*keys, "id").agg(F.min("at").alias("first_at"), F.max("present").alias("most"))
 
 
+def budget_conflicts(planned: DataFrame, proposals: DataFrame, budget: Column, bucket: int) -> DataFrame:
+    """id, person, day, used, met, internal: proposals (id, person, day, s, e, hours) that one person can't
+    take: what they overlap (planned: id, person, day, s, e, hours, internal) is internal work, or the
+    hours of both are more than the day's budget (an expression of person and day)."""
+    keys = ["person", "day"]
+    met = intervals.overlap_pairs(proposals, planned, keys, bucket).select(*keys, F.col("id_a").alias("id"), "id_b")
+    other = planned.select(*keys, F.col("id").alias("id_b"), F.col("hours").alias("h"), "internal")
+    load = met.join(other, [*keys, "id_b"]).groupBy(*keys, "id").agg(F.sum("h").alias("h"), F.count("*").alias("met"), F.max(F.coalesce("internal", F.lit(False))).alias("internal"))
+    own = proposals.select(*keys, "id", "hours").join(load, [*keys, "id"], "left")
+    used = F.col("hours") + F.coalesce("h", F.lit(0))
+    out = own.select("id", *keys, used.alias("used"), F.coalesce("met", F.lit(0)).alias("met"), F.coalesce("internal", F.lit(False)).alias("internal"))
+    return out.where(F.col("internal") | (F.col("used") > budget + 0.01))
+
+
+def away(people: DataFrame, windows: DataFrame, first: Column, last: Column) -> DataFrame:
+    """person, day, reason, whole: days from first to last on which people (person, unavailable,
+    free_weekday: 1 is Monday) are away: structurally, by the first of their windows (person, first_day,
+    last_day, kind, whole, place), or on their free weekday."""
+    days = people.withColumn("day", F.explode(F.sequence(first, last)))
+    covered = windows.where((F.col("first_day") <= last) & (F.col("last_day") >= first)).withColumn("day", F.explode(F.sequence(F.greatest("first_day", first), F.least("last_day", last))))
+    best = covered.groupBy("person", "day").agg(F.min_by(F.struct("kind", "whole"), F.struct("place", "kind")).alias("w"))
+    gone, free = F.coalesce("unavailable", F.lit(False)), F.weekday("day") + 1 == F.col("free_weekday")
+    reason = F.when(gone, "unavailable").when(F.col("w").isNotNull(), F.col("w.kind")).when(free, "weekday")
+    whole = F.when(gone | F.col("w").isNull(), True).otherwise(F.coalesce("w.whole", F.lit(True)))
+    return days.join(best, ["person", "day"], "left").select("person", "day", reason.alias("reason"), whole.alias("whole")).where("reason IS NOT NULL")
+
+
+def teams_away(members: DataFrame, away_days: DataFrame) -> DataFrame:
+    """team, day, members, absent, away: a team (members: team, person) is away on a day only if all of
+    its people are, the whole day."""
+    size = members.groupBy("team").agg(F.countDistinct("person").alias("members"))
+    gone = members.distinct().join(away_days.where("whole"), "person").groupBy("team", "day").agg(F.count("*").alias("absent"))
+    return gone.join(size, "team").select("team", "day", "members", "absent", (F.col("absent") == F.col("members")).alias("away"))
+
+
 def clamped(start: Column, end: Column, low: Column, high: Column) -> tuple[Column, Column]:
     """A member's clocks inside those of the assignment; the assignment's where nothing is left."""
     a, b = F.greatest(F.coalesce(start, low), low), F.least(F.coalesce(end, high), high)

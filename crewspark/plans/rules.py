@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewspark.functions import text
+from crewspark.functions import colors, text
 from crewspark.operators import planning_rules as rules
 from crewspark.plans.billing import CENTS, cents, parts
 from crewspark.plans.registry import ENTRIES, entries, query, table
@@ -107,3 +107,84 @@ def cost_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = cents(spark, sf_dir).groupBy("project", "item", "kind").agg(F.sum("q").alias("q"), F.sum("amount").alias("amount")).join(parts(spark, sf_dir), "item")  # noqa: E741
     labour = (F.col("kind") == "R") & (F.col("size") <= 30)
     return l.groupBy("project", labour.alias("labour")).agg(F.count("*").alias("lines"), F.sum("q").alias("q"), F.sum(F.when(labour, 0).otherwise(F.col("amount"))).alias("material_cost"))
+
+
+RGB = "list_transform([2, 4, 6], lambda i: CAST('0x' || substr({}, i, 2) AS BIGINT))"
+
+
+@query(f"""WITH known AS (SELECT unnest({list(colors.CODES)}) AS code, unnest({list(colors.CODES.values())}) AS color),
+  c AS (SELECT DISTINCT CASE WHEN p_size % 4 = 0 THEN 'V' || lpad(CAST(p_size % 12 AS VARCHAR), 2, '0') ELSE p_brand || '.' || p_size END AS code FROM part),
+  s AS (SELECT code, CAST('0x' || left(sha256('material:' || lower(code)), 8) AS BIGINT) AS n FROM c),
+  t AS (SELECT code, i, ((n * 0.38196601125::DOUBLE + i * 137.508::DOUBLE) % 360) / 60 AS h, (62 + n % 16) / 100 AS s, (36 + (n >> 8) % 12) / 100 AS l FROM s, range(17) r(i)),
+  x AS (SELECT code, i, h, l, (1 - abs(2 * l - 1)) * s AS chroma FROM t),
+  y AS (SELECT *, chroma * (1 - abs(h % 2 - 1)) AS x, l - chroma / 2 AS m, CAST(floor(h) AS INTEGER) AS sector FROM x),
+  z AS (SELECT code, i, m, CASE sector WHEN 0 THEN [chroma, x, 0] WHEN 1 THEN [x, chroma, 0] WHEN 2 THEN [0, chroma, x] WHEN 3 THEN [0, x, chroma] WHEN 4 THEN [x, 0, chroma] ELSE [chroma, 0, x] END AS p FROM y),
+  h AS (SELECT code, i, list_transform(p, lambda v: CAST(round((v + m) * 255) AS BIGINT)) AS rgb FROM z),
+  k AS (SELECT code AS known, {RGB.format('color')} AS rgb FROM known),
+  free AS (SELECT code, min(i) AS i FROM h WHERE i = 16 OR NOT EXISTS (SELECT 1 FROM k WHERE (h.rgb[1] - k.rgb[1]) ** 2 + (h.rgb[2] - k.rgb[2]) ** 2 + (h.rgb[3] - k.rgb[3]) ** 2 <= 52 * 52) GROUP BY 1)
+  SELECT c.code AS code, coalesce(color, printf('#%02x%02x%02x', rgb[1], rgb[2], rgb[3])) AS color FROM c JOIN free USING (code) JOIN h USING (code, i) LEFT JOIN known ON lower(c.code) = known.code""")
+def code_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of floor codes, known ones and others."""
+    size = F.col("p_size")
+    code = F.when(size % 4 == 0, F.concat(F.lit("V"), F.lpad((size % 12).cast("string"), 2, "0"))).otherwise(F.concat_ws(".", "p_brand", size.cast("string")))
+    codes = table(spark, sf_dir, "part").select(code.alias("code")).distinct()
+    return codes.select("code", colors.code_color(F.col("code")).alias("color"))
+
+
+@query("""WITH f AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '' ELSE 'v0' || p_size % 3 || CASE WHEN p_size % 2 = 0 THEN '.a' ELSE '' END END AS a, CASE WHEN p_size % 11 = 0 THEN '' ELSE 'v0' || p_size % 2 || CASE WHEN p_size % 5 < 2 THEN '.b' ELSE '' END END AS b FROM part),
+  c AS (SELECT *, a = b OR (a <> '' AND b <> '' AND left(a, 3) = left(b, 3) AND (length(a) = 3 OR length(b) = 3)) AS compatible FROM f)
+  SELECT p_partkey, compatible, CASE WHEN b = '' THEN nullif(a, '') WHEN compatible AND length(b) = 3 THEN a ELSE b END AS kept FROM c""")
+def finish_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two finish codes can be one, and which is kept."""
+    size, lit = F.col("p_size"), F.lit
+    a = F.when(size % 7 == 0, " ").otherwise(F.concat(lit("V0"), size % 3, F.when(size % 2 == 0, ".A").otherwise("")))
+    b = F.when(size % 11 == 0, "").otherwise(F.concat(lit("v0"), size % 2, F.when(size % 5 < 2, ".b ").otherwise("")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.finish_compatible(a, b).alias("compatible"), text.preferred_finish(a, b).alias("kept"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Old Road 1' ELSE nullif(concat_ws(', ', CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment || ' ' || c_nationkey END,
+  nullif(concat_ws(' ', CASE WHEN c_custkey % 5 > 0 THEN '1234 AB' END, CASE WHEN c_custkey % 7 > 0 THEN 'Town' END), '')), '') END AS work_address FROM customer""")
+def work_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work addresses filled from street, postcode and town where they are missing."""
+    k = F.col("c_custkey")
+    own = F.when(k % 3 == 0, "Old Road 1").when(k % 2 == 0, " ")
+    street = F.when(k % 4 > 0, F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))).otherwise("")
+    line = text.one_line_address(street, F.when(k % 5 > 0, "1234 AB"), F.when(k % 7 > 0, " Town "))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.nullif(F.trim(own), F.lit("")), line).alias("work_address"))
+
+
+@query(f"""WITH {ENTRIES}, p AS (SELECT * FROM entries WHERE e > s AND id % 5 = 0), b AS (SELECT * FROM entries WHERE e > s AND id % 5 <> 0),
+  m AS (SELECT p.id, sum((b.e - b.s) // 900) AS h, count(*) AS met, bool_or(b.id % 50 = 1) AS internal FROM p JOIN b ON p.person = b.person AND p.day = b.day AND p.s < b.e AND b.s < p.e GROUP BY 1)
+  SELECT p.id, person, CAST(day AS VARCHAR) AS day, CAST((e - s) // 900 + coalesce(h, 0) AS BIGINT) AS used, coalesce(met, 0) AS met, coalesce(internal, false) AS internal FROM p LEFT JOIN m USING (id) WHERE coalesce(internal, false) OR (e - s) // 900 + coalesce(h, 0) > 8 - person % 4 + 0.01""")
+def budget_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth entry as a proposal against the others of its person and day, whose budget it shares."""
+    e = entries(spark, sf_dir).where("e > s").select("person", "day", "id", "s", "e", F.expr("(e - s) div 900").alias("hours"), F.expr("id % 50 = 1").alias("internal"))
+    out = rules.budget_conflicts(e.where("id % 5 <> 0"), e.where("id % 5 = 0"), 8 - F.col("person") % 4, 7200)
+    return out.select("id", "person", F.col("day").cast("string").alias("day"), F.col("used").cast("bigint").alias("used"), "met", "internal")
+
+
+AWAY = f"""{ENTRIES}, people AS (SELECT DISTINCT person, person % 9 = 0 AS unavailable, CASE WHEN person % 2 = 0 THEN 5 END AS free FROM entries),
+ d AS (SELECT *, unnest(generate_series(DATE '2024-01-08', DATE '2024-01-21', INTERVAL 1 DAY))::DATE AS day FROM people),
+ w AS (SELECT d.person, d.day, arg_min(status, w.id) AS kind, min_by(w.id % 3 > 0, w.id) AS whole FROM d JOIN entries w ON w.person = d.person AND w.id % 4 = 0 AND d.day BETWEEN w.day AND w.day + 1 GROUP BY 1, 2),
+ away AS (SELECT d.person, d.day, CASE WHEN unavailable THEN 'unavailable' WHEN kind IS NOT NULL THEN kind WHEN isodow(d.day) = free THEN 'weekday' END AS reason, unavailable OR coalesce(whole, true) AS whole FROM d LEFT JOIN w ON d.person = w.person AND d.day = w.day)"""
+
+
+def _away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = entries(spark, sf_dir)
+    people = e.select("person", (F.col("person") % 9 == 0).alias("unavailable"), F.when(F.col("person") % 2 == 0, 5).alias("free_weekday")).distinct()
+    windows = e.where("id % 4 = 0").select("person", F.col("day").alias("first_day"), F.date_add("day", 1).alias("last_day"), F.col("status").alias("kind"), F.expr("id % 3 > 0").alias("whole"), F.col("id").alias("place"))
+    return rules.away(people, windows, *(F.lit(x).cast("date") for x in ("2024-01-08", "2024-01-21")))
+
+
+@query(f"WITH {AWAY} SELECT person, CAST(day AS VARCHAR) AS day, reason, whole FROM away WHERE reason IS NOT NULL")
+def away_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People away in two weeks: structurally, by windows, or on their free weekday."""
+    return _away(spark, sf_dir).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"""WITH {AWAY}, m AS (SELECT DISTINCT person // 3 AS team, person FROM entries), n AS (SELECT team, count(*) AS members FROM m GROUP BY 1)
+  SELECT team, CAST(day AS VARCHAR) AS day, members, count(*) AS absent, count(*) = members AS away FROM away JOIN m USING (person) JOIN n USING (team) WHERE reason IS NOT NULL AND whole GROUP BY team, day, members""")
+def teams_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teams of three people, away only when all of them are."""
+    members = entries(spark, sf_dir).select(F.expr("person div 3").alias("team"), "person").distinct()
+    return rules.teams_away(members, _away(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from crewspark.functions import text
+from crewspark.functions import colors, text
 from crewspark.operators import planning_rules as rules
 
 
@@ -59,3 +59,30 @@ def test_labels(spark):
     b = text.address_parts(t("Plein 3"))
     r = spark.range(1).select(a["street"], a["number"], a["postcode"], a["town"], b["street"], b["number"], b["town"]).first()
     assert tuple(r) == ("Lange Weg", "12a", "1234AB", "Stad", "Plein", "3", None)
+
+
+def test_colors_of_codes(spark):
+    df = spark.createDataFrame([(c,) for c in ("V01.b", " v09 ", "", None, "x1", "X1 ", "x2")], "code string")
+    got = [r[0] for r in df.select(colors.code_color(df.code)).collect()]
+    assert got[:4] == ["#f38400", "#222222", None, None] and got[4] == got[5] != got[6]
+    rgb = lambda c: [int(c[i : i + 2], 16) for i in (1, 3, 5)]
+    for c in got[4:]:
+        assert all(sum((a - b) ** 2 for a, b in zip(rgb(c), rgb(k), strict=True)) > 52**2 for k in colors.CODES.values())
+    hues = spark.createDataFrame([(0, 100, 50, "#ff0000"), (120, 100, 25, "#008000"), (240, 100, 50, "#0000ff"), (300, 0, 50, "#808080"), (400, 100, 50, "#ffaa00")], "h int, s int, l int, want string")
+    assert all(r[0] == r[1] for r in hues.select(colors.hsl_hex(hues.h, hues.s, hues.l), "want").collect())
+    places = spark.range(12).select(colors.place_color(F.col("id"), ["#111111", "#222222"])).collect()
+    assert places[1][0] == "#222222" and len({r[0] for r in places}) == 12
+
+
+def test_finishes(spark):
+    rows = [("v01", "V01.a", True, "v01.a"), ("v01.a", "v01", True, "v01.a"), ("v01.a", "v01.b", False, "v01.b"), ("", "v02", False, "v02"), ("v02", None, None, "v02"), ("", "", True, None)]
+    df = spark.createDataFrame(rows, "a string, b string, fits boolean, kept string")
+    assert all(r[0] == r[1] and r[2] == r[3] for r in df.select(text.finish_compatible(df.a, df.b), "fits", text.preferred_finish(df.a, df.b), "kept").collect())
+
+
+def test_day_budgets(spark):
+    cols = "id long, person long, day string, s long, e long, hours double, internal boolean"
+    planned = spark.createDataFrame([(1, 1, "d", 0, 4, 4.0, False), (2, 1, "d", 10, 12, 2.0, False), (3, 2, "d", 0, 2, 2.0, True)], cols)
+    wanted = spark.createDataFrame([(10, 1, "d", 2, 7, 5.0, None), (11, 1, "d", 4, 10, 8.0, None), (12, 2, "d", 1, 2, 1.0, None), (13, 3, "d", 0, 9, 9.0, None)], cols)
+    got = {r.id: (r.used, r.met, r.internal) for r in rules.budget_conflicts(planned, wanted, F.lit(8), 5).collect()}
+    assert got == {10: (9.0, 1, False), 12: (3.0, 1, True), 13: (9.0, 0, False)}
