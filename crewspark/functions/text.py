@@ -129,6 +129,13 @@ def repaired_number(text: Column) -> Column:
     return F.when(flat.rlike(r"[0-9]"), F.concat(F.regexp_extract(flat, r"^([A-Z]-)?", 0), F.translate(F.regexp_replace(flat, r"^([A-Z]-)?", ""), "OILSB", "01158"))).otherwise(flat)
 
 
+def repaired_room_number(text: Column) -> Column:
+    """A room number in lower case without blanks, with points for commas; one that was read with its
+    storey and digits twice ("00.0.077") put right ("0.07")."""
+    flat, twice = F.translate(F.regexp_replace(F.lower(text), r"\s+", ""), ",", "."), r"^(\d)\d?[.\-](\d{1,2})[.\-]\d{1,2}(\d)([a-z]?)$"
+    return F.regexp_replace(flat, twice, "$1.$2$3$4")
+
+
 def activity_key(item: Column, unit: Column, description: Column) -> Column:
     """item:id:unit, else custom:name:unit, else line:unit; names in lower case."""
     u, name = F.coalesce(folded(unit), F.lit("")), F.coalesce(folded(description), F.lit(""))

@@ -37,7 +37,7 @@ def waterfall(*levels: tuple[str, Column]) -> tuple[Column, Column]:
     return value, source
 
 
-def _best(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str]) -> DataFrame:
+def best_two(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str]) -> DataFrame:
     """The best row of each key with the score of the next, runner_up; two rows of each key are sorted."""
     order = [F.col(score).desc(), *tie]
     two = first_rows(df, keys, order, 2)
@@ -48,7 +48,7 @@ def _best(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str]) ->
 def best_with_margin(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str], least: float, margin: float) -> DataFrame:
     """The best row of each key if it reaches the least score and leads the next by the margin."""
     clear = F.col("runner_up").isNull() | (F.col(score) - F.col("runner_up") >= margin)
-    return _best(df, keys, score, tie).where((F.col(score) >= least) & clear)
+    return best_two(df, keys, score, tie).where((F.col(score) >= least) & clear)
 
 
 def uniquely_best(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def uniquely_best(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[
     lead = F.col(score) - F.col("runner_up")
     exact = (F.col(score) >= EXACT) & ((lead >= EXACT_LEAD) | (F.col("runner_up") < LEAST))
     clear = F.col("runner_up").isNull() | (lead >= LEAD) | exact
-    return _best(df, keys, score, tie).where((F.col(score) >= LEAST) & clear)
+    return best_two(df, keys, score, tie).where((F.col(score) >= LEAST) & clear)
 
 
 def only_candidate(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crewspark.functions import numbers, text
-from crewspark.operators import loading, matching
+from crewspark.operators import loading, matching, rooms
+from crewspark.plans.production import LINES, lines
 from crewspark.plans.registry import query, table
 
 
@@ -167,3 +168,33 @@ def first_two_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = two.join(n, (two["source"].eqNullSafe(n["source"])) & (two["lang"].eqNullSafe(n["lang"])))
     names = F.array_join(F.transform("x", lambda y: y["doc_id"].cast("string")), ", ")
     return joined.select(two["source"], two["lang"], "n", F.concat(names, F.when(F.col("n") > 2, " and others").otherwise("")).alias("label"))
+
+
+NAMES = ("Kantoor", "kantoor", "kantoorruimte", "hal", "ruimte", "kantor")
+
+
+@query(f"""WITH {LINES}, r AS (SELECT project, item * 8 + room AS id, max(kind) = 'N' AS host, coalesce(['begane grond', 'Begane grond', 'onbekend'][item % 4 + 1], '') AS floor, CASE WHEN room % 3 > 0 THEN '1.0' || room % 5 ELSE '' END AS number,
+    lower({list(NAMES)}[item % {len(NAMES)} + 1]) AS name, CAST(CAST(max(q) AS INTEGER) // 4 AS DOUBLE) AS area, CASE WHEN item % 5 < 3 THEN 1 + item % 5 // 2 ELSE 0 END AS page, CAST(item % 50 AS DOUBLE) AS x FROM lines GROUP BY project, room, item),
+  p AS (SELECT a.project, a.id, b.id AS other, a.number AS na, b.number AS nb, a.name AS ma, b.name AS mb, a.floor IN ('', 'onbekend') OR b.floor IN ('', 'onbekend') AS unknown_floor, abs(a.area - b.area) AS off, a.page = 0 OR b.page = 0 OR a.page = b.page AS page,
+    10 * abs(a.x - b.x) <= 120 AS near FROM r a JOIN r b ON a.project = b.project AND a.host AND NOT b.host),
+  s AS (SELECT *, na <> '' AND na = nb AS exact, na <> '' AND nb <> '' AS numbers, ma = mb AS same, ma <> 'ruimte' AND mb <> 'ruimte' AND (ma = mb OR (ma LIKE 'kanto%' AND mb LIKE 'kanto%' AND (ma <> 'kantor' OR mb <> 'kantoorruimte') AND (mb <> 'kantor' OR ma <> 'kantoorruimte'))) AS alike FROM p),
+  c AS (SELECT *, ma <> 'ruimte' AND mb <> 'ruimte' AND NOT alike AS conflict, CASE WHEN unknown_floor THEN 8 ELSE 20 END + CASE WHEN exact THEN 100 ELSE 0 END + CASE WHEN same THEN 50 WHEN alike THEN 18 WHEN ma <> 'ruimte' AND mb <> 'ruimte' THEN -30 ELSE 0 END
+    + CASE WHEN off = 0 THEN 40 WHEN off <= 1 AND (exact OR same) THEN 12 ELSE 0 END + CASE WHEN near AND page THEN 15 ELSE 0 END AS total FROM s),
+  d AS (SELECT *, CAST(CASE WHEN NOT exact AND NOT numbers THEN CASE WHEN alike AND off = 0 THEN total + CASE WHEN same THEN 20 ELSE 10 END WHEN same AND near AND page THEN total + 10 ELSE least(total, 60) END
+    WHEN NOT exact AND alike AND off = 0 THEN total + CASE WHEN same THEN 20 ELSE 8 END ELSE total END AS DOUBLE) AS score FROM c
+    WHERE page AND NOT (exact AND conflict AND off > 2) AND NOT (NOT exact AND off > 2) AND NOT (NOT exact AND numbers AND conflict) AND NOT (NOT exact AND numbers AND NOT alike AND off > 0)),
+  t AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(score) OVER w, 0) AS next FROM d WINDOW w AS (PARTITION BY project, id ORDER BY score DESC, other))
+  SELECT project, id, other, score, exact FROM t WHERE rn = 1 AND score >= 70 AND CASE WHEN exact AND score >= 100 THEN score - next >= 10 OR next < 70 ELSE score - next >= 25 END""")
+def room_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms of one source of a project and those of the other that they are, by number, name, area and place."""
+    k = lambda n: F.col("item") % n
+    q = lines(spark, sf_dir).groupBy("project", "room", "item").agg(F.max("kind").alias("kind"), F.expr("max(q) div 4").cast("double").alias("area"))
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (k(len(NAMES)) + 1).cast("int"))
+    floor = F.when(k(4) == 0, "begane grond").when(k(4) == 1, "Begane grond ").when(k(4) == 2, "onbekend")
+    page = F.when(k(5) < 3, 1 + F.floor(k(5) / 2))
+    number = F.when(F.col("room") % 3 > 0, F.concat(F.lit("1,0"), F.col("room") % 5))
+    r = q.select("project", (F.col("item") * 8 + F.col("room")).alias("id"), (F.col("kind") == "N").alias("host"), F.struct(
+        floor.alias("floor"), number.alias("number"), name.alias("name"), "area", page.alias("page"), (k(50) * 10.0).alias("x"), F.lit(0.0).alias("y")
+    ).alias("room"))
+    pairs = r.where("host").select("project", "id", F.col("room").alias("a")).join(r.where("NOT host").select("project", F.col("id").alias("other"), F.col("room").alias("b")), "project")
+    return rooms.matched(rooms.scored(pairs), ["project", "id"], ["other"]).select("project", "id", "other", "score", "exact")
