@@ -7,19 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crewspark.storage import rewritten
+
 
 def positional_pairs(left: DataFrame, right: DataFrame, levels: Sequence[Sequence[str]], confidence: Sequence[float], order: str) -> DataFrame:
     """id, other, confidence: the k-th left row of a key with the k-th right one, for each level of
-    keys in turn; what a level has paired takes no part in the next.  left, right: id, order, keys."""
+    keys in turn; what a level has paired takes no part in the next.  left, right: id, order, keys.
+
+    A level's pairs are written to the shared folder, as the next levels read them several times.
+    """
     out, a, b = None, left, right
     for keys, sure in zip(levels, confidence, strict=True):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "id"))
         x = a.select(*keys, "id", place.alias("__k"))
         y = b.select(*keys, F.col("id").alias("other"), place.alias("__k"))
-        met = x.join(y, [*keys, "__k"]).select("id", "other", F.lit(sure).alias("confidence"))
+        met = rewritten(x.join(y, [*keys, "__k"]).select("id", "other", F.lit(sure).alias("confidence")))
         out = met if out is None else out.unionByName(met)
-        a = a.join(out.select("id"), "id", "left_anti")
-        b = b.join(out.select(F.col("other").alias("id")), "id", "left_anti")
+        a = a.join(met.select("id"), "id", "left_anti")
+        b = b.join(met.select(F.col("other").alias("id")), "id", "left_anti")
     return out
 
 

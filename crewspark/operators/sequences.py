@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crewspark.operators.matching import first_rows
 from crewspark.shipping import ship
-from crewspark.storage import shared_dir
+from crewspark.storage import rewritten
 
 
 def budget_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], hours: str, budget: Column) -> DataFrame:
@@ -110,13 +110,6 @@ def greedy_pairs(df: DataFrame, keys: Sequence[str], left: str, right: str, scor
     return df.groupBy(*keys).applyInPandas(pick, df.schema)
 
 
-def _stage(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rounds of nearest_pairs() by windows; what is left then is matched group by group.
 ROUNDS = 6
 
@@ -137,14 +130,14 @@ def nearest_pairs(df: DataFrame, keys: Sequence[str], left: str, id_: str, value
 def _nearest_pairs(rows: DataFrame, keys: list[str], rounds: int) -> DataFrame:
     by_id = Window.partitionBy(*keys, "v", "l").orderBy("i")
     same = rows.withColumn("r", F.row_number().over(by_id)).withColumn("both", F.least(*[F.count(F.when(F.col("l") == x, 1)).over(Window.partitionBy(*keys, "v")) for x in (True, False)]))
-    same = _stage(same.withColumns({"edge": F.when(F.col("r") <= F.col("both"), F.col("v")), "d": F.lit(0).cast("long")}))
+    same = rewritten(same.withColumns({"edge": F.when(F.col("r") <= F.col("both"), F.col("v")), "d": F.lit(0).cast("long")}))
     edge = lambda: [F.max(F.when(F.col("l"), F.col("i"))).alias("left_id"), F.max(F.when(~F.col("l"), F.col("i"))).alias("right_id"), F.max("d").alias("distance")]
     out = same.where("edge IS NOT NULL").groupBy(*keys, "edge", "r").agg(*edge()).drop("edge", "r")
     rows = same.where("edge IS NULL").select(*keys, "l", "i", "v")
     own = Window.partitionBy(*keys)
     for turn in range(rounds + 1):
         sided = rows.withColumns({"a": F.max("l").over(own), "b": F.min("l").over(own)})
-        rows = _stage(sided.where("a AND NOT b").select(*keys, "l", "i", "v"))
+        rows = rewritten(sided.where("a AND NOT b").select(*keys, "l", "i", "v"))
         if not rows.limit(1).count():
             return out
         if turn == rounds:
@@ -161,7 +154,7 @@ def _nearest_pairs(rows: DataFrame, keys: list[str], rounds: int) -> DataFrame:
         of_edge = Window.partitionBy(*keys, "e")
         mutual = near.withColumns({"ends": F.count("*").over(of_edge), "k": F.when(F.max("tie").over(of_edge), 1).otherwise(F.min("n").over(of_edge))}).where("ends = 2")
         ranked = rows.withColumn("r", F.row_number().over(by_id)).join(mutual.select(*keys, "v", "e", "k"), [*keys, "v"], "left")
-        ranked = _stage(ranked.withColumn("taken", F.coalesce(F.col("r") <= F.col("k"), F.lit(False))).withColumn("d", F.col("e.d")))
+        ranked = rewritten(ranked.withColumn("taken", F.coalesce(F.col("r") <= F.col("k"), F.lit(False))).withColumn("d", F.col("e.d")))
         out = out.union(ranked.where("taken").groupBy(*keys, "e", "r").agg(*edge()).drop("e", "r"))
         rows = ranked.where("NOT taken").select(*keys, "l", "i", "v")
     ship(rows.sparkSession)
