@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewspark.llm import chat_repair, decontamination, fingerprint, minhash_dedup, packing, quality_lm, secret_scan, substring_dedup, toxicity, url_filter
+from crewspark.llm import chat_repair, decontamination, fingerprint, merkle, minhash_dedup, packing, quality_lm, secret_scan, substring_dedup, toxicity, url_filter
 from crewspark.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = merkle.prove(merkle.manifest(table(spark, sf_dir, "documents"), merkle.lowered_copy()))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_siblings")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in sorted(globals().items(), key=lambda x: x[0]) if n.startswith("op") and callable(f)}
 
@@ -64,7 +69,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Words of the documents and what the three exact contracts say of them, as they are stated: windows and
 #: shingles as texts, grouped and joined.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+
+def _crc32(decimal: str) -> str:
+    """crc32 of a string of ASCII characters, by bits: each byte is followed by eight shifts."""
+    steps = f"flatten(list_transform(string_split({decimal}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda a, b: {shift}), 4294967295)"
+
+
+def _merkle_sql() -> str:
+    """Level by level: runs of 16 become their digest, a tree's last node stays; walks fold up to it."""
+
+    def part(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({part('doc_id')} || {part('source')} || {part('lang')} || {part('n_chars')} || {part(text)})"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"""d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS h,
+            CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS got FROM documents)""",
+        "src AS MATERIALIZED (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents))",
+        """n0 AS MATERIALIZED (SELECT r, tree, h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i
+            FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source)""",
+        "w0 AS MATERIALIZED (SELECT r, tree, i, got AS cur, '' AS proof FROM n0 JOIN d USING (r))",
+    ]
+    for level in range(8):
+        a, b = level, level + 1
+        if level == 5:  # five levels hold a million leaves of a source; now the subroots are leaves
+            ctes.append("n5t AS MATERIALIZED (SELECT 0 AS tree, tree AS i, h FROM n5)")
+            ctes.append("w5t AS MATERIALIZED (SELECT w.r, 0 AS tree, w.tree AS i, w.cur, w.proof FROM w5 AS w)")
+        t = "t" if level == 5 else ""
+        ctes += [
+            f"""g{b} AS MATERIALIZED (SELECT tree, i // 16 AS p, list(h ORDER BY i) AS hs, any_value(n) AS n
+                FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM n{a}{t}) GROUP BY tree, i // 16)""",
+            f"n{b} AS MATERIALIZED (SELECT tree, p AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM g{b})",
+            f"""w{b} AS MATERIALIZED (SELECT r, w.tree, p AS i,
+                CASE WHEN n = 1 THEN cur ELSE sha256(array_to_string(hs[:i % 16], '') || cur || array_to_string(hs[i % 16 + 2:], '')) END AS cur,
+                CASE WHEN n = 1 THEN proof ELSE proof || array_to_string(hs[:i % 16], '') || array_to_string(hs[i % 16 + 2:], '') END AS proof
+                FROM w{a}{t} AS w JOIN g{b} AS g ON w.tree = g.tree AND w.i // 16 = g.p)""",
+        ]
+    return f"""WITH {", ".join(ctes)}
+        SELECT d.doc_id, d.h AS leaf, n5.h AS subroot, n8.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = n8.h AS verified,
+            strlen(proof) // 64 AS n_siblings
+        FROM d JOIN n0 USING (r) JOIN n5 ON n0.tree = n5.tree JOIN w8 USING (r), n8"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op7_substring_dedup": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         place AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35),
