@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewspark.llm import chat_repair, decontamination, fingerprint, merkle, minhash_dedup, packing, quality_lm, secret_scan, substring_dedup, toxicity, url_filter
+from crewspark.llm import chat_repair, decontamination, fingerprint, license_scan, merkle, minhash_dedup, packing, prefix_trie, quality_lm, secret_scan, substring_dedup, toxicity, url_filter
 from crewspark.llm.common import table
 
 
@@ -62,6 +62,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_siblings")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in sorted(globals().items(), key=lambda x: x[0]) if n.startswith("op") and callable(f)}
 
@@ -118,8 +126,49 @@ def _merkle_sql() -> str:
         FROM d JOIN n0 USING (r) JOIN n5 ON n0.tree = n5.tree JOIN w8 USING (r), n8"""
 
 
+def _license_sql() -> str:
+    """Phrases by comparing words in place; templates as regular expressions over a text's words."""
+
+    def wording(label: str, template: str) -> str:
+        items = license_scan.parse(template)
+        return f"CASE WHEN regexp_matches(x, ' {license_scan.as_regex(items)}') THEN {{'label': '{label}', 'size': {license_scan.mandatory(items)}}} END"
+
+    known = ", ".join(wording(*t) for t in [*license_scan.PHRASES, *license_scan.TEMPLATES])
+    places = " UNION ALL ".join(
+        f"SELECT r, k, '{label}' AS label FROM each WHERE w[k:k + {len(p.split()) - 1}] = {p.split()}" for label, p in license_scan.PHRASES
+    )
+    return rf"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        each AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+        base AS (SELECT r, count(*) AS n_base, min(k) - 1 AS first_word, max(k) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+            FROM ({places}) GROUP BY r),
+        m AS (SELECT r, list_filter([{known}], lambda c: c IS NOT NULL) AS found FROM (SELECT r, ' ' || array_to_string(w, ' ') || ' ' AS x FROM d))
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+            array_to_string(list_sort(list_distinct(list_transform(found, lambda c: c.label))), ',') AS labels,
+            CASE WHEN len(found) > 0 THEN CAST(list_max(list_transform(found, lambda c: c.size)) AS DOUBLE) / len(w) ELSE 0.0::DOUBLE END AS score
+        FROM d LEFT JOIN base USING (r) JOIN m USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_license_scan": _license_sql(),
     "op11_merkle_manifest": _merkle_sql(),
+    "op13_prefix_trie": f"""
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k,
+            {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, list(x ORDER BY k) AS xs FROM t GROUP BY conv_id),
+        c AS (SELECT o.conv_id, CASE WHEN o.conv_id % 5 = 0 THEN o.xs
+            ELSE list_concat(coalesce(b.xs, [])[:h], o.xs[h + 1:]) END AS xs
+            FROM (SELECT *, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM o) AS o LEFT JOIN o AS b ON b.conv_id = o.conv_id - o.conv_id % 5),
+        p AS MATERIALIZED (SELECT conv_id, d, len(xs) = d AS over, sha256(CAST(xs[:d] AS VARCHAR)) AS own, CASE WHEN d > 0 THEN sha256(CAST(xs[:d - 1] AS VARCHAR)) END AS up,
+            CASE WHEN d > 0 THEN strlen(xs[d].text) ELSE 0 END AS size FROM (SELECT conv_id, xs, unnest(range(len(xs) + 1)) AS d FROM c)),
+        n AS MATERIALIZED (SELECT d, own, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (over), '')) AS ends_sha256 FROM p GROUP BY d, own),
+        kids AS (SELECT d - 1 AS d, up AS own, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+        below AS (SELECT p.d, p.own, sum(v.saved) AS saved_tokens, count(*) FILTER (k.own IS NULL) AS n_leaves
+            FROM n AS v JOIN p ON p.conv_id = v.conv_id AND p.d <= v.d LEFT JOIN kids AS k ON k.d = v.d AND k.own = v.own GROUP BY p.d, p.own)
+        SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+            CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN below USING (d, own) LEFT JOIN kids USING (d, own) LEFT JOIN n AS u ON u.d = n.d - 1 AND u.own = n.up""",
     "op7_substring_dedup": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         place AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35),
