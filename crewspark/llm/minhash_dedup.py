@@ -29,7 +29,7 @@ from crewspark.shipping import ship
 BANDS = 12
 #: Bound of the probability that a pair at the threshold shares no table.
 MISSED = 0.001
-#: Rows of candidate ids up to which they are broadcast to pick texts (24 bytes each).
+#: Rows of candidate ids up to which they are broadcast to pick texts (32 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Shingles of the texts of one block of pairs that are compared together.
 BLOCK_SHINGLES = 200_000
@@ -268,11 +268,11 @@ def by_differences(pairs: DataFrame, texts: DataFrame, w: int, percent: int) ->
 
 
 def link(classes: DataFrame, texts_of, w: int, percent: int) -> DataFrame:
-    """cls, comp for all classes that have a link.  classes: cls, doc_id, n_shingles, bands."""
+    """cls, comp for all classes that have a link.  classes: cls, doc_id, txt, n_shingles, bands."""
     members = buckets(classes)
     named = members.groupBy("cls").agg(F.sum("n").alias("reach"))
-    info = stage(classes.join(named, "cls").select("cls", "doc_id", "n_shingles", "reach"))
-    texts = stage(texts_of(info.select("cls", "doc_id")))
+    info = stage(classes.join(named, "cls").select("cls", "doc_id", "txt", "n_shingles", "reach"))
+    texts = stage(texts_of(info.select("cls", "doc_id", "txt")))
     labels = None
     for turn in range(ROUNDS + 1):
         if labels is None:
@@ -316,12 +316,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     drawn = stage(sketches(texts, shingle, rows))
     some = drawn.where("n_shingles > 0")
-    classes = stage(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1).cast("long"))).alias("x")).select("cls", "doc_id", "x.*"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "txt")
+    classes = stage(some.groupBy("cls").agg(F.min_by(F.struct("doc_id", "txt", "n_shingles", "bands"), first).alias("x")).select("cls", "x.*"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """cls, text of the wanted classes (cls, doc_id); an id may have several texts."""
+        """cls, text of the wanted classes (cls, doc_id, txt); an id may have several texts, of which
+        some may (but hardly will) share a hash."""
         own = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        found = texts.join(own, texts["doc_id"].eqNullSafe(own["doc_id"])).select("cls", "text")
+        found = texts.join(own, texts["doc_id"].eqNullSafe(own["doc_id"]) & (F.xxhash64("text") == own["txt"])).select("cls", "text")
 
         def same(batch):
             ids = set_ids(*shingle_sets(batch.column(1), shingle))

@@ -269,7 +269,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words = map_in_arrow(ordered.select("z", "segs"), payload, sent)
     ranges = words.groupBy("shard").applyInArrow(search, "anchor long, seg long, seg2 long, n int, lo long, hi long")
     begin = F.floor(F.col("place") / PLACE)
-    covered = repeated.join(ranges, ["anchor", "seg", "seg2", "n"]).select("id", "txt", (begin + F.col("lo")).alias("a"), (begin + F.col("hi") + window - 1).alias("b"))
+    covered = repeated.join(ranges, ["anchor", "seg", "seg2", "n"]).select("id", "txt", (begin + F.col("lo")).alias("a"), (begin + F.col("hi") + window - 1).alias("b")).distinct()
     lists = covered.groupBy("id", "txt").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
     final = dealt.join(lists, ["id", "txt"], "left").select("doc_id", "z", "cover")
     kinds = "doc_id long, n_words long, n_removed long, kept string"

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from crewspark.llm import license_scan, merkle, prefix_trie
+from crewspark.llm import license_scan, merkle, minhash_dedup, prefix_trie, substring_dedup
 from tests.llm.conftest import words
 
 
@@ -254,3 +254,18 @@ def test_long_lists_of_ends(spark):
     got = {r.depth: r for r in prefix_trie.prefix_trie(frame).collect()}
     assert got[1].n_convs == n and got[1].saved_tokens == 4 * (n - 1) == got[0].saved_tokens
     assert got[1].ends_sha256 == sha(",".join(str(5 * i) for i in range(n))) and got[0].ends_sha256 == sha("")
+
+
+def test_many_copies_and_null_ids(make_docs):
+    """2,000 copies of one row, and as many different texts without ids: each is counted once a row."""
+    rng = random.Random(13)
+    text = words(rng, 60)
+    copies = make_docs([(7, text)] * 2_000 + [(8, words(rng, 60))]).repartition(4)
+    kept = substring_dedup.deduplicate(copies)
+    assert {(r.doc_id, r.n_words, r.n_removed, r["count"]) for r in kept.groupBy("doc_id", "n_words", "n_removed").count().collect()} == {(7, 60, 60, 2_000), (8, 60, 0, 1)}
+    near = minhash_dedup.near_duplicates(copies)
+    assert {(r.doc_id, r.kept, r["count"]) for r in near.groupBy("doc_id", "kept").count().collect()} == {(7, True, 2_000), (8, True, 1)}
+    base = [words(rng, 60, [f"w{i}" for i in range(300)]) for _ in range(1_000)]
+    pairs = make_docs([(None, b + end) for b in base for end in ("", " more")])
+    found = minhash_dedup.near_duplicates(pairs)
+    assert found.count() == 2_000 and found.select("component").distinct().count() == 1_000
