@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewspark.functions import geometry
+from crewspark.storage import rewritten
 
 #: The least score of a match, its lead, and the shorter lead of an exact match.
 LEAST, LEAD, EXACT, EXACT_LEAD = 70, 25, 100, 10
@@ -67,6 +68,53 @@ def only_candidate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return one.select(*[F.col(c) if c in keys else F.col(f"__row.{c}") for c in df.columns])
 
 
+def greedy_edges(edges: DataFrame, left: str, right: str, order: Sequence[Column]) -> DataFrame:
+    """One-to-one choice of edges in a total order, as if they were taken one by one and each end once.
+
+    An edge that is the best one of both its ends is certain to be taken, wherever it stands: nothing
+    before it in the order touches its ends.  Such edges are taken together, those that touch them go,
+    and so on; each round reduces the edges by two aggregates, and no key is one task.  order: the best
+    first (ties: the least ends); an edge occurs once.
+    """
+    rank = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
+    rest = rewritten(edges.withColumn("__rank", rank))
+    out = []
+    while not rest.isEmpty():
+        best = [rest.groupBy(end).agg(F.min("__rank").alias("__rank")).select("__rank.l", "__rank.r") for end in (left, right)]
+        taken = rewritten(best[0].join(best[1], ["l", "r"]))
+        out.append(taken)
+        rest = rest.join(taken.select(F.col("l").alias(left)), left, "left_anti").join(taken.select(F.col("r").alias(right)), right, "left_anti")
+        rest = rewritten(rest)
+    if not out:
+        return edges.limit(0)
+    found = out[0]
+    for more in out[1:]:
+        found = found.union(more)
+    found = found.toDF("__l", "__r")
+    return edges.join(found, (F.col(left) == F.col("__l")) & (F.col(right) == F.col("__r"))).drop("__l", "__r")
+
+
+def fallback_join(left: DataFrame, right: DataFrame, keys: Sequence[str], second: Sequence[str], order: str) -> DataFrame:
+    """id, other, by ("key", "name" or null): each left row (id, keys, second keys) gets the right row of its
+    keys, and where there is none that of its second keys; right rows are used once, the first by
+    order of both sides, those taken by keys before all others.
+
+    Rows of a key meet by their places in it, as many as the shorter side has.
+    """
+    out, a, b = None, left, right
+    for by, own in (("key", list(keys)), ("name", list(second))):
+        known = F.lit(True)
+        for k in own:
+            known = known & F.col(k).isNotNull()
+        place = F.row_number().over(Window.partitionBy(*own).orderBy(order, "id"))
+        x = a.where(known).select("id", *own, place.alias("__k"))
+        y = b.where(known).select(F.col("id").alias("other"), *own, place.alias("__k"))
+        met = rewritten(x.join(y, [*own, "__k"]).select("id", "other", F.lit(by).alias("by")))
+        out = met if out is None else out.union(met)
+        a, b = a.join(met.select("id"), "id", "left_anti"), b.join(met.select(F.col("other").alias("id")), "id", "left_anti")
+    return left.select("id").join(out, "id", "left")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
     """For each left row (keys, id, x, y) the nearest right row (keys, id, x, y) closer than the
     radius; the lesser id wins among equals.

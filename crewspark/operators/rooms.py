@@ -85,3 +85,54 @@ def matched(candidates: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> D
     sure = F.col("exact") & (F.col("score") >= EXACT)
     clear = F.when(sure, (lead >= EXACT_LEAD) | (next_score < LEAST)).when(~F.col("exact") & F.col("by_name") & F.col("by_area"), lead >= LEAD).otherwise((F.col("score") >= LEAST) & (lead >= LEAD))
     return best.where((F.col("score") >= LEAST) & clear)
+
+
+def candidates(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, id, other: all pairs of rooms (keys, id, room) that can score enough, and few others.
+
+    A score is only enough with equal numbers, with areas as good as equal, with equal names near each
+    other in place, or with equal names whose areas don't rule them out.  Each of these is a join on
+    equality: numbers; cells of area with the storey; names with cells of place; names with wider cells of
+    area, or with the storey where an area isn't known.  Cells are joined with their neighbours.
+    """
+
+    def known(side: DataFrame, name: str) -> DataFrame:
+        r = F.col("room")
+        return side.select(
+            *keys, F.col("id").alias(name), repaired_room_number(F.coalesce(r["number"], F.lit(""))).alias("number"), folded(F.coalesce(r["name"], F.lit(""))).alias("name"),
+            folded(F.coalesce(r["floor"], F.lit(""))).alias("floor"), r["area"].cast("double").alias("area"), r["x"].cast("double").alias("x"), r["y"].cast("double").alias("y"),
+        )
+
+    a, b = known(left, "id"), known(right, "other")
+    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+
+    def cells(side: DataFrame, column: str, width: float, spread: bool) -> DataFrame:
+        at = F.floor(F.col(column) / width)
+        return side.where(F.col(column).isNotNull()).withColumn(f"c_{column}", F.explode(F.transform(around, lambda d: at + d)) if spread else at)
+
+    blank = F.col("floor").isin("", "onbekend")
+    # a known storey meets its like and unknown ones, an unknown one meets all
+    ours = a.withColumn("level", F.explode(F.when(blank, F.array(F.lit("*"))).otherwise(F.array("floor", F.lit("?")))))
+    theirs = b.withColumn("level", F.explode(F.when(blank, F.array(F.lit("?"), F.lit("*"))).otherwise(F.array("floor", F.lit("*")))))
+    named_a, named_b = a.where("name <> ''"), b.where("name <> ''")
+    ways = [
+        (a.where("number <> ''"), b.where("number <> ''"), ["number"]),
+        (cells(ours, "area", AREA_NEAR + 0.01, True), cells(theirs, "area", AREA_NEAR + 0.01, False), ["level", "c_area"]),
+        (cells(cells(named_a, "x", PLACE_NEAR, True), "y", PLACE_NEAR, True), cells(cells(named_b, "x", PLACE_NEAR, False), "y", PLACE_NEAR, False), ["name", "c_x", "c_y"]),
+        (cells(named_a, "area", AREA_OFF + 0.01, True), cells(named_b, "area", AREA_OFF + 0.01, False), ["name", "c_area"]),
+        (named_a.where("area IS NULL"), named_b, ["name", "floor"]),
+        (named_a.where("area IS NOT NULL"), named_b.where("area IS NULL"), ["name", "floor"]),
+    ]
+    out = None
+    for x, y, on in ways:
+        met = x.select(*keys, *on, "id").join(y.select(*keys, *on, "other"), [*keys, *on]).select(*keys, "id", "other")
+        out = met if out is None else out.union(met)
+    return out.distinct()
+
+
+def identified(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, id, other, score, exact: the rooms (keys, id, room) of the left side that are one of the right's."""
+    one = left.select(*keys, "id", F.col("room").alias("a"))
+    two = right.select(*keys, F.col("id").alias("other"), F.col("room").alias("b"))
+    pairs = candidates(left, right, keys).join(one, [*keys, "id"]).join(two, [*keys, "other"])
+    return matched(scored(pairs), [*keys, "id"], ["other"]).select(*keys, "id", "other", "score", "exact")

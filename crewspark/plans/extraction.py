@@ -196,5 +196,4 @@ def room_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = q.select("project", (F.col("item") * 8 + F.col("room")).alias("id"), (F.col("kind") == "N").alias("host"), F.struct(
         floor.alias("floor"), number.alias("number"), name.alias("name"), "area", page.alias("page"), (k(50) * 10.0).alias("x"), F.lit(0.0).alias("y")
     ).alias("room"))
-    pairs = r.where("host").select("project", "id", F.col("room").alias("a")).join(r.where("NOT host").select("project", F.col("id").alias("other"), F.col("room").alias("b")), "project")
-    return rooms.matched(rooms.scored(pairs), ["project", "id"], ["other"]).select("project", "id", "other", "score", "exact")
+    return rooms.identified(r.where("host"), r.where("NOT host"), ["project"])
