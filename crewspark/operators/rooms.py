@@ -88,12 +88,13 @@ def matched(candidates: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> D
 
 
 def candidates(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, id, other: all pairs of rooms (keys, id, room) that can score enough, and few others.
+    """keys, id, other: all pairs of rooms (keys, id, room) that score above LEAST - LEAD, and few others: those
+    below are neither a match nor a next best that undoes one.
 
-    A score is only enough with equal numbers, with areas as good as equal, with equal names near each
-    other in place, or with equal names whose areas don't rule them out.  Each of these is a join on
-    equality: numbers; cells of area with the storey; names with cells of place; names with wider cells of
-    area, or with the storey where an area isn't known.  Cells are joined with their neighbours.
+    Such a score needs equal numbers, areas as good as equal, names alike and near each other in place, or
+    equal names whose areas don't rule them out.  Each of these is a join on equality: numbers; cells of
+    area, or of place, with the storey; names with wider cells of area, or with the storey where an area
+    isn't known.  Cells are joined with their neighbours.
     """
 
     def known(side: DataFrame, name: str) -> DataFrame:
@@ -114,14 +115,15 @@ def candidates(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     # a known storey meets its like and unknown ones, an unknown one meets all
     ours = a.withColumn("level", F.explode(F.when(blank, F.array(F.lit("*"))).otherwise(F.array("floor", F.lit("?")))))
     theirs = b.withColumn("level", F.explode(F.when(blank, F.array(F.lit("?"), F.lit("*"))).otherwise(F.array("floor", F.lit("*")))))
-    named_a, named_b = a.where("name <> ''"), b.where("name <> ''")
+    named = "name <> ''"
+    near = lambda side, spread: cells(cells(side.where(named), "x", PLACE_NEAR, spread), "y", PLACE_NEAR, spread)
     ways = [
         (a.where("number <> ''"), b.where("number <> ''"), ["number"]),
         (cells(ours, "area", AREA_NEAR + 0.01, True), cells(theirs, "area", AREA_NEAR + 0.01, False), ["level", "c_area"]),
-        (cells(cells(named_a, "x", PLACE_NEAR, True), "y", PLACE_NEAR, True), cells(cells(named_b, "x", PLACE_NEAR, False), "y", PLACE_NEAR, False), ["name", "c_x", "c_y"]),
-        (cells(named_a, "area", AREA_OFF + 0.01, True), cells(named_b, "area", AREA_OFF + 0.01, False), ["name", "c_area"]),
-        (named_a.where("area IS NULL"), named_b, ["name", "floor"]),
-        (named_a.where("area IS NOT NULL"), named_b.where("area IS NULL"), ["name", "floor"]),
+        (near(ours, True), near(theirs, False), ["level", "c_x", "c_y"]),
+        (cells(a.where(named), "area", AREA_OFF + 0.01, True), cells(b.where(named), "area", AREA_OFF + 0.01, False), ["name", "c_area"]),
+        (ours.where(named).where("area IS NULL"), theirs.where(named), ["name", "level"]),
+        (ours.where(named).where("area IS NOT NULL"), theirs.where(named).where("area IS NULL"), ["name", "level"]),
     ]
     out = None
     for x, y, on in ways:

@@ -24,14 +24,10 @@ def test_candidates_hold_all_that_can_score(spark):
     rng = random.Random(3)
     left, right = (spark.createDataFrame(some_rooms(rng, 150, k), ROOM).cache() for k in (0, 1000))
     every = left.select("project", "id", F.col("room").alias("a")).join(right.select("project", F.col("id").alias("other"), F.col("room").alias("b")), "project")
-    enough = rooms.scored(every).where("reject IS NULL AND score >= 70")
-    met = rooms.candidates(left, right, ["project"])
-    assert enough.select("project", "id", "other").exceptAll(met).count() == 0
-    # a score below 70 counts only as the next best, where it can't undo a match with a lead
-    want = {tuple(r) for r in rooms.matched(rooms.scored(every).where("score >= 70"), ["project", "id"], ["other"]).select("project", "id", "other", "score").collect()}
-    got = {tuple(r) for r in rooms.identified(left, right, ["project"]).select("project", "id", "other", "score").collect()}
-    assert want and {r[:3] for r in got} <= {r[:3] for r in want}
-    assert got == {tuple(r) for r in rooms.matched(rooms.scored(every), ["project", "id"], ["other"]).select("project", "id", "other", "score").collect()}
+    enough = rooms.scored(every).where("reject IS NULL AND score > 45")
+    assert enough.select("project", "id", "other").exceptAll(rooms.candidates(left, right, ["project"])).count() == 0
+    want = rooms.matched(rooms.scored(every), ["project", "id"], ["other"]).select("project", "id", "other", "score").collect()
+    assert want and sorted(rooms.identified(left, right, ["project"]).drop("exact").collect()) == sorted(want)
 
 
 def test_few_candidates_in_one_large_project(spark):
