@@ -26,6 +26,17 @@ def names_alike(a: Column, b: Column) -> Column:
     return ~a.rlike(GENERIC) & ~b.rlike(GENERIC) & ((a == b) | like)
 
 
+def alike_keys(name: Column, within: bool) -> Column:
+    """Keys of a name (folded); two names that are alike share one of the one's with within and of the
+    other's without, or the other way round: the first five letters of the shorter are in the longer one,
+    names that are off by a letter are equal without one, and equal but for runs of a letter."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    five = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 4, F.lit(1))), lambda i: F.concat(F.lit("5"), F.substr(name, i, F.lit(5))))
+    without = F.transform(at, lambda i: F.concat(F.lit("-"), F.left(name, i - 1), F.substr(name, i + 1)))
+    same = F.array(F.concat(F.lit("-"), name), F.concat(F.lit("="), loose_name(F.regexp_replace(name, "[^a-z]", ""))))
+    return F.array_distinct(F.concat(same, without, five if within else F.slice(five, 1, 1)))
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """pairs (a, b: struct<floor, number, name, area, page, x, y>) with score, reject (the reason, null if
     none), exact (equal numbers), and by_name and by_area (what else agrees)."""
