@@ -1,6 +1,6 @@
 """Queries over the driver's tables, and the SQL that checks them."""
 
-from crewspark.plans import assembly, billing, capacity, documents, extraction, lists, planning, predicates, production, products, room_sources, rules, streams, takeoff
+from crewspark.plans import assembly, billing, capacity, documents, extraction, lists, planning, predicates, production, products, room_sources, rules, site_texts, streams, takeoff
 from crewspark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "billing", "capacity", "documents", "extraction", "lists", "planning", "predicates", "production", "products", "room_sources", "rules", "streams", "takeoff"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "billing", "capacity", "documents", "extraction", "lists", "planning", "predicates", "production", "products", "room_sources", "rules", "site_texts", "streams", "takeoff"]
