@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crewspark.operators.sequences import ordered_fold
 from crewspark.storage import rewritten
 
 
@@ -40,10 +41,8 @@ def enriched(rows: DataFrame, hints: DataFrame, keys: Sequence[str], columns: Se
 def merged_tasks(df: DataFrame, keys: Sequence[str], order: Sequence[str], quantity: str, tolerance: float) -> DataFrame:
     """One quantity a key, from its parts in order: an equal one counts once, a smaller one of the
     same task is part of what is there, a larger one takes its place."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, quantity))).alias("rows"))
-    kind = df.schema[quantity].dataType
-    step = lambda s, v: F.when(s.isNull(), v).when(v.isNull() | (v <= s + tolerance), s).otherwise(v).cast(kind)
-    return rows.select(*keys, F.aggregate(F.transform("rows", lambda r: r[quantity]), F.lit(None).cast(kind), step).alias(quantity), F.size("rows").alias("parts"))
+    step = lambda s, v: v if s is None else s if v is None or v <= s + tolerance else v
+    return ordered_fold(df, keys, order, quantity, step)
 
 
 def first_positive(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

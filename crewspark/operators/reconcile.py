@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crewspark.functions.numbers import near
+from crewspark.operators.sequences import ordered_fold
 
 #: Numbers of a diff are equal within this.
 EQUAL = 0.005
@@ -55,7 +56,5 @@ def gate(df: DataFrame, keys: Sequence[str], rules: dict[str, tuple[str, Column]
 def collapse_near(df: DataFrame, keys: Sequence[str], order: str, value: str, tolerance: float = 0.05) -> DataFrame:
     """Sum of the values of each key in order, where one that equals the running value (within the
     tolerance) is a repetition and not added."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("rows"))
-    zero = F.lit(None).cast(df.schema[value].dataType)
-    total = F.aggregate(F.transform("rows", lambda r: r[value]), zero, lambda s, v: F.when(s.isNull(), v).when(v.isNull() | (F.abs(s - v) <= tolerance), s).otherwise((s + v).cast(df.schema[value].dataType)))
-    return rows.select(*keys, total.alias(value))
+    step = lambda s, v: v if s is None else s if v is None or abs(s - v) <= tolerance else s + v
+    return ordered_fold(df, keys, [order], value, step).select(*keys, value)

@@ -6,11 +6,14 @@ import heapq
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from crewspark.operators.matching import first_rows
-from crewspark.shipping import ship
+from crewspark.shipping import map_in_arrow, ship
 from crewspark.storage import rewritten
 
 
@@ -82,15 +85,48 @@ def carry_down(df: DataFrame, keys: Sequence[str], order: str, header: Column, o
 
 def remembered(df: DataFrame, keys: Sequence[str], order: Sequence[str], role: str) -> DataFrame:
     """A memory of roles: the same role strengthens it; another one replaces it only while its
-    strength is 1 or less, and weakens nothing."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, role))).alias("rows"))
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.lit(0).alias("strength"))
+    strength is 1 or less, and weakens nothing.
+
+    So the first role that comes twice running stays for good, and each later row of it counts; without
+    one the last role stays.  Running windows find it; no list of a key's rows is made.  Rows of one
+    order are taken by role.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order, role)
+    one = F.struct(F.col(role).alias("role"))  # a null role is one too
+    own = df.withColumns({"__r": one, "__again": one == F.lag(one).over(w)})
+    kept = F.first(F.when(F.col("__again"), F.col("__r")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    each = own.withColumn("__kept", kept).groupBy(*keys)
+    total = each.agg(F.max("__kept").alias("__k"), F.count_if(F.col("__r") == F.col("__kept")).alias("__n"), F.max_by("__r", F.struct(*order, role)).alias("__last"))
+    return total.select(*keys, F.coalesce("__k", "__last")["role"].alias("role"), F.when(F.col("__k").isNull(), 1).otherwise(F.col("__n") + 1).cast("int").alias("strength"))
 
-    def step(m, x):
-        same = m["role"].eqNullSafe(x[role])
-        return F.when(same, F.struct(m["role"].alias("role"), (m["strength"] + 1).alias("strength"))).when(m["strength"] <= 1, F.struct(x[role].alias("role"), F.lit(1).alias("strength"))).otherwise(m)
 
-    return rows.withColumn("m", F.aggregate("rows", start, step)).select(*keys, "m.role", "m.strength")
+def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, step) -> DataFrame:
+    """keys, value, parts: step(state, value) over each key's rows in order, from None; parts counts rows.
+
+    For folds that depend on the order and have no shorter form.  Each task reads its sorted rows once and
+    keeps one state, however many rows a key has; a key's fold itself is sequential.
+    """
+    own = df.select(*keys, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], value)
+    dealt = own.repartition(*keys).sortWithinPartitions(*keys, *[f"__o{i}" for i in range(len(order))], value).select(*keys, value)
+    schema = StructType([*dealt.schema.fields[:-1], dealt.schema.fields[-1], StructField("parts", LongType())])
+    types = to_arrow_schema(schema)
+
+    def run(batches):
+        now, state, n = None, None, 0
+        for batch in batches:
+            out = []
+            for *key, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now != key:
+                    if now is not None:
+                        out.append((*now, state, n))
+                    now, state, n = key, None, 0
+                state, n = step(state, v), n + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], type=f.type) for c, f in zip((*now, state, n), types, strict=True)], schema=types)
+
+    return map_in_arrow(dealt, run, schema)
 
 
 def greedy_pairs(df: DataFrame, keys: Sequence[str], left: str, right: str, score: str) -> DataFrame:

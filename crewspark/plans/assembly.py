@@ -26,7 +26,8 @@ def positional_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT project, item, CAST(list_reduce(qs, lambda s, v: CASE WHEN v <= s + 5 THEN s ELSE v END) AS BIGINT) AS q, CAST(len(qs) AS INTEGER) AS parts FROM g""")
 def task_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cents(spark, sf_dir).select("project", "item", "room", "q")
-    return assembly.merged_tasks(c, ["project", "item"], ["room"], "q", 5)
+    m = assembly.merged_tasks(c, ["project", "item"], ["room"], "q", 5)
+    return m.select("project", "item", "q", F.col("parts").cast("int").alias("parts"))
 
 
 @query(f"""WITH {CENTS}, n AS (SELECT project, item, max(amount) FILTER (WHERE kind = 'N') AS amount FROM cents GROUP BY 1, 2), h AS (SELECT item, min_by(amount, project * 10 + room) AS amount FROM cents WHERE kind = 'R' GROUP BY 1)
