@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import csv
 import io
+import zipfile
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewspark.shipping import ship
 
-#: Larger files are no sheets; they are reported, not read.
+#: The largest file that is read; what a file grows to when it is read, and the part of a task's memory it may take.
 MAX_BYTES = 80 * 1024 * 1024
+GROWS, HEADROOM = 8.0, 0.90
 DELIMITERS = ";,\t"
-ROWS = "file string, sheet string, row_no int, cells array<string>"
+ROWS = "file string, sheet string, row_no int, cells array<string>, error string"
 
 
 def decoded(raw: bytes) -> str:
@@ -39,23 +42,44 @@ def cells_of(raw: bytes) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text), delimiter=delimiter_of(text.split("\n", 1)[0])))
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and content of all files below a path; large ones without content."""
+def refusal(length: Column, memory: int | None = None) -> Column:
+    """Why a file of a length isn't read, or null: too large, or larger than a task's memory once read."""
+    grown = F.lit(False) if memory is None else F.round(length * GROWS) > round(memory * HEADROOM)
+    return F.when(length > MAX_BYTES, F.format_string("%d bytes, more than %d", length, F.lit(MAX_BYTES))).when(grown, F.format_string("%d bytes, too many for the memory", length))
+
+
+def files(spark: SparkSession, path: str, memory: int | None = None) -> DataFrame:
+    """path, length, content and error of all files below a path; files that are refused have no content
+    (which isn't read then) but an error."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.select("path", "length", F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
+    why = refusal(F.col("length"), memory)
+    return found.select("path", "length", F.when(why.isNull(), F.col("content")).alias("content"), why.alias("error"))
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """file, sheet (null), row_no from 1, cells: all rows of all files, empty rows too."""
+def read_rows(spark: SparkSession, path: str, memory: int | None, rows_of: Callable[[bytes], list[tuple] | None]) -> DataFrame:
+    """file, sheet, row_no, cells and error (null) of all files; one row with an error for a file that isn't read
+    or can't be.  rows_of: sheet, row_no and cells of a file's rows; None for files to pass over."""
     ship(spark)
+    columns = [c.split(" ")[0] for c in ROWS.split(", ")]
 
     def read(batches):
         for pdf in batches:
             for file, raw in zip(pdf["path"], pdf["content"], strict=True):
-                rows = cells_of(bytes(raw))
-                yield pd.DataFrame({"file": [file] * len(rows), "sheet": [None] * len(rows), "row_no": range(1, len(rows) + 1), "cells": rows})
+                try:
+                    rows = [(file, *r, None) for r in rows_of(bytes(raw)) or ()]
+                except (ValueError, KeyError, SyntaxError, csv.Error, zipfile.BadZipFile) as e:  # what damaged files raise
+                    rows = [(file, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=columns).astype({"row_no": "Int32"})
+
+    found = files(spark, path, memory)
+    refused = found.where("error IS NOT NULL").select(F.col("path").alias("file"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in ROWS.split(", ")[1:-1])], "error")
+    return found.where("content IS NOT NULL").select("path", "content").mapInPandas(read, ROWS).unionByName(refused)
+
 
-    return files(spark, path).where("content IS NOT NULL").select("path", "content").mapInPandas(read, ROWS)
+def read_delimited(spark: SparkSession, path: str, memory: int | None = None) -> DataFrame:
+    """file, sheet (null), row_no from 1, cells, error: all rows of all files, empty rows too; files that
+    are refused or damaged have one row with an error.  memory: bytes that a task has, if that counts."""
+    return read_rows(spark, path, memory, lambda raw: [(None, n, cells) for n, cells in enumerate(cells_of(raw), 1)])
 
 
 def long_cells(rows: DataFrame) -> DataFrame:

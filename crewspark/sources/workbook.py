@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from crewspark.shipping import ship
-from crewspark.sources.delimited import ROWS, files
+from crewspark.sources.delimited import read_rows
 
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -60,19 +60,11 @@ def sheets_of(raw: bytes) -> list[tuple[str, int, list[str]]]:
     return out
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """file, sheet, row_no, cells: all rows of all sheets of the workbooks below a path; files that
-    aren't workbooks (by their first two bytes) are passed over."""
-    ship(spark)
-
-    def read(batches):
-        for pdf in batches:
-            for file, raw in zip(pdf["path"], pdf["content"], strict=True):
-                if bytes(raw[:2]) == b"PK":
-                    rows = sheets_of(bytes(raw))
-                    yield pd.DataFrame({"file": [file] * len(rows), "sheet": [r[0] for r in rows], "row_no": [r[1] for r in rows], "cells": [r[2] for r in rows]})
-
-    return files(spark, path).where("content IS NOT NULL").select("path", "content").mapInPandas(read, ROWS)
+def read_workbooks(spark: SparkSession, path: str, memory: int | None = None) -> DataFrame:
+    """file, sheet, row_no, cells, error: all rows of all sheets of the workbooks below a path; files that
+    aren't workbooks (by their first two bytes) are passed over, those that are refused or damaged have
+    one row with an error."""
+    return read_rows(spark, path, memory, lambda raw: sheets_of(raw) if raw[:2] == b"PK" else None)
 
 
 def workbook_bytes(sheet: str, header: list[str], rows: list[list]) -> bytes:

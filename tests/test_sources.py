@@ -42,3 +42,44 @@ def test_cards(spark):
     shown = sorted(x.split("FN:")[1].split("\r\n")[0] for (x,) in contacts.contact_cards(people).collect())
     assert shown == ["Ann (2222)", "Bob", "ann (3333)"]
     assert contacts.contact_cards(people.where(F.lit(False))).count() == 0
+
+
+def test_files_that_are_not_read_have_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "small.csv").write_text("a;b\n")
+    (tmp_path / "large.csv").write_text("x" * 2_000)
+    (tmp_path / "middle.csv").write_text("y" * 500)
+    (tmp_path / "broken.xlsx").write_bytes(b"PK not a zip")
+    monkeypatch.setattr(delimited, "MAX_BYTES", 1_000)
+    got = {(r.file.rsplit("/", 1)[1], r.row_no, r.error) for r in delimited.read_delimited(spark, str(tmp_path), memory=3_000).collect() if not r.file.endswith("xlsx")}
+    assert got == {("small.csv", 1, None), ("large.csv", None, "2000 bytes, more than 1000"), ("middle.csv", None, "500 bytes, too many for the memory")}
+    assert {r.error is None for r in delimited.read_delimited(spark, str(tmp_path)).where("file LIKE '%middle.csv'").collect()} == {True}
+    broken = [r for r in workbook.read_workbooks(spark, str(tmp_path)).collect() if r.file.endswith("broken.xlsx")]
+    assert len(broken) == 1 and broken[0].error and broken[0].cells is None
+    assert delimited.long_cells(delimited.read_delimited(spark, str(tmp_path), memory=3_000)).where("file LIKE '%e.csv'").count() == 0
+
+
+def sheet(name, rows):
+    return [(name, "s", i, j, v) for i, row in enumerate(rows, 1) for j, v in enumerate(row, 1) if v is not None]
+
+
+def test_columns_by_contents(spark):
+    from crewspark.sources import columns
+
+    blank = [[f"0{i}.1{i}", "kantoor", "12,5", "m2", "v0" + str(i)] for i in range(1, 5)]
+    titled = [["Meetstaat", None, None], [None, "Oppervlakte", "Vertrek"], ["01-01", "20", "hal"], ["01-02", "21", "gang"], ["Totaal", "41", None]]
+    double = [[f"01-0{i}", "hal", f"02-0{i}", "gang"] for i in range(1, 4)]
+    learned = [["Kolom X", "Bedrag"], ["01-01", "1"], ["01-02", "2"]]
+    same = [["Ruimtenr", "Vloer"], *[[f"01-0{i}", "v05"] for i in range(1, 7)]]
+    rows = [*sheet("blank", blank), *sheet("titled", titled), *sheet("double", double), *sheet("learned", learned), *sheet("same", same)]
+    cells = spark.createDataFrame(rows, "file string, sheet string, row_no int, col_no int, value string")
+    memory = spark.createDataFrame([("kolom x", "room_number"), ("bedrag", "unit")], "header string, role string")
+    got = {}
+    for r in columns.guessed_columns(cells, memory).collect():
+        got.setdefault((r.file, r.part), set()).add((r.header_row, r.role, r.col_no, r.sure))
+    assert got[("blank", 1)] == {(None, "room_number", 1, True), (None, "room_name", 2, True), (None, "floor_finish", 5, True), (None, "unit", 4, True)}
+    assert got[("titled", 1)] == {(2, "room_number", 1, True), (2, "room_name", 3, True), (2, "quantity", 2, True)}
+    assert got[("double", 1)] == {(None, "room_number", 1, True), (None, "room_name", 2, True)}
+    assert got[("double", 2)] == {(None, "room_number", 3, True), (None, "room_name", 4, True)}
+    assert got[("learned", 1)] == {(1, "room_number", 1, True)}  # a memory counts where the contents agree
+    assert got[("same", 1)] == {(1, "room_number", 1, True)}  # one code all along is no finish of rooms
+    assert columns.guessed_columns(cells.limit(0)).count() == 0
