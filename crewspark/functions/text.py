@@ -185,3 +185,28 @@ def date_range_label(start: Column, end: Column) -> Column:
     whole = lambda d: F.date_format(d, "d-M-yyyy")
     head = F.when(F.year(start) != F.year(end), whole(start)).when(F.month(start) != F.month(end), F.date_format(start, "d-M")).otherwise(F.date_format(start, "d"))
     return F.when(end.isNull() | (start == end), whole(start)).otherwise(F.concat(head, F.lit(" t/m "), whole(end)))
+
+
+def floor_from_number(number: Column) -> Column:
+    """The storey that a room's number begins with ("2.14": verdieping 2; "0.03": begane grond), or null."""
+    storey = F.nullif(F.regexp_extract(F.trim(number), r"^(\d{1,2})[.\-]\d+", 1), F.lit("")).cast("int")
+    return F.when(storey == 0, "begane grond").when(storey.isNotNull(), F.concat(F.lit("verdieping "), storey.cast("string")))
+
+
+def undoubled(letters: Column) -> Column:
+    """"hhaall" as "hal": every second letter, where most pairs of letters are equal."""
+    n = F.length(letters)
+    firsts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(2))
+    pairs = F.filter(firsts, lambda i: i < n)
+    same = F.size(F.filter(pairs, lambda i: F.substr(letters, i, F.lit(1)) == F.substr(letters, i + 1, F.lit(1))))
+    even = F.array_join(F.transform(firsts, lambda i: F.substr(letters, i, F.lit(1))), "")
+    return F.when((n >= 4) & (same / F.floor(n / 2) >= 0.55), even).otherwise(letters)
+
+
+def name_in_text(expected: Column, text: Column) -> Column:
+    """Whether a text holds a name by its letters: as they are, with runs of a letter as one, with letters that
+    were drawn twice, or (four letters and more, in a text that isn't much longer) in their order."""
+    a, b = (F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z]", "") for x in (expected, text))
+    in_order = F.rlike(b, F.concat_ws(".*", F.split(a, "")))
+    long = (F.length(a) >= 4) & (F.length(b) <= F.ceil(F.length(a) * 2.6))
+    return (a != "") & (b != "") & (b.contains(a) | F.regexp_replace(b, r"(.)\1+", "$1").contains(a) | undoubled(b).contains(a) | (long & in_order))
