@@ -124,6 +124,9 @@ class Phase:
             if to > k:
                 yield zero + k, zero + to, self.first + w, self.earned(q, w + 1) - self.earned(q, w) + k - have
             k, w, have = to, w + (to == after), after if to == after else have
+            if own * WINDOW < self.total and q + 2 == len(self.below):  # windows that get none of the last queue
+                w = max(w, min(k * self.total // (own * WINDOW), self.full))
+                have = sent(w)
         if k < end:
             shift = self.below[q] - self.earned(q, self.full) - sent(self.full)
             while k < end:
@@ -149,14 +152,48 @@ def phases(sizes: list[int], weights: list[Fraction] | None) -> list[Phase]:
     return out
 
 
+def by_virtual_time(rows: DataFrame) -> DataFrame:
+    """doc_id, source, queue, at (tokens before it), ids of the common queue's documents (with at and all: its
+    place in its source, and that source's tokens).
+
+    A document's time is the share of its source's tokens before it, moved by a part of its own length
+    that hangs on the source, so that sources don't begin together.  Ranges of time are sorted and
+    summed in tasks; only the ranges' sums are added up.
+    """
+    own = pa.schema([(n, ARROW[t]) for n, t in (("range", "long"), ("doc_id", "long"), ("source", "string"), ("queue", "long"), ("sent", "long"), ("n", "long"), ("ids", "binary"))])
+    moved = (F.pmod(F.xxhash64("source"), F.lit(1024)) + 0.5) / 1024
+    timed = rows.select("doc_id", "source", "queue", "at", "n", "ids", ((F.col("at") + F.col("n") * moved) / F.col("all")).alias("time"))
+    order = ["time", "source", "at", "doc_id"]
+
+    def run(batches):
+        part, sent = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = batch.column(3).to_numpy()
+            starts = sent + np.cumsum(sizes) - sizes
+            sent += int(sizes.sum())
+            columns = [np.full(batch.num_rows, part), *[batch.column(i) for i in range(3)], starts, sizes, batch.column(4)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, own, strict=True)], schema=own)
+
+    dealt = timed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "source", "queue", "n", "ids")
+    summed = stage(map_in_arrow(dealt, run, "range long, doc_id long, source string, queue long, sent long, n long, ids binary"))
+    ranges = summed.groupBy("range").agg(F.sum("n").alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = stage(ranges.select("range", base.alias("base")))
+    if bases.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
+    return summed.join(bases, "range").select("doc_id", "source", "queue", (F.col("base") + F.col("sent")).alias("at"), "ids")
+
+
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens.
 
     targets: share of each source in every window; without it, the corpus's own shares.  Sources
-    that aren't named there, or whose share is below one token a window, wait in one common queue.
-    At most 1024 queues can have a share of 1/1024 or more, so that what the driver learns about
-    queues is bounded.  Null sources are "", null texts are empty (one token, the end mark);
-    repeated rows are documents of their own; an empty table gives no pieces.
+    that aren't named there, or whose share is below one token a window, share the last queue, in which
+    documents stand by virtual time: each source's are spread over all of it, so that at any moment what
+    a source has sent is within a document of its share.  At most 1024 queues can have a share of 1/1024
+    or more, so that what the driver learns about queues is bounded.  Null sources are "", null texts
+    are empty (one token, the end mark); repeated rows are documents of their own; an empty table gives
+    no pieces.
     """
     import public_tokenizers
 
@@ -175,11 +212,9 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer_pat
     names = sorted(large, key=lambda s: (-large[s], s))
     sizes = [large[s] for s in names]
     rest = total - sum(sizes)
-    if rest and (not names or targets is not None or rest * WINDOW >= total):
+    if rest:  # last, so that its share may be below a token a window: what it has sent is rounded up
         names.append(None)
         sizes.append(rest)
-    elif rest:
-        sizes[-1] += rest
     weights = None
     if targets is not None:
         whole = Fraction(sum(Fraction(x) for x in targets.values()))
@@ -191,18 +226,16 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer_pat
 
     pairs = [x for s, i in queue_of.items() for x in (F.lit(s), F.lit(i))]
     queue = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(common)) if pairs else F.lit(common)
-    by_queue = by_part.withColumn("queue", queue)
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("queue", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    parts = by_queue.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    bases = stage(
-        by_queue.withColumn("more", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(parts, ["queue", "part"])
-        .select("part", "source", F.col("queue").cast("long").alias("queue"), (F.col("base") + F.col("more")).alias("base"))
-    )
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy("source")
+    bases = stage(by_part.select("part", "source", queue.cast("long").alias("queue"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(all_).alias("all")))
     if bases.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
-    placed = rows.join(bases, ["part", "source"]).select("doc_id", "source", "queue", (F.col("base") + F.col("local_start")).alias("at"), "ids")
+    found = rows.join(bases, ["part", "source"]).withColumn("at", F.col("base") + F.col("local_start"))
+    placed = found.where(F.col("queue") != common) if rest else found
+    placed = placed.select("doc_id", "source", "queue", "at", "ids")
+    if rest:
+        placed = placed.unionByName(by_virtual_time(found.where(F.col("queue") == common)))
     out = pa.schema([(n, ARROW[t]) for n, t in PIECES])
 
     def cut(batches):

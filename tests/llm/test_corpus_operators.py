@@ -97,12 +97,48 @@ def test_packing_to_targets(make_docs):
     assert abs(own["a"] - 768) <= 1
 
 
+def test_many_small_sources_are_spread(make_docs):
+    """3,000 sources below a token a window: in each stretch of windows each is within a document of its share."""
+    rng = random.Random(17)
+    rows = [(i, words(rng, rng.randint(20, 60)), "en", f"s{i % 3000}") for i in range(9000)]
+    rows += [(10_000 + i, words(rng, 2_000), "en", "large") for i in range(150)]
+    got = packing.pack(make_docs(rows).repartition(6)).collect()
+    total, windows = sum(r.length for r in got), max(r.sequence_id for r in got) + 1
+    own = collections.defaultdict(lambda: [0] * (windows // 100 + 1))
+    size, longest = collections.Counter(), collections.Counter()
+    for r in got:
+        own[r.source][r.sequence_id // 100] += r.length
+        size[r.source] += r.length
+        longest[r.source] = max(longest[r.source], r.doc_tokens)
+    assert len(own) == 3001 and windows > 400
+    for s, parts in own.items():
+        sent = 0
+        for i, n in enumerate(parts[:-1]):
+            sent += n
+            assert abs(sent - size[s] * 100 * 1024 * (i + 1) / total) <= longest[s] + 2, s
+    check_packing(got, rows)
+
+
+def test_a_last_queue_below_a_token_a_window():
+    rng = random.Random(3)
+    for sizes in ([500_000, 40], [300_000, 200_000, 1], [10**9, 3], [5_000, 4_000, 7]):
+        (plan,) = packing.phases(sizes, None)
+        q, at, places = len(sizes) - 1, 0, []
+        cuts = sorted({0, sizes[-1], *[rng.randint(0, sizes[-1]) for _ in range(4)]})
+        for a, b in zip(cuts, cuts[1:]):
+            for lo, hi, s, off in plan.pieces(q, a, b):
+                assert lo == at and hi > lo and 0 <= off and off + hi - lo <= 1024
+                at = hi
+                places.append(s)
+        assert at == sizes[-1] and places == sorted(places)
+
+
 def test_phases_hold_every_token_once():
     rng = random.Random(2)
     for _ in range(40):
         sizes = [rng.randint(1, 5000) for _ in range(rng.randint(1, 6))]
         weights = None if rng.random() < 0.4 else [Fraction(rng.randint(1, 9)) for _ in sizes]
-        if weights is None and min(sizes) * 1024 < sum(sizes):
+        if weights is None and min(sizes[:-1], default=1) * 1024 < sum(sizes):
             continue
         places = collections.defaultdict(list)
         plan = packing.phases(sizes, weights)
