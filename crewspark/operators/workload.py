@@ -66,3 +66,45 @@ def fitting_teams(people: DataFrame, keys: Sequence[str]) -> DataFrame:
     each = people.withColumn("__status", status).groupBy(*keys).agg(F.count_if(F.col("__status") == "available").alias("suitable"), F.count("*").alias("total"), F.max("__status").alias("__one"))
     team = F.when(F.col("suitable") > 0, "partial").otherwise("unavailable")
     return each.select(*keys, (F.col("suitable") > 0).alias("selectable"), F.when(F.col("total") > 1, team).otherwise(F.col("__one")).alias("status"), "suitable", "total")
+
+
+def person_weeks(days: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """keys, worked, absence, absence by kind, days away and summary of days (keys, planned, away: hours of absence, kind,
+    structural).  Worked are the planned hours that the absence leaves of a day; structural absence
+    isn't counted as such."""
+    away = F.coalesce("away", F.lit(0))
+    worked = F.greatest(F.lit(0), F.least(F.col("planned"), F.lit(DAY_HOURS) - away))
+    told = F.when(F.col("kind").isNotNull() & ~F.coalesce("structural", F.lit(False)), away).otherwise(0)
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, told)), F.lit(0)).alias(f"away_{k}")
+    sums = days.groupBy(*keys).agg(F.sum(worked).alias("worked"), F.sum(told).alias("absence"), *[of(k) for k in kinds], F.count_if((told > 0) & (worked < HOURS_NEAR)).alias("days_away"))
+    most = F.array_max(F.array(*[F.struct(F.col(f"away_{k}").alias("h"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(kinds)]))
+    summary = F.when(F.col("absence") <= HOURS_NEAR, "present").when(F.col("worked") > HOURS_NEAR, F.concat(F.lit("partly "), most["k"])).otherwise(most["k"])
+    return sums.withColumn("summary", summary)
+
+
+def week_reviews(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, state and reviewed_at of entries (keys, status, reviewed_at): approved if all are, submitted if any
+    is open, else rejected; reviewed at the last review of those that the state rests on."""
+    st = F.col("status")
+    state = F.when(F.bool_and(st == "approved"), "approved").when(F.bool_or(~st.isin("approved", "rejected")), "submitted").otherwise("rejected")
+    at = lambda s: F.max(F.when(st == s, F.col("reviewed_at")))
+    each = rows.groupBy(*keys).agg(state.alias("state"), at("approved").alias("__a"), at("rejected").alias("__r"))
+    return each.select(*keys, "state", F.when(F.col("state") == "approved", F.col("__a")).when(F.col("state") == "rejected", F.col("__r")).alias("reviewed_at"))
+
+
+#: States of a room's row, and those that stop a sheet.
+ROW_STATES, BLOCKING = ("certain", "generous", "estimated", "review", "missing", "not_applicable"), ("review", "missing")
+
+
+def room_counters(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, rooms, a counter for each state, blocking, linked (floor and skirting), skirtings by their length's
+    state, without length, and ready (nothing blocks and something is there) of rows (keys, state; confirmed
+    counts as certain; floor_linked, plinth: none, net, generous, estimated or no length)."""
+    st = F.when(F.col("state") == "confirmed", "certain").otherwise(F.col("state"))
+    own = rows.withColumn("__s", st)
+    counts = [F.count_if(F.col("__s") == s).alias(s) for s in ROW_STATES]
+    plinths = [F.count_if(F.col("plinth") == p).alias(f"plinth_{p}") for p in ("net", "generous", "estimated")]
+    out = own.groupBy(*keys).agg(F.count("*").alias("rooms"), *counts, F.count_if("floor_linked").alias("floors"), *plinths, F.count_if(F.col("plinth") == "no length").alias("plinth_missing"))
+    blocking = sum((F.col(b) for b in BLOCKING), F.lit(0))
+    some = F.col("certain") + F.col("generous") + F.col("estimated") > 0
+    return out.withColumns({"blocking": blocking, "plinths": F.col("plinth_net") + F.col("plinth_generous") + F.col("plinth_estimated"), "ready": (blocking == 0) & some})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crewspark.functions import calendar as cal
 from crewspark.functions import labor as lab
 from crewspark.functions import text
-from crewspark.operators import search, workload
+from crewspark.operators import search, work_match, workload
 from crewspark.plans.billing import CENTS, cents
 from crewspark.plans.registry import ENTRIES, entries, query, table
 
@@ -174,3 +174,80 @@ def voucher_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.when(F.col("mq").isNull(), "unknown").when(F.col("uq") + F.col("q") > F.col("mq"), "quantity").when(F.col("ua") + F.col("amount") > F.col("ma"), "amount").otherwise("ok")
     left = lambda m, u: F.when(F.col("mq").isNotNull(), F.greatest(F.lit(0), F.col(m) - F.col(u))).cast("long")
     return r.select("project", "item", "room", outcome.alias("outcome"), left("mq", "uq").alias("left_q"), left("ma", "ua").alias("left_amount"))
+
+
+@query(f"""WITH {ENTRIES}, d AS (SELECT person, isoyear(day) * 100 + weekofyear(day) AS week, day, CAST(sum((e - s) // 900) AS BIGINT) AS planned, max(CASE status WHEN 'error' THEN 5 WHEN 'signup' THEN 8 END) AS away,
+    CASE WHEN bool_or(status = 'error') THEN 'ill' WHEN bool_or(status = 'signup') THEN 'leave' END AS kind, person % 3 = 0 AS structural FROM entries GROUP BY ALL),
+  x AS (SELECT *, greatest(0, least(planned, 8 - coalesce(away, 0))) AS worked, CASE WHEN kind IS NOT NULL AND NOT structural THEN coalesce(away, 0) ELSE 0 END AS told FROM d),
+  s AS (SELECT person, week, CAST(sum(worked) AS BIGINT) AS worked, CAST(sum(told) AS BIGINT) AS absence, CAST(coalesce(sum(told) FILTER (kind = 'ill'), 0) AS BIGINT) AS away_ill, CAST(coalesce(sum(told) FILTER (kind = 'leave'), 0) AS BIGINT) AS away_leave, count(*) FILTER (told > 0 AND worked = 0) AS days_away FROM x GROUP BY 1, 2)
+  SELECT *, CASE WHEN absence = 0 THEN 'present' ELSE CASE WHEN worked > 0 THEN 'partly ' ELSE '' END || CASE WHEN away_ill >= away_leave THEN 'ill' ELSE 'leave' END END AS summary FROM s""")
+def person_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks of people: hours that absence leaves, absence by kind, and what the week was."""
+    st = F.col("status")
+    away = F.when(st == "error", 5).when(st == "signup", 8)
+    kind = F.when(F.bool_or(st == "error"), "ill").when(F.bool_or(st == "signup"), "leave")
+    week = (cal.iso_year(F.col("day")) * 100 + cal.iso_week(F.col("day"))).cast("long").alias("week")
+    d = entries(spark, sf_dir).groupBy("person", week, "day").agg(F.sum(F.floor((F.col("e") - F.col("s")) / 900)).alias("planned"), F.max(away).alias("away"), kind.alias("kind"))
+    w = workload.person_weeks(d.withColumn("structural", F.col("person") % 3 == 0), ["person", "week"], ["ill", "leave"])
+    return w.select("person", "week", *[F.col(c).cast("long").alias(c) for c in ("worked", "absence", "away_ill", "away_leave")], "days_away", "summary")
+
+
+@query(f"""WITH {ENTRIES}, r AS (SELECT person, isoyear(day) * 100 + weekofyear(day) AS week, CASE status WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'rejected' ELSE CASE WHEN id % 4 = 0 THEN 'submitted' ELSE 'approved' END END AS status, day + CAST(id % 5 AS INTEGER) AS seen FROM entries),
+  s AS (SELECT person, week, CASE WHEN bool_and(status = 'approved') THEN 'approved' WHEN bool_or(status = 'submitted') THEN 'submitted' ELSE 'rejected' END AS state, max(seen) FILTER (status = 'approved') AS a, max(seen) FILTER (status = 'rejected') AS r FROM r GROUP BY 1, 2)
+  SELECT person, week, state, CAST(CASE state WHEN 'approved' THEN a WHEN 'rejected' THEN r END AS VARCHAR) AS reviewed_at FROM s""")
+def week_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of people's weeks and when they were reviewed."""
+    st = F.col("status")
+    own = F.when(st == "purchase", "approved").when(st.isin("error", "view"), "rejected").when(F.col("id") % 4 == 0, "submitted").otherwise("approved")
+    week = (cal.iso_year(F.col("day")) * 100 + cal.iso_week(F.col("day"))).cast("long").alias("week")
+    r = entries(spark, sf_dir).select("person", week, own.alias("status"), F.date_add("day", (F.col("id") % 5).cast("int")).alias("reviewed_at"))
+    return workload.week_reviews(r, ["person", "week"]).withColumn("reviewed_at", F.col("reviewed_at").cast("string"))
+
+
+@query(f"""WITH {CENTS}, r AS (SELECT project, CASE WHEN q < 500 THEN 'missing' WHEN q < 1000 THEN 'review' WHEN kind = 'R' THEN 'estimated' WHEN kind = 'A' THEN CASE WHEN document = 'F' THEN 'confirmed' ELSE 'generous' END WHEN q > 4500 THEN 'not_applicable' ELSE 'certain' END AS state, document = 'O' AS linked,
+    CASE WHEN worker % 5 = 0 THEN 'no length' WHEN worker % 5 = 1 THEN 'net' WHEN worker % 5 = 2 THEN 'generous' WHEN worker % 5 = 3 THEN 'estimated' END AS plinth FROM cents),
+  s AS (SELECT project, count(*) AS rooms, count(*) FILTER (state IN ('certain', 'confirmed')) AS certain, count(*) FILTER (state = 'generous') AS generous, count(*) FILTER (state = 'estimated') AS estimated, count(*) FILTER (state = 'review') AS review, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'not_applicable') AS not_applicable,
+    count(*) FILTER (linked) AS floors, count(*) FILTER (plinth = 'net') AS plinth_net, count(*) FILTER (plinth = 'generous') AS plinth_generous, count(*) FILTER (plinth = 'estimated') AS plinth_estimated, count(*) FILTER (plinth = 'no length') AS plinth_missing FROM r GROUP BY 1)
+  SELECT *, review + missing AS blocking, plinth_net + plinth_generous + plinth_estimated AS plinths, review + missing = 0 AND certain + generous + estimated > 0 AS ready FROM s""")
+def room_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a sheet's rooms by state, and whether it is ready."""
+    q, k, w = F.col("q"), F.col("kind"), F.col("worker") % 5
+    a = F.when(F.col("document") == "F", "confirmed").otherwise("generous")
+    state = F.when(q < 500, "missing").when(q < 1000, "review").when(k == "R", "estimated").when(k == "A", a).when(q > 4500, "not_applicable").otherwise("certain")
+    plinth = F.when(w == 0, "no length").when(w == 1, "net").when(w == 2, "generous").when(w == 3, "estimated")
+    return workload.room_counters(cents(spark, sf_dir).select("project", state.alias("state"), (F.col("document") == "O").alias("floor_linked"), plinth.alias("plinth")), ["project"])
+
+
+GOODS = tuple((w, [w]) for w in ("ring", "bolt", "gear", "plate", "rod"))
+
+
+@query(f"""WITH l AS (SELECT DISTINCT l_orderkey AS project, l_partkey AS item, l_linenumber, l_returnflag AS flag, p_name, p_size, p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
+  c AS (SELECT DISTINCT project, p_name AS name FROM l WHERE flag = 'N'),
+  o AS (SELECT DISTINCT project, item * 10 + l_linenumber AS id, CASE WHEN p_size < 8 THEN 'primer op ' || p_type WHEN p_size < 16 THEN 'aanbrengen ' || p_name || ' grijs' WHEN p_size < 24 THEN 'transport ' || split_part(p_name, ' ', 2) WHEN p_size < 28 THEN 'opslag' WHEN p_size < 44 THEN 'stuks ' || split_part(p_name, ' ', 2) ELSE 'diversen' END AS text,
+    CASE WHEN p_size > 46 THEN [p_name] WHEN p_size > 44 THEN ['grey ' || p_name, 'green ' || p_name] ELSE [] END AS materials, split_part(p_name, ' ', 2) AS noun, p_size, p_name FROM l WHERE flag <> 'N'),
+  h AS (SELECT project, id, count(*) AS n, min(name) AS one FROM (SELECT DISTINCT o.project, id, name FROM o JOIN c ON c.project = o.project AND contains(' ' || text, ' ' || name)) GROUP BY 1, 2),
+  k AS (SELECT project, split_part(name, ' ', 2) AS noun, list_sort(list(name)) AS names FROM c GROUP BY 1, 2),
+  x AS (SELECT o.*, h.n AS n, h.one AS one, CASE WHEN o.noun IN ('ring', 'bolt', 'gear', 'plate', 'rod') THEN o.noun END AS type, coalesce(k.names, []) AS names FROM o LEFT JOIN h USING (project, id) LEFT JOIN k ON k.project = o.project AND k.noun = o.noun)
+  SELECT DISTINCT project, id, CASE WHEN p_size < 8 THEN 'matched' WHEN n = 1 OR len(materials) = 1 THEN 'matched' WHEN len(materials) > 1 THEN CASE WHEN type IS NOT NULL THEN 'warning' ELSE 'review' END WHEN p_size BETWEEN 16 AND 23 THEN CASE WHEN type IS NOT NULL THEN 'warning' ELSE 'matched' END WHEN p_size BETWEEN 24 AND 27 THEN 'matched'
+      WHEN p_size = 44 OR type IS NULL THEN 'review' WHEN len(names) < 2 THEN 'matched' ELSE 'review' END AS outcome,
+    CASE WHEN p_size < 8 THEN 'Primen/egaliseren' WHEN n = 1 THEN one WHEN len(materials) = 1 THEN materials[1] WHEN len(materials) > 1 THEN CASE WHEN type IS NOT NULL THEN 'green ' || p_name END WHEN p_size BETWEEN 16 AND 23 THEN coalesce(type, 'Overige') WHEN p_size BETWEEN 24 AND 27 THEN 'Overige'
+      WHEN p_size = 44 OR type IS NULL THEN NULL WHEN len(names) = 1 THEN names[1] WHEN len(names) = 0 THEN type END AS label,
+    CASE WHEN len(materials) > 1 AND type IS NOT NULL THEN 2 WHEN p_size BETWEEN 8 AND 15 OR p_size BETWEEN 28 AND 43 THEN CASE WHEN n = 1 THEN 1 WHEN type IS NULL THEN 0 ELSE greatest(1, len(names)) END WHEN p_size < 28 OR p_size > 46 THEN 1 ELSE 0 END AS candidates FROM x""")
+def work_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost lines of orders and the works that they are, against the names of the order's other lines."""
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    own = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("project"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("id"), "l_returnflag", "p_name", "p_size", "p_type").distinct()
+    size, name = F.col("p_size"), F.col("p_name")
+    noun = F.split_part(name, F.lit(" "), F.lit(2))
+    said = (
+        F.when(size < 8, F.concat(F.lit("primer op "), "p_type"))
+        .when(size < 16, F.concat(F.lit("aanbrengen "), name, F.lit(" grijs")))
+        .when(size < 24, F.concat(F.lit("transport "), noun))
+        .when(size < 28, F.lit("opslag"))
+        .when(size < 44, F.concat(F.lit("stuks "), noun))
+        .otherwise("diversen")
+    )
+    materials = F.when(size > 46, F.array(name)).when(size > 44, F.array(F.concat(F.lit("grey "), name), F.concat(F.lit("green "), name)))
+    lines_ = own.where("l_returnflag <> 'N'").select("project", "id", said.alias("description"), materials.alias("materials")).distinct()
+    catalog = own.where("l_returnflag = 'N'").select("project", name.alias("name"))
+    return work_match.matched_works(lines_, catalog, GOODS).select("project", "id", "outcome", "label", F.size("candidates").alias("candidates")).distinct()

@@ -72,3 +72,34 @@ def test_names_in_texts_and_storeys(spark):
     assert found("Hal", "0.01 HAL 12 m2") and found("kantoor", "kkaannttoooorr") and found("berging", "bbberrrging") and found("keuken", "kxexuxkxexn")
     assert not found("hal", "h a x l") and not found("keuken", "kxxxexxxuxxxkxxxexxxn") and not found("", "hal") and not found("hal", None) and not found("keuken", "neukek")
     assert one(spark, *[text.floor_from_number(F.lit(n)) for n in ("0.03", " 2-14a", "12.1", "A-01", "7", None)]) == ("begane grond", "verdieping 2", "verdieping 12", None, None, None)
+
+
+def test_person_weeks_and_reviews(spark):
+    rows = [("a", 8, 3, "ill", False), ("a", 8, None, None, None), ("b", 8, 8, "leave", False), ("c", 8, 4, "leave", True), ("d", 4, 4, "ill", False), ("d", 0, 8, "leave", False)]
+    got = {r.k: tuple(r)[1:] for r in workload.person_weeks(spark.createDataFrame(rows, "k string, planned int, away int, kind string, structural boolean"), ["k"], ["ill", "leave"]).collect()}
+    assert got == {"a": (13, 3, 3, 0, 0, "partly ill"), "b": (0, 8, 0, 8, 1, "leave"), "c": (4, 0, 0, 0, 0, "present"), "d": (4, 12, 4, 8, 1, "partly leave")}
+    rows = [("a", "approved", 1), ("a", "approved", 3), ("b", "approved", 5), ("b", "rejected", 2), ("c", "approved", 1), ("c", "submitted", None), ("d", "rejected", None)]
+    got = {r.k: (r.state, r.reviewed_at) for r in workload.week_reviews(spark.createDataFrame(rows, "k string, status string, reviewed_at int"), ["k"]).collect()}
+    assert got == {"a": ("approved", 3), "b": ("rejected", 2), "c": ("submitted", None), "d": ("rejected", None)}
+
+
+def test_room_counters(spark):
+    rows = [("a", s, True, p) for s, p in [("certain", "net"), ("confirmed", "generous"), ("generous", None), ("not_applicable", "no length")]] + [("b", "estimated", False, "estimated"), ("b", "missing", None, None), ("c", "not_applicable", False, None)]
+    got = {r.k: r for r in workload.room_counters(spark.createDataFrame(rows, "k string, state string, floor_linked boolean, plinth string"), ["k"]).collect()}
+    assert (got["a"].certain, got["a"].floors, got["a"].plinths, got["a"].plinth_missing, got["a"].ready) == (2, 4, 2, 1, True)
+    assert (got["b"].blocking, got["b"].ready, got["c"].blocking, got["c"].ready) == (1, False, 0, False)
+
+
+def test_work_outcomes(spark):
+    from crewspark.operators import work_match
+
+    catalog = spark.createDataFrame([(1, "Tapijt Desso"), (1, "Tapijt Ege"), (1, "PVC Gerflor"), (2, "Vinyl Forbo"), (1, " ")], "project int, name string")
+    cases = {
+        "Schuren en egaliseren": ("matched", "Primen/egaliseren"), "Primer onder pvc gerflor": ("matched", "PVC Gerflor"), "leggen TAPIJT desso": ("matched", "Tapijt Desso"), "tapijt leggen": ("review", None),
+        "vinyl banen": ("matched", "Vinyl"), "pvc stroken": ("matched", "PVC Gerflor"), "transport tapijt": ("warning", "Tapijt"), "voorrij kosten": ("matched", "Overige"), "diversen": ("review", None), "": ("review", None),
+    }
+    rows = [(1, i, d, None) for i, d in enumerate(cases)] + [(1, 100, "arbeid", ["Coral Brush"]), (1, 101, "arbeid", ["Tapijt b", "Tapijt a"]), (1, 102, "arbeid", ["Tapijt b", "Vinyl a"]), (1, 103, None, None)]
+    got = {r.id: r for r in work_match.matched_works(spark.createDataFrame(rows, "project int, id int, description string, materials array<string>"), catalog).collect()}
+    assert {d: (got[i].outcome, got[i].label) for i, d in enumerate(cases)} == cases
+    assert got[list(cases).index("tapijt leggen")].candidates == ["Tapijt Desso", "Tapijt Ege"]
+    assert [(got[i].outcome, got[i].label) for i in (100, 101, 102, 103)] == [("matched", "Coral Brush"), ("warning", "Tapijt a"), ("review", None), ("review", None)]
