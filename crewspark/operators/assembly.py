@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crewspark.operators.ranking import with_place
 from crewspark.operators.sequences import ordered_fold
 from crewspark.storage import rewritten
 
@@ -19,9 +20,8 @@ def positional_pairs(left: DataFrame, right: DataFrame, levels: Sequence[Sequenc
     """
     out, a, b = None, left, right
     for keys, sure in zip(levels, confidence, strict=True):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "id"))
-        x = a.select(*keys, "id", place.alias("__k"))
-        y = b.select(*keys, F.col("id").alias("other"), place.alias("__k"))
+        x = with_place(a, keys, [order, "id"], "__k").select(*keys, "id", "__k")
+        y = with_place(b, keys, [order, "id"], "__k").select(*keys, F.col("id").alias("other"), "__k")
         met = rewritten(x.join(y, [*keys, "__k"]).select("id", "other", F.lit(sure).alias("confidence")))
         out = met if out is None else out.unionByName(met)
         a = a.join(met.select("id"), "id", "left_anti")
@@ -70,8 +70,8 @@ def absences(windows: DataFrame, keys: Sequence[str], rank: dict[str, int]) -> D
 def initials(df: DataFrame, name: str, order: str) -> DataFrame:
     """df with initials that no other row has: a repeated one gets its number."""
     own = F.upper(F.array_join(F.transform(F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != ""), lambda w: F.left(w, F.lit(1))), ""))
-    again = F.row_number().over(Window.partitionBy("__own").orderBy(order))
-    return df.withColumn("__own", own).withColumn("__k", again).withColumn("initials", F.when(F.col("__k") == 1, F.col("__own")).otherwise(F.concat("__own", "__k"))).drop("__own", "__k")
+    placed = with_place(df.withColumn("__own", own), ["__own"], [order], "__k")
+    return placed.withColumn("initials", F.when(F.col("__k") == 1, F.col("__own")).otherwise(F.concat("__own", "__k"))).drop("__own", "__k")
 
 
 def label_score(number: Column, name: Column, text: Column) -> Column:

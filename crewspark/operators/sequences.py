@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from crewspark.operators.matching import first_rows
+from crewspark.operators.matching import first_rows, greedy_edges
 from crewspark.shipping import map_in_arrow, ship
 from crewspark.storage import rewritten
 
@@ -130,20 +130,10 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 
 def greedy_pairs(df: DataFrame, keys: Sequence[str], left: str, right: str, score: str) -> DataFrame:
-    """One-to-one pairs by falling score (ties: least left, then right), within each key."""
-    ship(df.sparkSession)
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
-        seen_left, seen_right, rows = set(), set(), []
-        for i, a, b in zip(group.index, group[left], group[right], strict=True):
-            if a not in seen_left and b not in seen_right:
-                seen_left.add(a)
-                seen_right.add(b)
-                rows.append(i)
-        return group.loc[rows]
-
-    return df.groupBy(*keys).applyInPandas(pick, df.schema)
+    """One-to-one pairs by falling score (ties: least left, then right), within each key, in rounds over all keys at
+    once (see ``greedy_edges``)."""
+    ends = df.withColumns({"__left": F.struct(*keys, left), "__right": F.struct(*keys, right)})
+    return greedy_edges(ends, "__left", "__right", [-F.col(score)]).select(df.columns)
 
 
 #: Rounds of nearest_pairs() by windows; what is left then is matched group by group.

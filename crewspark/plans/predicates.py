@@ -146,13 +146,13 @@ def day_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "hours_after", "refused")
 
 
-@query("""WITH a AS (SELECT l_orderkey AS project, round(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END), 2) AS items, round(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END), 2) AS areas FROM lineitem GROUP BY 1)
-  SELECT project, greatest(items, areas) AS target FROM a WHERE greatest(items, areas) > 0.0001""")
+@query("""WITH a AS (SELECT l_orderkey AS project, sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS DECIMAL(12,2)) ELSE 0 END) AS items, sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS DECIMAL(12,2)) ELSE 0 END) AS areas FROM lineitem GROUP BY 1)
+  SELECT project, CAST(greatest(items, areas) AS DOUBLE) AS target FROM a WHERE greatest(items, areas) > 0.0001""")
 def derived_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project's quantity: the larger of what its items and its areas say."""
-    part = lambda f: F.round(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0)), 2)
+    part = lambda f: F.sum(F.when(F.col("l_returnflag") == f, money("l_quantity")).otherwise(0))
     a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("project")).agg(F.greatest(part("N"), part("A")).alias("target"))
-    return a.where("target > 0.0001")
+    return a.where("target > 0.0001").select("project", F.col("target").cast("double").alias("target"))
 
 
 @query("""WITH v AS (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) AS q, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS price FROM lineitem)

@@ -40,3 +40,17 @@ def test_one_key_with_many_rows(spark):
     merged = assembly.merged_tasks(df, ["k"], ["id"], "q", 0).first()
     assert (merged.q, merged.parts) == (999, n)
     assert sequences.remembered(df, ["k"], ["id"], "role").first().strength == n
+
+
+def test_places_are_row_numbers(spark):
+    from pyspark.sql import Window
+
+    from crewspark.operators.ranking import with_place
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, None]), rng.choice([None, rng.randint(1, 30)]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, g int, at int, id int").repartition(6)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k", "g").orderBy("at", "id")))
+    got = with_place(df, ["k", "g"], ["at", "id"], "n")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert with_place(df.limit(0), ["k"], ["id"], "n").count() == 0
