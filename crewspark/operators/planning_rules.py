@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from crewspark.operators import intervals
-from crewspark.shipping import ship
+from crewspark.shipping import map_in_arrow
 
 
 def proposal_conflicts(planned: DataFrame, proposals: DataFrame, keys: Sequence[str], capacity: Column, bucket: int) -> DataFrame:
@@ -105,22 +107,33 @@ def clustered_lines(items: DataFrame, keys: Sequence[str], gap: float = 0.028, b
     """keys, line, text, x, y, w: texts (keys, text, x, y, w) on one baseline joined from left to
     right while the next begins within the gap of the line so far.
 
-    The line so far grows as it goes, so that a page is taken in order, one page a group.
+    The line so far grows as it goes, so that a page is taken in order; a task reads its pages one after
+    the other and keeps one of them.
     """
-    ship(items.sparkSession)
-    kinds = dict(items.dtypes)
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "text"], kind="stable")
-        lines: list[list] = []
-        for text, x, y, w in zip(pdf["text"], pdf["x"], pdf["y"], pdf["w"], strict=True):
-            last = next((q for q in reversed(lines) if abs(q[2] - y) <= baseline and 0 <= x - q[1] and x - (q[1] + q[3]) <= gap), None)
-            if last:
-                last[0], last[3] = f"{last[0]} {text}", max(last[3], x + w - last[1])
-            else:
-                lines.append([text, x, y, w])
-        first = pdf.iloc[0]
-        return pd.DataFrame([[*(first[k] for k in keys), i, *q] for i, q in enumerate(lines)], columns=[*keys, "line", "text", "x", "y", "w"])
-
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "line int, text string, x double, y double, w double"])
-    return items.groupBy(*keys).applyInPandas(join, schema)
+    own = items.repartition(*keys).sortWithinPartitions(*keys, "y", "x", "text").select(*keys, "text", F.col("x").cast("double"), F.col("y").cast("double"), F.col("w").cast("double"))
+    schema = StructType([*own.schema.fields[: len(keys)], StructField("line", IntegerType()), *own.schema.fields[len(keys) :]])
+    types = to_arrow_schema(schema)
+
+    def rows(page, lines):
+        return [(*page, i, *line) for i, line in enumerate(lines)]
+
+    def join(batches):
+        page, lines = None, []
+        for batch in batches:
+            out = []
+            for *key, text, x, y, w in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != page:
+                    out += rows(page, lines)
+                    page, lines = key, []
+                near = (q for q in reversed(lines) if abs(q[2] - y) <= baseline and 0 <= x - q[1] and x - (q[1] + q[3]) <= gap)
+                last = next(near, None)
+                if last:
+                    last[0], last[3] = f"{last[0]} {text}", max(last[3], x + w - last[1])
+                else:
+                    lines.append([text, x, y, w])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows(page, lines), strict=True), types, strict=True)], schema=types)
+
+    return map_in_arrow(own, join, schema)

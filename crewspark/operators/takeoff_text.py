@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewspark.functions.numbers import machine_number
+from crewspark.functions.text import floor_from_number
 from crewspark.operators.reconcile import total_status
 
 #: The words of the sheets.
@@ -61,6 +62,32 @@ def rooms(parsed_lines: DataFrame) -> DataFrame:
     return parsed_lines.where("kind = 'room'").drop("kind", "declared")
 
 
+def _placed(parsed_lines: DataFrame) -> DataFrame:
+    """Rooms with their storey: the one above, else that of their number, else unknown."""
+    own = parsed_lines.where("kind = 'room' AND product_no > 0")
+    return own.withColumn("storey", F.coalesce("storey", floor_from_number(F.col("number")), F.lit("onbekend")))
+
+
+def room_tasks(parsed_lines: DataFrame) -> DataFrame:
+    """document_id, storey, number, name, product, area, perimeter, parts and duplicate: one row for each room and product.
+    A room is its storey and number in any case, without a number its storey and name; lines of one
+    room and product are parts of one surface, and told as duplicates."""
+    own = _placed(parsed_lines)
+    room = F.coalesce(F.lower("number"), F.concat(F.lit("name:"), F.lower("name")))
+    each = own.withColumn("__room", room).groupBy("document_id", "storey", "__room", F.lower("product").alias("__product"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    tasks = each.agg(first("number"), first("name"), first("product"), F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"), F.count("*").alias("parts"))
+    return tasks.withColumn("duplicate", F.col("parts") > 1).drop("__room", "__product")
+
+
+def uncertain_lines(parsed_lines: DataFrame) -> DataFrame:
+    """document_id, line_no, reason of rooms without a product above, or without a storey above or in their number."""
+    own = parsed_lines.where("kind = 'room'")
+    no_storey = F.col("storey").isNull() & floor_from_number(F.col("number")).isNull()
+    reason = F.when(F.col("product_no") == 0, "no product").when(no_storey, "no storey")
+    return own.select("document_id", "line_no", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def products(parsed_lines: DataFrame) -> DataFrame:
     """document_id, product_no, product, rooms, calculated, declared (the net total) and status."""
     net = F.max(F.when(F.col("kind") == "netto", F.col("declared")))

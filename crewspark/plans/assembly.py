@@ -127,6 +127,12 @@ def absence_days(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT project, 'Vloer ' || kind AS product, n AS rooms, CAST(q AS DOUBLE) / 100 AS calculated, CASE kind WHEN 'R' THEN 'check' ELSE 'ok' END AS status FROM s""")
 def takeoff_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress lines written as a take-off sheet and read back from its text."""
+    p = takeoff_text.products(takeoff_text.parsed(sheet_lines(spark, sf_dir)))
+    return p.select(F.col("document_id").alias("project"), "product", "rooms", F.col("calculated").cast("double").alias("calculated"), "status")
+
+
+def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, line_no, text: a sheet for each project."""
     two = lambda c: F.format_string("%d,%02d", (c / 100).cast("bigint"), c % 100)
     c = cents(spark, sf_dir)
     order = Window.partitionBy("project", "kind").orderBy("room", "item", "q", "day", "worker", "amount")
@@ -137,6 +143,14 @@ def takeoff_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = c.groupBy("project", "kind").agg(F.sum("q").alias("q"))
     net = F.concat(F.lit("Netto : "), two(F.col("q") + F.when(F.col("kind") == "R", 1000).otherwise(0)), F.lit(" m²"))
     frame = sums.select("project", "kind", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x.alias("t")) for i, x in ((0, F.concat(F.lit("Vloer  "), "kind")), (1, F.lit("Bouwlaag: begane grond")), (2, F.lit("Ruimte Oppervlakte Omtrek")), (9_000_000, F.lit("Totaal 1 m²")), (9_000_001, net))])).alias("x"))
-    lines = body.union(frame.select("project", at(F.col("x.i")), F.col("x.t").alias("text"))).withColumnRenamed("project", "document_id")
-    p = takeoff_text.products(takeoff_text.parsed(lines))
-    return p.select(F.col("document_id").alias("project"), "product", "rooms", F.col("calculated").cast("double").alias("calculated"), "status")
+    return body.union(frame.select("project", at(F.col("x.i")), F.col("x.t").alias("text"))).withColumnRenamed("project", "document_id")
+
+
+@query(f"""WITH {CENTS} SELECT project, lpad(CAST(room AS VARCHAR), 2, '0') || '.' || item AS number, 'Vloer ' || kind AS product, CAST(sum(q) AS DOUBLE) / 100 AS area, CAST(sum(room * 100 + 50) AS DOUBLE) / 100 AS perimeter, count(*) AS parts, count(*) > 1 AS duplicate, CAST(NULL AS VARCHAR) AS reason FROM cents GROUP BY project, room, item, kind""")
+def takeoff_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms and products of those sheets with the parts that make them up; no line of them is uncertain."""
+    parsed = takeoff_text.parsed(sheet_lines(spark, sf_dir))
+    tasks = takeoff_text.room_tasks(parsed).select(F.col("document_id").alias("project"), "number", "product", F.col("area").cast("double").alias("area"), F.col("perimeter").cast("double").alias("perimeter"), "parts", "duplicate", F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None)
+    unsure = takeoff_text.uncertain_lines(parsed).select("document_id", none.cast("string"), none.cast("string"), none.cast("double"), none.cast("double"), F.lit(0).cast("long"), F.lit(False), "reason")
+    return tasks.union(unsure)

@@ -71,3 +71,23 @@ def test_initials_and_labels(spark):
     assert {r.id: r.initials for r in assembly.initials(df, "name", "id").collect()} == {1: "AB", 2: "AB2", 3: "C"}
     r = df.select(assembly.label_score(F.lit("1.02"), F.lit("Hal"), F.lit("x 1.02")).alias("a"), assembly.label_score(F.lit("9"), F.lit("Hal"), F.lit("HAL")).alias("b"), assembly.label_score(F.lit(""), F.lit("q"), F.lit("x")).alias("c")).first()
     assert tuple(r) == (1.0, 0.82, None)
+
+
+def test_parts_and_uncertain_lines(spark):
+    sheet = """00.01 hal 2,00 m²
+10.1 Vloer grijs
+00.02 hal 10,00 m² 4,00 m
+Bouwlaag: kelder
+x1 gang 3,00 m²
+X1 gang 2,00 m² 1,00 m
+00.02 hal 1,00 m²
+10.2 Tapijt
+a9 nis 7,00 m²"""
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(sheet.split("\n"))], "document_id long, line_no int, text string")
+    parsed = takeoff_text.parsed(lines)
+    tasks = {(r.storey, r.number, r.product): (float(r.area), r.perimeter and float(r.perimeter), r.parts, r.duplicate) for r in takeoff_text.room_tasks(parsed).collect()}
+    assert tasks == {
+        ("begane grond", "00.02", "10.1 Vloer grijs"): (10.0, 4.0, 1, False), ("kelder", "x1", "10.1 Vloer grijs"): (5.0, 1.0, 2, True),
+        ("kelder", "00.02", "10.1 Vloer grijs"): (1.0, None, 1, False), ("onbekend", "a9", "10.2 Tapijt"): (7.0, None, 1, False),
+    }
+    assert {(r.line_no, r.reason) for r in takeoff_text.uncertain_lines(parsed).collect()} == {(0, "no product"), (8, "no storey")}
