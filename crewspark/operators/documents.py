@@ -192,3 +192,54 @@ def closure(imports: DataFrame, issues: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     own = imports.select("import_id").join(count, "import_id", "left").select("import_id", zero("warnings"), zero("technical"), F.coalesce("categories", F.lit("")).alias("categories"))
     return own.withColumn("decision", F.when(F.col("technical") > 0, "TECHNICAL_ERROR").when(F.col("warnings") > 0, "READY_WITH_WARNINGS").otherwise("READY"))
+
+
+#: What to do about an open point, by what is wrong.
+SUGGESTIONS = {
+    "to be reviewed": "correct or confirm the room",
+    "unknown storey": "choose the storey",
+    "task without material": "link a material by task, legend or cut list",
+    "no material task": "link a material by task, legend or cut list",
+    "not in the drawing": "link an outline or a colour, or confirm by hand",
+    "incomplete task": "give material and quantity, or remove the line",
+    "material total does not close": "link missing tasks or correct quantities",
+    "legend does not close": "check the material's link or the quantities of the storey",
+    "storey total does not close": "check the tasks of the storey",
+    "open line of a source": "settle it or leave it out on purpose",
+    "tasks of the take-off lost": "keep all tasks of the take-off",
+    "take-off without rooms": "check whether the file can be read",
+    "no total to check": "add a source with totals",
+    "total does not close": "explain each metre by linked tasks",
+}
+
+
+def with_suggestions(issues: DataFrame) -> DataFrame:
+    """Issues with what to do about each."""
+    found = None
+    for problem, todo in SUGGESTIONS.items():
+        hit = F.col("problem") == problem
+        found = F.when(hit, todo) if found is None else found.when(hit, todo)
+    return issues.withColumn("suggestion", found)
+
+
+def closure_shares(imports: DataFrame, rooms: DataFrame, tasks: DataFrame, totals: DataFrame, issues: DataFrame) -> DataFrame:
+    """import_id and, in percent, how far each part of an import is closed: rooms, materials, tasks, quantities (all or
+    nothing), floors and drawing (all without one).  Arguments as those and the result of ``closure_issues``."""
+    flooring = F.coalesce("unit", F.lit("m2")).isin("m2", "m²") & (F.trim(F.coalesce("name", F.lit(""))) != "") & ~F.lower("name").contains("plint")
+    told = lambda p, n: F.count_if(F.col("problem").isin(*p)).alias(n)
+    names = {
+        "open": ["to be reviewed"], "unknown": ["task without material", "no material task"], "bad": ["material total does not close"], "tasks_open": ["incomplete task"], "lost": ["unknown storey"],
+        "loose": ["not in the drawing"], "sums": ["material total does not close", "storey total does not close", "no total to check", "total does not close"],
+    }
+    count = issues.groupBy("import_id").agg(*[told(p, f"__{n}") for n, p in names.items()])
+    of = lambda df, name, cond=None: df.groupBy("import_id").agg((F.count("*") if cond is None else F.count_if(cond)).alias(name))
+    own = imports.select("import_id", "drawn")
+    for side in (count, of(rooms, "__rooms"), of(totals, "__materials", F.col("kind") == "material"), of(tasks, "__tasks", flooring)):
+        own = own.join(side, "import_id", "left")
+    n = {c: F.coalesce(f"__{c}", F.lit(0)) for c in (*names, "rooms", "materials", "tasks")}
+    share = lambda a, b: F.round(100 * F.greatest(F.lit(0), a) / F.greatest(b, F.lit(1))).cast("int")
+    most = F.greatest(n["materials"], n["rooms"])
+    return own.select(
+        "import_id", share(n["rooms"] - n["open"], n["rooms"]).alias("rooms"), share(most - n["unknown"] - n["bad"], most).alias("materials"), share(n["tasks"] - n["tasks_open"], n["tasks"]).alias("tasks"),
+        F.when(n["sums"] == 0, 100).otherwise(0).alias("quantities"), share(n["rooms"] - n["lost"], n["rooms"]).alias("floors"), F.when(F.col("drawn"), share(n["rooms"] - n["loose"], n["rooms"])).otherwise(100).alias("drawing"),
+    )

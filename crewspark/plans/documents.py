@@ -112,6 +112,12 @@ IMPORTS = f"""{LINES}, area AS (SELECT project, sum(q) FILTER (WHERE kind = 'N')
 
 def imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as imports, and their open issues."""
+    heads, rooms, tasks, totals, notes = import_tables(spark, sf_dir)
+    return heads, documents.closure_issues(heads, rooms, tasks, totals, notes)
+
+
+def import_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as imports, with their rooms, tasks, totals and notes."""
     li, o = lines(spark, sf_dir).withColumnRenamed("project", "import_id"), table(spark, sf_dir, "orders")
     key, status, priority, exact = F.col("import_id"), F.col("o_orderstatus"), F.col("o_orderpriority"), "decimal(14,2)"
     plus = lambda condition, value: F.when(condition, F.lit(value)).otherwise(F.lit("0")).cast(exact)
@@ -139,7 +145,7 @@ def imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("o_orderkey").alias("import_id"), F.when(status == "F", "header").when(status == "O", "uncertain").otherwise("duplicate").alias("kind"),
         F.concat(F.lit("line "), "o_custkey").alias("label"), (priority == "5-LOW").alias("resolved"),
     )
-    return heads, documents.closure_issues(heads, rooms, tasks, totals.unionByName(floors).unionByName(legend), notes)
+    return heads, rooms, tasks, totals.unionByName(floors).unionByName(legend), notes
 
 
 @query(f"WITH {IMPORTS} SELECT category, severity, count(*) AS n, count(DISTINCT import_id) AS imports FROM issues GROUP BY 1, 2")
@@ -153,3 +159,27 @@ def closure_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each import may close."""
     return documents.closure(*imports(spark, sf_dir))
+
+
+@query(f"""WITH {IMPORTS}, r AS (SELECT import_id, count(*) AS n, count(*) FILTER (confidence = 'controleren') AS open, count(*) FILTER (room = 7) AS lost, count(*) FILTER (unnamed > 0 OR floorings = 0 AND NOT measured AND (listed OR color IS NOT NULL)) AS unknown,
+    count(*) FILTER (drawn AND source = 'snijmaten' AND color IS NULL) AS loose FROM own GROUP BY 1),
+  m AS (SELECT import_id, count(*) FILTER (kind = 'material') AS n, count(*) FILTER (kind = 'material' AND accepted IS DISTINCT FROM true AND status = 'check' AND abs(calculated - declared) > 0.05) AS bad, count(*) FILTER (kind = 'floor' AND abs(calculated - declared) > 0.005) AS storeys FROM totals GROUP BY 1),
+  t AS (SELECT import_id, count(*) FILTER (name LIKE 'vloer%') AS n, count(*) FILTER (name = '' AND quantity > 0) AS open FROM tasks GROUP BY 1),
+  x AS (SELECT s.import_id AS import_id, drawn, coalesce(r.n, 0) AS rn, coalesce(r.open, 0) AS ro, coalesce(lost, 0) AS lost, coalesce(unknown, 0) AS unknown, coalesce(loose, 0) AS loose, coalesce(m.n, 0) AS mn, coalesce(bad, 0) AS bad, coalesce(storeys, 0) AS storeys, coalesce(t.n, 0) AS tn, coalesce(t.open, 0) AS topen,
+    expected IS NULL AND (measured OR listed) OR coalesce(abs(over) > 0.005 AND NOT coalesce(most <= 0.05 AND most > 0.005 AND abs(over) <= 0.05 AND abs(residual - over) <= 0.005, false), false) AS unclosed
+    FROM sums AS s LEFT JOIN r ON r.import_id = s.import_id LEFT JOIN m ON m.import_id = s.import_id LEFT JOIN t ON t.import_id = s.import_id)
+  SELECT import_id, {", ".join(f"CAST(floor(100 * greatest(0, {a}) / greatest({b}, 1)::DOUBLE + 0.5) AS INTEGER) AS {n}" for n, a, b in (("rooms", "rn - ro", "rn"), ("materials", "greatest(mn, rn) - unknown - bad", "greatest(mn, rn)"), ("tasks", "tn - topen", "tn"), ("floors", "rn - lost", "rn")))},
+    CASE WHEN bad + storeys = 0 AND NOT unclosed THEN 100 ELSE 0 END AS quantities, CASE WHEN drawn THEN CAST(floor(100 * (rn - loose) / greatest(rn, 1)::DOUBLE + 0.5) AS INTEGER) ELSE 100 END AS drawing FROM x""")
+def closure_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each import is closed, by part."""
+    heads, rooms, tasks, totals, notes = import_tables(spark, sf_dir)
+    return documents.closure_shares(heads, rooms, tasks, totals, documents.closure_issues(heads, rooms, tasks, totals, notes))
+
+
+@query(f"""WITH {IMPORTS}, k AS (SELECT category, severity, count(*) AS n FROM issues WHERE category IN ('rooms', 'drawing', 'tasks', 'legend', 'task_source') GROUP BY 1, 2)
+  SELECT CASE category WHEN 'rooms' THEN 'correct or confirm the room' WHEN 'drawing' THEN 'link an outline or a colour, or confirm by hand' WHEN 'tasks' THEN 'give material and quantity, or remove the line'
+    WHEN 'legend' THEN 'check the material''s link or the quantities of the storey' ELSE 'keep all tasks of the take-off' END AS suggestion, severity, n FROM k""")
+def closure_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be done about open points of five categories, and how often."""
+    told = documents.with_suggestions(imports(spark, sf_dir)[1]).where(F.col("category").isin("rooms", "drawing", "tasks", "legend", "task_source"))
+    return told.groupBy("suggestion", "severity").agg(F.count("*").alias("n"))
