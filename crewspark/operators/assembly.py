@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crewspark.operators.products import name_key
 from crewspark.operators.ranking import with_place
 from crewspark.operators.sequences import ordered_fold
 from crewspark.storage import rewritten
@@ -45,6 +46,24 @@ def merged_tasks(df: DataFrame, keys: Sequence[str], order: Sequence[str], quant
     return ordered_fold(df, keys, order, quantity, step)
 
 
+def summed_tasks(df: DataFrame, keys: Sequence[str], order: Sequence[str], tolerance: float = 0.05) -> DataFrame:
+    """keys, unit, name, quantity, parts: a room's tasks (keys, name, unit, quantity) of one name and unit as one, in order.
+
+    A quantity that equals what is there counts once, a smaller one is a part of it, a larger one is
+    another surface and added.  Names are one by their letters and digits; the longest is kept.
+    Tasks without a name are left out; a quantity that isn't given is nothing.
+    """
+    named = df.where(F.trim(F.coalesce("name", F.lit(""))) != "").withColumns({"__key": name_key(F.col("name")), "unit": F.coalesce("unit", F.lit("m2")), "quantity": F.coalesce("quantity", F.lit(0)).cast(df.schema["quantity"].dataType)})
+    own = [*keys, "unit", "__key"]
+    step = lambda s, v: v if s is None else s if v <= s + tolerance else s + v
+    sums = ordered_fold(named, own, order, "quantity", step)
+    names = named.groupBy(*[F.col(k).alias(f"__{i}") for i, k in enumerate(own)]).agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
+    same = F.lit(True)
+    for i, k in enumerate(own):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return sums.join(names, same).select(*keys, "unit", "name", "quantity", "parts")
+
+
 def first_positive(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """The first value above nothing of each key, and how many rows the key has."""
     given = F.when(F.col(value) > 0.0001, F.struct(*order))

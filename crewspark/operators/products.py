@@ -33,6 +33,12 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
+def name_key(name: Column) -> Column:
+    """A name's letters and digits in lower case, less words that don't tell products apart."""
+    flat = F.lower(F.trim(name))
+    return F.trim(F.regexp_replace(F.regexp_replace(flat, NOT_IN_KEY, " "), r"[^a-z0-9]+", " "))
+
+
 def facts(name: Column) -> Column:
     """struct<name, work, codes, variants, kind, method, ral, series, key, tokens> of a product's name.
 
@@ -57,7 +63,7 @@ def facts(name: Column) -> Column:
         found(r"\((sp|hp)\)").alias("method"),
         found(r"\bral\s*(\d{3,5})\b").alias("ral"),
         F.when(flat.rlike(series), F.concat(F.lit("s"), F.regexp_extract(flat, series, 1), F.regexp_extract(flat, series, 2))).alias("series"),
-        F.trim(F.regexp_replace(F.regexp_replace(flat, NOT_IN_KEY, " "), r"[^a-z0-9]+", " ")).alias("key"),
+        name_key(name).alias("key"),
         F.array_distinct(F.concat(codes, words)).alias("tokens"),
     )
 

@@ -30,6 +30,17 @@ def task_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("project", "item", "q", F.col("parts").cast("int").alias("parts"))
 
 
+@query(f"""WITH {CENTS}, t AS (SELECT project, CASE document WHEN 'F' THEN 'PVC, ' ELSE '' END || p_name || CASE kind WHEN 'R' THEN ' (lvt)' ELSE '' END AS name, p_name, CASE WHEN q > 4000 THEN 'm1' ELSE 'm2' END AS unit, q, room, item, day, kind, document FROM cents JOIN part ON item = p_partkey),
+  g AS (SELECT project, unit, p_name, list(q ORDER BY room, item, day, kind, document, q) AS qs, max_by(name, {{'l': length(name), 'n': name}}) AS name FROM t GROUP BY 1, 2, 3)
+  SELECT project, unit, name, CAST(list_reduce(qs, lambda s, v: CASE WHEN v <= s + 5 THEN s ELSE s + v END) AS BIGINT) AS quantity, len(qs) AS parts FROM g""")
+def summed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of projects by name: equal ones count once, smaller ones are parts, larger ones are added."""
+    c, p = cents(spark, sf_dir), table(spark, sf_dir, "part")
+    name = F.concat(F.when(F.col("document") == "F", "PVC, ").otherwise(""), "p_name", F.when(F.col("kind") == "R", " (lvt)").otherwise(""))
+    t = c.join(p, c["item"] == p["p_partkey"]).select("project", name.alias("name"), F.when(F.col("q") > 4000, "m1").otherwise("m2").alias("unit"), F.col("q").alias("quantity"), "room", "item", "day", "kind", "document")
+    return assembly.summed_tasks(t, ["project"], ["room", "item", "day", "kind", "document"], 5)
+
+
 @query(f"""WITH {CENTS}, n AS (SELECT project, item, max(amount) FILTER (WHERE kind = 'N') AS amount FROM cents GROUP BY 1, 2), h AS (SELECT item, min_by(amount, project * 10 + room) AS amount FROM cents WHERE kind = 'R' GROUP BY 1)
   SELECT project, n.item AS item, CAST(coalesce(n.amount, h.amount) AS BIGINT) AS amount, n.amount IS NULL AND h.amount IS NOT NULL AS filled FROM n LEFT JOIN h ON n.item = h.item""")
 def enriched_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:

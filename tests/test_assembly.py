@@ -91,3 +91,10 @@ a9 nis 7,00 m²"""
         ("kelder", "00.02", "10.1 Vloer grijs"): (1.0, None, 1, False), ("onbekend", "a9", "10.2 Tapijt"): (7.0, None, 1, False),
     }
     assert {(r.line_no, r.reason) for r in takeoff_text.uncertain_lines(parsed).collect()} == {(0, "no product"), (8, "no storey")}
+
+
+def test_summed_tasks(spark):
+    rows = [("r", "Coral Brush", "m2", 10.0), ("r", "coral-brush, PVC", None, 10.04), ("r", "Coral Brush", "m2", 4.0), ("r", "Coral Brush", "m2", 12.0), ("r", "Coral Brush", "m1", 3.0), ("r", "Coral", "m2", None), ("r", " ", "m2", 5.0), (None, "x", "m2", 1.0), (None, "x", "m2", 2.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k string, name string, unit string, quantity double, at int")
+    got = {(r.k, r.unit, r.name): (r.quantity, r.parts) for r in assembly.summed_tasks(df, ["k"], ["at"]).collect()}
+    assert got == {("r", "m2", "coral-brush, PVC"): (22.0, 4), ("r", "m1", "Coral Brush"): (3.0, 1), ("r", "m2", "Coral"): (0.0, 1), (None, "m2", "x"): (3.0, 2)}
