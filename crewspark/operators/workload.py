@@ -108,3 +108,25 @@ def room_counters(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     blocking = sum((F.col(b) for b in BLOCKING), F.lit(0))
     some = F.col("certain") + F.col("generous") + F.col("estimated") > 0
     return out.withColumns({"blocking": blocking, "plinths": F.col("plinth_net") + F.col("plinth_generous") + F.col("plinth_estimated"), "ready": (blocking == 0) & some})
+
+
+def booking_warnings(rows: DataFrame, team: str, person: str, day: str, start: str, end: str) -> DataFrame:
+    """team, people (those booked twice at once, in order), first_day, days: one warning for each team that has any.
+    rows: team, person, day, start, end.  What a team's people add up to is found by person and day first."""
+    peaks = intervals.peak(rows, [team, person, day], start, end).where("peak > 1")
+    each = peaks.groupBy(team, person).agg(F.min(day).alias("first_day"))
+    days = peaks.select(team, day).distinct().groupBy(team).agg(F.count("*").alias("days"))
+    people = each.groupBy(team).agg(F.array_sort(F.collect_list(person)).alias("people"), F.min("first_day").alias("first_day"))
+    return people.join(days, team)
+
+
+#: Units of surfaces and lengths.
+METRES = ("m2", "m²", "m1", "m¹", "lm")
+
+
+def metre_quantity(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, quantity: the labour lines' (keys, unit, quantity, labour) metres of each key, null up to 0.0001."""
+    unit = F.rtrim(F.lower(F.trim("unit")), F.lit("."))
+    metres = F.col("labour") & unit.isin(*METRES)
+    total = F.round(F.sum(F.when(metres, F.col("quantity"))), 2)
+    return lines.groupBy(*keys).agg(F.when(total > 0.0001, total).alias("quantity"))

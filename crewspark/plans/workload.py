@@ -251,3 +251,22 @@ def work_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines_ = own.where("l_returnflag <> 'N'").select("project", "id", said.alias("description"), materials.alias("materials")).distinct()
     catalog = own.where("l_returnflag = 'N'").select("project", name.alias("name"))
     return work_match.matched_works(lines_, catalog, GOODS).select("project", "id", "outcome", "label", F.size("candidates").alias("candidates")).distinct()
+
+
+@query(f"""WITH {ENTRIES}, m AS (SELECT person, day, pos, sum(d) AS d FROM (SELECT person, day, s AS pos, 1 AS d FROM entries WHERE e > s UNION ALL SELECT person, day, e, -1 FROM entries WHERE e > s) GROUP BY ALL),
+  p AS (SELECT person, day, max(present) AS peak FROM (SELECT person, day, sum(d) OVER (PARTITION BY person, day ORDER BY pos) AS present FROM m) GROUP BY 1, 2),
+  b AS (SELECT person // 4 AS team, person, day FROM p WHERE peak > 1)
+  SELECT team, string_agg(DISTINCT CAST(person AS VARCHAR), ',' ORDER BY CAST(person AS VARCHAR)) AS people, CAST(min(day) AS VARCHAR) AS first_day, count(DISTINCT day) AS days FROM b GROUP BY 1""")
+def booking_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teams with people who are booked twice at once: who, since when, on how many days."""
+    rows = entries(spark, sf_dir).select(F.floor(F.col("person") / 4).alias("team"), F.col("person").cast("string").alias("person"), "day", "s", "e")
+    w = workload.booking_warnings(rows, "team", "person", "day", "s", "e")
+    return w.select("team", F.array_join("people", ",").alias("people"), F.col("first_day").cast("string").alias("first_day"), "days")
+
+
+@query(f"""WITH {CENTS}, s AS (SELECT project, item, round(sum(CASE WHEN kind = 'R' AND room % 4 < 2 THEN q - 500 END) / 100.0::DOUBLE, 2) AS q FROM cents GROUP BY 1, 2) SELECT project, item, CASE WHEN q > 0.0001 THEN q END AS quantity FROM s""")
+def metre_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metres of items by their labour lines; other units don't count, nothing is null."""
+    unit = F.when(F.col("room") % 4 == 0, " M2.").when(F.col("room") % 4 == 1, "lm").when(F.col("room") % 4 == 2, "uren").otherwise("stuks")
+    c = cents(spark, sf_dir).select("project", "item", unit.alias("unit"), ((F.col("q") - 500) / 100).alias("quantity"), (F.col("kind") == "R").alias("labour"))
+    return workload.metre_quantity(c, ["project", "item"])

@@ -103,3 +103,13 @@ def test_work_outcomes(spark):
     assert {d: (got[i].outcome, got[i].label) for i, d in enumerate(cases)} == cases
     assert got[list(cases).index("tapijt leggen")].candidates == ["Tapijt Desso", "Tapijt Ege"]
     assert [(got[i].outcome, got[i].label) for i in (100, 101, 102, 103)] == [("matched", "Coral Brush"), ("warning", "Tapijt a"), ("review", None), ("review", None)]
+
+
+def test_booking_warnings_and_metres(spark):
+    d = date(2026, 9, 7)
+    rows = [("t", "b", d, 0, 9), ("t", "b", d, 8, 12), ("t", "a", d, 0, 5), ("t", "a", d, 4, 6), ("t", "c", d, 0, 5), ("t", "c", d, 5, 9), ("u", "e", d, 0, 5)]
+    got = workload.booking_warnings(spark.createDataFrame(rows, "team string, person string, day date, s long, e long"), "team", "person", "day", "s", "e").collect()
+    assert [(r.team, r.people, r.first_day, r.days) for r in got] == [("t", ["a", "b"], d, 1)]
+    rows = [("a", "M2.", 2.5, True), ("a", " lm", 1.0, True), ("a", "uur", 9.0, True), ("a", "m2", 9.0, False), ("b", "m1", 0.00001, True), ("c", "st", 4.0, True)]
+    got = {r.k: r.quantity for r in workload.metre_quantity(spark.createDataFrame(rows, "k string, unit string, quantity double, labour boolean"), ["k"]).collect()}
+    assert got == {"a": 3.5, "b": None, "c": None}
