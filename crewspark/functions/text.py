@@ -210,3 +210,24 @@ def name_in_text(expected: Column, text: Column) -> Column:
     in_order = F.rlike(b, F.concat_ws(".*", F.split(a, "")))
     long = (F.length(a) >= 4) & (F.length(b) <= F.ceil(F.length(a) * 2.6))
     return (a != "") & (b != "") & (b.contains(a) | F.regexp_replace(b, r"(.)\1+", "$1").contains(a) | undoubled(b).contains(a) | (long & in_order))
+
+
+def mobile_number(value: Column) -> Column:
+    """A Dutch mobile number as 06 and eight digits, however it is written (+31, 0031, (0)6), or null."""
+    digits = F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"\D+", ""), "^00", "")
+    own = F.regexp_extract(digits, r"^(?:310?|0)(6\d{8})$", 1)
+    return F.when(own != "", F.concat(F.lit("0"), own))
+
+
+def phone_id(value: Column) -> Column:
+    """A number with its country and without signs: a Dutch mobile as 316..., another one's digits without 00;
+    null with fewer than eight."""
+    digits = F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"\D+", ""), "^00", "")
+    mobile = mobile_number(value)
+    return F.when(mobile.isNotNull(), F.concat(F.lit("31"), F.substr(mobile, F.lit(2)))).when(F.length(digits) >= 8, digits)
+
+
+def phone_shown(value: Column) -> Column:
+    """A Dutch mobile as 06-12345678, other numbers as they are written."""
+    mobile = mobile_number(value)
+    return F.when(mobile.isNotNull(), F.concat(F.lit("06-"), F.substr(mobile, F.lit(3)))).otherwise(F.trim(F.coalesce(value, F.lit(""))))

@@ -33,9 +33,11 @@ def date_runs(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
     return days.withColumn("__run", island).groupBy(*keys, "__run").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("days")).drop("__run")
 
 
-def without_day(df: DataFrame, keys: Sequence[str], start: str, end: str, removed: Column) -> DataFrame:
-    """Ranges without one day: gone, shorter, or in two."""
+def without_day(df: DataFrame, keys: Sequence[str], start: str, end: str, removed: Column, gaps: Column | None = None) -> DataFrame:
+    """Ranges without one day: gone, shorter, or in two.  gaps: days of a range that it doesn't cover anyway,
+    which part it too."""
     days = F.filter(F.sequence(F.col(start), F.col(end)), lambda d: d != removed)
+    days = days if gaps is None else F.array_except(days, F.coalesce(gaps, F.array().cast("array<date>")))
     return date_runs(df.select(*keys, F.explode(days).alias("day")), keys, "day")
 
 

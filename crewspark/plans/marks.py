@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crewspark.functions import colors, text
-from crewspark.operators import planning_rules
+from crewspark.operators import planning_rules, sequences
 from crewspark.plans.registry import ENTRIES, entries, query, table
 from crewspark.sources import contacts
 
@@ -70,3 +70,24 @@ def kept_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entries(spark, sf_dir).select("id", "day", "status", (F.col("person") % 7).cast("long").alias("lane"))
     kept = planning_rules.renumbered(e, e.where("status IN ('view', 'purchase')"), "id", ["day"], "lane")
     return kept.select("id", F.col("day").cast("string").alias("day"), F.col("lane").cast("long").alias("lane"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey % 5 AS form, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS n FROM customer)
+  SELECT c_custkey, CASE WHEN form < 3 THEN '316' || n WHEN form = 3 THEN '49' || n END AS id, CASE WHEN form < 3 THEN '06-' || n WHEN form = 3 THEN '+49 ' || n ELSE '12-34' END AS shown FROM c""")
+def phone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in five forms: Dutch mobiles in three of them, a foreign one, and one that is too short."""
+    n, form = F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.col("c_nationkey") % 5
+    written = F.when(form == 0, F.concat(F.lit("06 "), F.left(n, F.lit(4)), F.lit("-"), F.right(n, F.lit(4)))).when(form == 1, F.concat(F.lit("+31 (0)6 "), n)).when(form == 2, F.concat(F.lit("0031-6"), n)).when(form == 3, F.concat(F.lit(" +49 "), n)).otherwise("12-34")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.phone_id(written).alias("id"), text.phone_shown(written).alias("shown"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderkey % 9 AS INTEGER) AS n FROM orders), d AS (SELECT o_orderkey, a, n, unnest(generate_series(a, a + n, INTERVAL 1 DAY))::DATE AS day FROM r),
+  k AS (SELECT * FROM d WHERE day <> a + 2 AND isodow(day) <> 7), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY day) AS INTEGER) AS run FROM k)
+  SELECT o_orderkey, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, count(*) AS days FROM g GROUP BY o_orderkey, run""")
+def removed_day_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges without their third day; Sundays, which they don't cover, part them too."""
+    a = F.to_date("o_orderdate")
+    r = table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), F.date_add(a, (F.col("o_orderkey") % 9).cast("int")).alias("b"))
+    sundays = F.filter(F.sequence("a", "b"), lambda d: F.weekday(d) == 6)
+    runs = sequences.without_day(r, ["o_orderkey"], "a", "b", F.date_add("a", 2), sundays)
+    return runs.select("o_orderkey", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), "days")

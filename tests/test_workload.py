@@ -113,3 +113,10 @@ def test_booking_warnings_and_metres(spark):
     rows = [("a", "M2.", 2.5, True), ("a", " lm", 1.0, True), ("a", "uur", 9.0, True), ("a", "m2", 9.0, False), ("b", "m1", 0.00001, True), ("c", "st", 4.0, True)]
     got = {r.k: r.quantity for r in workload.metre_quantity(spark.createDataFrame(rows, "k string, unit string, quantity double, labour boolean"), ["k"]).collect()}
     assert got == {"a": 3.5, "b": None, "c": None}
+
+
+def test_phone_numbers(spark):
+    cases = {"06-12345678": ("31612345678", "06-12345678"), "+31 (0)6 12 34 56 78": ("31612345678", "06-12345678"), "0031612345678": ("31612345678", "06-12345678"), "+48 690668857": ("48690668857", "+48 690668857"), "0612": (None, "0612"), "020-1234567": ("0201234567", "020-1234567"), "": (None, "")}
+    for written, want in cases.items():
+        assert one(spark, text.phone_id(F.lit(written)), text.phone_shown(F.lit(written))) == want, written
+    assert one(spark, text.phone_id(F.lit(None).cast("string")), text.phone_shown(F.lit(None).cast("string"))) == (None, "")
