@@ -6,8 +6,10 @@ are found by what they must have in common, never by holding all names against e
 * a work code, a variant code or a product code of both;
 * a key (12 letters or more) that the other's key begins with: a name looks up the beginnings of its key
   whose lengths occur;
-* words: the words of one name all align with words of the other, so that its rarest word (by the first
-  five letters, on which words align) is also in the other name.
+* words: the words of one name all align with words of the other, so that its two rarest words (by the first
+  five letters, on which words align) are also in the other name.
+
+Keys and words only tell where one of the names has no code; names that both have some need a common one.
 """
 
 from __future__ import annotations
@@ -139,16 +141,23 @@ def candidates(names: DataFrame) -> DataFrame:
         F.transform("f.codes", lambda c: F.concat(F.lit("c"), c)), F.transform("f.variants", lambda c: F.concat(F.lit("v"), c))
     ))).alias("k"))
     by_code = codes.join(codes.withColumnRenamed("id", "other"), "k").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    keys = names.select("id", F.col("f.key").alias("key")).where("key <> ''")
+    # a code that both have but don't share tells them apart, so that keys and words only count where a name has no code
+    coded = F.size("f.codes") > 0
+    keys = names.select("id", F.col("f.key").alias("key"), coded.alias("coded")).where("key <> ''")
     lengths = F.broadcast(keys.where(F.length("key") >= CUT_KEY).groupBy().agg(F.array_distinct(F.collect_set(F.length("key"))).alias("lengths")))
-    cut = keys.join(lengths).select("id", F.explode(F.transform(F.filter("lengths", lambda n: n < F.length("key")), lambda n: F.left("key", n))).alias("key"))
-    whole = keys.select(F.col("id").alias("other"), "key")
-    by_key = keys.unionByName(cut).join(whole, "key").where("id <> other")
-    stem = F.array_distinct(F.transform("f.tokens", lambda t: F.left(t, F.lit(CUT_WORD))))
-    stems = names.select("id", F.explode(stem).alias("stem"))
-    rare = stems.join(stems.groupBy("stem").agg(F.count("*").alias("n")), "stem").groupBy("id").agg(F.min(F.struct("n", "stem")).alias("x"))
-    by_word = rare.select("id", "x.stem").join(stems.withColumnRenamed("id", "other"), "stem").where("id <> other")
-    ordered = by_key.unionByName(by_word, allowMissingColumns=True).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    cut = keys.join(lengths).select("id", F.explode(F.transform(F.filter("lengths", lambda n: n < F.length("key")), lambda n: F.left("key", n))).alias("key"), "coded")
+    whole = keys.select(F.col("id").alias("other"), "key", F.col("coded").alias("other_coded"))
+    by_key = keys.unionByName(cut).join(whole, "key").where("id <> other AND NOT (coded AND other_coded)").select("id", "other")
+    stem = F.array_sort(F.array_distinct(F.transform("f.tokens", lambda t: F.left(t, F.lit(CUT_WORD)))))
+    worded = names.select("id", stem.alias("stems"), F.when(coded, F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), F.lit("bare"))).alias("among"), F.when(coded, "bare").otherwise("*").alias("with"))
+    stems = worded.select("id", "with", F.explode("stems").alias("stem"))
+    counted = stems.join(stems.groupBy("stem").agg(F.count("*").alias("n")), "stem")
+    rare = counted.groupBy("id", "with").agg(F.array_sort(F.collect_list(F.struct("n", "stem"))).alias("x"))
+    rare = rare.select("id", F.col("with").alias("among"), F.array_join(F.array_sort(F.slice("x.stem", 1, 2)), " ").alias("k"))
+    pairs = F.flatten(F.transform("stems", lambda s, i: F.transform(F.slice("stems", i + 1, F.size("stems")), lambda t: F.when(s == t, s).otherwise(F.concat(s, F.lit(" "), t)))))
+    keyed = worded.select(F.col("id").alias("other"), "among", F.explode(pairs).alias("k")).select("other", F.explode("among").alias("among"), "k")
+    by_word = rare.join(keyed, ["among", "k"]).where("id <> other").select("id", "other")
+    ordered = by_key.union(by_word).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     return by_code.union(ordered).distinct()
 
 

@@ -78,3 +78,9 @@ def test_chain_of_names_is_one_group(spark):
     assert set(got) == {1, 7}
     assert (got[1].name, got[1].total, got[1].names, got[1].rows) == ("43.20.02 Coral Brush 5721", 12.5, 3, 4)
     assert got[7].total is None
+
+
+def test_names_with_other_codes_are_no_candidates(spark):
+    rows = [(i, f"large ring economy, 43.{i // 100:02d}.{i % 100:02d}") for i in range(300)] + [(300, "large ring economy"), (301, "large bolt economy")]
+    names = spark.createDataFrame(rows, "id long, name string").select("id", products.facts(F.col("name")).alias("f"))
+    assert {tuple(r) for r in products.candidates(names).collect()} == {(i, 300) for i in range(300)}
