@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crewspark.storage import rewritten
+
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Half-open intervals overlap; touching ones do not."""
@@ -31,16 +33,55 @@ def merged(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFram
     return df.withColumn("__island", island).groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
-def sweep(df: DataFrame, keys: Sequence[str], start: str, end: str, weight: Column | None = None) -> DataFrame:
-    """Segments [at, until) between boundaries of each key, and the weight that is present in each.
+def profile(df: DataFrame, keys: Sequence[str], start: str, end: str, weight: Column | None = None) -> DataFrame:
+    """keys, at and the weight that is present from there on, at each boundary of a key.
 
     One pass over the boundaries with a running sum; boundaries at one place are summed before.
     """
     w = weight if weight is not None else F.lit(1)
     ends = F.explode(F.array(F.struct(F.col(start).alias("at"), w.alias("d")), F.struct(F.col(end).alias("at"), (-w).alias("d"))))
     moves = df.where(F.col(end) > F.col(start)).select(*keys, ends.alias("__m")).groupBy(*keys, F.col("__m.at").alias("at")).agg(F.sum("__m.d").alias("d"))
+    return moves.select(*keys, "at", F.sum("d").over(Window.partitionBy(*keys).orderBy("at")).alias("present"))
+
+
+def sweep(df: DataFrame, keys: Sequence[str], start: str, end: str, weight: Column | None = None) -> DataFrame:
+    """Segments [at, until) between boundaries of each key, and the weight that is present in each."""
+    until = F.lead("at").over(Window.partitionBy(*keys).orderBy("at"))
+    return profile(df, keys, start, end, weight).select(*keys, "at", until.alias("until"), "present").where("until IS NOT NULL")
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with the other columns of right's row of its keys, if any; null keys are equal."""
+    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(other, same, "left").drop(*[f"__{k}" for k in keys])
+
+
+def profile_peaks(steps: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """bounds (keys, s, e, s < e) with peak, the most that is present in steps (keys, at, present: a
+    profile, written somewhere) between s and e; null: no step before e.
+
+    Each step knows the most of the 1, 2, 4, ... steps from it on; a range of steps is two such runs.
+    """
     order = Window.partitionBy(*keys).orderBy("at")
-    return moves.select(*keys, "at", F.lead("at").over(order).alias("until"), F.sum("d").over(order).alias("present")).where("until IS NOT NULL")
+    numbered = steps.select(*keys, "at", F.col("present").alias("__m0"), F.row_number().over(order).cast("long").alias("__n"))
+    most = steps.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    levels = most.bit_length()
+    for j in range(1, levels):
+        numbered = numbered.withColumn(f"__m{j}", F.greatest(f"__m{j - 1}", F.lead(f"__m{j - 1}", 2 ** (j - 1)).over(order)))
+    runs = rewritten(numbered.select(*keys, "__n", F.array(*[f"__m{j}" for j in range(levels)]).alias("__m")))
+    # at one place: an end, a step, a start
+    places = steps.select(*keys, "at", F.lit(1).alias("__kind")).union(bounds.select(*keys, "s", F.lit(2)).distinct()).union(bounds.select(*keys, "e", F.lit(0)).distinct())
+    placed = places.withColumn("__n", F.count_if(F.col("__kind") == 1).over(Window.partitionBy(*keys).orderBy("at", "__kind")))
+    of = lambda kind, at, n: placed.where(F.col("__kind") == kind).select(*keys, F.col("at").alias(at), F.col("__n").alias(n))
+    ranged = same_keys(same_keys(bounds, of(2, "s", "__lo"), [*keys, "s"]), of(0, "e", "__hi"), [*keys, "e"])
+    ranged = ranged.withColumn("__lo", F.greatest("__lo", F.lit(1).cast("long"))).withColumn("__j", F.length(F.bin(F.greatest(F.col("__hi") - F.col("__lo") + 1, F.lit(1)))) - 1)
+    ranged = ranged.withColumn("__k2", F.col("__hi") + 1 - F.pow(F.lit(2), F.col("__j")).cast("long"))
+    a, b = runs.withColumnsRenamed({"__n": "__lo", "__m": "__ma"}), runs.withColumnsRenamed({"__n": "__k2", "__m": "__mb"})
+    both = same_keys(same_keys(ranged.where("__hi >= __lo"), a, [*keys, "__lo"]), b, [*keys, "__k2"])
+    return both.select(*keys, "s", "e", F.greatest(F.get("__ma", F.col("__j")), F.get("__mb", F.col("__j"))).alias("peak"))
 
 
 def peak(df: DataFrame, keys: Sequence[str], start: str, end: str, weight: Column | None = None) -> DataFrame:

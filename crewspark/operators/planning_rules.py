@@ -12,20 +12,32 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from crewspark.operators import intervals
 from crewspark.shipping import map_in_arrow
+from crewspark.storage import rewritten
 
 
-def proposal_conflicts(planned: DataFrame, proposals: DataFrame, keys: Sequence[str], capacity: Column, bucket: int) -> DataFrame:
+def proposal_conflicts(planned: DataFrame, proposals: DataFrame, keys: Sequence[str], capacity: Column, bucket: int | None = None) -> DataFrame:
     """id, first_at, most of the proposals (keys, id, s, e, people) during which more people than the
     capacity (an expression of the keys) would be present with those planned (keys, id, s, e, people).
 
-    A proposal meets only what overlaps it; the sweep runs within each proposal.
+    What is planned is swept once a key.  A proposal looks up the most people in that profile, and the place
+    where too many begin, for each number of people that is proposed in its key; proposals and entries are
+    never paired, and equal places and ends are looked up once (so that a bucket no longer matters).
     """
-    met = intervals.overlap_pairs(proposals, planned, keys, bucket)
-    own = met.join(planned.select(*keys, F.col("id").alias("id_b"), F.col("people").alias("n")), [*keys, "id_b"])
-    inside = own.select(*keys, F.col("id_a").alias("id"), F.greatest("s_a", "s_b").alias("s"), F.least("e_a", "e_b").alias("e"), "n")
-    present = inside.unionByName(proposals.select(*keys, "id", "s", "e", F.col("people").alias("n")))
-    segments = intervals.sweep(present, [*keys, "id"], "s", "e", F.col("n")).where(F.col("present") > capacity)
-    return segments.groupBy(*keys, "id").agg(F.min("at").alias("first_at"), F.max("present").alias("most"))
+    room = [*keys, "people"]
+    own = proposals.where("e > s").select(*keys, "id", "s", "e", "people")
+    profile = rewritten(intervals.profile(planned.dropna(subset=list(keys)), keys, "s", "e", F.col("people")))
+    peaks = intervals.profile_peaks(profile, own.select(*keys, "s", "e").distinct(), keys)
+    too_many = F.coalesce(F.col("present") + F.col("people") > capacity, F.lit(False))
+    over = profile.join(own.select(*room).distinct(), list(keys)).select(*room, "at", too_many.alias("over"), F.lit(False).alias("asked"))
+    asked = own.select(*room, F.col("s").alias("at"), F.lit(None).cast("boolean").alias("over"), F.lit(True).alias("asked")).distinct()
+    order = Window.partitionBy(*room).orderBy("at", "asked")
+    here = F.coalesce(F.last("over", ignorenulls=True).over(order), F.lit(False))
+    later = F.min(F.when(F.col("over"), F.col("at"))).over(Window.partitionBy(*room).orderBy(F.desc("at"), F.desc("asked")).rowsBetween(Window.unboundedPreceding, 0))
+    firsts = over.union(asked).select(*room, F.col("at").alias("s"), "asked", F.when(here, F.col("at")).otherwise(later).alias("first")).where("asked").drop("asked")
+    met = intervals.same_keys(intervals.same_keys(own, firsts, [*room, "s"]), peaks, [*keys, "s", "e"])
+    most = F.col("people") + F.coalesce("peak", F.lit(0))
+    first = F.when(F.col("people") > capacity, F.col("s")).otherwise(F.col("first"))
+    return met.where(most > capacity).select(*keys, "id", first.alias("first_at"), most.alias("most"))
 
 
 def budget_conflicts(planned: DataFrame, proposals: DataFrame, budget: Column, bucket: int) -> DataFrame:

@@ -27,6 +27,22 @@ def test_proposals_against_a_count(spark):
     assert got == want and want
 
 
+def test_proposals_at_one_time_are_not_paired(spark):
+    # 30,000 entries and as many proposals at one time: 900 million pairs
+    ids = spark.range(60_000).select(F.lit("k").alias("k"), "id", (F.col("id") % 7).alias("s"), (F.col("id") % 7 + 100 + F.col("id") % 3).alias("e"), F.lit(1).cast("long").alias("people"))
+    got = rules.proposal_conflicts(ids.where("id % 2 = 1"), ids.where("id % 2 = 0"), ["k"], F.lit(2), 200)
+    assert "__bucket" not in got._jdf.queryExecution().toString()
+    assert tuple(got.agg(F.count("*"), F.min("first_at"), F.max("first_at"), F.min("most"), F.max("most")).first()) == (30_000, 0, 6, 30_001, 30_001)
+
+
+def test_proposals_before_after_and_between_what_is_planned(spark):
+    planned = spark.createDataFrame([("k", 1, 10, 20, 2), ("k", 2, 30, 40, 5), (None, 3, 0, 50, 9)], "k string, id long, s long, e long, people long")
+    cases = [("k", 11, 0, 10, 1), ("k", 12, 20, 30, 1), ("k", 13, 15, 31, 1), ("k", 14, 0, 50, 4), ("k", 15, 0, 31, 2), ("k", 16, 50, 60, 6), ("k", 17, 12, 12, 9), ("o", 18, 0, 1, 7), (None, 19, 5, 9, 8), (None, 20, 5, 9, 1)]
+    proposed = spark.createDataFrame(cases, "k string, id long, s long, e long, people long")
+    got = {r.id: (r.first_at, r.most) for r in rules.proposal_conflicts(planned, proposed, ["k"], F.lit(5)).collect()}
+    assert got == {13: (30, 6), 14: (10, 9), 15: (30, 7), 16: (50, 6), 18: (0, 7), 19: (5, 8)}
+
+
 def test_clamped_clocks(spark):
     df = spark.createDataFrame([(1, 500, 700), (2, None, 600), (3, 990, 1100)], "id long, a int, b int")
     a, b = rules.clamped(F.col("a"), F.col("b"), F.lit(480), F.lit(960))
