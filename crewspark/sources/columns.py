@@ -83,28 +83,44 @@ def guessed_columns(cells: DataFrame, memory: DataFrame | None = None) -> DataFr
     """file, sheet, part, header_row (null: none), role, col_no, points, sure of all sheets of cells (file,
     sheet, row_no, col_no, value; blank ones left out).  memory: header (normalized) and role.
 
-    Only the first values below each header are looked at, so that a sheet's length doesn't matter.
+    Only the first values below each header are looked at, so that a sheet's length doesn't matter: a column
+    is its first values (their row, roles as bits, and code) and headers, and the headers that are tried are
+    made of these within the task that has the sheet.
     """
     own = cells.select(F.struct("file", "sheet").alias("s"), "row_no", "col_no", F.trim("value").alias("value")).where("value <> ''")
-    in_column = Window.partitionBy("s", "col_no").orderBy("row_no")
-    values = own.where(~F.col("value").rlike(r"(?i)^totaal\b")).withColumn("k", F.row_number().over(in_column)).where(F.col("k") <= HEAD_ROWS + SAMPLE)
     looks = looks_like(F.col("value"))
-    rooms = own.groupBy("s", "row_no").agg(F.max(F.col("value").rlike(ROOM)).alias("room_row"))
-    seen = values.join(rooms, ["s", "row_no"]).select(
-        "s", "row_no", "col_no", F.array(*[looks[r].cast("int") for r in ROLES]).alias("looks"), F.nullif(F.lower(F.regexp_extract("value", CODE, 1)), F.lit("")).alias("code"), "room_row",
-        F.explode(F.sequence(F.lit(0), F.least(F.lit(HEAD_ROWS), F.col("row_no") - 1))).alias("head"),
-    )
-    below = Window.partitionBy("s", "head", "col_no").orderBy("row_no")
-    seen = seen.withColumn("k", F.row_number().over(below)).where(F.col("k") <= SAMPLE)
-    on_room = F.col("room_row") & F.col("code").isNotNull() & (F.col("row_no") <= F.col("head") + SAMPLE)
-    sums = seen.groupBy("s", "head", "col_no").agg(
-        F.count("*").alias("n"), F.array(*[F.sum(F.col("looks")[i]) for i in range(len(ROLES))]).alias("hits"), F.countDistinct("code").alias("codes"), F.max(on_room).alias("on_room")
+    bits = sum((F.when(looks[r], 1 << i).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0))
+    code = F.nullif(F.lower(F.regexp_extract("value", CODE, 1)), F.lit(""))
+    total = F.col("value").rlike(r"(?i)^totaal\b")
+    header = F.when(F.col("row_no") <= HEAD_ROWS, normalized_header(F.col("value")))
+    short = own.select("s", "col_no", "row_no", total.alias("total"), F.when(~total, bits).alias("bits"), F.when(~total, code).alias("code"), header.alias("header"))
+    k = F.row_number().over(Window.partitionBy("s", "col_no").orderBy("total", "row_no"))
+    first = short.withColumn("k", k).withColumn("seen", ~F.col("total") & (F.col("k") <= HEAD_ROWS + SAMPLE)).where("seen OR header IS NOT NULL")
+    value = F.struct("row_no", "bits", "code")
+    by_column = first.groupBy("s", "col_no").agg(
+        F.array_sort(F.collect_list(F.when(F.col("seen"), value))).alias("seen"), F.collect_list(F.when(F.col("header").isNotNull(), F.struct("row_no", "header"))).alias("headers")
     )
-    heads = own.where(F.col("row_no") <= HEAD_ROWS).select("s", F.col("row_no").alias("head"), "col_no", normalized_header(F.col("value")).alias("header"))
-    each = sums.join(heads, ["s", "head", "col_no"], "full").withColumns({"header": F.coalesce("header", F.lit("")), "n": F.coalesce("n", F.lit(0))})
-    known = each.withColumn("learned", F.lit(None).cast("string"))
+    by_sheet = by_column.groupBy("s").agg(F.collect_list(F.struct("col_no", "seen", "headers")).alias("columns"))
+    like = lambda bit: lambda v: v["bits"].bitwiseAND(bit) > 0
+    is_room = like(1)
+    under = lambda seen, head: F.slice(F.filter(seen, lambda v: v["row_no"] > head), 1, SAMPLE)
+    room_points = lambda values: _content_points(F.size(F.filter(values, is_room)), F.size(values))
+    starts = F.transform(F.filter("columns", lambda c: room_points(under(c["seen"], F.lit(0))) >= 2), lambda c: c["col_no"])
+    room_rows = F.array_distinct(F.flatten(F.transform("columns", lambda c: F.transform(F.filter(c["seen"], is_room), lambda v: v["row_no"]))))
+    parts = by_sheet.select("s", starts.alias("starts"), room_rows.alias("room_rows"), F.inline("columns"))
+    deepest = F.array_max(F.transform("seen", lambda v: v["row_no"]))
+    tried = F.when(deepest > 0, F.sequence(F.lit(0).cast("long"), F.least(F.lit(HEAD_ROWS), deepest - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    heads = F.array_union(tried, F.transform("headers", lambda h: h["row_no"].cast("long")))
+    each = parts.select("s", "starts", "room_rows", "col_no", "seen", "headers", F.explode(heads).alias("head")).withColumn("below", under(F.col("seen"), F.col("head")))
+    on_room = F.exists("below", lambda v: v["code"].isNotNull() & (v["row_no"] <= F.col("head") + SAMPLE) & F.array_contains("room_rows", v["row_no"]))
+    known = each.select(
+        "s", "starts", "head", "col_no", F.size("below").cast("long").alias("n"), on_room.alias("on_room"), F.lit(None).cast("string").alias("learned"),
+        F.array(*[F.size(F.filter("below", like(1 << i))) for i in range(len(ROLES))]).alias("hits"),
+        F.size(F.array_distinct(F.filter(F.transform("below", lambda v: v["code"]), lambda c: c.isNotNull()))).alias("codes"),
+        F.coalesce(F.get(F.filter("headers", lambda h: h["row_no"] == F.col("head")), F.lit(0))["header"], F.lit("")).alias("header"),
+    )
     if memory is not None:
-        known = each.join(memory.select("header", F.col("role").alias("learned")), "header", "left")
+        known = known.drop("learned").join(memory.select("header", F.col("role").alias("learned")), "header", "left")
     points, sure = [], []
     for i, role in enumerate(ROLES):
         head = _header_points(F.col("header"), role)
@@ -118,10 +134,8 @@ def guessed_columns(cells: DataFrame, memory: DataFrame | None = None) -> DataFr
         points.append(total)
         certain = ((head >= 4) & (content >= 2)) | (recalled >= MEMORY)
         sure.append(certain if role == "quantity" else certain | (content >= 4))
-    scored = known.select("s", "head", "col_no", F.array(*points).alias("points"), F.array(*sure).alias("sure"), F.when(F.col("head") == 0, _content_points(F.col("hits")[0], F.col("n"))).alias("rooms"))
-    starts = scored.where("rooms >= 2").groupBy("s").agg(F.collect_set("col_no").alias("starts")).where("size(starts) > 1")
-    part = F.when(F.col("starts").isNull(), 1).otherwise(F.size(F.filter("starts", lambda x: x <= F.col("col_no"))))
-    placed = scored.join(starts, "s", "left").withColumn("part", part).where("part > 0")
+    part = F.when(F.size("starts") < 2, 1).otherwise(F.size(F.filter("starts", lambda x: x <= F.col("col_no"))))
+    placed = known.select("s", "head", "col_no", part.alias("part"), F.array(*points).alias("points"), F.array(*sure).alias("sure")).where("part > 0")
     sheets = placed.groupBy("s", "part", "head").agg(F.collect_list(F.struct("col_no", "points", "sure")).alias("columns"))
     picks: list[str] = []
     for i, role in enumerate(ROLES):
