@@ -19,6 +19,8 @@ from crewspark.storage import rewritten
 
 #: Areas that differ by no more are one, and by how much two sources may differ.
 SAME_AREA, AREA_APART = 0.05, 1.0
+#: Fixed value: rooms of a project that each room of the other side may be held against as they are.
+FEW_ROOMS = 64
 
 
 def _only(df: DataFrame, keys: Sequence[str], id_: str) -> DataFrame:
@@ -106,12 +108,8 @@ def judged(pool: DataFrame, names: Sequence[str], area: Sequence[str], product:
     return out.withColumns({"confidence": confidence, "reasons": F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()]))}).drop("__conflict")
 
 
-def _matches(drawn: DataFrame, rooms: DataFrame) -> DataFrame:
-    """For each drawn room and storey of its section the best room: id, target, score, strong, triple, ..."""
-    number, name = repaired_room_number(F.coalesce("number", F.lit(""))), folded(F.coalesce("name", F.lit("")))
-    a = drawn.select("project", "id", F.col("floor").alias("base"), number.alias("na"), name.alias("ma"), F.col("area").alias("aa"))
-    b = rooms.select("project", folded("floor").alias("target"), floor_base(F.col("floor")).alias("base"), number.alias("nb"), name.alias("mb"), F.col("area").alias("ab"), F.col("id").alias("other"))
-    b = b.unionByName(b.withColumn("base", F.col("target"))).distinct()
+def _alike_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of drawn rooms and rooms of one project and base that share a number, a cell of area or a key of a name."""
     cell = lambda c: F.floor(F.col(c) / (2 * SAME_AREA))
     near_a, near_b = a.withColumn("c", F.explode(F.array(*[cell("aa") + d for d in (-1, 0, 1)]))), b.withColumn("c", cell("ab"))
     keyed = lambda side, name, within: side.where(f"{name} <> ''").withColumn("k", F.explode(alike_keys(F.col(name), within)))
@@ -121,7 +119,23 @@ def _matches(drawn: DataFrame, rooms: DataFrame) -> DataFrame:
     for x, y in ways:
         met = x.join(y, ["project", "base", "k"]).select("project", "id", "target", "na", "ma", "aa", "nb", "mb", "ab", "other", "base")
         pairs = met if pairs is None else pairs.union(met)
-    pairs = pairs.distinct()
+    return pairs.distinct()
+
+
+def _matches(drawn: DataFrame, rooms: DataFrame) -> DataFrame:
+    """For each drawn room and storey of its section the best room: id, target, score, strong, triple, ..."""
+    number, name = repaired_room_number(F.coalesce("number", F.lit(""))), folded(F.coalesce("name", F.lit("")))
+    a = drawn.select("project", "id", F.col("floor").alias("base"), number.alias("na"), name.alias("ma"), F.col("area").alias("aa"))
+    b = rooms.select("project", folded("floor").alias("target"), floor_base(F.col("floor")).alias("base"), number.alias("nb"), name.alias("mb"), F.col("area").alias("ab"), F.col("id").alias("other"))
+    b = rewritten(b.unionByName(b.withColumn("base", F.col("target"))).distinct())
+    # projects with few rooms on a side are paired as they are; keys of names are only made for the others
+    count = lambda side, n: side.groupBy("project").agg(F.count("*").alias(n))
+    large = rewritten(count(a, "n").join(count(b, "m"), "project").where(F.least("n", "m") > FEW_ROOMS).select("project"))
+    columns = ["project", "id", "target", "na", "ma", "aa", "nb", "mb", "ab", "other", "base"]
+    few = a if large.isEmpty() else a.join(large, "project", "left_anti")
+    pairs = few.join(b.withColumnRenamed("base", "base_b"), "project").where("base = base_b").select(*columns)
+    if not large.isEmpty():
+        pairs = pairs.union(_alike_pairs(a.join(large, "project", "left_semi"), b.join(large, "project", "left_semi")).select(*columns))
     off = F.round(F.abs(F.col("aa") - F.col("ab")).cast("double"), 6)
     named, alike = (F.col("ma") != "") & (F.col("mb") != ""), names_alike(F.col("ma"), F.col("mb"))
     by_number, by_name, by_area = (F.col("na") != "") & (F.col("na") == F.col("nb")), named & alike, F.coalesce(off <= SAME_AREA, F.lit(False))
@@ -153,7 +167,7 @@ def storeys_by_section(drawn: DataFrame, rooms: DataFrame) -> DataFrame:
     room of its number has another name.  Its number is put right if name and area prove the other.
     """
     # storeys with a section: their base is another label
-    own = drawn.withColumn("floor", folded(F.coalesce("floor", F.lit(""))))
+    own = rewritten(drawn.withColumn("floor", folded(F.coalesce("floor", F.lit("")))))
     skip = folded(F.coalesce("name", F.lit(""))).rlike(r"^(ruimte(\s*\d+)?|toilet|toiletruimte)?$")
     found = rewritten(_matches(own.where(~skip & (F.col("floor") != "")), rooms))
     sections = found.where((F.col("target") != F.col("base")) & F.col("strong"))

@@ -78,6 +78,23 @@ def test_storeys_by_section(spark):
     }
 
 
+def test_rooms_of_small_projects_need_no_keys(spark, monkeypatch):
+    rng = random.Random(8)
+    schema = "project long, id string, floor string, number string, name string, area double, page int"
+    names = ["kantoor", "kantooor", "kantoorruimte", "berging", "bergingen", "hal", "werkplaats", "ruimte", "", None]
+    make = lambda kind, floors: [(rng.randint(1, 6), f"{kind}{i}", rng.choice(floors), rng.choice(["1.01", "1.02", "", None]), rng.choice(names), rng.choice([9.0, 9.02, 12.0, None]), rng.choice([1, 2])) for i in range(90)]
+    drawn = spark.createDataFrame(make("d", ["verdieping 1", "kelder"]), schema)
+    known = spark.createDataFrame(make("k", ["Verdieping 1", "Fase 2 verdieping 1", "kelder"]), schema)
+    result = lambda: sorted(map(repr, room_sources.storeys_by_section(drawn, known).collect()))
+    monkeypatch.setattr(room_sources, "FEW_ROOMS", 15)  # some projects have more
+    mixed = result()
+    monkeypatch.setattr(room_sources, "FEW_ROOMS", 0)
+    keyed = result()
+    monkeypatch.setattr(room_sources, "FEW_ROOMS", 64)
+    monkeypatch.setattr(room_sources, "_alike_pairs", None)
+    assert result() == keyed == mixed and len(keyed) == 90
+
+
 def test_storeys_from_page(spark):
     rows = [(1, 1, "kelder"), (1, 1, None), (1, 1, "Onbekend"), (1, 2, "a"), (1, 2, "b"), (1, 2, ""), (1, None, None)]
     got = room_sources.storeys_from_page(spark.createDataFrame(rows, "project long, page int, floor string")).collect()
