@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from crewspark.functions.text import floor_base, folded, repaired_room_number
 from crewspark.operators.matching import first_rows
-from crewspark.operators.rooms import GENERIC, alike_keys, names_alike
+from crewspark.operators.rooms import FEW_ROOMS, GENERIC, alike_keys, names_alike
 from crewspark.storage import rewritten
 
 #: Areas that differ by no more are one, and by how much two sources may differ.
 SAME_AREA, AREA_APART = 0.05, 1.0
-#: Fixed value: rooms of a project that each room of the other side may be held against as they are.
-FEW_ROOMS = 64
 
 
 def _only(df: DataFrame, keys: Sequence[str], id_: str) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from crewspark.functions.text import folded, loose_name, repaired_room_number
 from crewspark.operators.matching import EXACT, EXACT_LEAD, LEAD, LEAST, best_two
+from crewspark.storage import rewritten
 
 #: The parts of a score, and what areas and places count as near.
 FLOOR, UNKNOWN_FLOOR, NUMBER, NAME, LIKE, CONFLICT = 20, 8, 100, 50, 18, -30
 SAME_AREA, NEAR_AREA, SOFT_AREA, PLACE = 40, 30, 12, 15
 AREA_SAME, AREA_NEAR, AREA_SOFT, AREA_OFF, PLACE_NEAR, UNSURE_MOST = 0.05, 0.15, 1.0, 2.0, 120.0, 60
+#: Fixed value: rooms of a key that each room of the other side may be held against as they are.
+FEW_ROOMS = 64
 GENERIC = r"^(ruimte|[0-3][.\-]\d{1,3}[a-z]?)?$"
 
 
@@ -144,8 +147,17 @@ def candidates(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def identified(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, id, other, score, exact: the rooms (keys, id, room) of the left side that are one of the right's."""
-    one = left.select(*keys, "id", F.col("room").alias("a"))
-    two = right.select(*keys, F.col("id").alias("other"), F.col("room").alias("b"))
-    pairs = candidates(left, right, keys).join(one, [*keys, "id"]).join(two, [*keys, "other"])
+    """keys, id, other, score, exact: the rooms (keys, id, room) of the left side that are one of the right's.
+
+    Where a key has few rooms on a side these are paired as they are; candidates are only found for the other keys.
+    """
+    left, right, on = rewritten(left.select(*keys, "id", "room")), rewritten(right.select(*keys, "id", "room")), list(keys)
+    one, two = left.withColumnRenamed("room", "a"), right.select(*keys, F.col("id").alias("other"), F.col("room").alias("b"))
+    count = lambda side, n: side.groupBy(*keys).agg(F.count("*").alias(n))
+    large = rewritten(count(left, "__n").join(count(right, "__m"), on).where(F.least("__n", "__m") > FEW_ROOMS).select(*keys))
+    if large.isEmpty():
+        pairs = one.join(two, on)
+    else:
+        found = candidates(left.join(large, on, "left_semi"), right.join(large, on, "left_semi"), keys)
+        pairs = one.join(large, on, "left_anti").join(two, on).unionByName(found.join(one, [*keys, "id"]).join(two, [*keys, "other"]))
     return matched(scored(pairs), [*keys, "id"], ["other"]).select(*keys, "id", "other", "score", "exact")

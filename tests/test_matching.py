@@ -30,6 +30,16 @@ def test_candidates_hold_all_that_can_score(spark):
     assert want and sorted(rooms.identified(left, right, ["project"]).drop("exact").collect()) == sorted(want)
 
 
+def test_few_rooms_need_no_candidates(spark, monkeypatch):
+    rng = random.Random(9)
+    left, right = (spark.createDataFrame(some_rooms(rng, 60, k), ROOM).cache() for k in (0, 1000))
+    monkeypatch.setattr(rooms, "FEW_ROOMS", 0)
+    want = sorted(rooms.identified(left, right, ["project"]).collect())
+    monkeypatch.setattr(rooms, "FEW_ROOMS", 64)
+    monkeypatch.setattr(rooms, "candidates", None)
+    assert sorted(rooms.identified(left, right, ["project"]).collect()) == want and want
+
+
 def test_few_candidates_in_one_large_project(spark):
     n = 20_000
     made = spark.range(n).select(
