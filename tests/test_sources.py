@@ -83,3 +83,13 @@ def test_columns_by_contents(spark):
     assert got[("learned", 1)] == {(1, "room_number", 1, True)}  # a memory counts where the contents agree
     assert got[("same", 1)] == {(1, "room_number", 1, True)}  # one code all along is no finish of rooms
     assert columns.guessed_columns(cells.limit(0)).count() == 0
+
+
+def test_values_are_not_repeated_for_each_header(spark):
+    from crewspark.sources import columns
+
+    rows = [("f", None, i, 1, "Ruimte nr." if i == 1 else f"01-{i % 90 + 10}") for i in range(1, 61)]
+    got = columns.guessed_columns(spark.createDataFrame(rows, "file string, sheet string, row_no int, col_no int, value string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1  # places in a column; none below each header
+    assert [(r.header_row, r.role, r.col_no, r.points, r.sure) for r in got.collect()] == [(1, "room_number", 1, 10, True)]
