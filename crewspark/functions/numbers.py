@@ -60,6 +60,13 @@ def machine_number(text: Column) -> Column:
     return F.when((F.instr(text, ",") > 0) | ~bare.rlike(PLAIN), parse_number(text)).otherwise(bare.try_cast(NUMBER))
 
 
+def sheet_number(cell: Column) -> Column:
+    """``machine_number`` of a column: its usual forms, digits with a point or one comma before up to two
+    digits, are cast as they are; only others are read by its rules."""
+    usual = cell.rlike(r"^[0-9]{1,12}(\.[0-9]*|,[0-9]{1,2})?$")
+    return F.when(usual, F.translate(cell, ",", ".").try_cast(NUMBER)).otherwise(machine_number(cell))
+
+
 def european(value: Column, decimals: int = 2) -> Column:
     """1234.5 as "1.234,50"."""
     return F.translate(F.format_number(value, decimals), ",.", ".,")

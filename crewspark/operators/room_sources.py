@@ -8,8 +8,9 @@ becomes a room itself, which later sources can claim.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewspark.functions.text import floor_base, folded, repaired_room_number
@@ -21,15 +22,6 @@ from crewspark.storage import rewritten
 SAME_AREA, AREA_APART = 0.05, 1.0
 
 
-def _only(df: DataFrame, keys: Sequence[str], id_: str) -> DataFrame:
-    """keys and id of the rows whose keys are known and no other row has."""
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
-    one = df.where(known).groupBy(*keys).agg(F.min(id_).alias(id_), F.count("*").alias("__n")).where("__n = 1")
-    return one.drop("__n")
-
-
 def merged_sources(sources: Sequence[tuple[str, DataFrame]], levels: Sequence[Sequence[str]], fields: Sequence[str]) -> DataFrame:
     """room (id of the first row), the keys, and for each source its id and fields as a struct (null: none),
     with ``how``, the level at which it was claimed (0: it made the room).
@@ -37,50 +29,49 @@ def merged_sources(sources: Sequence[tuple[str, DataFrame]], levels: Sequence[Se
     sources: name and rows (id, unique over all sources; keys; fields).  A level's keys are as those
     of the first level, some of them left out; rows that differ in a key that both have never meet.
     """
-    keys = list(dict.fromkeys(k for level in levels for k in level))
-    names = [n for n, _ in sources]
+    columns = ["id", *dict.fromkeys(k for level in levels for k in level), *fields]
+    rows = None
+    for name, df in sources:
+        own = df.select(F.lit(name).alias("source"), *columns)
+        rows = own if rows is None else rows.unionByName(own)
+    return merged_rows(rows, [n for n, _ in sources], levels, fields)
 
-    def rows(name: str, df: DataFrame) -> DataFrame:
-        return df.select("id", *keys, F.struct(F.col("id").alias("id"), *fields).alias(name))
 
-    def made(name: str, df: DataFrame) -> DataFrame:
-        none = [F.lit(None).cast(first.schema[name].dataType).alias(n) if n != name else F.col(n) for n in names]
-        how = [F.lit(0 if n == name else None).cast("int").alias(f"how_{n}") for n in names]
-        return df.select(F.col("id").alias("room"), *keys, *none, *how)
+def merged_rows(rows: DataFrame, names: Sequence[str], levels: Sequence[Sequence[str]], fields: Sequence[str]) -> DataFrame:
+    """``merged_sources`` of rows (source, one of names; id; keys; fields) of all sources.
 
-    first = rows(*sources[0])
-    for n, df in sources:
-        first = first if n in first.columns else rows(n, df)
-    pool, first = None, None
-    for name, df in sources:
-        own = rows(name, df)
-        first = own
-        if pool is None:
-            pool = rewritten(made(name, own))
-            continue
-        left, right, claims = pool.select("room", *keys), own.select("id", *keys), None
+    Rows that can meet share the keys of all levels, and are brought together by these once; each source's
+    claims are then counts over rows of equal keys, so that nothing is written or shuffled between sources.
+    """
+    keys = list(dict.fromkeys(k for level in levels for k in level))
+    common = [k for k in keys if all(k in level for level in levels)]
+    given = lambda on: reduce(lambda a, k: a & F.col(k).isNotNull() & (F.col(k).cast("string") != ""), on, F.lit(True))
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source")).cast("int") - 1
+    # what lacks a common key meets nothing, and is on its own rather than with all its like
+    pool = rows.where(place >= 0).select(
+        F.col("id").alias("room"), *keys, place.alias("__k"), F.when(~given(common), F.col("id")).alias("__alone"),
+        *[F.when(F.col("source") == n, F.struct("id", *fields)).alias(n) for n in names], *[F.when(F.col("source") == n, 0).alias(f"how_{n}") for n in names],
+    )
+    for k, name in enumerate(names[1:], 1):
+        how, held, new = f"how_{name}", F.col("__k") < k, F.col("__k") == k
+        # __level tells the source's rows that were claimed; they go when its levels are done
         for level, on in enumerate(levels, 1):
-            others = [k for k in keys if k not in on]
-            pairs = _only(left, on, "room").join(_only(right, on, "id"), list(on)).select("room", "id")
-            if others:  # a key that both sides have and don't share keeps them apart
-                a = left.select("room", *[F.col(k).alias(f"a_{k}") for k in others])
-                b = right.select("id", *[F.col(k).alias(f"b_{k}") for k in others])
-                fits = F.lit(True)
-                for k in others:
-                    fits = fits & F.coalesce(F.col(f"a_{k}") == F.col(f"b_{k}"), F.lit(True))
-                pairs = pairs.join(a, "room").join(b, "id").where(fits).select("room", "id")
-            met = rewritten(pairs.withColumn("level", F.lit(level)))
-            claims = met if claims is None else claims.union(met)
-            left, right = left.join(met, "room", "left_anti"), right.join(met, "id", "left_anti")
-        given = own.select("id", *[F.col(k).alias(f"__{k}") for k in keys], F.col(name).alias("__own"))
-        joined = pool.join(claims.join(given, "id"), "room", "left")
-        merged = joined.select(
-            "room", *[F.coalesce(k, f"__{k}").alias(k) for k in keys],
-            *[F.col("__own").alias(n) if n == name else F.col(n) for n in names],
-            *[F.col("level").alias(f"how_{n}") if n == name else F.col(f"how_{n}") for n in names],
-        )
-        pool = rewritten(merged.unionByName(made(name, own.join(claims, "id", "left_anti"))))
-    return pool
+            open_, others = given(on) & F.when(held, F.col(how).isNull()).otherwise(F.col("__level").isNull() if level > 1 else F.lit(True)), [k for k in keys if k not in on]
+            w = Window.partitionBy(*common, "__alone", *[k for k in on if k not in common])
+            of = lambda side, *c: F.first(F.when(side & open_, F.struct(*c)), ignorenulls=True).over(w)
+            pool = pool.withColumns({"__held": F.count_if(held & open_).over(w), "__new": F.count_if(new & open_).over(w), "__row": of(new, name, *others), **({"__room": of(held, *others)} if others else {})})
+            met = open_ & (F.col("__held") == 1) & (F.col("__new") == 1)
+            for c in others:  # a key that both sides have and don't share keeps them apart
+                met = met & F.coalesce(F.col("__room")[c] == F.col("__row")[c], F.lit(True))
+            pool = pool.withColumn("__met", met)
+            took, gone = F.col("__met") & held, F.when(F.col("__met") & new, level)
+            pool = pool.withColumns({
+                **{c: F.when(took, F.coalesce(c, F.col("__row")[c])).otherwise(F.col(c)) for c in others},
+                name: F.when(took, F.col("__row")[name]).otherwise(F.col(name)), how: F.when(took, level).otherwise(F.col(how)),
+                "__level": F.coalesce("__level", gone) if level > 1 else gone,
+            }).drop("__held", "__new", "__row", "__room", "__met")
+        pool = pool.where("__level IS NULL").drop("__level")
+    return pool.drop("__k", "__alone")
 
 
 def chosen(field: str, order: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewspark.functions.numbers import machine_number
+from crewspark.functions.numbers import sheet_number
 from crewspark.functions.text import floor_from_number
 from crewspark.operators.reconcile import total_status
 
@@ -41,21 +41,24 @@ def parsed(lines: DataFrame) -> DataFrame:
     the next name begins another product; a storey holds until the next one or the next product.
     """
     clean = F.trim(F.regexp_replace("text", r"[ \t]+", " "))
-    own = lines.select("document_id", "line_no", clean.alias("line")).withColumn("kind", line_kind(F.col("line"))).where("kind <> 'skipped'")
+    # skipped lines go after the windows: a filter on the kind before them would be evaluated on the line's whole expression
+    own = lines.select("document_id", "line_no", clean.alias("line")).withColumn("kind", line_kind(F.col("line")))
     order = Window.partitionBy("document_id").orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     name = F.col("kind") == "name"
-    begins = name & (F.coalesce(F.lag("kind").over(order), F.lit("")) != "name")
+    above = F.last(F.nullif("kind", F.lit("skipped")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = name & (F.coalesce(above, F.lit("")) != "name")
     numbered = own.withColumn("product_no", F.count_if(begins).over(so_far))
     product = Window.partitionBy("document_id", "product_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     names = F.array_join(F.collect_list(F.when(name, F.col("line"))).over(product), " ")
     storey = F.last(F.when(F.col("kind") == "storey", F.regexp_extract("line", STOREY, 1)), ignorenulls=True).over(product)
-    part = lambda i: F.when(F.col("kind") == "room", F.nullif(F.regexp_extract("line", ROOM, i), F.lit("")))
-    declared = F.when(F.col("kind").isin("netto", "bruto", "snijverlies"), machine_number(F.regexp_extract("line", DECLARED, 2)))
-    return numbered.select(
-        "document_id", "line_no", "kind", "product_no", names.alias("product"), storey.alias("storey"),
-        part(1).alias("number"), part(2).alias("name"), machine_number(part(3)).alias("area"), machine_number(part(4)).alias("perimeter"), declared.alias("declared"),
-    )
+    room, total = F.col("kind") == "room", F.col("kind").isin("netto", "bruto", "snijverlies")
+    cells = {c: F.when(room, F.regexp_extract("line", ROOM, i)) for i, c in enumerate(("number", "name", "area", "perimeter"), 1)} | {"declared": F.when(total, F.regexp_extract("line", DECLARED, 2))}
+    # numbers are read from cells that are columns, so that a line is taken apart once for each cell
+    told = numbered.select("document_id", "line_no", "kind", "product_no", names.alias("product"), storey.alias("storey"), *[x.alias(c) for c, x in cells.items()])
+    given = lambda c: F.nullif(c, F.lit(""))
+    read = {"number": given("number"), "name": given("name")} | {c: sheet_number(F.col(c)) for c in ("area", "perimeter", "declared")}
+    return told.where("kind <> 'skipped'").withColumns(read)
 
 
 def rooms(parsed_lines: DataFrame) -> DataFrame:

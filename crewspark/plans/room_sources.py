@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewspark.operators import room_sources
@@ -53,24 +53,31 @@ def _merged_sql() -> str:
           CASE WHEN greatest(coalesce(h0, 0), coalesce(h1, 0), coalesce(h2, 0), coalesce(h3, 0)) > 1 THEN 'matched by name' END, CASE WHEN len(sources) = 1 THEN 'one source' END], lambda x: x IS NOT NULL), ',') AS reasons FROM f"""
 
 
+_RAW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "p_brand", "p_type"]
+
+
+def _line() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 100))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     joined = li.join(p, li["l_partkey"] == p["p_partkey"])
-    return joined.withColumns({"project": F.col("l_orderkey"), "line": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 100)), "floor": F.col("l_linestatus"), "name": F.col("p_name")})
+    return joined.withColumns({"project": F.col("l_orderkey"), "line": _line(), "floor": F.col("l_linestatus"), "name": F.col("p_name")})
 
 
 @query(_merged_sql())
 def assembled_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rooms of a take-off, a drawing, a list of materials and a cut list: by storey, number and name, else by
     storey and name where one of both has no number; with what each field is taken from, and how sure it is."""
-    own = lines(spark, sf_dir)
-    sources = []
-    for name in NAMES:
-        rows = own.where(HAS[name]).select("project", "floor", "name", "line", F.when(F.expr(NUMBERED[name]), F.col("l_linenumber").cast("string")).alias("number"), F.expr(AREA[name]).alias("area"), F.expr(PRODUCT[name]).alias("product"))
-        one = rows.groupBy("project", "floor", "number", "name").agg(F.min("line").alias("line"), F.max("area").alias("area"), F.max("product").alias("product"))
-        id_ = F.concat("line", F.when(F.col("number").isNull(), "?").otherwise(""), "floor", F.lit(name))
-        sources.append((name, one.withColumn("id", id_)))
-    pool = room_sources.merged_sources(sources, [["project", "floor", "number", "name"], ["project", "floor", "name"]], ["area", "product"])
+    own, keys = lines(spark, sf_dir).select("project", "floor", "name", *_RAW), ["project", "floor", "number", "name"]
+    # a storey's lines of a name come together once, with what all sources need, and are told apart there
+    number = lambda name: F.when(F.expr(NUMBERED[name]), F.col("l_linenumber").cast("string"))
+    each = [F.when(F.expr(HAS[n]), F.struct(F.lit(n).alias("source"), number(n).alias("number"), F.expr(AREA[n]).alias("area"), F.expr(PRODUCT[n]).alias("product"))) for n in NAMES]
+    told = own.repartition("project", "floor", "name").withColumn("line", _line()).select("project", "floor", "name", "line", F.explode(F.array(*each)).alias("x")).where("x IS NOT NULL")
+    rows = told.select("project", "floor", "name", "line", "x.*").groupBy("source", *keys).agg(F.min("line").alias("line"), F.max("area").alias("area"), F.max("product").alias("product"))
+    rows = rows.withColumn("id", F.concat("line", F.when(F.col("number").isNull(), "?").otherwise(""), "floor", "source"))
+    pool = room_sources.merged_rows(rows, NAMES, [keys, ["project", "floor", "name"]], ["area", "product"])
     done = room_sources.judged(pool, NAMES, ["drawing", "takeoff", "cutlist", "materials"], ["takeoff", "materials", "cutlist", "drawing"])
     return done.select("room", "project", "number", F.array_join("sources", "+").alias("sources"), "area", "product", "confidence", F.array_join("reasons", ",").alias("reasons"))
 

@@ -2,9 +2,11 @@
 
 import itertools
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from crewspark.catalogue import QUERIES
 from crewspark.operators import room_sources, rooms
 
 ROWS = "id string, floor string, number string, name string, area double, product string"
@@ -43,6 +45,16 @@ def test_claims_and_reasons(spark):
     assert merged(spark) == {}
 
 
+def test_rows_of_all_sources_come_together_once(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("*"))
+    done = QUERIES["assembled_rooms"](spark, "/root/testdata/sf0.001")
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(project") == 1
+    assert done.count() > 0 and set(folder.glob("*")) == before  # no source's claims are written
+    some = [(f"t{i}", "0", None, None, 1.0, "a") for i in range(3)] + [("t9", "0", "0.1", "", 1.0, "a")]
+    assert set(merged(spark, takeoff=some, drawing=[(f"d{i[0]}", *i[1:]) for i in some])) == {i[0] for i in some} | {f"d{i[0]}" for i in some}
+
+
 def test_names_alike_share_a_key(spark):
     rng = random.Random(5)
     base = ["kantoor", "kantooor", "kantor", "kantoorruimte", "berging", "bergingen 2", "hal", "hall", "werkplaats", "werkplaatsen", "de werkplaats", "overleg", "overlegg"]
