@@ -67,6 +67,13 @@ def sheet_number(cell: Column) -> Column:
     return F.when(usual, F.translate(cell, ",", ".").try_cast(NUMBER)).otherwise(machine_number(cell))
 
 
+def cell_number(cell: Column) -> Column:
+    """``parse_number`` of a column: digits with a point or comma before one or two more are cast as they are,
+    and an empty cell is null; only others are read by its rules."""
+    usual = cell.rlike(r"^[0-9]{1,12}([.,][0-9]{1,2})?$")
+    return F.when(usual, F.translate(cell, ",", ".").try_cast(NUMBER)).when(cell != "", parse_number(cell))
+
+
 def european(value: Column, decimals: int = 2) -> Column:
     """1234.5 as "1.234,50"."""
     return F.translate(F.format_number(value, decimals), ",.", ".,")

@@ -144,7 +144,7 @@ def takeoff_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, line_no, text: a sheet for each project."""
-    two = lambda c: F.format_string("%d,%02d", (c / 100).cast("bigint"), c % 100)
+    two = lambda c: F.concat_ws(",", ((c - c % 100) / 100).cast("bigint"), F.lpad((c % 100).cast("string"), 2, "0"))
     c = cents(spark, sf_dir)
     order = Window.partitionBy("project", "kind").orderBy("room", "item", "q", "day", "worker", "amount")
     numbered = c.withColumn("k", F.row_number().over(order))
