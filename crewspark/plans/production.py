@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from crewspark.functions import labor as lab
 from crewspark.operators import matching, sequences
 from crewspark.plans.registry import money, query, table
+from crewspark.storage import tasks_for
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +64,13 @@ LABOR = f"""{LINES}, labor AS (SELECT project, item, sum(q) AS used, sum(q) FILT
 
 def labor_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.col("document") == "F"
-    each = lines(spark, sf_dir).groupBy("project", "item").agg(
+    li = lines(spark, sf_dir)
+    n = tasks_for(li)  # what a task sums and sorts doesn't grow with the tables
+    each = li.repartition(n, "project").groupBy("project", "item").agg(
         F.sum("q").alias("planned"), F.coalesce(F.sum(F.when(done, F.col("q"))), F.lit(0).cast("decimal(22,2)")).alias("actual"), F.sum("amount").alias("cost"), F.bool_and(done).alias("complete")
     )
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_size").cast("decimal(12,2)").alias("budget"), money("p_retailprice").alias("rate"))
-    return each.join(p, "item").withColumn("expected", lab.expected_hours(F.col("planned"), F.col("actual"), F.col("complete")))
+    return each.repartition(n, "item").join(p.repartition(n, "item"), "item").withColumn("expected", lab.expected_hours(F.col("planned"), F.col("actual"), F.col("complete")))
 
 
 @query(f"""WITH {LABOR} SELECT project, item, CAST(planned AS DOUBLE) AS planned, CAST(actual AS DOUBLE) AS actual, CAST(budget AS DOUBLE) AS budget, CAST(expected AS DOUBLE) AS expected, CAST(expected - budget AS DOUBLE) AS beyond FROM facts""")
