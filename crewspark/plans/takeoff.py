@@ -9,6 +9,7 @@ from crewspark.functions import geometry, numbers, text
 from crewspark.operators import matching, reconcile, sequences
 from crewspark.plans.production import LINES, lines, number
 from crewspark.plans.registry import money, query, table
+from crewspark.storage import tasks_for
 
 
 @query(f"""WITH {LINES}, flagged AS (SELECT DISTINCT project, room FROM lines WHERE kind = 'R' AND q > 48)
@@ -18,7 +19,8 @@ def group_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = lines(spark, sf_dir)
     flagged = li.where("kind = 'R' AND q > 48").select("project", "room").distinct()
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.lower("p_brand").alias("code"))
-    own = li.join(flagged, ["project", "room"], "left_anti").groupBy("item", F.col("kind").alias("unit")).agg(F.sum("q").alias("q"), F.count("*").alias("n"))
+    n, room = tasks_for(li), ["project", "room"]
+    own = li.repartition(n, *room).join(flagged.repartition(n, *room), room, "left_anti").groupBy("item", F.col("kind").alias("unit")).agg(F.sum("q").alias("q"), F.count("*").alias("n"))
     return own.join(p, "item").groupBy("code", "unit").agg(number(F.sum("q")).alias("quantity"), F.sum("n").alias("n"))
 
 
