@@ -64,10 +64,15 @@ def room_sort_key(number: Column) -> Column:
 
 def expand_rooms(number: Column, most: int = 30) -> Column:
     """"A-00-12/15" as its rooms; other texts as themselves."""
-    head, a, b = (F.regexp_extract(number, r"^(.*?)(\d+)/(\d+)$", i) for i in (1, 2, 3))
-    low, high = a.try_cast("int"), b.try_cast("int")
-    rooms = F.transform(F.sequence(low, high), lambda n: F.concat(head, F.lpad(n.cast("string"), F.length(a), F.lit("0"))))
-    return F.when((low <= high) & (high - low < most), rooms).otherwise(F.array(number))
+    parts = F.struct(*[F.regexp_extract(number, r"^(.*?)(\d+)/(\d+)$", i).alias(c) for i, c in enumerate(("head", "a", "b"), 1)])
+
+    def expand(p: Column) -> Column:
+        low, high = p["a"].try_cast("int"), p["b"].try_cast("int")
+        rooms = F.transform(F.sequence(low, high), lambda n: F.concat(p["head"], F.lpad(n.cast("string"), F.length(p["a"]), F.lit("0"))))
+        return F.when((low <= high) & (high - low < most), rooms).otherwise(F.array(number))
+
+    # the text is taken apart once, not for each of its rooms
+    return F.element_at(F.transform(F.array(parts), expand), 1)
 
 
 def _storey(flat: Column) -> Column:
@@ -87,7 +92,8 @@ def floor_label(text: Column) -> Column:
     flat = folded(text)
     phase, storey = F.regexp_extract(flat, r"\bfase\s*(\d+)\b", 1), _storey(flat)
     own = F.when(flat.contains("souterrain"), "souterrain").otherwise(storey)
-    return F.when(storey.isNotNull(), F.when(phase != "", F.concat(F.lit("fase "), phase, F.lit(" "), own)).otherwise(storey))
+    may = flat.rlike("verdieping|laag|grond|ruimt|kelder|souterrain")  # most lines name none, and aren't searched for each
+    return F.when(may & storey.isNotNull(), F.when(phase != "", F.concat(F.lit("fase "), phase, F.lit(" "), own)).otherwise(storey))
 
 
 def floor_base(text: Column) -> Column:
