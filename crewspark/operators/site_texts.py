@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewspark.functions.numbers import parse_number
+from crewspark.functions.numbers import cell_number
 from crewspark.functions.text import floor_label, phone
 
 #: A room's number, amounts of a line, and the longest name.
@@ -34,10 +34,6 @@ LABELS = {
 MOST_PEOPLE = 50
 
 
-def _area(line: Column) -> Column:
-    return parse_number(F.nullif(F.regexp_extract(line, AREA, 1), F.lit("")))
-
-
 def _name(text: Column) -> Column:
     """What is left of a line as a room's name; empty if that is a number or too long."""
     bare = reduce(lambda t, p: F.regexp_replace(t, p, ""), [AREA, LENGTH, r"(?i)\bschaal\b.*$"], text)
@@ -59,8 +55,8 @@ def floor_plan_lines(lines: DataFrame) -> DataFrame:
     number = F.regexp_extract(line, ROOM_NUMBER, 1)
     own = lines.select("document_id", "line_no", clean.alias("line")).select(
         "document_id", "line_no", (line == "").alias("blank"), floor_label(F.when(named != "", F.trim(named)).otherwise(line)).alias("head"), number.alias("number"),
-        _area(line).alias("area"), _name(line).alias("plain"), _name(F.replace(line, number, F.lit(" "))).alias("rest"),
-    )
+        F.regexp_extract(line, AREA, 1).alias("area"), _name(line).alias("plain"), F.when(number != "", _name(F.replace(line, number, F.lit(" ")))).alias("rest"),
+    ).withColumn("area", cell_number(F.col("area")))
     value = F.regexp_extract("number", r"^[0-9]+(\.[0-9]+)?", 0).try_cast("double")
     is_number = F.coalesce(F.abs(F.col("area").cast("double") - value) < 0.001, F.lit(False))
     own = own.withColumn("room", F.col("head").isNull() & (F.col("number") != "") & ~is_number)
