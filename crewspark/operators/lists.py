@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewspark.functions.numbers import parse_number
+from crewspark.functions.numbers import cell_number, parse_number
 from crewspark.functions.text import floor_label
 from crewspark.operators.takeoff_text import HEADER
 
@@ -143,8 +143,8 @@ def cuts(lines: DataFrame) -> DataFrame:
     product = F.coalesce(F.when(k == "room", F.nullif(tidy(inline), F.lit(""))), current)
     found = own.where(k.isin("room", "named")).select(
         "document_id", "line_no", storey.alias("storey"), F.when(~named, number).alias("number"), name.alias("name"),
-        F.when(~named, parse_number(area)).alias("area"), product.alias("product"), named.alias("__named"),
-    )
+        F.when(~named, F.coalesce(area, F.lit(""))).alias("area"), product.alias("product"), named.alias("__named"),
+    ).withColumn("area", cell_number(F.col("area")))
     fits = ~F.col("__named") | ((F.col("name") != "") & ~F.col("name").rlike(r"(?i)^(totaal|groep|ruimte|tekening|baan)$"))
     opened = F.col("product").isNull() & (F.col("__named") | ((F.col("name") == "") & F.col("area").isNull()))
     return found.where(fits).withColumn("open", opened).drop("__named")
