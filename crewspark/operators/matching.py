@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crewspark.functions import geometry
+from crewspark.operators.ranking import with_place
+from crewspark.shipping import map_in_arrow
 from crewspark.storage import rewritten
 
 #: The least score of a match, its lead, and the shorter lead of an exact match.
@@ -115,19 +121,127 @@ def fallback_join(left: DataFrame, right: DataFrame, keys: Sequence[str], second
     return left.select("id").join(out, "id", "left")
 
 
+#: Pairs of all rows up to which they meet square by square, whatever lies in one.
+FEW_PAIRS = 4_000_000
+#: Points of a block, and how many blocks one of the next tier holds.
+BLOCK, FAN = 16, 16
+AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
     """For each left row (keys, id, x, y) the nearest right row (keys, id, x, y) closer than the
     radius; the lesser id wins among equals.
 
-    Points are dealt into squares of the radius; a left point meets the nine squares around it.
+    Points are dealt into squares of the radius; a left point meets the nine squares around it.  Unless
+    they are few, blocks of neighbouring left points first find the right blocks that can hold the
+    nearest of one of them (``near_blocks``), so that the work doesn't grow with the points of a square.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    a = left.select(*keys, "id", "x", "y", F.explode(around).alias("n")).withColumns({"cx": cell("x") + F.col("n.dx"), "cy": cell("y") + F.col("n.dy")})
-    b = right.select(*keys, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    d = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    near = a.join(b, [*keys, "cx", "cy"]).withColumn("d2", d).where(F.col("d2") < radius * radius)
-    return near.groupBy(*keys, "id").agg(F.min(F.struct("d2", "other")).alias("m")).select(*keys, "id", F.col("m.other").alias("other"), F.col("m.d2").alias("d2"))
+    d = lambda x, y: (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    if left.count() * right.count() <= FEW_PAIRS:
+        around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in AROUND])
+        a = left.select(*keys, "id", "x", "y", F.explode(around).alias("n")).withColumns({"cx": cell("x") + F.col("n.dx"), "cy": cell("y") + F.col("n.dy")})
+        b = right.select(*keys, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
+        near = a.join(b, [*keys, "cx", "cy"]).select(*keys, "id", F.struct(d(F.col("ox"), F.col("oy")).alias("d2"), "other").alias("m"))
+    else:
+        a = point_blocks(left, keys, radius)
+        b = point_blocks(right.groupBy(*keys, "x", "y").agg(F.min("id").alias("id")), keys, radius)
+        met = near_blocks(a, b, keys, radius).join(b.select(*keys, "cx", "cy", "block", F.col("points").alias("others")), [*keys, "cx", "cy", "block"])
+        met = met.select("left", "others").repartition("left").sortWithinPartitions("left")
+        own = met.join(a.select("left", *keys, "points"), "left").select(*keys, "left", "points", "others")
+        types = {f.name: f.dataType for f in (*a.select(*keys, F.col("points")[0]["id"].alias("id")).schema, *b.select(F.col("points")[0]["id"].alias("other")).schema)}
+        each = map_in_arrow(own, _nearest_of_blocks, T.StructType([T.StructField(n, types.get(n, T.DoubleType())) for n in (*keys, "id", "d2", "other")]))
+        near = each.select(*keys, "id", F.struct("d2", "other").alias("m"))
+    near = near.where(F.col("m.d2") < radius * radius)
+    return near.groupBy(*keys, "id").agg(F.min("m").alias("m")).select(*keys, "id", F.col("m.other").alias("other"), F.col("m.d2").alias("d2"))
+
+
+def _nearest_of_blocks(batches):
+    """For each point (id, x, y) of points the nearest of others, in the order of their ids: id, d2, other, with the
+    row's first columns; one row for consecutive ones of the same left.  No list has more than BLOCK entries."""
+    for whole in batches:
+        for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
+            rows, places, real = [], [], []
+            for c in ("points", "others"):
+                n = batch.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(int)
+                real.append(np.arange(BLOCK) < n[:, None])
+                places.append(np.where(real[-1], (np.cumsum(n) - n)[:, None] + np.arange(BLOCK), 0))
+                rows.append(batch.column(c).flatten())
+            (x, u), (y, v) = [[r.field(c).to_numpy(zero_copy_only=False)[p] for r, p in zip(rows, places)] for c in "xy"]
+            dx, dy = x[:, :, None] - u[:, None, :], y[:, :, None] - v[:, None, :]
+            d2 = np.where(real[1][:, None, :], dx * dx + dy * dy, np.inf)
+            rank = pc.rank(rows[1].field("id"), tiebreaker="dense", null_placement="at_start").to_numpy() - 1
+            least = np.take_along_axis(rank[places[1]], d2.argmin(axis=2), 1)
+            d2 = d2.min(axis=2)
+            left = batch.column("left").to_numpy()
+            runs = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+            of_left = np.minimum.reduceat(d2, runs)
+            again = np.repeat(of_left, np.diff(np.append(runs, len(left))), axis=0)
+            least = np.minimum.reduceat(np.where(d2 == again, least, len(rank)), runs)
+            ids = np.empty(len(rank), int)
+            ids[rank] = np.arange(len(rank))
+            own = real[0][runs]
+            of = pa.array(runs[np.nonzero(own)[0]])
+            keys = [batch.column(i).take(of) for i in range(batch.num_columns - 3)]
+            point = rows[0].field("id").take(pa.array(places[0][runs][own]))
+            names = [*batch.schema.names[:-3], "id", "d2", "other"]
+            yield pa.RecordBatch.from_arrays([*keys, point, pa.array(of_left[own]), rows[1].field("id").take(pa.array(ids[least[own]]))], names)
+
+
+def _spread(c: Column) -> Column:
+    """The low 31 bits of a whole number, each followed by a 0."""
+    for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, by)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def point_blocks(points: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
+    """keys, cx, cy (square), block, x0, x1, y0, y1, points, left: each square's points (id, x, y) in blocks
+    of BLOCK, in the order of their place on a Z-curve through it; left is a number of the block's own."""
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    at = lambda c: F.col(c) / radius
+    inner = lambda c: _spread(F.floor((at(c) - F.floor(at(c))) * 2**31).cast("bigint").bitwiseAND(F.lit(2**31 - 1)))
+    own = points.where(finite("x") & finite("y")).select(*keys, "id", "x", "y", F.floor(at("x")).alias("cx"), F.floor(at("y")).alias("cy"), F.shiftleft(inner("x"), 1).bitwiseOR(inner("y")).alias("z"))
+    placed = with_place(own.dropna(subset=list(keys)), [*keys, "cx", "cy"], ["z", "x", "y"], "place").withColumn("block", F.expr(f"(place - 1) div {BLOCK}"))
+    box = [f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]
+    blocks = placed.groupBy(*keys, "cx", "cy", "block").agg(*box, F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("points"))
+    return rewritten(blocks.withColumn("left", F.monotonically_increasing_id()))
+
+
+def near_blocks(a: DataFrame, b: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
+    """left, keys, cx, cy, block: the blocks of b that can hold the nearest point, within the radius, of one of
+    the points of a's block left.
+
+    Blocks are found from the top of a tree down: FAN blocks that follow one another are one of the next
+    tier.  A box is left out if its least distance is more than the largest one of another box.
+    """
+    square, box = [*keys, "cx", "cy"], ["x0", "x1", "y0", "y1"]
+    most, top = b.agg(F.max("block")).first()[0] or 0, 0
+    while most >= FAN ** (top + 1):
+        top += 1
+
+    def tier(t: int) -> DataFrame:
+        grown = b.select(*square, F.expr(f"block div {FAN**t}").alias("block"), *box)
+        if t:
+            grown = grown.groupBy(*square, "block").agg(*[(F.min if c[1] == "0" else F.max)(c).alias(c) for c in box])
+        return grown.select(*square, "block", *[F.col(c).alias(f"o{c}") for c in box])
+
+    squared = lambda x, y: x * x + y * y
+    c = {n: F.col(n) for n in [*box, *[f"o{n}" for n in box]]}
+    gap = lambda v: F.greatest(F.lit(0.0), c[f"o{v}0"] - c[f"{v}1"], c[f"{v}0"] - c[f"o{v}1"])
+    reach = lambda v: F.greatest(c[f"o{v}1"] - c[f"{v}0"], c[f"{v}1"] - c[f"o{v}0"])
+    around = F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx, dy in AROUND])
+    own = a.select(*keys, "left", *box, F.inline(around))
+    for t in range(top, -1, -1):
+        nodes = tier(t)
+        if t < top:
+            own = own.withColumnRenamed("block", "__up")
+            nodes = nodes.withColumn("__up", F.expr(f"block div {FAN}"))
+        pairs = own.join(nodes, [*square, *(["__up"] if t < top else [])])
+        pairs = pairs.withColumn("__least", squared(gap("x"), gap("y"))).where(F.col("__least") < radius * radius)
+        known = pairs.withColumn("__known", F.min(squared(reach("x"), reach("y"))).over(Window.partitionBy("left")))
+        own = known.where(F.col("__least") <= F.col("__known")).select(*square, "left", *box, "block")
+    return own.drop(*box)
 
 
 def smallest_enclosing(points: DataFrame, polygons: DataFrame, keys: Sequence[str], id: str, cell: float) -> DataFrame:
