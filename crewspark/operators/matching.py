@@ -244,16 +244,74 @@ def near_blocks(a: DataFrame, b: DataFrame, keys: Sequence[str], radius: float)
     return own.drop(*box)
 
 
+#: The smallest polygons of a key that points meet first; each round ends at twice as many.
+FIRST_POLYGONS = 256
+#: Widths of squares, each a fourth of the next; what is narrower lies in the narrowest.
+WIDTHS = 12
+
+
 def smallest_enclosing(points: DataFrame, polygons: DataFrame, keys: Sequence[str], id: str, cell: float) -> DataFrame:
-    """For each point (keys, id, x, y) the polygon (keys, polygon, points) of least area around it.
+    """For each point (keys, id, x, y) the polygon (keys, polygon, points) of least area around it; the
+    lesser polygon wins among equals.
 
     A polygon is dealt to the squares that its bounds touch, a point to its own, so that the join is
-    on equality.
+    on equality.  Unless they are few, polygons are taken from the smallest on, in rounds, each dealt to
+    cells about as wide and high as its bounds, and a point that has its polygon meets no larger ones.
     """
-    at = lambda c: F.floor(c / cell)
     b = polygons.withColumn("__b", geometry.bounds(F.col("points"))).withColumn("__area", geometry.polygon_area(F.col("points")))
-    columns = b.withColumn("cx", F.explode(F.sequence(at(F.col("__b.x0")), at(F.col("__b.x1")))))
-    dealt = columns.withColumn("cy", F.explode(F.sequence(at(F.col("__b.y0")), at(F.col("__b.y1"))))).drop("__b")
-    own = points.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
-    hit = own.join(dealt, [*keys, "cx", "cy"]).where(geometry.inside(F.col("points"), F.col("x"), F.col("y")))
-    return hit.groupBy(*keys, id).agg(F.min(F.struct("__area", "polygon")).alias("m")).select(*keys, id, F.col("m.polygon").alias("polygon"), F.col("m.__area").alias("area"))
+    inside = geometry.inside(F.col("points"), F.col("x"), F.col("y"))
+    if points.count() * polygons.count() <= FEW_PAIRS:
+        at = lambda c: F.floor(c / cell)
+        columns = b.withColumn("cx", F.explode(F.sequence(at(F.col("__b.x0")), at(F.col("__b.x1")))))
+        dealt = columns.withColumn("cy", F.explode(F.sequence(at(F.col("__b.y0")), at(F.col("__b.y1"))))).drop("__b")
+        own = points.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
+        hit = own.join(dealt, [*keys, "cx", "cy"]).where(inside)
+        return hit.groupBy(*keys, id).agg(F.min(F.struct("__area", "polygon")).alias("m")).select(*keys, id, F.col("m.polygon").alias("polygon"), F.col("m.__area").alias("area"))
+    placed = by_area(b.dropna(subset=list(keys)), keys, cell)
+    rounds: dict[int, list] = {}
+    for r in placed.select("round", "kx", "ky").distinct().collect():
+        rounds.setdefault(r["round"], []).append(F.struct(F.lit(r["kx"]).alias("kx"), F.lit(r["ky"]).alias("ky")))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    rest, found = points.where(known).select(*keys, id, "x", "y"), None
+    for n in sorted(rounds):
+        met = rewritten(enclosing_candidates(rest, placed.where(F.col("round") == n), keys, rounds[n], cell).where(F.col("points").isNull() | inside).groupBy(*keys, id).agg(F.min("place").alias("place")))
+        found = met if found is None else found.union(met)
+        rest = rewritten(rest.join(met.select(*keys, id), [*keys, id], "left_anti"))
+        if rest.isEmpty():
+            break
+    if found is None:
+        return points.join(b, keys).limit(0).select(*keys, id, "polygon", F.col("__area").alias("area"))
+    return found.join(placed.select(*keys, "place", "polygon", F.col("__area").alias("area")), [*keys, "place"]).select(*keys, id, "polygon", "area")
+
+
+def _cell(c: Column, k: Column, cell: float) -> Column:
+    return F.floor(c / (F.pow(F.lit(4.0), k) * cell))
+
+
+def by_area(polygons: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """Different polygons (keys, polygon, points, __b, __area) with place, from the least area on, round, and
+    kx and ky: the powers of four, times cell, that their bounds' width and height don't exceed.  Points are
+    null for a rectangle along the axes, which is its bounds."""
+    power = lambda lo, hi: F.ceil(F.log(4.0, (F.col(f"__b.{hi}") - F.col(f"__b.{lo}")) / cell)).cast("int")
+    one = polygons.groupBy(*keys, "points", "__b", "__area").agg(F.min("polygon").alias("polygon"))
+    sized = one.withColumns({"kx": power("x0", "x1"), "ky": power("y0", "y1")}).where("kx IS NOT NULL AND ky IS NOT NULL")
+    p = [F.get("points", F.lit(i)) for i in range(4)]
+    turned = lambda c, d: (p[0][c] == p[1][c]) & (p[2][c] == p[3][c]) & (p[1][d] == p[2][d]) & (p[3][d] == p[0][d])
+    sized = sized.withColumn("points", F.when((F.size("points") != 4) | ~(turned("y", "x") | turned("x", "y")), F.col("points")))
+    placed = rewritten(with_place(sized, keys, ["__area", "polygon"], "place"))
+    widest = placed.agg(F.max("kx").alias("kx"), F.max("ky").alias("ky")).first()
+    turn = F.when(F.col("place") <= FIRST_POLYGONS, 0).otherwise(F.ceil(F.log(2.0, F.col("place") / FIRST_POLYGONS)).cast("int"))
+    return placed.withColumns({"round": turn, **{k: F.greatest(F.col(k), F.lit((widest[k] or 0) - WIDTHS)) for k in ("kx", "ky")}})
+
+
+def enclosing_candidates(points: DataFrame, polygons: DataFrame, keys: Sequence[str], sizes: Sequence[Column], cell: float) -> DataFrame:
+    """Points (keys, x, y) with the polygons (of ``by_area``) whose bounds hold them, upper ends left out for
+    rectangles; sizes are all pairs of
+    kx and ky that these have."""
+    at = lambda c, k: _cell(F.col(c), F.col(k), cell)
+    columns = polygons.select(*keys, "place", "points", "__b", "kx", "ky", F.explode(F.sequence(at("__b.x0", "kx"), at("__b.x1", "kx"))).alias("cx"))
+    dealt = columns.withColumn("cy", F.explode(F.sequence(at("__b.y0", "ky"), at("__b.y1", "ky"))))
+    own = points.select("*", F.inline(F.array(*sizes))).withColumns({"cx": at("x", "kx"), "cy": at("y", "ky")})
+    return own.join(dealt, [*keys, "kx", "ky", "cx", "cy"]).where("x >= __b.x0 AND y >= __b.y0 AND IF(points IS NULL, x < __b.x1 AND y < __b.y1, x <= __b.x1 AND y <= __b.y1)")
