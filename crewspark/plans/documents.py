@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crewspark.operators import documents
 from crewspark.plans.production import LINES, lines
 from crewspark.plans.registry import query, table
+from crewspark.storage import tasks_for
 
 #: Names and texts of the files that orders stand for.
 STEMS = ("Snijmaten", "snijmaat-lijst", "MaterialList", "materialen_lijst", "Plattegrond", "floor plan", "afmetingen", "Meetbon", "kalkulatie", "scan")
@@ -117,13 +118,18 @@ def imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def import_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Orders as imports, with their rooms, tasks, totals and notes."""
-    li, o = lines(spark, sf_dir).withColumnRenamed("project", "import_id"), table(spark, sf_dir, "orders")
-    key, status, priority, exact = F.col("import_id"), F.col("o_orderstatus"), F.col("o_orderpriority"), "decimal(14,2)"
+    """Orders as imports, with their rooms, tasks, totals and notes.  Lines and orders are dealt by import into tasks of bounded
+    rows, so that what is grouped or joined by import isn't shuffled again."""
+    parts, exact = tasks_for(table(spark, sf_dir, "lineitem")), "decimal(14,2)"
+    li = lines(spark, sf_dir).withColumnRenamed("project", "import_id").repartition(parts, "import_id")
+    o = table(spark, sf_dir, "orders")
+    key, status, priority, kind, q = F.col("import_id"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("kind"), F.col("q")
     plus = lambda condition, value: F.when(condition, F.lit(value)).otherwise(F.lit("0")).cast(exact)
-    area = li.groupBy("import_id").agg(F.sum(F.when(F.col("kind") == "N", F.col("q"))).alias("a"))
+    net = F.when(kind == "N", q)
+    by_document = li.groupBy("import_id", F.col("document").alias("label")).agg(F.count_if(kind == "N").alias("n"), F.sum(net).alias("m"), F.sum("q").cast(exact).alias("l"))
+    area = by_document.groupBy("import_id").agg(F.sum("m").alias("a"))
     known = F.coalesce("a", F.lit(0).cast(exact))
-    heads = o.withColumnRenamed("o_orderkey", "import_id").join(area, "import_id", "left").select(
+    heads = o.withColumnRenamed("o_orderkey", "import_id").repartition(parts, "import_id").join(area, "import_id", "left").select(
         "import_id", (status == "F").alias("measured"), (status == "O").alias("listed"), (priority == "1-URGENT").alias("drawn"),
         F.when(key % 7 > 0, known + plus(key % 3 == 0, "0.03")).alias("expected"), (known + plus(key % 5 == 0, "1")).alias("parsed"),
     )
@@ -131,21 +137,23 @@ def import_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     rooms = li.groupBy("import_id", "room").agg(F.when(F.max("q") >= 10, "hoog").otherwise("controleren").alias("confidence")).withColumns({
         "floor": F.when(room == 7, " Onbekend").otherwise(F.concat(F.lit("verdieping "), room)), "source": _pick(("plattegrond", "meetstaat", "snijmaten"), room), "color": F.when(room == 5, "#112233"),
     })
-    kind, q = F.col("kind"), F.col("q")
     name = F.when(kind == "A", "").when(kind == "R", F.concat(F.lit("Plint "), "item")).otherwise(F.concat(F.lit("vloer "), "item"))
     tasks = li.select("import_id", "room", name.alias("name"), F.when(kind == "R", "m1").otherwise("m2").alias("unit"), F.when((kind == "A") & (q < 20), 0).otherwise(q).alias("quantity"))
-    by = lambda df, label, k: df.groupBy("import_id", F.col(label).cast("string").alias("label")).agg(F.sum("q").cast(exact).alias("calculated")).withColumn("kind", F.lit(k))
-    c = F.col("calculated")
+    m, l = F.col("m").cast(exact), F.col("l")  # noqa: E741
     more = F.when((key % 3 == 0) & (F.col("label") == "O"), "0.03").when(key % 8 == 1, "5").otherwise("0").cast(exact)
-    flags = {"status": F.when(key % 4 == 1, "check").otherwise("ok"), "accepted": key % 16 == 1}
-    totals = by(li.where(kind == "N"), "document", "material").withColumns({"declared": c + more, **flags})
-    floors = by(li, "room", "floor").withColumns({"declared": c + plus(key % 6 == 0, "0.01"), "status": F.lit("ok"), "accepted": F.lit(None).cast("boolean")})
-    legend = by(li, "document", "legend").withColumns({"declared": F.when(key % 10 > 0, c + 1), "status": F.lit("check"), "accepted": key % 2 == 0})
+    total = lambda k, calculated, declared, status, accepted: F.struct(F.lit(k).alias("kind"), calculated.alias("calculated"), declared.alias("declared"), F.lit(status).alias("status"), accepted.alias("accepted"))
+    checked = F.when(key % 4 == 1, "check").otherwise("ok")
+    material, legend = total("material", m, m + more, checked, key % 16 == 1), total("legend", l, F.when(key % 10 > 0, l + 1), "check", key % 2 == 0)
+    totals = by_document.select("import_id", "label", F.inline(F.array_compact(F.array(F.when(F.col("n") > 0, material), legend))))
+    floors = li.groupBy("import_id", "room").agg(F.sum("q").cast(exact).alias("calculated")).select(
+        "import_id", F.col("room").cast("string").alias("label"), F.lit("floor").alias("kind"), "calculated", (F.col("calculated") + plus(key % 6 == 0, "0.01")).alias("declared"),
+        F.lit("ok").alias("status"), F.lit(None).cast("boolean").alias("accepted"),
+    )
     notes = o.where("o_orderkey % 13 = 0").select(
         F.col("o_orderkey").alias("import_id"), F.when(status == "F", "header").when(status == "O", "uncertain").otherwise("duplicate").alias("kind"),
         F.concat(F.lit("line "), "o_custkey").alias("label"), (priority == "5-LOW").alias("resolved"),
     )
-    return heads, rooms, tasks, totals.unionByName(floors).unionByName(legend), notes
+    return heads, rooms, tasks, totals.unionByName(floors), notes
 
 
 @query(f"WITH {IMPORTS} SELECT category, severity, count(*) AS n, count(DISTINCT import_id) AS imports FROM issues GROUP BY 1, 2")
@@ -172,8 +180,8 @@ def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN bad + storeys = 0 AND NOT unclosed THEN 100 ELSE 0 END AS quantities, CASE WHEN drawn THEN CAST(floor(100 * (rn - loose) / greatest(rn, 1)::DOUBLE + 0.5) AS INTEGER) ELSE 100 END AS drawing FROM x""")
 def closure_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each import is closed, by part."""
-    heads, rooms, tasks, totals, notes = import_tables(spark, sf_dir)
-    return documents.closure_shares(heads, rooms, tasks, totals, documents.closure_issues(heads, rooms, tasks, totals, notes))
+    heads, rooms, tasks, totals, _ = import_tables(spark, sf_dir)
+    return documents.closure_shares(heads, rooms, tasks, totals)
 
 
 @query(f"""WITH {IMPORTS}, k AS (SELECT category, severity, count(*) AS n FROM issues WHERE category IN ('rooms', 'drawing', 'tasks', 'legend', 'task_source') GROUP BY 1, 2)
