@@ -141,10 +141,10 @@ def import_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     tasks = li.select("import_id", "room", name.alias("name"), F.when(kind == "R", "m1").otherwise("m2").alias("unit"), F.when((kind == "A") & (q < 20), 0).otherwise(q).alias("quantity"))
     m, l = F.col("m").cast(exact), F.col("l")  # noqa: E741
     more = F.when((key % 3 == 0) & (F.col("label") == "O"), "0.03").when(key % 8 == 1, "5").otherwise("0").cast(exact)
-    total = lambda k, calculated, declared, status, accepted: F.struct(F.lit(k).alias("kind"), calculated.alias("calculated"), declared.alias("declared"), F.lit(status).alias("status"), accepted.alias("accepted"))
+    total = lambda n, k, calculated, declared, status, accepted: F.struct(n.alias("n"), F.lit(k).alias("kind"), calculated.alias("calculated"), declared.alias("declared"), F.lit(status).alias("status"), accepted.alias("accepted"))
     checked = F.when(key % 4 == 1, "check").otherwise("ok")
-    material, legend = total("material", m, m + more, checked, key % 16 == 1), total("legend", l, F.when(key % 10 > 0, l + 1), "check", key % 2 == 0)
-    totals = by_document.select("import_id", "label", F.inline(F.array_compact(F.array(F.when(F.col("n") > 0, material), legend))))
+    material, legend = total(F.col("n"), "material", m, m + more, checked, key % 16 == 1), total(F.lit(1), "legend", l, F.when(key % 10 > 0, l + 1), "check", key % 2 == 0)
+    totals = by_document.select("import_id", "label", F.inline(F.array(material, legend))).where("n > 0").drop("n")
     floors = li.groupBy("import_id", "room").agg(F.sum("q").cast(exact).alias("calculated")).select(
         "import_id", F.col("room").cast("string").alias("label"), F.lit("floor").alias("kind"), "calculated", (F.col("calculated") + plus(key % 6 == 0, "0.01")).alias("declared"),
         F.lit("ok").alias("status"), F.lit(None).cast("boolean").alias("accepted"),
