@@ -60,6 +60,13 @@ def machine_number(text: Column) -> Column:
     return F.when((F.instr(text, ",") > 0) | ~bare.rlike(PLAIN), parse_number(text)).otherwise(bare.try_cast(NUMBER))
 
 
+def is_machine_number(text: Column) -> Column:
+    """Whether ``machine_number`` of a text that isn't null finds one: a single run of up to twelve digits without signs and
+    without an m before it (which may be a unit's), and usual forms, are known as such; only others are read."""
+    usual = text.rlike(r"^[^0-9,.+\-mM]*[0-9]{1,12}[^0-9,.+\-]*$") | text.rlike(r"^[0-9]{1,12}(\.[0-9]*|,[0-9]{1,2})$")
+    return F.when(~text.rlike("[0-9]"), False).when(usual, True).otherwise(machine_number(text).isNotNull())
+
+
 def sheet_number(cell: Column) -> Column:
     """``machine_number`` of a column: its usual forms, digits with a point or one comma before up to two
     digits, are cast as they are; only others are read by its rules."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crewspark.plans.registry import query, table
 from crewspark.sources import columns
+from crewspark.storage import tasks_for
 
 HEADS = {"F": ("Ruimte nr.", "Ruimtenaam", "Hoeveelheid", "Eenheid", "Vloerafwerking"), "O": ("Code", "Omschrijving", "m2", "Eh", "Kleur")}
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
@@ -26,7 +27,9 @@ _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 def guessed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sheets, with full headers, with vague ones, and without any: roles by words and contents."""
     li, p, o = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
-    joined = li.join(p, li["l_partkey"] == p["p_partkey"]).join(o, li["l_orderkey"] == o["o_orderkey"])
+    # an order's lines come together once; its cells stay where they are
+    n = tasks_for(li)
+    joined = li.join(p, li["l_partkey"] == p["p_partkey"]).repartition(n, "l_orderkey").join(o.repartition(n, "o_orderkey"), li["l_orderkey"] == o["o_orderkey"])
     own = joined.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))))
     k = F.col("k")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
@@ -34,10 +37,9 @@ def guessed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("0"), F.col("l_linenumber"), F.lit("."), two(F.col("l_partkey") % 100)), F.col("p_name"),
         F.format_string("%d,%02d", F.col("l_quantity").cast("int"), (F.round(F.col("l_quantity") * 100) % 100).cast("int")), F.lit("m2"), F.concat(F.lit("V"), two(k % 100)),
     )
-    file = F.col("l_orderkey").cast("string").alias("file")
     status = F.col("o_orderstatus")
     head = F.when(status == "F", F.array(*map(F.lit, HEADS["F"]))).otherwise(F.array(*map(F.lit, HEADS["O"])))
     row = lambda at, c: F.struct(at.cast("int").alias("row_no"), c.alias("cells"))
     body = F.when(status == "P", F.array(row(k, cells))).when(k == 1, F.array(row(F.lit(1), head), row(k + 1, cells))).otherwise(F.array(row(k + 1, cells)))
-    each = own.select(file, F.lit(None).cast("string").alias("sheet"), F.inline(body)).select("file", "sheet", "row_no", F.posexplode("cells").alias("at", "value"))
-    return columns.guessed_columns(each.withColumn("col_no", F.col("at") + 1)).select("file", "header_row", "role", "col_no", "points", "sure")
+    each = own.select(F.col("l_orderkey").alias("file"), F.lit(None).cast("string").alias("sheet"), F.inline(body)).select("file", "sheet", "row_no", F.posexplode("cells").alias("at", "value"))
+    return columns.guessed_columns(each.withColumn("col_no", F.col("at") + 1), together=True).select(F.col("file").cast("string").alias("file"), "header_row", "role", "col_no", "points", "sure")

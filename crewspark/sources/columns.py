@@ -8,10 +8,18 @@ Sheets with several columns of room numbers are cut into ranges before each of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from crewspark.functions.numbers import machine_number
+from crewspark.functions.numbers import is_machine_number
+from crewspark.shipping import map_in_arrow
 
 #: Words of headers and their points, by role, in the order in which roles choose; the first word that fits counts.
 HEADERS = {
@@ -30,29 +38,36 @@ ROLES = tuple(HEADERS)
 ROOM = r"(?i)^(?:[A-Z]-\d{1,2}-\d{2}(?:[/-]\d{2})*|\d{2}-\d{2}|0\d[.\-]\d{2})$"
 UNIT = r"(?i)^(m2|m²|m1|m¹|lm|stuks|st|uren|u)$"
 CODE = r"(?i)(?<![a-z0-9])((?:v|pl)\d{2}(?:\.[a-z0-9]+)?)"
-FLOORING = r"(?i)gietvloer|marmoleum|pvc|tapijt|linoleum|coating"
+FLOORING, COVERING = r"(?i)gietvloer|marmoleum|pvc|tapijt|linoleum|coating", "plint|saus|behang"
 DIMENSION = r"(?i)^(lengte|breedte|hoogte|length|width|height)\b"
 #: Rows that can be a header, values that are looked at, and points: at least, by memory, of a sure header.
 HEAD_ROWS, SAMPLE, LEAST, MEMORY = 25, 40, 3, 6
+#: Bits of a count up to SAMPLE; a row's place in numbers that hold a column or sheet and a row; rows that a task takes at once.
+COUNT, FAR, ROWS_AT_ONCE = 7, 40, 100_000
+
 
+def _looks(cells: DataFrame) -> DataFrame:
+    """cells with total, code, and as booleans whether a value looks like each role (is_...).
 
-def looks_like(value: Column) -> dict[str, Column]:
-    """Whether a value looks like each role."""
-    room, unit = value.rlike(ROOM), value.rlike(UNIT)
-    number = machine_number(value).isNotNull() & ~value.rlike(r"(?i)totaal|som|subtotal") & ~room
-    bare = F.regexp_replace(value, "[,.]", "")
-    name = ~room & ~number & ~value.rlike(CODE) & ~value.rlike(FLOORING + "|plint|saus|behang") & ~unit & (F.length(value) <= 80) & bare.try_cast("double").isNull()
-    return {
-        "room_number": room,
-        "room_name": name,
-        "building": value.rlike(r"(?i)^(gebouw|blok|vleugel|[a-z])\b"),
-        "floor_level": value.rlike(r"(?i)^(bg|kelder|zolder|vliering|\d{1,2}e|verdieping(?:\s+\d+)?)$"),
-        "floor_finish": value.rlike(r"(?i)(?<![a-z0-9])v\d{2}(?:\.[a-z0-9]+)?(?![a-z0-9])") | value.rlike(FLOORING),
-        "plinth_finish": value.rlike(r"(?i)(?<![a-z0-9])pl\d{2}(?:\.[a-z0-9]+)?(?![a-z0-9])") | value.rlike(r"(?i)plint"),
-        "product": (F.length(value) > 2) & ~room & ~number & ~unit,
-        "quantity": number,
-        "unit": unit,
-    }
+    What several roles ask for is a column of its own, so that it is found once; a value of digits and signs alone
+    isn't searched for words, one without digits isn't read as a number.
+    """
+    value, room, unit, number, wordy, digit = (F.col(c) for c in ("value", "is_room_number", "is_unit", "is_quantity", "wordy", "digit"))
+    own = cells.withColumns({"is_room_number": value.rlike(ROOM), "wordy": value.rlike(r"[^\s\d.,:_/\-]"), "digit": value.rlike("[0-9]")})
+    words = lambda pattern: wordy & value.rlike(pattern)
+    own = own.withColumns({"is_unit": words(UNIT), "laid": words(f"{FLOORING}|{COVERING}"), "total": words(r"(?i)^totaal\b"), "code": F.when(wordy & digit, F.regexp_extract(value, CODE, 1))})
+    laid = lambda pattern: F.col("laid") & value.rlike(pattern)
+    own = own.withColumns({"code": F.when(F.col("code") != "", F.lower("code")), "flooring": laid(FLOORING), "plint": laid("(?i)plint")})
+    own = own.withColumn("is_quantity", digit & ~room & ~unit & ~words("(?i)totaal|som|subtotal") & is_machine_number(value))
+    bare = F.translate(value, ",.", "")
+    return own.withColumns({
+        "is_room_name": ~room & ~number & ~unit & F.col("code").isNull() & ~F.col("laid") & (F.length(value) <= 80) & bare.try_cast("double").isNull(),
+        "is_building": words(r"(?i)^(gebouw|blok|vleugel|[a-z])\b"),
+        "is_floor_level": words(r"(?i)^(bg|kelder|zolder|vliering|\d{1,2}e|verdieping(?:\s+\d+)?)$"),
+        "is_floor_finish": F.col("flooring") | (digit & words(r"(?i)(?<![a-z0-9])v\d{2}(?:\.[a-z0-9]+)?(?![a-z0-9])")),
+        "is_plinth_finish": F.col("plint") | (digit & words(r"(?i)(?<![a-z0-9])pl\d{2}(?:\.[a-z0-9]+)?(?![a-z0-9])")),
+        "is_product": (F.length(value) > 2) & ~room & ~number & ~unit,
+    })
 
 
 def normalized_header(text: Column) -> Column:
@@ -64,85 +79,170 @@ def _header_points(header: Column, role: str) -> Column:
     for word, n in HEADERS[role].items():
         hit = header.contains(word)
         points = F.when(hit, n) if points is None else points.when(hit, n)
+    if role == "quantity":
+        points = F.when(~header.rlike(DIMENSION), points)
     return F.coalesce(points, F.lit(0))
 
 
-def _content_points(hits: Column, n: Column) -> Column:
-    share = hits / F.greatest(n, F.lit(1))
-    return F.when((n >= 2) & (share >= 0.6), 4).when(share >= 0.3, 2).when(hits > 0, 1).otherwise(0)
+def _content_points(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    share = hits / np.maximum(n, 1)
+    return np.where((n >= 2) & (share >= 0.6), 4, np.where(share >= 0.3, 2, np.where(hits > 0, 1, 0)))
 
 
-def _pick(i: int, taken: list[str]) -> Column:
-    """The column with the most points for role i that none of the roles before has; the leftmost of equals."""
-    used = F.array(F.lit(-1), *[F.coalesce(F.col(f"{t}.col_no"), F.lit(-1)) for t in taken])
-    free = F.filter("columns", lambda c: (c["points"][i] >= LEAST) & ~F.array_contains(used, c["col_no"]))
-    return F.array_max(F.transform(free, lambda c: F.struct(c["points"][i].alias("points"), (-c["col_no"]).alias("left"), c["col_no"].alias("col_no"), c["sure"][i].alias("sure"))))
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """Whether a row differs from the one before in a column; the first does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        x, y = c.slice(1), c.slice(0, len(c) - 1)
+        differs = pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.not_equal(pc.is_null(x), pc.is_null(y)))
+        out[1:] |= differs.to_numpy(zero_copy_only=False)
+    return out
 
 
-def guessed_columns(cells: DataFrame, memory: DataFrame | None = None) -> DataFrame:
-    """file, sheet, part, header_row (null: none), role, col_no, points, sure of all sheets of cells (file,
-    sheet, row_no, col_no, value; blank ones left out).  memory: header (normalized) and role.
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... values."""
+    return np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
 
-    Only the first values below each header are looked at, so that a sheet's length doesn't matter: a column
-    is its first values (their row, roles as bits, and code) and headers, and the headers that are tried are
-    made of these within the task that has the sheet.
+
+def _tried(t: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """All headers that are tried, by column: the index of the column's first row, the head, the part of the sheet
+    (0: none), whether sheet and part differ from the column before, points and sure of each role.
+
+    A column's values are in order, so that those below a header are a run of them, and what is counted in it
+    is the difference of two sums; counts of all roles are in one number (COUNT bits each).
     """
-    own = cells.select(F.struct("file", "sheet").alias("s"), "row_no", "col_no", F.trim("value").alias("value")).where("value <> ''")
-    looks = looks_like(F.col("value"))
-    bits = sum((F.when(looks[r], 1 << i).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0))
-    code = F.nullif(F.lower(F.regexp_extract("value", CODE, 1)), F.lit(""))
-    total = F.col("value").rlike(r"(?i)^totaal\b")
-    header = F.when(F.col("row_no") <= HEAD_ROWS, normalized_header(F.col("value")))
-    short = own.select("s", "col_no", "row_no", total.alias("total"), F.when(~total, bits).alias("bits"), F.when(~total, code).alias("code"), header.alias("header"))
-    k = F.row_number().over(Window.partitionBy("s", "col_no").orderBy("total", "row_no"))
-    first = short.withColumn("k", k).withColumn("seen", ~F.col("total") & (F.col("k") <= HEAD_ROWS + SAMPLE)).where("seen OR header IS NOT NULL")
-    value = F.struct("row_no", "bits", "code")
-    by_column = first.groupBy("s", "col_no").agg(
-        F.array_sort(F.collect_list(F.when(F.col("seen"), value))).alias("seen"), F.collect_list(F.when(F.col("header").isNotNull(), F.struct("row_no", "header"))).alias("headers")
-    )
-    by_sheet = by_column.groupBy("s").agg(F.collect_list(F.struct("col_no", "seen", "headers")).alias("columns"))
-    like = lambda bit: lambda v: v["bits"].bitwiseAND(bit) > 0
-    is_room = like(1)
-    under = lambda seen, head: F.slice(F.filter(seen, lambda v: v["row_no"] > head), 1, SAMPLE)
-    room_points = lambda values: _content_points(F.size(F.filter(values, is_room)), F.size(values))
-    starts = F.transform(F.filter("columns", lambda c: room_points(under(c["seen"], F.lit(0))) >= 2), lambda c: c["col_no"])
-    room_rows = F.array_distinct(F.flatten(F.transform("columns", lambda c: F.transform(F.filter(c["seen"], is_room), lambda v: v["row_no"]))))
-    parts = by_sheet.select("s", starts.alias("starts"), room_rows.alias("room_rows"), F.inline("columns"))
-    deepest = F.array_max(F.transform("seen", lambda v: v["row_no"]))
-    tried = F.when(deepest > 0, F.sequence(F.lit(0).cast("long"), F.least(F.lit(HEAD_ROWS), deepest - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    heads = F.array_union(tried, F.transform("headers", lambda h: h["row_no"].cast("long")))
-    each = parts.select("s", "starts", "room_rows", "col_no", "seen", "headers", F.explode(heads).alias("head")).withColumn("below", under(F.col("seen"), F.col("head")))
-    on_room = F.exists("below", lambda v: v["code"].isNotNull() & (v["row_no"] <= F.col("head") + SAMPLE) & F.array_contains("room_rows", v["row_no"]))
-    known = each.select(
-        "s", "starts", "head", "col_no", F.size("below").cast("long").alias("n"), on_room.alias("on_room"), F.lit(None).cast("string").alias("learned"),
-        F.array(*[F.size(F.filter("below", like(1 << i))) for i in range(len(ROLES))]).alias("hits"),
-        F.size(F.array_distinct(F.filter(F.transform("below", lambda v: v["code"]), lambda c: c.isNotNull()))).alias("codes"),
-        F.coalesce(F.get(F.filter("headers", lambda h: h["row_no"] == F.col("head")), F.lit(0))["header"], F.lit("")).alias("header"),
-    )
-    if memory is not None:
-        known = known.drop("learned").join(memory.select("header", F.col("role").alias("learned")), "header", "left")
-    points, sure = [], []
+    file, sheet = t.column("file"), t.column("sheet")
+    col, row, seen, bits, points, learned = (t.column(c).to_numpy(zero_copy_only=False) for c in ("col_no", "row_no", "seen", "bits", "points", "learned"))
+    new_sheet = _changes(file, sheet)
+    new_column = new_sheet | np.concatenate([[True], col[1:] != col[:-1]])
+    s, c = np.cumsum(new_sheet) - 1, np.cumsum(new_column) - 1
+    at = np.flatnonzero(new_column)
+    v = np.flatnonzero(seen)
+    place, ends = (c[v] << FAR) + row[v], np.searchsorted(c[v], np.arange(len(at)), "right")
+    heads = np.clip(np.maximum.reduceat(row, at), 0, HEAD_ROWS) + 1
+    first = np.cumsum(heads) - heads
+    of = np.repeat(np.arange(len(at)), heads)
+    head = np.arange(len(of)) - first[of]
+    a = np.searchsorted(place, (of << FAR) + head, "right")
+    z = np.minimum(a + SAMPLE, ends[of])
+    n, total = z - a, _sums(bits[v])
+    hits = total[z] - total[a]
+    # a sheet's columns of room numbers, from two on, begin its parts
+    count = lambda i, x=hits: (x >> (COUNT * i)) & ((1 << COUNT) - 1)
+    starts = (_content_points(count(0)[first], n[first]) >= 2).astype(np.int64)
+    of_sheet, before = s[at], _sums(starts)
+    sheets = np.searchsorted(of_sheet, np.arange(of_sheet[-1] + 2))
+    many = (before[sheets[1:]] - before[sheets[:-1]])[of_sheet] >= 2
+    part = np.where(many, before[1:] - before[sheets[:-1]][of_sheet], 1)
+    # finishes need a code on a row with a room, and more than one code in five values
+    coded = t.column("code").is_valid().to_numpy(zero_copy_only=False)[v]
+    on_row, is_room = (s[v] << FAR) + row[v], count(0, bits[v]) > 0
+    on = _sums(coded & np.isin(on_row, np.unique(on_row[is_room])))
+    near = np.minimum(z, np.searchsorted(place, (of << FAR) + head + SAMPLE, "right"))
+    codes, others = _sums(coded), np.zeros(1, np.int64)
+    if coded.any():
+        others = _sums(_changes(t.column("code").take(pa.array(v[coded]))))
+    one = (codes[z] > codes[a]) & (others[codes[z]] == others[np.minimum(codes[a] + 1, len(others) - 1)])
+    finish = (on[near] > on[a]) & ~((n >= 5) & one)
+    named = np.flatnonzero((row >= 0) & (row <= HEAD_ROWS) & ((points != 0) | (learned != 0)))
+    words, memory = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    words[first[c[named]] + row[named]], memory[first[c[named]] + row[named]] = points[named], learned[named]
+    given, sure = np.empty((len(ROLES), len(of)), np.int64), np.empty((len(ROLES), len(of)), bool)
     for i, role in enumerate(ROLES):
-        head = _header_points(F.col("header"), role)
-        content = _content_points(F.coalesce(F.col("hits")[i], F.lit(0)), F.col("n"))
-        recalled = F.when((content >= 2) & (F.col("header") != "") & (F.col("learned") == role), MEMORY).otherwise(0)
-        total = head + content + recalled
+        by_word, content = (words >> (4 * i)) & 15, _content_points(count(i), n)
+        recalled = (content >= 2) & ((memory >> i) & 1 == 1)
+        given[i] = by_word + content + MEMORY * recalled
+        sure[i] = ((by_word >= 4) & (content >= 2)) | recalled
         if role == "quantity":
-            total = F.when((head >= 2) & ~F.col("header").rlike(DIMENSION), total).otherwise(0)
+            given[i][by_word < 2] = 0
+        else:
+            sure[i] |= content >= 4
         if role.endswith("_finish"):
-            total = F.when(F.coalesce("on_room", F.lit(False)) & ~((F.col("n") >= 5) & (F.col("codes") == 1)), total).otherwise(0)
-        points.append(total)
-        certain = ((head >= 4) & (content >= 2)) | (recalled >= MEMORY)
-        sure.append(certain if role == "quantity" else certain | (content >= 4))
-    part = F.when(F.size("starts") < 2, 1).otherwise(F.size(F.filter("starts", lambda x: x <= F.col("col_no"))))
-    placed = known.select("s", "head", "col_no", part.alias("part"), F.array(*points).alias("points"), F.array(*sure).alias("sure")).where("part > 0")
-    sheets = placed.groupBy("s", "part", "head").agg(F.collect_list(F.struct("col_no", "points", "sure")).alias("columns"))
-    picks: list[str] = []
-    for i, role in enumerate(ROLES):
-        sheets = sheets.withColumn(f"p_{role}", _pick(i, picks))
-        picks.append(f"p_{role}")
-    score = sum((F.coalesce(F.col(f"{p}.points"), F.lit(0)) for p in picks), F.lit(0))
-    best = sheets.groupBy("s", "part").agg(F.max_by(F.struct("head", *picks), F.struct(score, -F.col("head"))).alias("x"))
-    found = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"x.p_{r}.col_no").alias("col_no"), F.col(f"x.p_{r}.points").alias("points"), F.col(f"x.p_{r}.sure").alias("sure")) for r in ROLES])
-    rows = best.select("s", "part", F.when(F.col("x.head") > 0, F.col("x.head")).alias("header_row"), F.explode(found).alias("r")).where("r.col_no IS NOT NULL")
-    return rows.select("s.file", "s.sheet", "part", "header_row", "r.role", "r.col_no", "r.points", "r.sure")
+            given[i][~finish] = 0
+    new_part = np.concatenate([[True], (of_sheet[1:] != of_sheet[:-1]) | (part[1:] != part[:-1])])
+    return at[of], head, part[of], (np.cumsum(new_part) - 1)[of], given, sure
+
+
+def _choices(t: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The roles' columns under the best header of each part of whole sheets, whose rows are in order."""
+    at, head, part, group, given, sure = _tried(t)
+    kept = np.flatnonzero((given >= LEAST).any(0) & (part > 0))
+    kept = kept[np.argsort(group[kept] * (HEAD_ROWS + 1) + head[kept], kind="stable")]
+    at, head, part, group, given, sure = at[kept], head[kept], part[kept], group[kept], given[:, kept], sure[:, kept]
+    trial = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (head[1:] != head[:-1])])) if len(kept) else kept
+    rows, roles = [], []
+    if len(kept):
+        size = np.diff(np.append(trial, len(kept)))
+        left = size.max() - (np.arange(len(kept)) - np.repeat(trial, size))  # 1 at least; the leftmost column has most
+        free, score, picks = np.ones(len(kept), bool), np.zeros(len(trial), np.int64), []
+        for points in given:
+            best = np.maximum.reduceat(np.where(free & (points >= LEAST), points * (size.max() + 1) + left, 0), trial)
+            pick = np.where(best > 0, trial + size.max() - best % (size.max() + 1), -1)
+            free[pick[pick >= 0]] = False
+            score += best // (size.max() + 1)
+            picks.append(pick)
+        # the header with the most points, the first of equals
+        worth, parts = score * (HEAD_ROWS + 1) + HEAD_ROWS - head[trial], np.flatnonzero(np.concatenate([[True], np.diff(group[trial]) != 0]))
+        won = worth == np.repeat(np.maximum.reduceat(worth, parts), np.diff(np.append(parts, len(trial))))
+        for i, pick in enumerate(picks):
+            chosen = pick[won & (pick >= 0)]
+            rows.append(chosen)
+            roles.append(np.full(len(chosen), i))
+    r, i = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (rows, roles))
+    own = pa.array(at[r])
+    columns = [t.column("file").take(own), t.column("sheet").take(own), pa.array(part[r]), pa.array(head[r], mask=head[r] == 0), pa.array(ROLES).take(pa.array(i)), t.column("col_no").take(own), pa.array(given[i, r]), pa.array(sure[i, r])]
+    return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _sheet_by_sheet(schema: pa.Schema):
+    """_choices of batches, in which a sheet's rows follow each other: the last sheet waits for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, ROWS_AT_ONCE
+        whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                t = whole()
+                cut = int(np.flatnonzero(_changes(t.column("file"), t.column("sheet")))[-1])
+                if cut:
+                    yield _choices(t.slice(0, cut), schema)
+                held, n = [t.slice(cut)], t.num_rows - cut
+                most = max(ROWS_AT_ONCE, 2 * n)
+        if n:
+            yield _choices(whole(), schema)
+
+    return run
+
+
+def guessed_columns(cells: DataFrame, memory: DataFrame | None = None, together: bool = False) -> DataFrame:
+    """file, sheet, part, header_row (null: none), role, col_no, points, sure of all sheets of cells (file,
+    sheet, row_no, col_no, value; blank ones left out).  memory: header (normalized) and role.  together: the
+    cells of a sheet are known to lie in one partition.
+
+    Only the first values below each header are looked at, so that a sheet's length doesn't matter: a column
+    is its first values (their row, what they look like, and code) and the points of its headers; a task
+    tries the headers of its sheets, one after the other, and lets the roles choose.
+    """
+    own = cells.select("file", "sheet", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), F.trim("value").alias("value")).where("value <> ''")
+    looks = _looks(own)
+    as_header = F.col("row_no") <= HEAD_ROWS if memory is not None else (F.col("row_no") <= HEAD_ROWS) & F.col("wordy")
+    looks = looks.withColumn("header", F.when(as_header, normalized_header(F.col("value"))))
+    bits = sum((F.when(F.col(f"is_{r}"), F.lit(1 << (COUNT * i)).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(ROLES)), F.lit(0).cast("long"))
+    points = sum((F.shiftleft(_header_points(F.col("header"), r).cast("long"), 4 * i) for i, r in enumerate(ROLES)), F.lit(0).cast("long"))
+    short = looks.select("file", "sheet", "col_no", "row_no", "total", bits.alias("bits"), "code", F.when(F.col("header").isNotNull(), points).otherwise(F.lit(0).cast("long")).alias("points"), "header")
+    if memory is None:
+        short = short.withColumn("learned", F.lit(0))
+    else:
+        role = sum((F.when(F.col("role") == r, 1 << i).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0))
+        recalled = memory.where("header <> ''").groupBy("header").agg(F.bit_or(role).alias("learned"))
+        short = short.join(recalled, "header", "left").withColumn("learned", F.coalesce("learned", F.lit(0)))
+    k = F.row_number().over(Window.partitionBy("file", "sheet", "col_no").orderBy("total", "row_no"))
+    first = short.withColumn("seen", ~F.col("total") & (k <= HEAD_ROWS + SAMPLE)).where("seen OR points <> 0 OR learned <> 0").select("file", "sheet", "col_no", "total", "row_no", "seen", "bits", "code", "points", "learned")
+    dealt = first if together and memory is None else first.repartition("file", "sheet")
+    sheets = dealt.sortWithinPartitions("file", "sheet", "col_no", "total", "row_no").drop("total")
+    types = {f.name: f.dataType for f in cells.schema}
+    schema = T.StructType([T.StructField(n, types.get(n, t)) for n, t in (("file", None), ("sheet", None), ("part", T.IntegerType()), ("header_row", T.LongType()), ("role", T.StringType()), ("col_no", None), ("points", T.IntegerType()), ("sure", T.BooleanType()))])
+    return map_in_arrow(sheets, _sheet_by_sheet(to_arrow_schema(schema)), schema)

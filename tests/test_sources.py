@@ -93,3 +93,41 @@ def test_values_are_not_repeated_for_each_header(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1  # places in a column; none below each header
     assert [(r.header_row, r.role, r.col_no, r.points, r.sure) for r in got.collect()] == [(1, "room_number", 1, 10, True)]
+
+
+def test_cells_of_a_sheet_stay_together(spark):
+    from crewspark.catalogue import QUERIES
+
+    plan = QUERIES["guessed_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # lines and orders are dealt by order; no cell or header is shuffled after that
+    assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_NUM") == 2
+    assert plan.count("regexp_extract") == 1 and "collect_list" not in plan
+
+
+def test_sheets_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from crewspark.sources import columns
+
+    names = ["file", "sheet", "part", "header_row", "role", "col_no", "points", "sure"]
+    schema = pa.schema(list(zip(names, [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_()], strict=True)))
+    rooms, head = [(i, True, 1, None, 0, 0) for i in range(2, 6)], (1, True, 0, None, 6, 0)  # a header of a number, and room numbers
+    rows = [(f, None, c, *r) for f in "abc" for c in (1, 4) for r in ([head, *rooms] if c == 1 else rooms[:2] if f == "b" else rooms[:0])]
+    batch = pa.RecordBatch.from_pydict(dict(zip(["file", "sheet", "col_no", "row_no", "seen", "bits", "code", "points", "learned"], map(list, zip(*rows, strict=True)), strict=True)))
+    batch = batch.set_column(1, "sheet", pa.nulls(len(rows), pa.string())).set_column(6, "code", pa.nulls(len(rows), pa.string()))
+    got = []
+    for most in (1, 4, 1000):
+        monkeypatch.setattr(columns, "ROWS_AT_ONCE", most)
+        pieces = [batch.slice(i, 3) for i in range(0, len(rows), 3)]
+        got.append(sorted(tuple(r.values()) for b in columns._sheet_by_sheet(schema)(iter(pieces)) for r in b.to_pylist()))
+    assert got[0] == got[1] == got[2]  # wherever a batch ends
+    assert got[0] == [("a", None, 1, 1, "room_number", 1, 10, True), ("b", None, 1, 1, "room_number", 1, 10, True), ("b", None, 2, None, "room_number", 4, 4, True), ("c", None, 1, 1, "room_number", 1, 10, True)]
+
+
+def test_numbers_are_known_without_being_read(spark):
+    from crewspark.functions import numbers
+
+    texts = ["12", "12,5", "1.234,5", "V01", "xm2", "m2", "m 2", "m12", "12 m2", "-3", "a-3", "3.", ",5", "1e5", "e5", "n.v.t.", "-", "", "½", "9" * 13, "9" * 20, "x" + "9" * 20, "1 2", "5\n"]
+    df = spark.createDataFrame([(x,) for x in texts], "c string")
+    got = df.select("c", numbers.is_machine_number(F.col("c")).alias("a"), numbers.machine_number(F.col("c")).isNotNull().alias("b")).collect()
+    assert [(r.c, r.a) for r in got] == [(r.c, r.b) for r in got]
