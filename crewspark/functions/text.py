@@ -100,7 +100,8 @@ def floor_base(text: Column) -> Column:
     """The storey without phase or section; a text that names none, as it is."""
     flat = F.regexp_replace(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"\bfase\s*\d+\b|\bsporthal\b", ""), r"\s+", " ")
     own = F.trim(F.replace(flat, F.lit("souterrain"), F.lit("kelder")))
-    return F.coalesce(floor_label(own), own)
+    # the text is brought into its form once, not for each pattern that is looked for in it
+    return F.element_at(F.transform(F.array(own), lambda t: F.coalesce(floor_label(t), t)), 1)
 
 
 def same_storey(a: Column, b: Column) -> Column:

@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewspark.functions.text import floor_base, folded, repaired_room_number
-from crewspark.operators.matching import first_rows
-from crewspark.operators.rooms import FEW_ROOMS, GENERIC, alike_keys, names_alike
+from crewspark.operators.rooms import FEW_ROOMS, GENERIC, alike_keys, name_letters, named_alike
 from crewspark.storage import rewritten
 
 #: Areas that differ by no more are one, and by how much two sources may differ.
 SAME_AREA, AREA_APART = 0.05, 1.0
+#: Rooms of a project and side that are held together.
+ROOMS_HELD = 4_096
 
 
 def merged_sources(sources: Sequence[tuple[str, DataFrame]], levels: Sequence[Sequence[str]], fields: Sequence[str]) -> DataFrame:
@@ -97,39 +98,68 @@ def judged(pool: DataFrame, names: Sequence[str], area: Sequence[str], product:
     return out.withColumns({"confidence": confidence, "reasons": F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()]))}).drop("__conflict")
 
 
+#: What is known of a drawn room, and of a room of the other source, where they meet.
+DRAWN = ["id", "floor", "page", "number", "na", "ma", "aa", "generic_a", "letters_a", "skip"]
+ROOM = ["other", "target", "base", "nb", "mb", "ab", "generic_b", "letters_b"]
+
+
 def _alike_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of drawn rooms and rooms of one project and base that share a number, a cell of area or a key of a name."""
+    """Pairs of drawn rooms and rooms of one project that share a number, a cell of area or a key of a name; b has a
+    row for each of a room's storeys (``floor``).  A pair comes once for all that is shared in one way."""
     cell = lambda c: F.floor(F.col(c) / (2 * SAME_AREA))
-    near_a, near_b = a.withColumn("c", F.explode(F.array(*[cell("aa") + d for d in (-1, 0, 1)]))), b.withColumn("c", cell("ab"))
+    near_a, near_b = a.withColumn("k", F.explode(F.array(*[cell("aa") + d for d in (-1, 0, 1)]))), b.withColumn("k", cell("ab"))
     keyed = lambda side, name, within: side.where(f"{name} <> ''").withColumn("k", F.explode(alike_keys(F.col(name), within)))
-    ways = [(a.where("na <> ''").withColumn("k", F.col("na")), b.withColumn("k", F.col("nb"))), (near_a.withColumn("k", F.col("c")), near_b.withColumn("k", F.col("c")))]
+    ways = [(a.where("na <> ''").withColumn("k", F.col("na")), b.withColumn("k", F.col("nb"))), (near_a, near_b)]
     ways += [(keyed(a, "ma", within), keyed(b, "mb", not within)) for within in (True, False)]
     pairs = None
     for x, y in ways:
-        met = x.join(y, ["project", "base", "k"]).select("project", "id", "target", "na", "ma", "aa", "nb", "mb", "ab", "other", "base")
+        met = x.join(y, ["project", "floor", "k"]).select("project", *DRAWN, *ROOM)
         pairs = met if pairs is None else pairs.union(met)
     return pairs.distinct()
 
 
-def _matches(drawn: DataFrame, rooms: DataFrame) -> DataFrame:
-    """For each drawn room and storey of its section the best room: id, target, score, strong, triple, ..."""
-    number, name = repaired_room_number(F.coalesce("number", F.lit(""))), folded(F.coalesce("name", F.lit("")))
-    a = drawn.select("project", "id", F.col("floor").alias("base"), number.alias("na"), name.alias("ma"), F.col("area").alias("aa"))
-    b = rooms.select("project", folded("floor").alias("target"), floor_base(F.col("floor")).alias("base"), number.alias("nb"), name.alias("mb"), F.col("area").alias("ab"), F.col("id").alias("other"))
-    b = rewritten(b.unionByName(b.withColumn("base", F.col("target"))).distinct())
-    # projects with few rooms on a side are paired as they are; keys of names are only made for the others
-    count = lambda side, n: side.groupBy("project").agg(F.count("*").alias(n))
-    large = rewritten(count(a, "n").join(count(b, "m"), "project").where(F.least("n", "m") > FEW_ROOMS).select("project"))
-    columns = ["project", "id", "target", "na", "ma", "aa", "nb", "mb", "ab", "other", "base"]
-    few = a if large.isEmpty() else a.join(large, "project", "left_anti")
-    pairs = few.join(b.withColumnRenamed("base", "base_b"), "project").where("base = base_b").select(*columns)
-    if not large.isEmpty():
-        pairs = pairs.union(_alike_pairs(a.join(large, "project", "left_semi"), b.join(large, "project", "left_semi")).select(*columns))
+def _sides(rows: DataFrame) -> DataFrame:
+    """project, a (drawn room) and b (room of the other source; both may be null), with what is compared: each text is
+    brought into its form once for a room, not for each pair."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = rows.select(
+        "project", F.col("drawn").isNotNull().alias("is_a"), F.col("room").isNotNull().alias("is_b"), F.col("drawn.id").alias("id"), folded(text("drawn.floor")).alias("floor"), F.coalesce("drawn.page", F.lit(0)).alias("page"),
+        F.col("drawn.number").alias("number"), repaired_room_number(text("drawn.number")).alias("na"), folded(text("drawn.name")).alias("ma"), F.col("drawn.area").alias("aa"), F.col("room.id").alias("other"), folded("room.floor").alias("target"),
+        floor_base(F.col("room.floor")).alias("base"), repaired_room_number(text("room.number")).alias("nb"), folded(text("room.name")).alias("mb"), F.col("room.area").alias("ab"),
+    )
+    skip = F.col("ma").rlike(r"^(ruimte(\s*\d+)?|toilet|toiletruimte)?$") | (F.col("floor") == "")
+    own = own.withColumns({f"{p}_{x}": f(F.col(f"m{x}")) for x in "ab" for p, f in (("generic", lambda m: m.rlike(GENERIC)), ("letters", name_letters))}).withColumn("skip", skip)
+    return own.select("project", F.when(F.col("is_a"), F.struct(*DRAWN)).alias("a"), F.when(F.col("is_b"), F.struct(*ROOM)).alias("b"))
+
+
+def _few_pairs(sides: DataFrame) -> DataFrame:
+    """All pairs of each project's drawn rooms and rooms of their storey, and each drawn room by itself (target null)."""
+    both = sides.groupBy("project").agg(F.array_distinct(F.collect_list("a")).alias("a"), F.collect_list("b").alias("b"))
+    none = F.array(F.lit(None).cast(sides.schema["b"].dataType))
+    each = both.select("project", F.concat(none, "b").alias("b"), F.inline("a"))
+    met = each.select("project", *DRAWN, F.explode(F.when(F.col("skip"), none).otherwise(F.col("b"))).alias("b"))
+    # a room has a base even without a storey (""), a drawn room by itself has none
+    return met.select("project", *DRAWN, "b.*").where("base IS NULL OR floor = base OR floor = target")
+
+
+def _many_pairs(sides: DataFrame) -> DataFrame:
+    """The same for projects with many rooms: of their pairs, those that can have a score."""
+    a, b = (sides.where(f"{x} IS NOT NULL").select("project", f"{x}.*").distinct() for x in "ab")
+    storeys = rewritten(b.withColumn("floor", F.col("base")).unionByName(b.withColumn("floor", F.col("target")).where("target <> base")))
+    alone = a.select("project", *DRAWN, *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in ROOM])
+    return alone.union(_alike_pairs(a.where("NOT skip"), storeys))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """pairs with a score, one for each drawn room and storey, with raw, score, triple, ...; rooms by themselves as they are."""
+    generic = F.col("generic_a") | F.col("generic_b")
     off = F.round(F.abs(F.col("aa") - F.col("ab")).cast("double"), 6)
-    named, alike = (F.col("ma") != "") & (F.col("mb") != ""), names_alike(F.col("ma"), F.col("mb"))
-    by_number, by_name, by_area = (F.col("na") != "") & (F.col("na") == F.col("nb")), named & alike, F.coalesce(off <= SAME_AREA, F.lit(False))
-    conflict = named & ~F.col("ma").rlike(GENERIC) & ~F.col("mb").rlike(GENERIC) & ~alike
-    score = (
+    pairs = pairs.withColumns({"off": off, "named": (F.col("ma") != "") & (F.col("mb") != "")})
+    alike = F.col("named") & ~generic & named_alike(F.col("ma"), F.col("mb"), F.col("letters_a"), F.col("letters_b"))
+    pairs = pairs.withColumns({"by_number": (F.col("na") != "") & (F.col("na") == F.col("nb")), "by_name": alike, "by_area": F.coalesce(F.col("off") <= SAME_AREA, F.lit(False))})
+    by_number, by_name, by_area, off = (F.col(c) for c in ("by_number", "by_name", "by_area", "off"))
+    conflict = F.col("named") & ~generic & ~by_name
+    raw = (
         F.when(by_number & ~by_name & ~by_area, 10.0)
         .when(by_number & by_name & by_area, 100.0)
         .when(by_number & by_name, 85.0)
@@ -140,9 +170,11 @@ def _matches(drawn: DataFrame, rooms: DataFrame) -> DataFrame:
         .when(by_area, 25.0)
     )
     bonus = F.coalesce(F.greatest(F.lit(0.0), 5.0 - F.least(F.lit(5.0), off * 20)), F.lit(0.0))
-    scored = pairs.select("project", "id", "base", "target", "other", "nb", score.alias("raw"), (score + bonus).alias("score"), (by_number & by_name & by_area).alias("triple"), by_area.alias("by_area"), by_name.alias("by_name"), by_number.alias("by_number"), conflict.alias("conflict"), off.alias("off"))
-    best = first_rows(scored.where("score IS NOT NULL"), ["project", "id", "target"], [F.desc("score"), F.coalesce("off", F.lit(999.0)), "other"])
-    return best.withColumn("strong", F.col("raw") >= 70)
+    # what agrees in nothing has no score
+    scored = pairs.where(F.col("target").isNull() | by_number | by_area | by_name).withColumns({"raw": raw, "conflict": conflict})
+    scored = scored.select("project", "id", "floor", "page", "number", "na", "target", "other", "nb", "by_number", "by_name", "by_area", "conflict", "off", "raw", (F.col("raw") + bonus).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("project", "id", "target").orderBy(F.desc("score"), F.coalesce("off", F.lit(999.0)), "other"))
+    return scored.withColumn("rank", rank).where("target IS NULL OR rank = 1").withColumns({"strong": F.col("raw") >= 70, "triple": by_number & by_name & by_area})
 
 
 def storeys_by_section(drawn: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -154,33 +186,52 @@ def storeys_by_section(drawn: DataFrame, rooms: DataFrame) -> DataFrame:
     number, name and area counts twice; two votes make it the page's).  A room goes to its best strong
     section if it fits better than where it is: with the page, or by number, name and area, or where a
     room of its number has another name.  Its number is put right if name and area prove the other.
+    Equal rows are one room.
+    """
+    as_one = lambda side, name, *more: side.select("project", F.struct("id", "floor", "number", "name", "area", *more).alias(name))
+    rows = as_one(drawn, "drawn", "page").unionByName(as_one(rooms, "room"), allowMissingColumns=True)
+    counts = rows.groupBy("project").agg(F.count("drawn").alias("n"), F.count("room").alias("m"))
+    return storeys_of_rows(rows, counts.where((F.least("n", "m") > FEW_ROOMS) | (F.greatest("n", "m") > ROOMS_HELD)).select("project"))
+
+
+def storeys_of_rows(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``storeys_by_section`` of rows (project; drawn and room, structs of these columns, either may be null).  large: the
+    projects with more than FEW_ROOMS of both, or ROOMS_HELD of one; keys of names are only made for these, others are
+    paired as they are.
+
+    All that is joined is of one project, so that rows dealt by project meet, are ranked and vote where they are.
     """
-    # storeys with a section: their base is another label
-    own = rewritten(drawn.withColumn("floor", folded(F.coalesce("floor", F.lit("")))))
-    skip = folded(F.coalesce("name", F.lit(""))).rlike(r"^(ruimte(\s*\d+)?|toilet|toiletruimte)?$")
-    found = rewritten(_matches(own.where(~skip & (F.col("floor") != "")), rooms))
-    sections = found.where((F.col("target") != F.col("base")) & F.col("strong"))
-    page = own.select("project", "id", F.coalesce("page", F.lit(0)).alias("page"))
-    votes = sections.where("by_area").join(page, ["project", "id"]).where("page > 0").groupBy("project", "page", "target").agg(F.sum(F.when(F.col("triple"), 2).otherwise(1)).alias("votes"))
-    of_page = first_rows(votes, ["project", "page"], [F.desc("votes"), "target"]).where("votes >= 2").select("project", "page", F.col("target").alias("section"))
-    best = first_rows(sections, ["project", "id"], [F.desc("score"), "target"]).select("project", "id", "target", "score", "triple", "nb", "by_name", "by_area", "by_number", "off")
-    now = found.where("target = base").select("project", "id", F.col("strong").alias("now_strong"), F.col("score").alias("now_score"), F.col("conflict").alias("now_conflict"))
-    all_ = own.join(best, ["project", "id"], "left").join(now, ["project", "id"], "left").join(of_page, ["project", "page"], "left")
-    no = F.lit(False)
-    strong, conflict, at_page = F.coalesce("now_strong", no), F.coalesce("now_conflict", no), F.col("section").eqNullSafe(F.col("target"))
+    large = rewritten(large)
+    if large.isEmpty():
+        pairs = _few_pairs(_sides(rows))
+    else:
+        pairs = _few_pairs(_sides(rows.join(large, "project", "left_anti"))).unionByName(_many_pairs(_sides(rows.join(large, "project", "left_semi"))))
+    found = _best(pairs)
+    # the best section of a room, and how well it fits where it is
+    own, no = Window.partitionBy("project", "id"), F.lit(False)
+    section = (F.col("target") != F.col("floor")) & F.col("strong")
+    best = F.min(F.when(section, F.struct((-F.col("score")).alias("less"), "target", "triple", "nb", "by_name", "by_area", "by_number", "off"))).over(own)
+    now = F.max(F.when(F.col("target") == F.col("floor"), F.struct("strong", "score", "conflict"))).over(own)
+    vote = F.when(section & F.col("by_area") & (F.col("page") > 0), F.when(F.col("triple"), 2).otherwise(1))
+    voters = found.withColumns({"best": best, "now": now, "vote": vote}).where("target IS NULL OR vote IS NOT NULL").select("project", "id", "floor", "page", "number", "na", "target", "best", "now", "vote")
+    # the section that a page votes for
+    votes = voters.withColumn("votes", F.sum("vote").over(Window.partitionBy("project", "page", "target")))
+    first = F.min(F.when(F.col("votes") >= 2, F.struct((-F.col("votes")).alias("less"), "target"))).over(Window.partitionBy("project", "page"))
+    all_ = votes.withColumn("section", first).where("target IS NULL").select("project", "id", "floor", "number", "na", "now", F.col("section.target").alias("section"), "best.*")
+    now_score, conflict, strong = F.coalesce("now.score", F.lit(0.0)), F.coalesce("now.conflict", no), F.coalesce("now.strong", no)
+    at_page = F.col("section").eqNullSafe(F.col("target"))
     stays = (
         F.col("target").isNull()
-        | (strong & (F.coalesce("now_score", F.lit(0.0)) >= F.col("score")))
+        | (strong & (now_score >= -F.col("less")))
         | (strong & ~conflict & ~at_page)
         | (F.col("section").isNotNull() & ~at_page & ~F.col("triple"))
         | (F.col("section").isNull() & ~F.col("triple") & ~conflict)
     )
-    moved = ~F.coalesce(stays, F.lit(True))
-    number = repaired_room_number(F.coalesce("number", F.lit("")))
-    better = moved & (F.col("nb") != "") & ((number == "") | ~F.col("by_number")) & F.col("by_name") & F.col("by_area") & (F.col("off") <= SAME_AREA)
+    all_ = all_.withColumns({"moved": ~F.coalesce(stays, F.lit(True)), "at_page": at_page})
+    moved, better = F.col("moved"), (F.col("nb") != "") & ((F.col("na") == "") | ~F.col("by_number")) & F.col("by_name") & F.col("by_area") & (F.col("off") <= SAME_AREA)
     return all_.select(
         "project", "id", F.when(moved, F.col("target")).otherwise(F.col("floor")).alias("floor"), F.when(moved, F.col("floor")).alias("moved_from"),
-        F.when(F.coalesce(better, no), F.col("nb")).otherwise(F.col("number")).alias("number"), (moved & at_page).alias("by_page"),
+        F.when(moved & F.coalesce(better, no), F.col("nb")).otherwise(F.col("number")).alias("number"), (moved & F.col("at_page")).alias("by_page"),
     )
 
 

@@ -20,13 +20,22 @@ FEW_ROOMS = 64
 GENERIC = r"^(ruimte|[0-3][.\-]\d{1,3}[a-z]?)?$"
 
 
+def name_letters(name: Column) -> Column:
+    """A name's letters (folded), runs of a letter as one."""
+    return F.regexp_replace(F.regexp_replace(name, "[^a-z]", ""), r"(.)\1+", "$1")
+
+
 def names_alike(a: Column, b: Column) -> Column:
     """Whether two names (folded) can be one: equal, one within the other, equal but for runs of a letter,
     or off by a letter; five letters or more where they differ.  Labels that name nothing never are."""
+    return ~a.rlike(GENERIC) & ~b.rlike(GENERIC) & named_alike(a, b, name_letters(a), name_letters(b))
+
+
+def named_alike(a: Column, b: Column, letters_a: Column, letters_b: Column) -> Column:
+    """``names_alike`` of names that name something, whose letters are known."""
     short = F.least(F.length(a), F.length(b)) >= 5
-    letters = loose_name(F.regexp_replace(a, "[^a-z]", "")), loose_name(F.regexp_replace(b, "[^a-z]", ""))
-    like = (short & (a.contains(b) | b.contains(a) | (F.levenshtein(a, b, 1) >= 0))) | ((letters[0] != "") & (letters[0] == letters[1]))
-    return ~a.rlike(GENERIC) & ~b.rlike(GENERIC) & ((a == b) | like)
+    like = (short & (a.contains(b) | b.contains(a) | (F.levenshtein(a, b, 1) >= 0))) | ((letters_a != "") & (letters_a == letters_b))
+    return (a == b) | like
 
 
 def alike_keys(name: Column, within: bool) -> Column:

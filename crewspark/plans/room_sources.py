@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewspark.operators import room_sources
+from crewspark.operators.rooms import FEW_ROOMS
 from crewspark.plans.registry import query, table
+from crewspark.storage import tasks_for
 
 NAMES = ("takeoff", "drawing", "materials", "cutlist")
 #: Which lines a source has, which of them with a number, and its area and product.
@@ -101,14 +103,14 @@ _SECTION = """drawn AS (SELECT DISTINCT project, line AS id, CASE WHEN l_tax < 0
   SELECT project, id, CASE WHEN moved THEN target ELSE 'verdieping 1' END AS floor, CASE WHEN moved THEN 'verdieping 1' END AS moved_from, CASE WHEN moved AND NOT n AND m AND a THEN nb ELSE number END AS number, moved AND page_section AS by_page FROM k""")
 def section_storeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn rooms of a storey, of which a part is a second phase: those that are that part's go there."""
-    own = lines(spark, sf_dir)
-    n = F.col("l_linenumber")
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    n, m, sk = F.col("l_linenumber"), F.col("m"), F.col("l_suppkey")
+    # a line is sent with no more than it is told from
+    told = li.select(F.col("l_orderkey").alias("project"), n, "l_partkey", sk, F.floor(F.col("l_extendedprice") * 100).alias("cents"), "l_quantity", F.when(F.col("l_tax") < 0.06, n).otherwise(8 - n).alias("m"), (F.col("l_discount") < 0.08).alias("named"))
+    own = told.join(p, told["l_partkey"] == p["p_partkey"]).select(*told.columns, F.col("p_name").alias("name")).repartition(tasks_for(li), "project")
     number = lambda c: F.concat(F.lit("0.0"), c.cast("string"))
-    drawn = own.select(
-        "project", F.col("line").alias("id"), F.lit("Verdieping 1").alias("floor"), number(F.when(F.col("l_tax") < 0.06, n).otherwise(8 - n)).alias("number"), F.when(F.col("l_discount") < 0.08, F.col("name")).otherwise("ruimte").alias("name"),
-        (F.col("l_quantity") + F.when(F.col("l_suppkey") % 4 == 0, 0.5).otherwise(0.02)).alias("area"), F.when(n < 4, 1).otherwise(2).alias("page"),
-    ).distinct()
-    known = own.select(
-        "project", F.col("line").alias("id"), F.when(n < 4, "Verdieping 1").otherwise("Fase 2 verdieping 1").alias("floor"), number(F.when(n < 4, n).otherwise(n - 3 * (F.col("l_suppkey") % 2))).alias("number"), "name", F.col("l_quantity").alias("area"),
-    ).distinct()
-    return room_sources.storeys_by_section(drawn, known).withColumn("number", F.lower("number"))
+    line = F.concat_ws("-", "project", n, "l_partkey", sk, "cents").alias("id")
+    drawn = F.struct(line, F.lit("Verdieping 1").alias("floor"), number(m).alias("number"), F.when(F.col("named"), F.col("name")).otherwise("ruimte").alias("name"), (F.col("l_quantity") + F.when(sk % 4 == 0, 0.5).otherwise(0.02)).alias("area"), F.when(n < 4, 1).otherwise(2).alias("page"))
+    room = F.struct(line, F.when(n < 4, "Verdieping 1").otherwise("Fase 2 verdieping 1").alias("floor"), number(F.when(n < 4, n).otherwise(n - 3 * (sk % 2))).alias("number"), "name", F.col("l_quantity").alias("area"))
+    large = li.groupBy(F.col("l_orderkey").alias("project")).count().where(F.col("count") > FEW_ROOMS).select("project")
+    return room_sources.storeys_of_rows(own.select("project", drawn.alias("drawn"), room.alias("room")), large).withColumn("number", F.lower("number"))

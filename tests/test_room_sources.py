@@ -107,6 +107,27 @@ def test_rooms_of_small_projects_need_no_keys(spark, monkeypatch):
     assert result() == keyed == mixed and len(keyed) == 90
 
 
+def test_rooms_of_a_project_meet_once(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("*"))
+    done = QUERIES["section_storeys"](spark, "/root/testdata/sf0.001")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    # lines are dealt by project once: pairs, ranks and votes are found where they lie, and only the list of large projects is written
+    assert plan.count("Exchange hashpartitioning(project") == plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
+    assert done.count() > 0 and len(set(folder.glob("*")) - before) == 1
+
+
+def test_rooms_without_a_storey_add_no_rows(spark, monkeypatch):
+    schema = "project long, id string, floor string, number string, name string, area double, page int"
+    rows = [(1, f"d{i}", f, "1.01", "berging", 9.0, 1) for i, f in enumerate(["verdieping 1", "verdieping 1", "", None])]
+    drawn = spark.createDataFrame([*rows, rows[0]], schema)  # equal rows are one room
+    known = spark.createDataFrame([(1, f"k{i}", f, "1.01", "berging", 9.0, None) for i, f in enumerate([None, "", " ", "Fase 2 verdieping 1", None])], schema)
+    for few in (64, 0):
+        monkeypatch.setattr(room_sources, "FEW_ROOMS", few)
+        got = sorted((r.id, r.floor, r.moved_from, r.by_page) for r in room_sources.storeys_by_section(drawn, known).collect())
+        assert got == [*[(d, "fase 2 verdieping 1", "verdieping 1", True) for d in ("d0", "d1")], *[(d, "", None, False) for d in ("d2", "d3")]]
+
+
 def test_storeys_from_page(spark):
     rows = [(1, 1, "kelder"), (1, 1, None), (1, 1, "Onbekend"), (1, 2, "a"), (1, 2, "b"), (1, 2, ""), (1, None, None)]
     got = room_sources.storeys_from_page(spark.createDataFrame(rows, "project long, page int, floor string")).collect()
