@@ -38,7 +38,7 @@ ROLES = tuple(HEADERS)
 ROOM = r"(?i)^(?:[A-Z]-\d{1,2}-\d{2}(?:[/-]\d{2})*|\d{2}-\d{2}|0\d[.\-]\d{2})$"
 UNIT = r"(?i)^(m2|m²|m1|m¹|lm|stuks|st|uren|u)$"
 CODE = r"(?i)(?<![a-z0-9])((?:v|pl)\d{2}(?:\.[a-z0-9]+)?)"
-FLOORING, COVERING = r"(?i)gietvloer|marmoleum|pvc|tapijt|linoleum|coating", "plint|saus|behang"
+FLOORING, COVERING = "gietvloer|marmoleum|pvc|tapijt|linoleum|coating", "plint|saus|behang"
 DIMENSION = r"(?i)^(lengte|breedte|hoogte|length|width|height)\b"
 #: Rows that can be a header, values that are looked at, and points: at least, by memory, of a sure header.
 HEAD_ROWS, SAMPLE, LEAST, MEMORY = 25, 40, 3, 6
@@ -50,22 +50,21 @@ def _looks(cells: DataFrame) -> DataFrame:
     """cells with total, code, and as booleans whether a value looks like each role (is_...).
 
     What several roles ask for is a column of its own, so that it is found once; a value of digits and signs alone
-    isn't searched for words, one without digits isn't read as a number.
+    isn't searched for words, one without digits isn't read as a number.  low: the value in lower case.
     """
     value, room, unit, number, wordy, digit = (F.col(c) for c in ("value", "is_room_number", "is_unit", "is_quantity", "wordy", "digit"))
-    own = cells.withColumns({"is_room_number": value.rlike(ROOM), "wordy": value.rlike(r"[^\s\d.,:_/\-]"), "digit": value.rlike("[0-9]")})
+    own = cells.withColumns({"is_room_number": value.rlike(ROOM), "wordy": value.rlike(r"[^\s\d.,:_/\-]"), "digit": value.rlike("[0-9]"), "low": F.lower(value)})
     words = lambda pattern: wordy & value.rlike(pattern)
-    own = own.withColumns({"is_unit": words(UNIT), "laid": words(f"{FLOORING}|{COVERING}"), "total": words(r"(?i)^totaal\b"), "code": F.when(wordy & digit, F.regexp_extract(value, CODE, 1))})
-    laid = lambda pattern: F.col("laid") & value.rlike(pattern)
-    own = own.withColumns({"code": F.when(F.col("code") != "", F.lower("code")), "flooring": laid(FLOORING), "plint": laid("(?i)plint")})
-    own = own.withColumn("is_quantity", digit & ~room & ~unit & ~words("(?i)totaal|som|subtotal") & is_machine_number(value))
-    bare = F.translate(value, ",.", "")
+    own = own.withColumns({"is_unit": words(UNIT), "laid": wordy & F.col("low").rlike(f"{FLOORING}|{COVERING}"), "total": words(r"(?i)^totaal\b"), "code": F.when(wordy & digit, F.regexp_extract(value, CODE, 1))})
+    own = own.withColumn("code", F.when(F.col("code") != "", F.lower("code"))).withColumn("is_quantity", digit & ~room & ~unit & ~words("(?i)totaal|som|subtotal") & is_machine_number(value))
+    bare, low = F.translate(value, ",.", ""), F.translate("low", ",.", "")
+    double = (digit | low.contains("nan") | low.contains("inf")) & bare.try_cast("double").isNotNull()
     return own.withColumns({
-        "is_room_name": ~room & ~number & ~unit & F.col("code").isNull() & ~F.col("laid") & (F.length(value) <= 80) & bare.try_cast("double").isNull(),
+        "is_room_name": ~room & ~number & ~unit & F.col("code").isNull() & ~F.col("laid") & (F.length(value) <= 80) & ~double,
         "is_building": words(r"(?i)^(gebouw|blok|vleugel|[a-z])\b"),
         "is_floor_level": words(r"(?i)^(bg|kelder|zolder|vliering|\d{1,2}e|verdieping(?:\s+\d+)?)$"),
-        "is_floor_finish": F.col("flooring") | (digit & words(r"(?i)(?<![a-z0-9])v\d{2}(?:\.[a-z0-9]+)?(?![a-z0-9])")),
-        "is_plinth_finish": F.col("plint") | (digit & words(r"(?i)(?<![a-z0-9])pl\d{2}(?:\.[a-z0-9]+)?(?![a-z0-9])")),
+        "is_floor_finish": (F.col("laid") & F.col("low").rlike(FLOORING)) | (digit & words(r"(?i)(?<![a-z0-9])v\d{2}(?:\.[a-z0-9]+)?(?![a-z0-9])")),
+        "is_plinth_finish": (F.col("laid") & F.col("low").contains("plint")) | (digit & words(r"(?i)(?<![a-z0-9])pl\d{2}(?:\.[a-z0-9]+)?(?![a-z0-9])")),
         "is_product": (F.length(value) > 2) & ~room & ~number & ~unit,
     })
 
@@ -228,10 +227,15 @@ def guessed_columns(cells: DataFrame, memory: DataFrame | None = None, together:
     """
     own = cells.select("file", "sheet", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), F.trim("value").alias("value")).where("value <> ''")
     looks = _looks(own)
-    as_header = F.col("row_no") <= HEAD_ROWS if memory is not None else (F.col("row_no") <= HEAD_ROWS) & F.col("wordy")
+    # without a memory only what holds a header's word, to its first blank, is brought into a header's form
+    begun = {w.split(" ")[0] for words in HEADERS.values() for w in words}
+    as_header = F.col("row_no") <= HEAD_ROWS
+    if memory is None:
+        as_header = as_header & F.col("wordy") & F.col("low").rlike("|".join(sorted(w for w in begun if not any(x != w and x in w for x in begun))))
     looks = looks.withColumn("header", F.when(as_header, normalized_header(F.col("value"))))
     bits = sum((F.when(F.col(f"is_{r}"), F.lit(1 << (COUNT * i)).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(ROLES)), F.lit(0).cast("long"))
-    points = sum((F.shiftleft(_header_points(F.col("header"), r).cast("long"), 4 * i) for i, r in enumerate(ROLES)), F.lit(0).cast("long"))
+    # few cells are headers: their points are found apart from the code that all cells run through
+    points = F.element_at(F.transform(F.array("header"), lambda h: sum((F.shiftleft(_header_points(h, r).cast("long"), 4 * i) for i, r in enumerate(ROLES)), F.lit(0).cast("long"))), 1)
     short = looks.select("file", "sheet", "col_no", "row_no", "total", bits.alias("bits"), "code", F.when(F.col("header").isNotNull(), points).otherwise(F.lit(0).cast("long")).alias("points"), "header")
     if memory is None:
         short = short.withColumn("learned", F.lit(0))
